@@ -16,8 +16,33 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def piece_model() -> str:
+    """Vocabulary file of the registered query; operators take any path."""
+    return vocabulary("piece_bpe_32k.model")
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import license_digest, license_scan
+
+    return license_digest(license_scan(table(spark, sf_dir, "documents")))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_codec import piece_digest
+
+    return piece_digest(table(spark, sf_dir, "documents"), piece_model())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_license_scan": op2_license_scan,
     "op3_quality_rules": op3_quality_rules,
+    "op4_sentencepiece": op4_sentencepiece,
 }
 
 
