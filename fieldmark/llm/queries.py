@@ -39,10 +39,24 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digest(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op10_huffman_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .huffman_files import huffman_round_trip
+
+    return huffman_round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op3_quality_rules": op3_quality_rules,
     "op4_sentencepiece": op4_sentencepiece,
+    "op9_packing": op9_packing,
+    "op10_huffman_files": op10_huffman_files,
 }
 
 
