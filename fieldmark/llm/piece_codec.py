@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Chunks kept per Python worker.
-CACHE_CHUNKS = 250_000
+#: Chunks kept per Python worker in each of two generations; a chunk found in the older one moves to
+#: the younger, so frequent chunks stay.
+CACHE_CHUNKS = 400_000
 #: Neighbour pairs whose re-merging is remembered per Python worker.
 CACHE_PAIRS = 1_000_000
 
@@ -33,6 +35,8 @@ CACHE_PAIRS = 1_000_000
 class PieceEncoder(dict):
     """Maps a chunk (spaces already marked) to its ids as little-endian unsigned 32-bit bytes."""
 
+    older: dict[str, bytes]
+
     def __init__(self, model_path: str):
         import ahocorasick
         import sentencepiece
@@ -54,6 +58,8 @@ class PieceEncoder(dict):
         self.matches.make_automaton()
         self.end = np.uint32(sp.eos_id()).tobytes()
         self.apart: dict[tuple[str, str], bool] = {}
+        self.older = {}
+        self.names = list(map(str, range(sp.get_piece_size())))
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain merging: the best-scored adjacent pair first, leftmost on ties."""
@@ -78,7 +84,24 @@ class PieceEncoder(dict):
         return known
 
     def pieces(self, chunk: str) -> list[str]:
-        """Pieces of one chunk; characters without a piece stand alone."""
+        """Pieces of one chunk; characters without a piece stand alone.
+
+        The longest matches from left to right are the answer if they cover the chunk and all
+        neighbours fit, for only one sequence of pieces has that property."""
+        longest = [piece for _, (_, piece) in self.matches.iter_long(chunk)]
+        if sum(map(len, longest)) == len(chunk):
+            apart = self.apart
+            left = longest[0]
+            for right in longest[1:]:
+                known = apart.get((left, right))
+                if not (self.fits(left, right) if known is None else known):
+                    break
+                left = right
+            else:
+                return longest
+        return self.backtracked(chunk)
+
+    def backtracked(self, chunk: str) -> list[str]:
         n = len(chunk)
         at: list[list[str]] = [[] for _ in range(n)]
         for end, (size, piece) in self.matches.iter(chunk):
@@ -117,6 +140,10 @@ class PieceEncoder(dict):
         return out
 
     def __missing__(self, chunk: str) -> bytes:
+        out = self.older.get(chunk)
+        if out is not None:
+            self[chunk] = out
+            return out
         ids: list[int] = []
         for piece in self.pieces(chunk):
             i = self.id_of.get(piece)
@@ -124,7 +151,7 @@ class PieceEncoder(dict):
                 ids += [self.byte_id[b] for b in piece.encode("utf-8", "surrogatepass")]
             else:
                 ids.append(i)
-        out = self[chunk] = np.array(ids, dtype="<u4").tobytes()
+        out = self[chunk] = array("I", ids).tobytes()
         return out
 
     def encode(self, text: str) -> bytes:
@@ -132,6 +159,7 @@ class PieceEncoder(dict):
         if not text:
             return self.end
         if len(self) > CACHE_CHUNKS:
+            self.older = dict(self)
             self.clear()
         parts: list[bytes] = []
         lines = f" {text}".replace(" ", SPACE).split("\n")
@@ -180,7 +208,7 @@ def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
                 {
                     "doc_id": batch["doc_id"],
                     "n_tokens": [len(r) for r in rows],
-                    "ids_text": [" ".join(map(str, r)) for r in rows],
+                    "ids_text": [" ".join(map(enc.names.__getitem__, r)) for r in rows],
                     "decoded": [enc.library.decode(r) for r in rows],
                 }
             )
@@ -198,7 +226,7 @@ def piece_digest(docs: DataFrame, model_path: str, text_col: str = "text") -> Da
             out = []
             for text in batch["text"]:
                 ids = np.frombuffer(enc.encode(text or ""), "<u4").tolist()
-                said = hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+                said = hashlib.sha256(" ".join(map(enc.names.__getitem__, ids)).encode()).hexdigest()
                 back = hashlib.sha256(enc.library.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()
                 out.append((len(ids), said, back))
             yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(doc_id=batch["doc_id"].to_numpy())[
