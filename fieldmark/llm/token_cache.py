@@ -1,15 +1,18 @@
-"""Ids of whole texts by the tokenizers library, with a bounded cache of text chunks.
+"""Ids of whole texts as the tokenizers library gives them, with a bounded cache of text chunks.
 
 Texts are cut only where no pre-token can cross, so the ids equal those of the uncut text:
 ``spaced`` vocabularies (byte-level pieces that take the space before a word) at a non-gap character
 followed by a space or line end, others at every space and line end. A text with other white space
-goes to the library uncut in spaced mode.
+goes to the library uncut in spaced mode. New chunks of common characters are merged by a rank
+table made from the same file, where the file's ids are in merge order; all others by the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,9 +21,20 @@ SPACED = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 WORDS = re.compile(r"[^ \n]+")
 #: White space other than space and line end; such texts are not cut in spaced mode.
 OTHER_GAPS = re.compile(r"[^\S \n]")
-CACHE_CHUNKS = 300_000
+#: Chunks kept per Python worker in each of two generations.
+CACHE_CHUNKS = 400_000
 #: Characters of texts whose chunks are looked up together.
-GROUP_CHARS = 500_000
+GROUP_CHARS = 2_000_000
+#: Visible ASCII and Latin letters: no combining marks, no white space, stable under NFC.
+COMMON_WORD = re.compile("[!-~¡-ɏ]+")
+WORD_END = "</w>"
+
+
+def byte_letters() -> dict[str, int]:
+    """The printable stand-ins that byte-level vocabularies write for bytes."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
 class ChunkTokenizer:
@@ -34,6 +48,41 @@ class ChunkTokenizer:
         self.end = np.uint32(end_id).tobytes()
         self.size = max(self.library.get_vocab_size(with_added_tokens=True), end_id + 1)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.ranked = self._rank_table(path)
+
+    def _rank_table(self, path: str):
+        """Encoder by ranks, or None where the file's ids are not in merge order."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, letters = spec["model"], byte_letters()
+        suffix = model.get("end_of_word_suffix") or ""
+        if model["type"] != "BPE" or suffix not in ("", WORD_END) or bool(suffix) == self.spaced:
+            return None
+        special = {t["content"] for t in spec["added_tokens"]}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        first = len(model["vocab"]) - len(merges) - sum(t in model["vocab"] for t in special)
+        if any(model["vocab"].get(a + b) != first + i for i, (a, b) in enumerate(merges)):
+            return None
+
+        def raw(token: str) -> bytes:
+            # a word's end is written as a line end, which no word holds
+            ends = bool(suffix) and token.endswith(suffix) and token != suffix
+            return bytes(letters[c] for c in (token[: -len(suffix)] if ends else token)) + b"\n" * ends
+
+        ranks = {raw(t): i for t, i in model["vocab"].items() if t not in special}
+        if suffix:
+            import regex
+
+            self.words_in = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+            self.is_end = np.zeros(self.size, dtype=bool)
+            self.is_end[[i for t, i in ranks.items() if t.endswith(b"\n") and len(t) > 1]] = True
+            pattern = r"[^\n]*\n"
+        else:
+            from public_tokenizers import PATTERN as pattern
+        return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -50,14 +99,48 @@ class ChunkTokenizer:
                 group, chars = [], 0
         yield from self._group(group)
 
+    def _learn(self, chunks: set[str]) -> None:
+        known, older = self.known, self.older
+        new: list[str] = []
+        for c in chunks:
+            found = older.get(c)
+            if found is None:
+                new.append(c)
+            else:
+                known[c] = found
+        rest = new
+        if self.ranked is not None and self.spaced:
+            rest = []
+            encode = self.ranked.encode_ordinary
+            for c in new:
+                known[c] = array("I", encode(c)).tobytes()
+        elif self.ranked is not None:
+            rest, common, words, sizes = [], [], [], []
+            for c in new:
+                if COMMON_WORD.fullmatch(c):
+                    own = self.words_in(c.lower())
+                    common.append(c)
+                    words += own
+                    sizes.append(len(own))
+                else:
+                    rest.append(c)
+            if common:
+                ids = np.array(self.ranked.encode_ordinary("\n".join(words) + "\n"), dtype="<u4")
+                ends = 4 * (np.flatnonzero(self.is_end[ids]) + 1)
+                flat, at = ids.tobytes(), 0
+                for c, end in zip(common, ends[np.cumsum(sizes) - 1].tolist(), strict=True):
+                    known[c] = flat[at:end]
+                    at = end
+        if rest:
+            for c, found in zip(rest, self.library.encode_batch(rest, add_special_tokens=False), strict=True):
+                known[c] = array("I", found.ids).tobytes()
+
     def _group(self, texts: list[str]) -> Iterator[bytes]:
         cut = SPACED if self.spaced else WORDS
         parts = [None if self.spaced and OTHER_GAPS.search(t) else cut.findall(t) for t in texts]
         if len(self.known) > CACHE_CHUNKS:
-            self.known.clear()
-        new = list({c for p in parts if p is not None for c in p if c not in self.known})
-        for chunk, found in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[chunk] = np.array(found.ids, dtype="<u4").tobytes()
+            self.known, self.older = {}, self.known
+        self._learn({c for p in parts if p is not None for c in p}.difference(self.known))
         get = self.known.__getitem__
         for text, p in zip(texts, parts, strict=True):
             yield (self.whole(text) if p is None else b"".join(map(get, p))) + self.end
