@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
 
 
+def forest(linked: np.ndarray) -> np.ndarray:
+    """Smallest member of each row's component under a symmetric boolean matrix."""
+    n = len(linked)
+    label = np.arange(n)
+    reach = linked | np.eye(n, dtype=bool)
+    while True:
+        new = np.where(reach, label[None, :], n).min(axis=1)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _state(edges: DataFrame) -> tuple:
     r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return r["n"], r["h"]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_side, stage
-from .components import connected_components
+from .components import connected_components, forest
 
 SAMPLE = 4096
 BITS = 128
@@ -136,19 +136,6 @@ def _wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield found(held)
 
 
-def _forest(linked: np.ndarray) -> np.ndarray:
-    """Smallest member of each row's component under a symmetric boolean matrix."""
-    n = len(linked)
-    label = np.arange(n)
-    reach = linked | np.eye(n, dtype=bool)
-    while True:
-        new = np.where(reach, label[None, :], n).min(axis=1)
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _scored(threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -162,7 +149,7 @@ def _scored(threshold: float):
                 own = rows["block"].to_numpy()
                 linked &= own[:, None] != own[None, :]
             ids, weight = rows["id"].to_numpy(), rows["weight"].to_numpy()
-            root = _forest(linked)
+            root = forest(linked)
             return [(i, i, n) for i, n in zip(ids, linked @ weight, strict=True) if n] + [
                 (ids[r], ids[k], 0) for k, r in enumerate(root) if k != r
             ]

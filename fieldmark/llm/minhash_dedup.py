@@ -7,9 +7,9 @@ smallest value of its first round with an element. Rounds end when all coordinat
 
 Documents with equal sets are one class, compared through its smallest id. Classes that share a band
 are candidates. In each bucket every class is first compared with one pivot, the member that shares
-most with others; links are exact (whole sets). Buckets that then hold more than one component get
-all pairs across components compared, so a bucket's members are never paired among themselves where
-the pivots have joined them already, and no link across components is lost.
+most with others; links are exact (whole sets). Buckets that then hold more than one component are
+compared in blocks of classes inside tasks (``block_links``): no link across components is lost, and
+the pairs of a large group are never written out.
 
 Defined cases: a null or empty text, or one without words, has an empty set and stays alone; a text
 of fewer words than a shingle is one run; repeated rows fall into one class; rows that share an id
@@ -27,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_side, stage
-from .components import connected_components
+from .components import connected_components, forest
 from .words import mix, shingle_set, word_hashes
 
 #: A pair at similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 1 - 5e-8.
 BANDS, ROWS = 32, 4
 #: Ids of candidate documents that are broadcast to the text scan; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Classes and set elements of one block.
+BLOCK_CLASSES, BLOCK_ELEMENTS = 384, 300_000
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -146,19 +148,90 @@ def class_components(docs: DataFrame, classes: DataFrame, shingle: int, percent:
     joined = connected_components(links)
 
     held = stage(
-        shared.select("key", "id", "n").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")), "held"
+        shared.select("key", "id", "n", "size").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")), "held"
     )
     mixed = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_ = held.join(mixed, "key")
-    other = open_.select("key", F.col("id").alias("b"), F.col("n").alias("pn"), F.col("component").alias("other"))
-    rest = (
-        open_.join(other, "key")
-        .where((F.col("id") < F.col("b")) & (F.col("component") != F.col("other")) & fits)
-        .select(F.col("id").alias("a"), "b")
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    more = stage(verified(rest, sets, percent), "links")
+    more = stage(block_links(stage(held.join(mixed, "key"), "open"), sets, percent), "links")
     if more.limit(1).count() == 0:
         return joined
     return connected_components(links.union(more))
+
+
+def block_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among the members (key, id, n, size, component) of buckets that hold several components.
+
+    A class lives in the block of its fullest bucket, split by id where that is large. A bucket asks
+    for the pairs of its blocks that hold different components; each block pair is compared once, as
+    a product of set matrices inside a task, and gives a spanning forest of its links. So a group of
+    m alike classes moves m * m / BLOCK_CLASSES sets, and no pairs."""
+    homes = open_.groupBy("id").agg(F.max(F.struct("size", "key")).alias("home"), F.first("n").alias("n"))
+    homes = homes.select("id", "n", F.col("home.key").alias("home"))
+    load = homes.groupBy("home").agg(
+        F.ceil(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum("n") / BLOCK_ELEMENTS)).cast("int").alias("parts")
+    )
+    blocks = stage(
+        homes.join(load, "home").select("id", F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")), "blocks"
+    )
+    asked = (
+        open_.join(blocks, "id").groupBy("key", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    )
+    right = asked.select("key", F.col("block").alias("bj"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    pairs = (
+        asked.withColumnRenamed("block", "bi")
+        .join(right, "key")
+        .where((F.col("bi") <= F.col("bj")) & (F.least("lo", "lo2") < F.greatest("hi", "hi2")))
+        .select("bi", "bj")
+        .distinct()
+    )
+    members = pairs.select("bi", "bj", F.explode(F.array_distinct(F.array("bi", "bj"))).alias("block")).join(blocks, "block")
+    return (
+        members.join(sets, "id")
+        .repartition("bi", "bj")
+        .sortWithinPartitions("bi", "bj", "id")
+        .mapInPandas(_block_forest(percent), "a long, b long")
+    )
+
+
+def _intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections; elements of one set only are left out first."""
+    elements, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    common = np.bincount(column, minlength=len(elements)) > 1
+    place = np.cumsum(common) - 1
+    row, column = row[common[column]], place[column[common[column]]]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float64)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    wide = max(1, (1 << 22) // len(sets))
+    for first in range(0, int(common.sum()), wide):
+        lo, hi = np.searchsorted(column, [first, first + wide])
+        x = np.zeros((len(sets), wide), dtype=np.float32)
+        x[row[lo:hi], column[lo:hi] - first] = 1
+        out += x @ x.T
+    return out.astype(np.int64)
+
+
+def _block_forest(percent: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+
+        def found(rows: pd.DataFrame) -> pd.DataFrame:
+            sets = [np.frombuffer(x, np.uint64) for x in rows["elements"]]
+            size = np.array([len(s) for s in sets])
+            common = _intersections(sets)
+            linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+            root = forest(linked)
+            ids = rows["id"].to_numpy()
+            other = root != np.arange(len(ids))
+            return pd.DataFrame({"a": ids[root[other]], "b": ids[other]})
+
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            last = (rows["bi"] == rows["bi"].iloc[-1]) & (rows["bj"] == rows["bj"].iloc[-1])
+            held = rows[last]
+            for _, own in rows[~last].groupby(["bi", "bj"], sort=False):
+                yield found(own)
+        if held is not None:
+            yield found(held)
+
+    return run
