@@ -46,6 +46,12 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digest(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op5_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz_lm import katz_scores
+
+    return katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embedding_dedup import similar_vectors
 
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op3_quality_rules": op3_quality_rules,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_katz_lm": op5_katz_lm,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_toxicity": op8_toxicity,
