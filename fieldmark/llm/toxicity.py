@@ -1,9 +1,10 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 Training uses at most ``SAMPLE_PER_CLASS`` labelled documents of either label, in the order of a hash
-of their ids. Features are the distinct n-grams of a text (A-Z in lower case, runs of white space as
-one space). A feature's log-count ratio r is that of its smoothed document counts in both labels;
-features whose ratio is not clearly non-zero are left out. Logistic regression with L2 penalty is
+of their ids; the driver gets the chosen features and their places in those documents only. Features
+are the distinct n-grams of a text (A-Z in lower case, runs of white space as one space). A feature's
+log-count ratio r is that of its smoothed document counts in both labels; at most ``MAX_FEATURES``
+are used, those whose ratios are most clearly non-zero. Logistic regression with L2 penalty is
 fitted on the features scaled by r, and its intercept is moved from the sample's balance to the
 share of toxic labels in all training labels.
 
@@ -23,12 +24,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, stage
 
 ORDERS = (3, 4, 5)
 SAMPLE_PER_CLASS = 1200
 MIN_DOCS = 5
 MIN_Z = 3.0
+MAX_FEATURES = 50_000
 PENALTY = 0.5
 THRESHOLD = 0.3
 STEPS = 300
@@ -65,52 +67,77 @@ def gram_hashes(text: str) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, known: DataFrame, per_class: int, text_col: str) -> DataFrame:
+    """(toxic, text) of the training sample, as a table."""
     order = F.xxhash64("doc_id")
     chosen = [known.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(per_class) for k in (0, 1)]
     few = F.broadcast(chosen[0].union(chosen[1]))  # 2 * per_class rows at most
-    picked = docs.select("doc_id", F.col(text_col).alias("text")).join(few, "doc_id")
+    picked = docs.select("doc_id", F.col(text_col).alias("text")).join(few, "doc_id").select("toxic", "text")
+    return stage(picked.limit(4 * per_class).repartition(16), "toxic")
+
+
+def _ratio(pos, neg, n_pos: int, n_neg: int, log):
+    """(log-count ratio, its size in standard errors) from a feature's document counts."""
+    ratio = log((pos + 1) / (n_pos + 2)) - log((neg + 1) / (n_neg + 2))
+    return ratio, ratio / (1 / (pos + 1) + 1 / (neg + 1)) ** 0.5
+
+
+def _features(sample: DataFrame, n_pos: int, n_neg: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, log-count ratios) of at most MAX_FEATURES n-grams with the surest ratios."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            grams = [np.unique(gram_hashes(t or "")) for t in batch["text"]]
+            ids, at = np.unique(np.concatenate(grams), return_inverse=True)
+            toxic = np.repeat(batch["toxic"].to_numpy(), [len(g) for g in grams])
+            pos = np.bincount(at, weights=toxic, minlength=len(ids)).astype(np.int64)
+            yield pd.DataFrame({"g": ids.view(np.int64), "pos": pos, "neg": np.bincount(at, minlength=len(ids)) - pos})
+
+    counted = sample.mapInPandas(run, "g long, pos long, neg long").groupBy("g").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    ratio, sure = _ratio(F.col("pos"), F.col("neg"), n_pos, n_neg, F.log)
+    chosen = (
+        counted.where(F.col("pos") + F.col("neg") >= MIN_DOCS)
+        .select("g", ratio.alias("ratio"), F.abs(sure).alias("sure"))
+        .where(F.col("sure") >= MIN_Z)
+        .orderBy(F.desc("sure"), "g")
+        .limit(MAX_FEATURES)
+        .toPandas()
+    )
+    features = chosen["g"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(features)
+    return features[order], chosen["ratio"].to_numpy(dtype=float)[order]
+
+
+def _rows(sample: DataFrame, features: np.ndarray) -> pd.DataFrame:
+    """(toxic, places): the places of each sampled text's n-grams among the features."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            grams = [np.unique(gram_hashes(t or "")).tobytes() for t in batch["text"]]
-            yield pd.DataFrame({"toxic": batch["toxic"], "grams": grams})
+            places = [np.flatnonzero(np.isin(features, gram_hashes(t or ""))).astype("<u4").tobytes() for t in batch["text"]]
+            yield pd.DataFrame({"toxic": batch["toxic"], "places": places})
 
-    return picked.mapInPandas(run, "toxic int, grams binary").limit(4 * per_class)
+    return sample.mapInPandas(run, "toxic int, places binary").toPandas()
 
 
-def fit(grams: list[np.ndarray], toxic: np.ndarray, share: float) -> ToxicityModel:
-    """Model of documents given by their distinct n-gram hashes."""
-    ids = np.concatenate(grams)
-    rows = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-    features, ids = np.unique(ids, return_inverse=True)
+def fit(places: list[np.ndarray], toxic: np.ndarray, ratio: np.ndarray, share: float) -> tuple[np.ndarray, float]:
+    """(weights, intercept) of the penalised logistic regression on features scaled by ``ratio``."""
+    cols = np.concatenate(places).astype(np.int64)
+    rows = np.repeat(np.arange(len(places)), [len(p) for p in places])
     y = toxic.astype(float)
-    pos = np.bincount(ids, weights=y[rows], minlength=len(features))
-    neg = np.bincount(ids, minlength=len(features)) - pos
-    n_pos, n_neg = y.sum(), len(y) - y.sum()
-    ratio = np.log((pos + 1) / (n_pos + 2)) - np.log((neg + 1) / (n_neg + 2))
-    sure = np.abs(ratio) / np.sqrt(1 / (pos + 1) + 1 / (neg + 1))
-    keep = (pos + neg >= MIN_DOCS) & (sure >= MIN_Z)
-    place = np.cumsum(keep) - 1
-    used = keep[ids]
-    cols, rows = place[ids[used]], rows[used]
-    r = ratio[keep]
-    values = r[cols]
-    m = int(keep.sum())
+    values, m = ratio[cols], len(ratio)
     u, b = np.zeros(m), 0.0
     momentum_u, momentum_b = np.zeros(m), 0.0
-    lipschitz = 0.25 * (np.bincount(rows, weights=values**2, minlength=len(y)).mean() + 1) * 4 + PENALTY / len(y)
-    rate = 1 / lipschitz
+    largest = 0.25 * 4 * (np.bincount(rows, weights=values**2, minlength=len(y)).mean() + 1) + PENALTY / len(y)
     for step in range(STEPS):
         look = step / (step + 3)
         tu, tb = u + look * momentum_u, b + look * momentum_b
         margin = np.bincount(rows, weights=values * tu[cols], minlength=len(y)) + tb
         error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y) / len(y)
         grad = np.bincount(cols, weights=values * error[rows], minlength=m) + PENALTY * tu / len(y)
-        new_u, new_b = tu - rate * grad, tb - rate * error.sum()
+        new_u, new_b = tu - grad / largest, tb - error.sum() / largest
         momentum_u, momentum_b = new_u - u, new_b - b
         u, b = new_u, new_b
-    moved = np.log(share / (1 - share)) - np.log(n_pos / n_neg)
-    return ToxicityModel(features[keep], (u * r).astype(np.float64), float(b + moved))
+    moved = np.log(share / (1 - share)) - np.log(y.sum() / (len(y) - y.sum()))
+    return u * ratio, float(b + moved)
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None, per_class: int = SAMPLE_PER_CLASS, text_col: str = "text") -> ToxicityModel:
@@ -120,14 +147,20 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = No
         known = known.where(train)
     counts = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     share = counts["toxic"] / counts["n"] if counts["n"] else 0.0
-    grams, toxic = [], []
-    if 0 < share < 1:
-        sample = _sample(docs, known, per_class, text_col).toPandas()
-        grams, toxic = [np.frombuffer(g, np.uint64) for g in sample["grams"]], sample["toxic"].to_numpy()
-    if not len(toxic) or toxic.min() == toxic.max() or not sum(map(len, grams)):
-        edge = np.clip(share, 1e-9, 1 - 1e-9)
-        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), float(np.log(edge / (1 - edge))))
-    return fit(grams, toxic, share)
+    edge = float(np.clip(share, 1e-9, 1 - 1e-9))
+    constant = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), float(np.log(edge / (1 - edge))))
+    if not 0 < share < 1:
+        return constant
+    sample = _sample(docs, known, per_class, text_col)
+    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2:
+        return constant
+    features, ratio = _features(sample, sizes[1], sizes[0])
+    if not len(features):
+        return constant
+    rows = _rows(sample, features)
+    weights, intercept = fit([np.frombuffer(p, "<u4") for p in rows["places"]], rows["toxic"].to_numpy(), ratio, share)
+    return ToxicityModel(features, weights, intercept)
 
 
 def _filter_bits(features: np.ndarray) -> np.ndarray:
