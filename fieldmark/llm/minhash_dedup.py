@@ -36,6 +36,8 @@ BANDS, ROWS = 32, 4
 BROADCAST_IDS = 1_000_000
 #: Classes and set elements of one block.
 BLOCK_CLASSES, BLOCK_ELEMENTS = 384, 300_000
+#: Classes of one component that make it worth blocks of its own.
+OWN_BLOCK = 64
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -148,7 +150,10 @@ def class_components(docs: DataFrame, classes: DataFrame, shingle: int, percent:
     joined = connected_components(links)
 
     held = stage(
-        shared.select("key", "id", "n", "size").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")), "held"
+        shared.select("key", "id", "n", "size")
+        .join(joined, "id", "left")
+        .withColumn("component", F.coalesce("component", "id")),
+        "held",
     )
     mixed = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     more = stage(block_links(stage(held.join(mixed, "key"), "open"), sets, percent), "links")
@@ -160,12 +165,19 @@ def class_components(docs: DataFrame, classes: DataFrame, shingle: int, percent:
 def block_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links among the members (key, id, n, size, component) of buckets that hold several components.
 
-    A class lives in the block of its fullest bucket, split by id where that is large. A bucket asks
+    A class lives in the block of its fullest bucket, split by id where that is large; a component
+    with OWN_BLOCK classes there has blocks of its own, which are not compared again. A bucket asks
     for the pairs of its blocks that hold different components; each block pair is compared once, as
     a product of set matrices inside a task, and gives a spanning forest of its links. So a group of
     m alike classes moves m * m / BLOCK_CLASSES sets, and no pairs."""
-    homes = open_.groupBy("id").agg(F.max(F.struct("size", "key")).alias("home"), F.first("n").alias("n"))
-    homes = homes.select("id", "n", F.col("home.key").alias("home"))
+    homes = open_.groupBy("id").agg(
+        F.max(F.struct("size", "key")).alias("home"), F.first("n").alias("n"), F.first("component").alias("component")
+    )
+    homes = homes.select("id", "n", "component", F.col("home.key").alias("home"))
+    own = homes.groupBy("home", "component").agg(F.count("*").alias("alike")).where(F.col("alike") >= OWN_BLOCK)
+    homes = homes.join(own, ["home", "component"], "left").select(
+        "id", "n", F.xxhash64("home", F.when(F.col("alike").isNotNull(), F.col("component"))).alias("home")
+    )
     load = homes.groupBy("home").agg(
         F.ceil(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum("n") / BLOCK_ELEMENTS)).cast("int").alias("parts")
     )
