@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("lookup",)
 
 
 def _modules():
