@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("lookup", "grid", "aggregate", "vectors", "spatial")
+MODULES: tuple[str, ...] = ("lookup", "grid", "aggregate", "vectors", "spatial", "text")
 
 
 def _modules():
