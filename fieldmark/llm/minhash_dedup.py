@@ -35,7 +35,7 @@ BANDS, ROWS = 32, 4
 #: Ids of candidate documents that are broadcast to the text scan; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Classes and set elements of one block.
-BLOCK_CLASSES, BLOCK_ELEMENTS = 384, 300_000
+BLOCK_CLASSES, BLOCK_ELEMENTS = 1024, 300_000
 #: Classes of one component that make it worth blocks of its own.
 OWN_BLOCK = 64
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
