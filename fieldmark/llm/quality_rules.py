@@ -264,7 +264,7 @@ def quality_filter(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang"
     if cutoffs.limit(most + 1).count() > most:
         kept = _apply(features, cutoffs).where("kept").select("doc_id").distinct()
         return docs.join(kept, "doc_id", "left_semi")
-    name = "__quality"
-    judged = docs.withColumn(name, quality_features(docs, text_col))
-    over = _verdict(cutoffs, stratum, lambda r: F.col(f"{name}.{r}"))
-    return judged.where(~(F.col(f"{name}.base_failed") | over)).drop(name)
+    # one expression, so that the features are computed once per row
+    return docs.where(
+        let(quality_features(docs, text_col), lambda q: ~(q["base_failed"] | _verdict(cutoffs, stratum, lambda r: q[r])))
+    )
