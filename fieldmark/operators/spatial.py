@@ -160,3 +160,26 @@ def window_density(points: DataFrame, pixels: DataFrame, half: float, size: floa
     q = pixels.select(F.col("lng").alias("px"), F.col("lat").alias("py"), F.col("value").alias("pv")).withColumns({"tx": F.floor(F.col("px") / size), "ty": F.floor(F.col("py") / size)})
     hit = tiles_of(p, size).join(q, ["tx", "ty"]).where(F.col("px").between(F.col("lng_min"), F.col("lng_max")) & F.col("py").between(F.col("lat_min"), F.col("lat_max")))
     return hit.groupBy("id").agg(F.sum("pv").alias("total"), F.count("*").alias("pixels"))
+
+
+def seaward_profile(pixels: DataFrame, n: int = 64, dx: float = 30.0) -> DataFrame:
+    """From every land pixel beside water, the depths towards its deepest neighbour to the north, south,
+    west or east (in this order on ties), ending before the first land pixel, at least 3 long: length,
+    deepest, travel time over sqrt(g max(depth, 0.01)) and class. ``pixels``: (row, col, value)."""
+    depth = F.greatest(-F.col("value"), F.lit(0.0))
+    p = pixels.select("row", "col", depth.alias("depth"))
+    steps = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(r).alias("dr"), F.lit(c).alias("dc")) for i, (r, c) in enumerate(((-1, 0), (1, 0), (0, -1), (0, 1)))])
+    land = p.where("depth = 0").select(F.col("row").alias("r0"), F.col("col").alias("c0"), F.explode(steps).alias("s"))
+    beside = land.select("r0", "c0", "s", (F.col("r0") + F.col("s.dr")).alias("row"), (F.col("c0") + F.col("s.dc")).alias("col")).join(p, ["row", "col"])
+    best = beside.where("depth > 0").groupBy("r0", "c0").agg(F.max(F.struct("depth", (-F.col("s.k")).alias("k"), "s")).alias("b")).select("r0", "c0", "b.s")
+    walk = best.select("r0", "c0", "s", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i"))
+    walk = walk.select("r0", "c0", "i", (F.col("r0") + F.col("i") * F.col("s.dr")).alias("row"), (F.col("c0") + F.col("i") * F.col("s.dc")).alias("col"))
+    met = walk.join(p, ["row", "col"], "left")
+    stop = met.where("depth is null or depth = 0").groupBy("r0", "c0").agg(F.min("i").alias("stop"))
+    wet = met.join(stop, ["r0", "c0"], "left").where("depth is not null and (stop is null or i < stop)")
+    speed = F.sqrt(9.81 * F.greatest("depth", F.lit(0.01)))
+    g = wet.groupBy("r0", "c0").agg(
+        F.count("*").alias("n"), F.max("depth").alias("deepest"), F.sum(F.lit(dx) / speed).alias("seconds"), F.avg((F.col("depth") > 1).cast("double")).alias("ocean")
+    )
+    kind = F.when(F.col("deepest") <= 5, "too_shallow").when(F.col("ocean") < 0.5, "low_ocean_fraction").otherwise("oceanic")
+    return g.where("n >= 3").select(F.col("r0").alias("row"), F.col("c0").alias("col"), "n", "deepest", "seconds", kind.alias("class"))

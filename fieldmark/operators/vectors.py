@@ -198,3 +198,21 @@ def fuse_elevation(rows: DataFrame) -> DataFrame:
     """Land surface on land, sea floor on water, and whether the two disagree by more than 5."""
     water = F.col("mask") == 1
     return rows.select("id", F.when(water, F.col("sea")).otherwise(F.col("land")).alias("elevation"), F.when(water, "sea").otherwise("land").alias("source"), (F.abs(F.col("sea") - F.col("land")) > 5).alias("disagree"))
+
+
+# Gates of the change variants by domain.
+VARIANT_GATE = {"forest": 0.20, "wetland": 0.10, "urban": 0.20, "coast": 0.12}
+
+
+def change_variant(rows: DataFrame, domain: str, extra: DataFrame) -> DataFrame:
+    """``change_consensus`` at the domain's gate with an uplift tag. ``extra``: (cell, leg), the domain's
+    own measure: loss mask, recurrence points, building delta, or elevation."""
+    c = change_consensus(rows, VARIANT_GATE[domain]).join(extra, "cell", "left")
+    leg = F.coalesce("leg", F.lit(0.0))
+    tag = {
+        "forest": leg > 0,
+        "wetland": F.abs(leg) >= 15,
+        "urban": F.abs(leg) > 0,
+        "coast": leg.between(-5, 5),
+    }[domain]
+    return c.select("cell", "ensemble", "votes", "label", ((F.col("votes") > 0) & tag).alias("uplift"))

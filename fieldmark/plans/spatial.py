@@ -151,3 +151,17 @@ def e09_window_density(spark, d):
     o = X.read(spark, d, "orders")
     px = o.select((F.col("o_orderkey") % 360 - 180.0).alias("lng"), (F.expr("o_orderkey div 360") % 160 - 80.0).alias("lat"), (F.col("o_totalprice") / 1000).alias("value"))
     return E.window_density(points(spark, d), px, 2.0, 4.0).withColumn("total", F.round(F.col("total") + 1e-7, 4))
+
+
+@query(
+    X.with_("pixels")
+    + """, p AS (SELECT "row", col, greatest(-(value-200),0.0) AS depth FROM pixels), st(k,dr,dc) AS (VALUES (0,-1,0),(1,1,0),(2,0,-1),(3,0,1)),
+    b AS (SELECT l."row" AS r0, l.col AS c0, dr, dc FROM p l CROSS JOIN st JOIN p w ON w."row"=l."row"+dr AND w.col=l.col+dc WHERE l.depth=0 AND w.depth>0 QUALIFY row_number() OVER (PARTITION BY l."row", l.col ORDER BY w.depth DESC, k)=1),
+    w AS (SELECT r0, c0, i, depth FROM (SELECT *, unnest(range(1,65)) AS i FROM b) x LEFT JOIN p ON p."row"=r0+i*dr AND p.col=c0+i*dc), s AS (SELECT r0, c0, min(i) AS stop FROM w WHERE depth IS NULL OR depth=0 GROUP BY ALL),
+    g AS (SELECT w.r0, w.c0, count(*) AS n, max(depth) AS deepest, sum(30.0/sqrt(9.81*greatest(depth,0.01))) AS seconds, avg((depth>1)::INT) AS ocean FROM w LEFT JOIN s ON s.r0=w.r0 AND s.c0=w.c0 WHERE depth IS NOT NULL AND (stop IS NULL OR i<stop) GROUP BY ALL)
+    SELECT r0 AS "row", c0 AS col, n, round(deepest,6) AS deepest, round(seconds+1e-9,4) AS seconds, CASE WHEN deepest<=5 THEN 'too_shallow' WHEN ocean<0.5 THEN 'low_ocean_fraction' ELSE 'oceanic' END AS class FROM g WHERE n>=3"""
+)
+def e10_seaward_profile(spark, d):
+    elev = X.pixels(spark, d).withColumn("value", F.col("value") - 200)
+    out = E.seaward_profile(elev)
+    return out.withColumns({"deepest": F.round("deepest", 6), "seconds": F.round(F.col("seconds") + 1e-9, 4)})

@@ -197,3 +197,14 @@ def h04_rerank_by_centroid(spark, d):
     v = X.vecs(spark, d)
     h = v.select(F.col("label").alias("grp"), F.col("vec_id").alias("cell"), (F.col("vec_id") % 17).alias("value"))
     return V.rerank_by_centroid(h, v.where("vec_id % 6 <> 0").select(F.col("vec_id").alias("cell"), "vec"))
+
+
+@query(
+    X.with_("vecs", extra=ENC)
+    + f""", r AS (SELECT *, row_number() OVER (PARTITION BY cell, band ORDER BY tslot DESC) AS rn FROM enc), s AS (SELECT a.cell, greatest(0.0, least(1.0, 1-{cos("a.vec", "b.vec")})) AS s FROM r a JOIN r b ON a.cell=b.cell AND a.band=b.band AND a.rn=1 AND b.rn=2)
+    SELECT cell, round(sqrt(avg(s*s)),6) AS ensemble, count(*) FILTER (s>0.2) AS votes, CASE WHEN count(*) FILTER (s>0.2)=count(*) THEN 'changed' WHEN count(*) FILTER (s>0.2)>0 THEN 'mixed' ELSE 'stable' END AS label, count(*) FILTER (s>0.2)>0 AND cell%3>0 AS uplift FROM s GROUP BY cell"""
+)
+def f13_change_variant(spark, d):
+    v = X.vecs(spark, d)
+    mask = v.select("cell").distinct().select("cell", (F.col("cell") % 3).cast("double").alias("leg"))
+    return V.change_variant(encoders(v), "forest", mask).withColumn("ensemble", F.round("ensemble", 6))
