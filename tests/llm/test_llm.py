@@ -310,14 +310,17 @@ def test_packing(docs, texts):
 
 
 def test_column_generation_reaches_the_bound():
-    from fieldmark.llm.packing import plan_patterns
+    from fieldmark.llm.packing import column_generation, plan_patterns
 
     sizes = np.arange(1, 65)
     demand = np.random.default_rng(2).integers(1, 200, 64)
     plan = plan_patterns(sizes, demand, 64)
     assert (sum(p * n for p, n in plan) == demand).all()
     assert all((p * sizes).sum() <= 64 for p, _ in plan)
-    assert sum(n for _, n in plan) <= 1.02 * (sizes * demand).sum() / 64 + 2
+    patterns, counts = column_generation(sizes, demand, 64)
+    assert np.allclose(counts @ patterns, demand)
+    assert counts.sum() >= (sizes * demand).sum() / 64
+    assert sum(n for _, n in plan) <= 1.005 * counts.sum() + 2
 
 
 def test_huffman(docs, texts):
