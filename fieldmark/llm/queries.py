@@ -103,4 +103,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .quality_sql import quality_sql
+
+    return {"op3_quality_rules": quality_sql()}
