@@ -61,13 +61,15 @@ def find_similar(queries: DataFrame, vecs: DataFrame, k: int = 10) -> DataFrame:
                 continue
             y = np.stack(batch["vec"].to_numpy())
             s = x @ (y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)).T
-            cell = batch["cell"].to_numpy()
-            s[ids[:, None] == cell[None, :]] = -np.inf
-            # the best slots of k cells are among the first 64 k rows for cells of up to 64 slots
-            top = np.argsort(-s, axis=1, kind="stable")[:, : 64 * k]
+            cell, at = np.unique(batch["cell"].to_numpy(), return_inverse=True)
+            order = np.argsort(at, kind="stable")
+            best = np.maximum.reduceat(s[:, order], np.searchsorted(at[order], np.arange(len(cell))), axis=1)
+            best[ids[:, None] == cell[None, :]] = -np.inf
+            # a cell of the overall top k is among the k best of the batch that holds its best slot
+            top = np.argsort(-np.round(best, 9), axis=1, kind="stable")[:, :k]
             qi = np.repeat(np.arange(len(ids)), top.shape[1])
-            out = pd.DataFrame({"q": ids[qi], "cell": cell[top.ravel()], "score": s[qi, top.ravel()]})
-            yield out[np.isfinite(out["score"])].groupby(["q", "cell"], as_index=False)["score"].max()
+            out = pd.DataFrame({"q": ids[qi], "cell": cell[top.ravel()], "score": best[qi, top.ravel()]})
+            yield out[np.isfinite(out["score"])]
 
     scored = vecs.select("cell", "vec").mapInPandas(score, "q long, cell long, score double")
     return _top(scored.groupBy("q", "cell").agg(F.max("score").alias("score")), k)
