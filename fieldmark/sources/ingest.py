@@ -16,7 +16,8 @@ def read_fires(spark: SparkSession, path: str, sensor: str) -> DataFrame:
     raw = spark.read.option("header", True).csv(path)
     bright = [F.col(c) for c in ("brightness", "bright_ti4") if c in raw.columns]
     letter = F.lower(F.col("confidence"))
-    conf = F.least(F.expr("try_cast(confidence as int)"), F.lit(100))
+    number = F.expr("try_cast(confidence as int)")
+    conf = F.when(number.isNotNull(), F.least(number, F.lit(100)))
     for k, v in CONFIDENCE.items():
         conf = F.when(letter.isin(k, {"l": "low", "n": "nominal", "h": "high"}[k]), v).otherwise(conf)
     at = F.unix_timestamp(F.concat_ws(" ", "acq_date", F.lpad("acq_time", 4, "0")), "yyyy-MM-dd HHmm")
