@@ -165,13 +165,16 @@ def class_components(docs: DataFrame, classes: DataFrame, shingle: int, percent:
 def block_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links among the members (key, id, n, size, component) of buckets that hold several components.
 
-    A class lives in the block of its fullest bucket, split by id where that is large; a component
+    A class lives in the block of the fullest bucket that a member of its buckets is in, so that a group
+    shares few blocks; blocks are split by id where they are large, and a component
     with OWN_BLOCK classes there has blocks of its own, which are not compared again. A bucket asks
     for the pairs of its blocks that hold different components; each block pair is compared once, as
     a product of set matrices inside a task, and gives a spanning forest of its links. So a group of
     m alike classes moves m * m / BLOCK_CLASSES sets, and no pairs."""
-    homes = open_.groupBy("id").agg(
-        F.max(F.struct("size", "key")).alias("home"), F.first("n").alias("n"), F.first("component").alias("component")
+    fullest = open_.groupBy("id").agg(F.max(F.struct("size", "key")).alias("home"))
+    near = open_.join(fullest, "id").groupBy("key").agg(F.max("home").alias("home"))
+    homes = open_.join(near, "key").groupBy("id").agg(
+        F.max("home").alias("home"), F.first("n").alias("n"), F.first("component").alias("component")
     )
     homes = homes.select("id", "n", "component", F.col("home.key").alias("home"))
     own = homes.groupBy("home", "component").agg(F.count("*").alias("alike")).where(F.col("alike") >= OWN_BLOCK)
