@@ -1,6 +1,7 @@
 """Operators of the training-data package against plain versions, with awkward rows in every table."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -187,6 +188,48 @@ def test_katz(docs, texts, spark, tmp_path):
         assert (10.0**p).sum() == pytest.approx(1, abs=1e-9)
 
 
+@pytest.mark.parametrize("hot_tokens", [20, 500_000])
+def test_katz_keeps_every_word_apart(spark, tmp_path, hot_tokens):
+    from fieldmark.llm import katz_lm as K
+
+    rng = random.Random(11)
+    rows = [(0, "ax by", True), (1, "ax cz", True), (2, "new ax", True), (3, None, True), (None, "ax by ax", True)]
+    rows.append((10, " ".join(f"w{i} w{i}" for i in range(65_000)), False))  # more words than classes
+    rows += [(11 + i, "ax by", False) for i in range(2)] + [(13, "cz dz", False)]
+    rows += [(20 + i, " ".join(f"v{int(rng.paretovariate(0.7)) % 50}" for _ in range(300)), i % 4 == 0) for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(3).write.parquet(str(tmp_path / "k"))
+    got = by_id(K.katz_scores(spark.read.parquet(str(tmp_path / "k")), F.col("held"), hot_tokens=hot_tokens))
+    assert len(got) == len(rows)
+    uni, pairs, after = collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    for _, t, held in rows:
+        ws = [None, *words(t), None]
+        if not held:
+            uni.update(ws[1:])
+            pairs.update(zip(ws, ws[1:], strict=False))
+    for h, w in pairs:
+        after[h].add(w)
+    d = [0.0, *K.discounts(np.array([sum(n == r for n in pairs.values()) for r in range(1, 7)], dtype=float))]
+    base = sum(uni.values()) + 0.5 * (len(uni) + 1)
+
+    @functools.cache
+    def history(h):
+        n = sum(pairs[h, w] for w in after[h])
+        left = 1 - sum(pairs[h, w] * (d[pairs[h, w]] if pairs[h, w] <= 5 else 1) for w in after[h]) / n
+        seen = sum((uni[w] + 0.5) / base for w in after[h])
+        low = 1 / (n + 1)
+        return n, (1 - low) / (1 - left) if left < low else 1, max(left, low) / (1 - seen)
+
+    def log_p(h, w):
+        n = pairs[h, w]
+        if not n:
+            return math.log10((history(h)[2] if after[h] else 1) * (uni[w] + 0.5) / base)
+        return math.log10(n * (d[n] if n <= 5 else 1) * history(h)[1] / history(h)[0])
+
+    for i, t, _ in rows:
+        ws = [None, *words(t), None]
+        assert got[i].score == pytest.approx(sum(map(log_p, ws, ws[1:])), rel=1e-9), i
+
+
 def test_embeddings(spark):
     from fieldmark.llm.embedding_dedup import similar_vectors
 
