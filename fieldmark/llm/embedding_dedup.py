@@ -1,11 +1,13 @@
 """Near-duplicate embeddings: iterative quantisation, multi-index Hamming tables, exact rerank.
 
-The model (mean, principal axes and rotations that balance the signs of the projections) is fitted
+The model (principal axes and rotations that balance the signs of the centred projections) is fitted
 on at most ``SAMPLE`` vectors in the order of a hash of their ids; every vector is indexed. A code of
 ``BITS`` bits is cut into substrings of 16; two codes are candidates if a substring differs in one
 bit at most, which they find in the tables of substrings with one bit left out, and if the whole
-codes differ in ``RADIUS`` bits at most. A pair at cosine 0.9 differs in about 14 % of its bits, so it
-is found with probability 0.95, closer pairs with more.
+codes differ in ``RADIUS`` bits at most. Codes are signs of projections of the uncentred unit vectors,
+since links are on their angle: a pair at cosine 0.9 differs in about 14 % of its bits, also where all
+vectors share a direction, so it is found with probability 0.95, closer pairs with more. The more
+direction the vectors share, the more pairs are candidates.
 
 Equal vectors are one class with a weight. Candidates are not written as pairs: each table reports
 for which pairs of code blocks a class is wanted, every block pair is scored once as a matrix of
@@ -42,7 +44,6 @@ FULL_BLOCK = 512
 
 @dataclass(frozen=True)
 class Quantiser:
-    mean: np.ndarray
     axes: np.ndarray  # dimension x BITS: principal axes times rotations
 
 
@@ -51,7 +52,7 @@ def fit_quantiser(x: np.ndarray, seed: int = 7) -> Quantiser:
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     mean = x.mean(axis=0)
     k = min(x.shape[1], 64)
-    _, vectors = np.linalg.eigh(np.cov((x - mean).T) if len(x) > 1 else np.eye(x.shape[1]))
+    _, vectors = np.linalg.eigh(x.T @ x if len(x) > 1 else np.eye(x.shape[1]))
     top = np.atleast_2d(vectors)[:, ::-1][:, :k]
     flat = (x - mean) @ top
     rng = np.random.default_rng(seed)
@@ -63,12 +64,12 @@ def fit_quantiser(x: np.ndarray, seed: int = 7) -> Quantiser:
             left, _, right = np.linalg.svd(signs.T @ flat)
             rotation = (left @ right).T
         out.append(top @ rotation)
-    return Quantiser(mean, np.concatenate(out, axis=1)[:, :BITS])
+    return Quantiser(np.concatenate(out, axis=1)[:, :BITS])
 
 
 def codes(x: np.ndarray, q: Quantiser) -> np.ndarray:
     """Codes of the rows of x as BITS / 64 unsigned integers each."""
-    bits = (x / np.linalg.norm(x, axis=1, keepdims=True) - q.mean) @ q.axes >= 0
+    bits = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ q.axes >= 0
     return np.packbits(bits, axis=1).view(">u8").astype(np.uint64)
 
 

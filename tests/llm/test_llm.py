@@ -251,6 +251,36 @@ def test_embeddings(spark):
     assert similar_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("mean", "cluster"), [(0.5, 0), (0.7, 0), (0.0, 200)])
+def test_embeddings_with_a_common_direction(spark, mean, cluster):
+    from fieldmark.llm.embedding_dedup import similar_vectors
+
+    rng = np.random.default_rng(16)
+
+    def unit(v):
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    # pairs at cosine 0.905 that share a mean of this squared norm, and a cluster of a third of the rows
+    g = rng.standard_normal((200, 64))
+    g[:, 0] = 0
+    g = unit(g)
+    other = rng.standard_normal((200, 64))
+    other[:, 0] = 0
+    other = unit(other - (other * g).sum(axis=1, keepdims=True) * g)
+    c = 1 - 0.095 / (1 - mean)
+    y = np.concatenate([g, c * g + np.sqrt(1 - c * c) * other]) * np.sqrt(1 - mean)
+    y[:, 0] = np.sqrt(mean)
+    if cluster:
+        centre = unit(rng.standard_normal((1, 64)))
+        y = np.concatenate([y, unit(centre + 0.32 * unit(rng.standard_normal((cluster, 64))))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r.n_links for r in similar_vectors(df).collect()}
+    link = y @ y.T >= 0.9
+    np.fill_diagonal(link, False)
+    for rows in (range(400), range(400, len(y))):
+        assert 0.9 * link[rows].sum() <= sum(got[i] for i in rows) <= link[rows].sum()
+
+
 def components(sets, percent):
     parent = {i: i for i in sets}
 
