@@ -6,8 +6,9 @@ expression make the raw text after them be parsed by a shunting-yard parser for
 parentheses, and evaluated for permissiveness.
 
 Defined cases: a null or empty text has no words and no labels, null first and last words and score
-0; a broken expression yields its identifiers' labels but no normal form; repeated rows are scanned
-one by one; extra columns are not returned.
+0; an expression ends before the term that cannot continue it, at the next tag or with the line; one
+that is not complete there is broken and yields the labels of all its identifiers but no normal form;
+repeated rows are scanned one by one; extra columns are not returned.
 """
 
 from __future__ import annotations
@@ -42,7 +43,10 @@ NOTICE_PHRASES = {
     "this is free and unencumbered software released into the public domain": "unlicense",
 }
 TAG_PHRASES = ("spdx license identifier",)
-TAG = re.compile(r"SPDX-License-Identifier\s*:?[ \t]*([^\r\n]*)", re.IGNORECASE)
+TAG = re.compile(r"(?<![0-9A-Za-z\x80-\U0010FFFF])SPDX-License-Identifier(?![0-9A-Za-z\x80-\U0010FFFF])\s*:?[ \t]*", re.IGNORECASE)
+LINE = re.compile(r"[^\r\n]*")
+#: Characters that may open an expression without being part of it.
+QUOTES = frozenset("\"'`[{<:=")
 TERM = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+:\-]*|[()]|\S")
 FAMILIES = {
     "agpl": "agpl", "apache": "apache", "bsd": "bsd", "bsl": "bsl", "cc-by": "cc-by", "cc0": "cc0", "epl": "epl",
@@ -115,6 +119,48 @@ def to_postfix(expression: str) -> list[str] | None:
     return out
 
 
+def expression(rest: str) -> tuple[list[str], bool]:
+    """(terms up to the first that cannot continue the expression, whether it opens well)."""
+    terms: list[str] = []
+    opened, depth, operand_next = True, 0, True
+    for m in TERM.finditer(rest):
+        term = m[0]
+        if term.upper() in PRECEDENCE:
+            if operand_next:
+                break
+            operand_next = True
+        elif term == "(":
+            if not operand_next:
+                break
+            depth += 1
+        elif term == ")":
+            if operand_next or not depth:
+                break
+            depth -= 1
+        elif term[0].isascii() and term[0].isalnum():
+            if not operand_next:
+                break
+            operand_next = False
+        elif terms:
+            break
+        else:
+            opened &= term in QUOTES
+            continue
+        terms.append(term)
+    return terms, opened
+
+
+def tagged(text: str) -> Iterator[tuple[int, str]]:
+    """(word index of a tag, text after it up to the next tag or the end of the line)."""
+    found = list(TAG.finditer(text))
+    at = place = 0
+    for k, m in enumerate(found):
+        place += len(text[at : m.start()].encode("utf-8", "surrogatepass").translate(_WORDS).split())
+        at = m.start()
+        end = found[k + 1].start() if k + 1 < len(found) else len(text)
+        yield place, LINE.match(text, m.end(), end)[0]
+
+
 def evaluate(postfix: list[str]) -> tuple[str, bool, list[str]]:
     """(normal form, permissive, identifiers). OR is permissive if a side is, AND if both are; WITH
     adds an exception and keeps the licence's value."""
@@ -155,21 +201,24 @@ def scan_text(text: str, automaton) -> tuple[int, list[tuple[str, str, int]], li
     words = text.encode("utf-8", "surrogatepass").translate(_WORDS).split()
     line = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
     hits, expressions, permissive = [], [], None
-    tags = []
+    tags = set()
     at, counted = 0, -1  # words are counted forward from the last hit
     for end, (kind, label, size) in sorted(automaton.iter(line), key=lambda x: x[0] - x[1][2]):
         start = end - size + 1
         counted += line.count(" ", at, start + 1)
         at = start + 1
         if kind == "tag":
-            tags.append(counted)
+            tags.add(counted)
         else:
             hits.append((kind, label, counted))
     if tags:
-        for place, m in zip(tags, TAG.finditer(text), strict=False):
-            postfix = to_postfix(m[1])
+        for place, rest in tagged(text):
+            if place not in tags:
+                continue
+            terms, opened = expression(rest)
+            postfix = to_postfix(" ".join(terms)) if opened else None
             if postfix is None:
-                names = [x for x in TERM.findall(m[1]) if x[0].isalnum() and x.upper() not in PRECEDENCE][:1]
+                names = [x for x in terms if x[0].isalnum() and x.upper() not in PRECEDENCE]
             else:
                 normal, value, names = evaluate(postfix)
                 expressions.append(normal)

@@ -123,6 +123,28 @@ def test_license_scan(docs, texts):
     assert [to_postfix(x) for x in ("MIT OR", "(MIT", "MIT GPL", "")] == [None] * 4
 
 
+@pytest.mark.parametrize(
+    ("text", "labels", "normal"),
+    [
+        ("/* SPDX-License-Identifier: GPL-2.0 OR MIT */ int x;", [("gpl", 0), ("mit", 0)], ["GPL-2.0 OR MIT"]),
+        ("a <!-- SPDX-License-Identifier: GPL-2.0 OR MIT -->", [("gpl", 1), ("mit", 1)], ["GPL-2.0 OR MIT"]),
+        ("(see SPDX-License-Identifier: MIT) for more", [("mit", 1)], ["MIT"]),
+        ('"SPDX-License-Identifier": "MIT",', [("mit", 0)], ["MIT"]),
+        ("SPDX-License-Identifier: (MIT OR GPL-2.0 */", [("mit", 0), ("gpl", 0)], []),
+        ("SPDX-License-Identifier: MIT AND", [("mit", 0)], []),
+        ("The SPDX License Identifier says\nSPDX-License-Identifier: ISC", [("isc", 5)], ["ISC"]),
+        ("xSPDX-License-Identifier: Apache-2.0\nSPDX-License-Identifier: MIT", [("mit", 6)], ["MIT"]),
+        ("SPDX-License-Identifier: MIT SPDX-License-Identifier: GPL-2.0", [("mit", 0), ("gpl", 4)], ["MIT", "GPL-2.0"]),
+        ("é SPDX-License-IdentifierX: MIT", [], []),
+    ],
+)
+def test_license_expression_ends(text, labels, normal):
+    from fieldmark.llm.license_scan import _automaton, scan_text
+
+    _, hits, expressions, _ = scan_text(text, _automaton())
+    assert (hits, expressions) == ([("tag", label, place) for label, place in labels], normal)
+
+
 def test_pieces(docs, texts):
     import sentencepiece
 
