@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 from fieldmark.functions.ship import ship
 
 MAX_QUERIES = 4096
+#: Sketches that meet one block of queries in a task.
+SKETCH_BLOCK = 65_536
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -109,12 +111,39 @@ def rotate(vecs: DataFrame, r: np.ndarray) -> DataFrame:
     return vecs.withColumn("vec", F.transform(rows, lambda row: dot(F.col("vec"), row)))
 
 
+def _blocked_hamming(queries: DataFrame, bits: DataFrame, k: int) -> DataFrame:
+    """(q, cell, d) that holds the k nearest cells of every query: blocks of queries meet blocks of
+    sketches, and each pair of blocks keeps its k best cells of a query."""
+    nq = -(-queries.count() // MAX_QUERIES)
+    nv = -(-bits.count() // SKETCH_BLOCK) or 1
+    left = queries.select("q", "qbits", F.pmod(F.xxhash64("q"), F.lit(nq).cast("bigint")).alias("qb"), F.explode(F.expr(f"sequence(0L, {nv - 1}L)")).alias("vb"))
+    right = bits.select("cell", "bits", F.explode(F.expr(f"sequence(0L, {nq - 1}L)")).alias("qb"), F.pmod(F.xxhash64("cell", "tslot"), F.lit(nv).cast("bigint")).alias("vb"))
+
+    def score(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"q": [], "cell": [], "d": []}, dtype=np.int64)]
+        if len(known):
+            known = known.sort_values("cell", kind="stable")
+            cell, first = np.unique(known["cell"].to_numpy(), return_index=True)
+            sketch = known["bits"].to_numpy()
+            for q, own in zip(asked["q"].to_numpy(), asked["qbits"].to_numpy(), strict=True):
+                d = np.minimum.reduceat(np.bitwise_count((sketch ^ own).view(np.uint64)), first).astype(np.int64)
+                other = np.flatnonzero(cell != q)
+                top = other[np.argsort(d[other], kind="stable")[:k]]
+                out.append(pd.DataFrame({"q": q, "cell": cell[top], "d": d[top]}))
+        return pd.concat(out, ignore_index=True)
+
+    pairs = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(score, "q long, cell long, d long")
+    return pairs.groupBy("q", "cell").agg(F.min("d").cast("int").alias("d"))
+
+
 def find_similar_hamming(queries: DataFrame, bits: DataFrame, k: int, dims: int = 64) -> DataFrame:
-    """Nearest sketches: distance, score 1 - 2 d / dims, one row per cell. ``queries``: (q, qbits), at
-    most MAX_QUERIES of them."""
-    assert queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES
-    d = F.bit_count(F.col("bits").bitwiseXOR(F.col("qbits")))
-    near = bits.join(F.broadcast(queries), F.col("cell") != F.col("q")).groupBy("q", "cell").agg(F.min(d).alias("d"))
+    """Nearest sketches: distance, score 1 - 2 d / dims, one row per cell. ``queries``: (q, qbits)."""
+    bits, queries = bits.where("bits is not null"), queries.where("qbits is not null")
+    if queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES:
+        d = F.bit_count(F.col("bits").bitwiseXOR(F.col("qbits")))
+        near = bits.join(F.broadcast(queries), F.col("cell") != F.col("q")).groupBy("q", "cell").agg(F.min(d).alias("d"))
+    else:
+        near = _blocked_hamming(queries, bits, k)
     w = Window.partitionBy("q").orderBy("d", "cell")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("score", 1 - 2 * F.col("d") / dims)
 

@@ -110,3 +110,15 @@ def test_diffusion_closed_form_equals_steps(spark):
     for _ in range(4):
         u += 0.2 * (s - 4 * u)
     assert math.isclose(got[(1, 1)], u)
+
+
+def test_hamming_search_beyond_one_block_of_queries(spark, monkeypatch):
+    from fieldmark.operators import vectors
+
+    bits = spark.range(600).selectExpr("id % 200 as cell", "id div 200 as tslot", "xxhash64(id div 3) as bits")
+    q = bits.where("tslot = 0").selectExpr("cell as q", "bits as qbits")
+    want = sorted(map(tuple, vectors.find_similar_hamming(q, bits, 5).select("q", "rank", "cell", "d").collect()))
+    monkeypatch.setattr(vectors, "MAX_QUERIES", 60)
+    monkeypatch.setattr(vectors, "SKETCH_BLOCK", 100)
+    got = vectors.find_similar_hamming(q, bits, 5)
+    assert sorted(map(tuple, got.select("q", "rank", "cell", "d").collect())) == want and len(want) == 1000
