@@ -6,7 +6,8 @@ expression make the raw text after them be parsed by a shunting-yard parser for
 parentheses, and evaluated for permissiveness.
 
 Defined cases: a null or empty text has no words and no labels, null first and last words and score
-0; an expression ends before the term that cannot continue it, at the next tag or with the line; one
+0; an expression ends before the term that cannot continue it or is no known identifier, at the next
+tag or with the line; one
 that is not complete there is broken and yields the labels of all its identifiers but no normal form;
 repeated rows are scanned one by one; extra columns are not returned.
 """
@@ -52,6 +53,13 @@ FAMILIES = {
     "agpl": "agpl", "apache": "apache", "bsd": "bsd", "bsl": "bsl", "cc-by": "cc-by", "cc0": "cc0", "epl": "epl",
     "gpl": "gpl", "isc": "isc", "lgpl": "lgpl", "mit": "mit", "mpl": "mpl", "unlicense": "unlicense",
 }
+# Short licence identifiers outside these families, in lower case.
+OTHER_IDENTIFIERS = frozenset(
+    "0bsd afl-3.0 artistic-1.0 artistic-2.0 blueoak-1.0.0 bsl-1.0 cddl-1.0 cddl-1.1 cecill-2.1 cpl-1.0 curl ecl-2.0 eupl-1.1 eupl-1.2 "
+    "fsfap ftl gfdl-1.3 hpnd icu ijg ipl-1.0 json libpng lppl-1.3c ms-pl ms-rl mulanpsl-2.0 naist-2003 ncsa nist-pd odbl-1.0 ofl-1.1 "
+    "openssl osl-3.0 php-3.01 postgresql psf-2.0 python-2.0 qpl-1.0 ruby sleepycat sspl-1.0 tcl unicode-3.0 upl-1.0 vim w3c wtfpl x11 "
+    "zlib zpl-2.1".split()
+)
 PERMISSIVE = {"apache", "bsd", "bsl", "cc-by", "cc0", "isc", "mit", "unlicense"}
 #: Probability that a match of this kind really states a licence.
 WEIGHTS = {"base": 0.9, "tag": 0.95, "notice": 0.7}
@@ -65,6 +73,15 @@ SCHEMA = (
 )
 
 
+def known_identifier(term: str) -> bool:
+    """Whether a term names a licence or an exception: a family with or without a version, a listed
+    identifier, or one of the forms that documents define themselves."""
+    low = term.lower().rstrip("+")
+    if low in OTHER_IDENTIFIERS or low.startswith(("licenseref-", "documentref-")) or low.endswith("-exception") or "-exception-" in low:
+        return True
+    return any(low == key or low.startswith(key + "-") for key in FAMILIES)
+
+
 def family(identifier: str) -> str:
     """Label of a licence identifier: its family, else the identifier in lower case."""
     low = identifier.lower()
@@ -138,7 +155,8 @@ def expression(rest: str) -> tuple[list[str], bool]:
                 break
             depth -= 1
         elif term[0].isascii() and term[0].isalnum():
-            if not operand_next:
+            excepted = bool(terms) and terms[-1].upper() == "WITH" and "-" in term
+            if not operand_next or not (excepted or known_identifier(term)):
                 break
             operand_next = False
         elif terms:

@@ -5,15 +5,18 @@ coordinates: in round i every element is thrown into a bin (a random one in the
 rounds, bin i - t in the second half, so that every coordinate fills) and a coordinate keeps the
 smallest value of its first round with an element. Rounds end when all coordinates are filled.
 
-Documents with equal sets are one class, compared through its smallest id. Classes that share a band
-are candidates. In each bucket every class is first compared with one pivot, the member that shares
+Documents with equal sets are one class, named by a hash of the set and compared through the text of
+its smallest id. Classes that share a band are candidates. In each bucket every class is first compared with one pivot, the member that shares
 most with others; links are exact (whole sets). Buckets that then hold more than one component are
 compared in blocks of classes inside tasks (``block_links``): no link across components is lost, and
 the pairs of a large group are never written out.
 
 Defined cases: a null or empty text, or one without words, has an empty set and stays alone; a text
 of fewer words than a shingle is one run; repeated rows fall into one class; rows that share an id
-count as one vertex; an empty table gives an empty result; extra columns are not returned.
+but not the set are documents of their own, each in its text's group; a row without an id is grouped
+with equal sets only, has the smallest id among them (else none) and is kept if there is none; an
+empty table gives an empty result; extra columns, whatever their names, are not returned by
+``near_duplicates`` and untouched by ``drop_near_duplicates``, which keeps one of repeated rows.
 """
 
 from __future__ import annotations
@@ -66,7 +69,8 @@ def band_keys(coordinates: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, shingle: int, text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands); key and bands are null for empty sets."""
+    """(doc_id, th, n_shingles, set_key, id, bands); th is a hash of the text, id one of the set. Key, id
+    and bands are null for empty sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -74,25 +78,35 @@ def sketched(docs: DataFrame, shingle: int, text_col: str = "text") -> DataFrame
             for text in batch["text"]:
                 s = shingle_set(word_hashes(text or ""), shingle)
                 n.append(len(s))
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                keys.append(_set_key(s) if len(s) else None)
                 bands.append(band_keys(sketch(s)) if len(s) else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": n, "set_key": keys, "bands": bands})
+            ids = pd.array([None if k is None else _short(k) for k in keys], dtype="Int64")
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "th": batch["th"], "n_shingles": n, "set_key": keys, "id": ids, "bands": bands})
 
-    return docs.select("doc_id", F.col(text_col).alias("text")).mapInPandas(
-        run, "doc_id long, n_shingles long, set_key binary, bands array<long>"
-    )
+    rows = docs.select("doc_id", F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, "doc_id long, th long, n_shingles long, set_key binary, id long, bands array<long>")
+
+
+def _set_key(elements: np.ndarray) -> bytes:
+    return hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
+
+
+def _short(key: bytes) -> int:
+    return int.from_bytes(key[:8], "little", signed=True)
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, shingle: int, text_col: str = "text") -> DataFrame:
-    """(id, elements) of the documents in ``ids``: their whole sets as sorted 64-bit hashes."""
+def shingle_sets(docs: DataFrame, chosen: DataFrame, shingle: int, text_col: str = "text") -> DataFrame:
+    """(id, elements) of the classes in ``chosen`` (id, doc_id): their whole sets as sorted 64-bit
+    hashes. Other texts of a chosen doc_id are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingle_set(word_hashes(t or ""), shingle).tobytes() for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "elements": sets})
+            sets = [shingle_set(word_hashes(t or ""), shingle) for t in batch["text"]]
+            own = [len(s) > 0 and _short(_set_key(s)) == i for s, i in zip(sets, batch["id"], strict=True)]
+            yield pd.DataFrame({"id": batch["id"], "elements": [s.tobytes() for s in sets]})[own]
 
-    chosen = docs.select(F.col("doc_id").alias("id"), F.col(text_col).alias("text")).join(small_side(ids, BROADCAST_IDS), "id", "left_semi")
-    return chosen.mapInPandas(run, "id long, elements binary").dropDuplicates(["id"])
+    rows = docs.select("doc_id", F.col(text_col).alias("text")).join(small_side(chosen, BROADCAST_IDS), "doc_id")
+    return rows.select("id", "text").mapInPandas(run, "id long, elements binary").dropDuplicates(["id"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -114,22 +128,44 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept). ``docs`` is read twice: pass a table."""
+    return _grouped(docs, shingle, percent, text_col).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text_col: str = "text") -> DataFrame:
+    """The document with the smallest id of each group, with all its columns."""
+    removed = stage(_grouped(docs, shingle, percent, text_col).where("not kept").select("doc_id", "th").distinct(), "removed")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(text_col).alias("h"))
+    gone = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))
+    rows = rows.join(small_side(removed, BROADCAST_IDS), gone, "left_anti")
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        rows = rows.dropDuplicates(["id", "h"])
+    return rows.select("row.*")
+
+
+def _grouped(docs: DataFrame, shingle: int, percent: int, text_col: str) -> DataFrame:
     sketches = stage(sketched(docs, shingle, text_col), "sketches")
     classes = stage(
         sketches.where("n_shingles > 0")
         .groupBy("set_key")
-        .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
+        .agg(F.first("id").alias("id"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
         "classes",
     )
-    components = class_components(docs, classes, shingle, percent, text_col)
-    merged = classes.select("set_key", "id").join(components, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
-    named = sketches.join(merged, "set_key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return named.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    components = class_components(docs, classes.where("doc_id is not null"), shingle, percent, text_col)
+    least = components.join(classes.select("id", "doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("least"))
+    merged = (
+        classes.select("set_key", "id", "doc_id")
+        .join(components.join(least, "component").select("id", "least"), "id", "left")
+        .select("set_key", F.coalesce("least", "doc_id").alias("least"))
+    )
+    named = sketches.join(merged, "set_key", "left")
+    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    kept = F.coalesce(F.col("doc_id") == component, component.isNull())
+    return named.select("doc_id", "th", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def class_components(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, text_col: str) -> DataFrame:
     """(id, component) of the classes with a link."""
-    members = classes.select("id", "n", F.explode("bands").alias("key"))
+    members = classes.select("id", "n", "doc_id", F.explode("bands").alias("key"))
     sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = stage(members.join(sizes, "key"), "shared")
 
@@ -145,7 +181,7 @@ def class_components(docs: DataFrame, classes: DataFrame, shingle: int, percent:
         .distinct(),
         "pairs",
     )
-    sets = stage(shingle_sets(docs, shared.select("id").distinct(), shingle, text_col), "sets")
+    sets = stage(shingle_sets(docs, stage(shared.select("id", "doc_id").distinct(), "chosen"), shingle, text_col), "sets")
     links = stage(verified(first, sets, percent), "links")
     joined = connected_components(links)
 

@@ -1,8 +1,8 @@
 """Packing documents into fixed-length sequences by cutting-stock column generation.
 
 A document longer than a sequence is cut into full sequences and a rest; all else stays whole. Piece
-lengths fall into classes of ``CLASS_WIDTH`` ids. The driver sees only the class histogram (at most
-``seq_len / CLASS_WIDTH`` numbers at any data size): a linear program over packing patterns, whose
+lengths fall into classes of up to four ids' width. The driver sees only the class histogram (at most
+``seq_len`` numbers at any data size): a linear program over packing patterns, whose
 columns a knapsack dynamic program prices, gives pattern counts; they are rounded down and a greedy
 fill packs what is left. Pieces are then ranked in their class, salted so that no class is ranked in
 one task, and a piece's rank tells its pattern, copy and so its sequence. Offsets are running sums
@@ -27,26 +27,29 @@ from pyspark.sql.window import Window
 from .common import small_side, stage
 from .token_cache import tokenizer
 
-CLASS_WIDTH = 4
+#: Widths of length classes, the widest that divides the sequence length.
+CLASS_WIDTHS = (4, 3, 2, 1)
 #: The linear program ends when it is proven to be within this share of its optimum.
 GAP = 2e-4
 #: Pieces of a class that are ranked together.
-RANK_GROUP = 4096
+RANK_GROUP = 1024
 
 
 def tokenized_pieces(docs: DataFrame, path: str, seq_len: int = 2048, end_id: int = 1, text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): the pieces of every document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = tokenizer(path, True, end_id)
+        enc = tokenizer(path, end_id)
         for batch in batches:
             out = []
-            for doc_id, ids in zip(batch["doc_id"], enc.encode(t or "" for t in batch["text"]), strict=True):
+            for doc_id, narrow in zip(batch["doc_id"].astype("Int64"), enc.encode(t or "" for t in batch["text"]), strict=True):
+                ids = np.frombuffer(narrow, enc.dtype).astype("<u4").tobytes()
                 n = len(ids) // 4
                 for start in range(0, n, seq_len):
                     piece = ids[4 * start : 4 * (start + seq_len)]
                     out.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), n) + ((piece,) if keep_ids else ()))
-            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids)
+            pieces = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids)
+            yield pieces.astype({"doc_id": "Int64"})
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids
     return docs.select("doc_id", F.col(text_col).alias("text")).mapInPandas(run, schema)
@@ -170,13 +173,14 @@ def slot_table(plan: list[tuple[np.ndarray, int]]) -> dict[int, tuple[np.ndarray
 
 def pack_pieces(pieces: DataFrame, seq_len: int = 2048) -> DataFrame:
     """The pieces with sequence_id and offset. ``pieces`` is read several times: pass a table."""
-    classed = pieces.withColumn("__class", F.ceil(F.col("length") / F.lit(CLASS_WIDTH)).cast("int"))
+    width = next(w for w in CLASS_WIDTHS if seq_len % w == 0)
+    classed = pieces.withColumn("__class", F.ceil(F.col("length") / F.lit(width)).cast("int"))
     histogram = {r["__class"]: r["n"] for r in classed.groupBy("__class").agg(F.count("*").alias("n")).collect()}
     if not histogram:
         return pieces.withColumns({"sequence_id": F.lit(0).cast("bigint"), "offset": F.lit(0).cast("bigint")})
     sizes = np.array(sorted(histogram), dtype=np.int64)
     demand = np.array([histogram[c] for c in sizes], dtype=np.int64)
-    slots = slot_table(plan_patterns(sizes, demand, seq_len // CLASS_WIDTH))
+    slots = slot_table(plan_patterns(sizes, demand, seq_len // width))
     runs = {int(sizes[i]): v for i, v in slots.items()}
     groups = F.create_map(*[F.lit(x) for c, n in histogram.items() for x in (c, -(-n // RANK_GROUP))])
 

@@ -10,7 +10,10 @@ good documents with probability 1 - delta. Among certified cutoffs the one that
 minus good labelled documents is used, the most lenient on ties; where nothing is certified or
 nothing is gained, the rule is off.
 
-Defined cases: a null text has no words; a null stratum is a stratum of its own, named ''; an empty
+The guarantee is on the certified cutoffs; documents that fail the base rules (too short, too much
+repetition) are rejected besides, labelled good or not.
+
+Defined cases: a null text has no words; null and empty strata are one stratum, named ''; an empty
 table gives an empty result; repeated rows are judged one by one; repeated labels of a document
 count once (lowest quality); labels without a quality are ignored. Extra columns, whatever their
 names, pass through ``quality_filter`` untouched.
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import let, stage
+from .common import let, small_side, stage
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 GAP_CHARS = " \t\n\x0b\x0c\r"
@@ -39,6 +42,8 @@ RULES: dict[str, tuple[float, ...]] = {
 }
 #: A cutoffs table beyond this many strata is joined instead of written into the plan.
 MAX_INLINE_STRATA = 256
+#: Labelled ids and strata that are broadcast; more are joined by shuffle.
+BROADCAST_LABELS, BROADCAST_STRATA = 1_000_000, 100_000
 
 
 @dataclass(frozen=True)
@@ -218,53 +223,59 @@ def certified_cutoffs(features: DataFrame, labels: DataFrame, stratum: str = "st
     )
 
 
-def _verdict(cutoffs: DataFrame, stratum: Column, ratio) -> Column:
-    """Column that is true where a rule's cutoff is exceeded, from the cutoffs of at most
-    MAX_INLINE_STRATA strata (a model of strata * rules numbers)."""
-    over = F.lit(False)
-    for r in sorted(cutoffs.limit(MAX_INLINE_STRATA * len(RULES) + 1).collect(), key=lambda r: (r["stratum"], r["rule"])):
-        over = over | ((stratum == r["stratum"]) & (ratio(r["rule"]) > r["cutoff"]))
+def _inline(cutoffs: DataFrame, stratum: Column):
+    """Function from a struct of ratios to whether a cutoff of its stratum is exceeded, with the cutoffs
+    of at most MAX_INLINE_STRATA strata (strata * rules numbers) written into the plan."""
+    rows = sorted(cutoffs.limit(MAX_INLINE_STRATA * len(RULES) + 1).collect(), key=lambda r: (r["stratum"], r["rule"]))
+
+    def over(q: Column) -> Column:
+        out = F.lit(False)
+        for r in rows:
+            out = out | ((stratum == r["stratum"]) & (q[r["rule"]] > r["cutoff"]))
+        return out
+
     return over
 
 
+def _judged(docs: DataFrame, stratum: Column, q: Column, cutoffs: DataFrame) -> DataFrame:
+    """(row, q, kept) of every row of ``docs``: the row, its features and the verdict. Few cutoffs are
+    written into the plan, many are joined by stratum; both judge row by row."""
+    packed = docs.select(F.struct("*").alias("row"), stratum.alias("stratum"), q.alias("q"))
+    most = MAX_INLINE_STRATA * len(RULES)
+    if cutoffs.limit(most + 1).count() <= most:
+        over = _inline(cutoffs, F.col("stratum"))
+        return packed.select("row", "q", (~(F.col("q.base_failed") | over(F.col("q")))).alias("kept"))
+    cuts = cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts"))
+    joined = packed.join(small_side(cuts, BROADCAST_STRATA), "stratum", "left")
+    over = F.lit(False)
+    for r in RULES:
+        over = over | F.coalesce(F.col("q")[r] > F.col("cuts")[r], F.lit(False))
+    return joined.select("row", "q", (~(F.col("q.base_failed") | over)).alias("kept"))
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", text_col: str = "text", risk: RiskControl = RiskControl()) -> DataFrame:
     """One row per document: doc_id, the base counts, the ratios, base_failed and kept."""
-    features = stage(
-        docs.select("doc_id", F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum"), quality_features(docs, text_col).alias("q")).select("doc_id", "stratum", "q.*"),
-        "quality",
-    )
-    cutoffs = certified_cutoffs(features, labels, risk=risk)
-    return _apply(features, cutoffs)
+    features = stage(_features(docs, stratum_col, text_col), "quality")
+    cutoffs = stage(certified_cutoffs(features, labels, risk=risk), "cutoffs")
+    q = F.struct(*[c for c in features.columns if c not in ("doc_id", "stratum")])
+    return _judged(features, F.col("stratum"), q, cutoffs).select("row.*", "kept")
 
 
-def _apply(features: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    cutoffs = stage(cutoffs, "cutoffs")
-    if cutoffs.limit(MAX_INLINE_STRATA * len(RULES) + 1).count() <= MAX_INLINE_STRATA * len(RULES):
-        over = _verdict(cutoffs, F.col("stratum"), F.col)
-        return features.withColumn("kept", ~(F.col("base_failed") | over))
-    wide = cutoffs.groupBy(F.col("stratum").alias("s")).pivot("rule", list(RULES)).agg(F.first("cutoff"))
-    wide = wide.select("s", *[F.col(r).alias(f"cut_{r}") for r in RULES])
-    joined = features.join(wide, F.col("stratum") == F.col("s"), "left")
-    over = F.lit(False)
-    for r in RULES:
-        over = over | F.coalesce(F.col(r) > F.col(f"cut_{r}"), F.lit(False))
-    return joined.withColumn("kept", ~(F.col("base_failed") | over)).select(*features.columns, "kept")
+def _features(docs: DataFrame, stratum_col: str, text_col: str) -> DataFrame:
+    stratum = F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum")
+    return docs.select("doc_id", stratum, quality_features(docs, text_col).alias("q")).select("doc_id", "stratum", "q.*")
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", text_col: str = "text", risk: RiskControl = RiskControl()) -> DataFrame:
-    """The documents that ``quality_rules`` keeps, with all their columns. Cutoffs come from one
-    pass over the documents; the verdict is a column of a second pass, so no text is shuffled."""
-    stratum = F.coalesce(F.col(stratum_col), F.lit(""))
-    features = stage(
-        docs.select("doc_id", stratum.alias("stratum"), quality_features(docs, text_col).alias("q")).select("doc_id", "stratum", "q.*"),
-        "quality",
-    )
+    """The documents that ``quality_rules`` keeps, with all their columns. Cutoffs come from the
+    labelled documents; the verdict is a column of one pass over all, so no text is shuffled unless
+    labels or strata are too many to broadcast."""
+    known = small_side(labels.where("quality is not null and doc_id is not null").select("doc_id").distinct(), BROADCAST_LABELS)
+    features = stage(_features(docs.join(known, "doc_id", "left_semi"), stratum_col, text_col), "quality")
     cutoffs = stage(certified_cutoffs(features, labels, risk=risk), "cutoffs")
-    most = MAX_INLINE_STRATA * len(RULES)
-    if cutoffs.limit(most + 1).count() > most:
-        kept = _apply(features, cutoffs).where("kept").select("doc_id").distinct()
-        return docs.join(kept, "doc_id", "left_semi")
-    # one expression, so that the features are computed once per row
-    return docs.where(
-        let(quality_features(docs, text_col), lambda q: ~(q["base_failed"] | _verdict(cutoffs, stratum, lambda r: q[r])))
-    )
+    stratum = F.coalesce(F.col(stratum_col), F.lit(""))
+    if cutoffs.limit(MAX_INLINE_STRATA * len(RULES) + 1).count() <= MAX_INLINE_STRATA * len(RULES):
+        over = _inline(cutoffs, stratum)
+        # one expression, so that the features are computed once per row
+        return docs.where(let(quality_features(docs, text_col), lambda q: ~(q["base_failed"] | over(q))))
+    return _judged(docs, stratum, quality_features(docs, text_col), cutoffs).where("kept").select("row.*")

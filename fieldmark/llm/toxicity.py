@@ -10,7 +10,8 @@ share of toxic labels in all training labels.
 
 Defined cases: a null or empty text has no features and gets the intercept's score; repeated rows
 are scored one by one; without training labels of both kinds every score is the share of toxic
-labels (0 without labels); labels that are null or repeated count once per document, highest first;
+labels (0 without labels); null labels are ignored, repeated ones count once per document, the highest; of the texts
+that share a training id the least is learnt from;
 extra columns are not returned by ``score_toxicity`` and untouched by ``toxicity_filter``.
 """
 
@@ -67,12 +68,13 @@ def gram_hashes(text: str) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, known: DataFrame, per_class: int, text_col: str) -> DataFrame:
-    """(toxic, text) of the training sample, as a table."""
+    """(toxic, text) of the training sample, as a table: one text per id, the least where an id repeats."""
     order = F.xxhash64("doc_id")
     chosen = [known.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(per_class) for k in (0, 1)]
     few = F.broadcast(chosen[0].union(chosen[1]))  # 2 * per_class rows at most
-    picked = docs.select("doc_id", F.col(text_col).alias("text")).join(few, "doc_id").select("toxic", "text")
-    return stage(picked.limit(4 * per_class).repartition(16), "toxic")
+    picked = docs.select("doc_id", F.col(text_col).alias("text")).join(few, "doc_id")
+    single = picked.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return stage(single.select("toxic", "text").repartition(16), "toxic")
 
 
 def _ratio(pos, neg, n_pos: int, n_neg: int, log):
@@ -199,8 +201,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
 
 def toxicity_filter(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
     """The documents that are not predicted toxic, with all their columns."""
-    name = "__toxicity"
-    return docs.withColumn(name, toxicity_score(model)(F.col(text_col))).where(F.col(name) < THRESHOLD).drop(name)
+    return docs.where(toxicity_score(model)(F.col(text_col)) < THRESHOLD)
 
 
 def training_fold(doc_id: Column) -> Column:
