@@ -13,9 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import small_side, stage, table
+from fieldmark.llm.common import stage, table
 from fieldmark.llm.line_dedup import line_dedup
-from fieldmark.llm.minhash_dedup import BROADCAST_IDS, near_duplicates
+from fieldmark.llm.minhash_dedup import drop_near_duplicates
 from fieldmark.llm.packing import pack_documents
 from fieldmark.llm.quality_rules import quality_filter
 from fieldmark.llm.queries import vocabulary
@@ -25,33 +25,34 @@ ORACLE_SQL: str | None = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; null and empty texts have too few words and go. Ties,
+    repeated rows and ids are judged row by row."""
     return quality_filter(docs, table(spark, sf_dir, "labels"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents not predicted toxic."""
+    """Documents not predicted toxic, row by row; null and empty texts get the intercept's score. Without
+    labels nothing goes."""
     model = train_toxicity(docs, table(spark, sf_dir, "labels"), training_fold(F.col("doc_id")))
     return toxicity_filter(docs, model)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later repeats of runs of lines; those that lose all their words go."""
-    out = line_dedup(docs, report=True).where(~F.coalesce("emptied", F.lit(False)))
-    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    """Documents without later repeats of runs of lines; those that lose all their words go. ``n_chars``
+    is counted anew, null for a null text; other columns pass untouched."""
+    out = line_dedup(docs, drop_emptied=True)
+    return out.select(*[F.length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    removed = stage(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "removed")
-    out = docs.join(small_side(removed, BROADCAST_IDS), "doc_id", "left_anti")
-    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])  # rows that share an id are one vertex
-    return out.select(*docs.columns)
+    """One document of each group of near-duplicates: the one with the smallest id. Rows that share an
+    id are judged by their own texts; of equal rows one stays."""
+    return drop_near_duplicates(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all remaining documents in sequences of 2048 ids."""
+    """Pieces of all remaining documents in sequences of 2048 ids; a null or empty text is one end id,
+    repeated rows are packed one by one, other columns go."""
     return pack_documents(docs, vocabulary("byte_bpe_50k.json"))
 
 
