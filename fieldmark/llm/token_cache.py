@@ -16,13 +16,14 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 
-#: Chunks kept per Python worker in each of two generations.
-CACHE_CHUNKS = 400_000
+#: Chunks kept per Python worker; the cache starts anew beyond.
+CACHE_CHUNKS = 800_000
 #: Characters of texts whose chunks are looked up together.
 GROUP_CHARS = 2_000_000
 #: Long-assigned letters, marks of punctuation and ASCII white space, which all versions of Unicode
@@ -43,6 +44,15 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _common_classes(pattern: str) -> str:
+    """The pattern with its letter and number classes written out for COMMON_WORD in lower case."""
+    common = sorted({x for c in range(0x21, 0x250) for x in chr(c).lower()})
+    for kind in "LN":
+        chars = "".join(c for c in common if unicodedata.category(c)[0] == kind)
+        pattern = pattern.replace(f"\\p{{{kind}}}", chars)
+    return pattern
+
+
 class TextTokenizer:
     """Encodes texts to little-endian unsigned ids of ``width`` bytes, the end id last."""
 
@@ -58,8 +68,7 @@ class TextTokenizer:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
         self.mode = self._ranks(spec)
 
     def _ranks(self, spec: dict) -> str:
@@ -88,9 +97,7 @@ class TextTokenizer:
 
         ranks = {raw(t): i for t, i in model["vocab"].items() if t not in self.special}
         if suffix:
-            import regex
-
-            self.words_in = regex.compile("\n|" + steps[0]["pattern"]["Regex"]).findall
+            self.words_in = re.compile("\n|" + _common_classes(steps[0]["pattern"]["Regex"])).findall
             self.is_end = np.zeros(self.size, dtype=bool)
             self.is_end[[i for t, i in ranks.items() if t.endswith(b"\n") and len(t) > 1]] = True
             pattern = r"[^\n]*\n"
@@ -129,7 +136,7 @@ class TextTokenizer:
 
     def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_CHUNKS:
-            self.known, self.older = {}, self.known
+            self.known = {"": b""}
         found = list(map(self.known.get, chunks))
         missing = [i for i, ids in enumerate(found) if ids is None]
         if missing:
@@ -140,21 +147,10 @@ class TextTokenizer:
         return found
 
     def _learn(self, chunks: set[str]) -> None:
-        known, older = self.known, self.older
-        new: list[str] = []
-        for c in chunks:
-            ids = older.get(c)
-            if ids is None:
-                new.append(c)
-            else:
-                known[c] = ids
-        if "" in chunks:
-            known[""] = b""
-            new = [c for c in new if c]
-        common = new
-        if not COMMON_WORDS.fullmatch("\n".join(new)):
-            common = [c for c in new if COMMON_WORD.fullmatch(c)]
-            rest = [c for c in new if not COMMON_WORD.fullmatch(c)]
+        known, common = self.known, list(chunks)
+        if not COMMON_WORDS.fullmatch("\n".join(common)):
+            rest = [c for c in common if not COMMON_WORD.fullmatch(c)]
+            common = [c for c in common if COMMON_WORD.fullmatch(c)]
             known.update(zip(rest, self._by_library(rest), strict=True))
         if not common:
             return
