@@ -18,26 +18,57 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, p: float, name: str
     return ranked.join(n, keys).where(F.col("__r") == F.floor((F.col("__n") - 1) * p + 0.5)).select(*keys, F.col(value).alias(name))
 
 
+def counted_median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
+    """Exact median per group without holding a group in memory: equal values are counted on the map side,
+    and a window that spills finds the middle ones. Nulls and NaN are left out."""
+    n = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    group = Window.partitionBy(*keys)
+    c = n.select(*keys, value, F.sum("__n").over(group.orderBy(value)).alias("__upto"), F.sum("__n").over(group).alias("__all"))
+    low = F.min(F.when(F.col("__upto") >= F.floor((F.col("__all") + 1) / 2), F.col(value)))
+    high = F.min(F.when(F.col("__upto") >= F.floor(F.col("__all") / 2) + 1, F.col(value)))
+    return c.groupBy(*keys).agg(((low + high) / 2).alias(name))
+
+
 def query_region(cells: DataFrame, facts: DataFrame) -> DataFrame:
     """n, mean, median and p90 of primary values per (region, band); ``cells``: (region, cell)."""
     rows = facts.where("kind = 'primary'").join(cells, "cell").select("region", "band", "num")
-    base = rows.groupBy("region", "band").agg(
-        F.count("num").alias("n"), F.avg("num").alias("mean"), F.median(F.when(~F.isnan("num"), F.col("num"))).alias("median")
-    )
-    return base.join(nearest_rank(rows, ["region", "band"], "num", 0.9, "p90"), ["region", "band"], "left")
+    keys = ["region", "band"]
+    base = rows.groupBy(*keys).agg(F.count("num").alias("n"), F.avg("num").alias("mean"))
+    return base.join(counted_median(rows, keys, "num"), keys, "left").join(nearest_rank(rows, keys, "num", 0.9, "p90"), keys, "left")
+
+
+def region_centroids(cells: DataFrame, vecs: DataFrame) -> DataFrame:
+    """Mean vector per (region, band), and the number of vectors; null where their lengths differ."""
+    rows = vecs.where("vec is not null").join(cells, "cell").select("region", "band", "vec")
+    keys = ["region", "band"]
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.size("vec")).alias("lo"), F.max(F.size("vec")).alias("hi"))
+    parts = rows.select(*keys, F.posexplode("vec").alias("i", "x")).groupBy(*keys, "i").agg(F.avg("x").alias("m"))
+    centre = parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centre"))
+    return sizes.join(centre, keys, "left").select(*keys, "n", F.when(F.col("lo") == F.col("hi"), F.col("centre")).alias("centroid"))
 
 
 def zonal_stats(cells: DataFrame, facts: DataFrame) -> DataFrame:
-    rows = facts.where("kind = 'primary'").join(cells, "cell")
-    v = F.col("num")
-    return rows.groupBy("region", "band").agg(
-        F.avg(v).alias("mean"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("std")
-    )
+    """Statistics of primary values per (region, band); NaN counts in none of them."""
+    rows = facts.where("kind = 'primary'").join(cells, "cell").withColumn("num", F.when(~F.isnan("num"), F.col("num")))
+    v, keys = F.col("num"), ["region", "band"]
+    base = rows.groupBy(*keys).agg(F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("std"))
+    return base.join(counted_median(rows, keys, "num"), keys, "left").select(*keys, "mean", "median", "min", "max", "std")
+
+
+def zonal_cells(cells: DataFrame, facts: DataFrame, most: int = 1024) -> DataFrame:
+    """The rows behind ``zonal_stats``: value of every cell of a region, of at most ``most`` cells in the
+    order of a hash of the cell."""
+    w = Window.partitionBy("region").orderBy(F.xxhash64("cell"), "cell")
+    picked = cells.distinct().withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).drop("rn")
+    return facts.where("kind = 'primary'").join(picked, "cell").select("region", "cell", "band", "tslot", "num")
 
 
 def place_profile(cells: DataFrame, facts: DataFrame, bands: list[str]) -> DataFrame:
-    """One wide row per place with the mean of every band of a bundle."""
-    return facts.where("kind = 'primary'").join(cells, "cell").groupBy("region").pivot("band", bands).agg(F.avg("num"))
+    """One wide row per place: mean (``<band>``) and median (``<band>_median``) of every band of a bundle."""
+    rows = facts.where("kind = 'primary'").join(cells, "cell").where(F.col("band").isin(bands)).select("region", "band", "num")
+    per = rows.groupBy("region", "band").agg(F.avg("num").alias("mean")).join(counted_median(rows, ["region", "band"], "num"), ["region", "band"], "left")
+    wide = per.groupBy("region").pivot("band", bands).agg(F.first("mean").alias("mean"), F.first("median").alias("median"))
+    return wide.select("region", *[F.col(f"{b}_mean").alias(b) for b in bands], *[f"{b}_median" for b in bands])
 
 
 def ratio_index(a: Column, b: Column) -> Column:
@@ -99,7 +130,8 @@ def annual_normal(series: DataFrame, y0: int, y1: int) -> DataFrame:
 
 
 def monthly_composite(obs: DataFrame) -> DataFrame:
-    return obs.groupBy("cell", "band", "month").agg(F.median("num").alias("median"), F.avg("num").alias("mean"), F.count("*").alias("n"))
+    keys = ["cell", "band", "month"]
+    return obs.groupBy(*keys).agg(F.avg("num").alias("mean"), F.count("*").alias("n")).join(counted_median(obs, keys, "num"), keys, "left")
 
 
 def derive_absence(obs: DataFrame, threshold: float) -> DataFrame:

@@ -58,14 +58,17 @@ def cell_dim(facts: DataFrame) -> DataFrame:
     return with_center(facts.groupBy("cell").agg(F.count("*").alias("n_facts"), F.countDistinct("band").alias("n_bands")))
 
 
+def parent_cell(cell: Column, level: Column) -> Column:
+    """The coarser cell at a level: so many low bits of row and column are dropped."""
+    drop = lambda x: F.call_function("shiftleft", F.call_function("shiftright", x, level), level)
+    return F.lit(CELL_PREFIX) + F.shiftleft(drop(cell_row(cell)), LNG_BITS) + drop(cell_col(cell))
+
+
 def coarsen(df: DataFrame, levels: list[int], value: str = "num") -> DataFrame:
     """n, mean, min and max per parent at every level (bits dropped from row and column)."""
     level = F.explode(F.array(*map(F.lit, levels)))
     leveled = df.select("cell", F.col(value).alias("v"), level.alias("level"))
-    parent = F.lit(CELL_PREFIX) + F.expr(
-        f"shiftleft(shiftleft(shiftright(shiftright(cell, {LNG_BITS}) & {LAT_MAX}, level), level), {LNG_BITS}) + shiftleft(shiftright(cell & {LNG_MAX}, level), level)"
-    )
-    return leveled.groupBy("level", parent.alias("parent")).agg(
+    return leveled.groupBy("level", parent_cell(F.col("cell"), F.col("level")).alias("parent")).agg(
         F.count("v").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max")
     )
 

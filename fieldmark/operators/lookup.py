@@ -10,7 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .grid import parent_cell
+
 KEY = ("cell", "band", "tslot")
+#: Slots of a bucket in which claims on windows meet facts.
+WINDOW_SLOTS = 64
 
 
 def read_facts(spark: SparkSession, path: str, bands: list[str] | None = None, cells: DataFrame | None = None, tslots: tuple[int, int] | None = None) -> DataFrame:
@@ -24,7 +28,10 @@ def read_facts(spark: SparkSession, path: str, bands: list[str] | None = None, c
 
 
 def latest_facts(facts: DataFrame, order: tuple[str, ...] = ("signed_at", "event_id"), key: tuple[str, ...] = KEY) -> DataFrame:
-    """Last write of every key. Grouping keeps one row per key and task before the shuffle."""
+    """Last write of every key; derivatives are never keyed. Grouping keeps one row per key and task
+    before the shuffle."""
+    if "kind" in facts.columns:
+        facts = facts.where("kind is null or kind <> 'derivative'")
     rest = [c for c in facts.columns if c not in key]
     best = facts.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r"))
     return best.select(*[F.col(c) if c in key else F.col(f"r.{c}").alias(c) for c in facts.columns])
@@ -69,17 +76,16 @@ def orphan_bodies(bodies: DataFrame, index: DataFrame) -> DataFrame:
 
 def recall(requests: DataFrame, facts: DataFrame) -> DataFrame:
     """Facts of (req_id, cell, bands, tslots) requests; null bands or tslots mean all. A request
-    without a match gives one row of nulls; every row lists the bands stored at the cell."""
+    without a match gives one row of nulls; every row lists the bands stored at the cell. Requests that
+    name bands meet the facts by (cell, band), only the others by cell."""
     stored = facts.groupBy("cell").agg(F.array_sort(F.collect_set("band")).alias("bands_at_cell"))
-    q = requests.withColumnRenamed("cell", "q_cell").alias("q")
-    f = facts.select("cell", "band", "tslot", "num", "fact_cid").alias("f")
-    hit = (
-        (F.col("q_cell") == F.col("f.cell"))
-        & (F.col("bands").isNull() | F.array_contains("bands", F.col("f.band")))
-        & (F.col("tslots").isNull() | F.array_contains("tslots", F.col("f.tslot")))
-    )
-    rows = q.join(f, hit, "left").select("req_id", F.col("q_cell").alias("cell"), "band", "tslot", "num", "fact_cid")
-    return rows.join(stored, "cell", "left")
+    f = facts.select("cell", "band", "tslot", "num", "fact_cid")
+    named = requests.where("bands is not null").select("req_id", "cell", F.explode(F.array_distinct("bands")).alias("band"), "tslots")
+    whole = requests.where("bands is null").select("req_id", "cell", "tslots")
+    asked = F.col("tslots").isNull() | F.array_contains("tslots", F.col("tslot"))
+    columns = ["req_id", "band", "tslot", "num", "fact_cid"]
+    hits = named.join(f, ["cell", "band"]).where(asked).select(*columns).union(whole.join(f, "cell").where(asked).select(*columns))
+    return requests.select("req_id", "cell").join(hits, "req_id", "left").join(stored, "cell", "left")
 
 
 def _claim_test(op: Column, num: Column, value: Column, values: Column) -> Column:
@@ -103,33 +109,34 @@ def verify(claims: DataFrame, facts: DataFrame) -> DataFrame:
     """(claim_id, verdict, n_values, evidence) of claims (claim_id, cell, band, op, value, vals,
     tslot, win_lo, win_hi, agg). A slot beats a window; neither means all slots; an unknown agg means
     any; min and max skip NaN; derivatives count for nothing."""
-    f = facts.select(F.col("cell").alias("f_cell"), F.col("band").alias("f_band"), F.col("tslot").alias("f_tslot"), "num", "kind", "fact_cid")
-    on = (
-        (F.col("cell") == F.col("f_cell"))
-        & (F.col("band") == F.col("f_band"))
-        & F.when(F.col("tslot").isNotNull(), F.col("tslot") == F.col("f_tslot"))
-        .when(F.col("win_lo").isNotNull(), F.col("f_tslot").between(F.col("win_lo"), F.col("win_hi")))
-        .otherwise(F.lit(True))
+    f = facts.where("kind in ('primary', 'absence')").select("cell", "band", F.col("tslot").alias("f_tslot"), "num", "kind", "fact_cid")
+    window = claims.where("tslot is null and win_lo is not null")
+    first, last = F.floor(F.col("win_lo") / WINDOW_SLOTS), F.floor(F.col("win_hi") / WINDOW_SLOTS)
+    wide = window.where("win_lo <= win_hi").withColumn("bucket", F.explode(F.sequence(first, last)))
+    bucketed = f.withColumn("bucket", F.floor(F.col("f_tslot") / WINDOW_SLOTS))
+    parts = (
+        claims.where("tslot is not null").withColumn("f_tslot", F.col("tslot")).join(f, ["cell", "band", "f_tslot"]),
+        wide.join(bucketed, ["cell", "band", "bucket"]).where("f_tslot between win_lo and win_hi"),
+        claims.where("tslot is null and win_lo is null").join(f, ["cell", "band"]),
     )
-    j = claims.join(f, on, "left")
+    columns = ["claim_id", "op", "value", "vals", "num", "kind", "fact_cid"]
+    j = parts[0].select(*columns).union(parts[1].select(*columns)).union(parts[2].select(*columns))
     value = F.col("kind") == "primary"
     num = F.when(value, F.col("num"))
     test = _claim_test(F.col("op"), num, F.col("value"), F.col("vals"))
     clean = F.when(value & ~F.isnan("num"), F.col("num"))
-    g = j.groupBy("claim_id").agg(
-        F.first("op").alias("op"),
-        F.first("agg").alias("agg"),
-        F.first("value").alias("value"),
-        F.first("vals").alias("vals"),
-        F.sum(F.coalesce(value.cast("bigint"), F.lit(0))).alias("n_values"),
-        F.sum(F.coalesce((F.col("kind") == "absence").cast("bigint"), F.lit(0))).alias("n_absent"),
-        F.coalesce(F.bool_or(F.when(value, test)), F.lit(False)).alias("any"),
-        F.coalesce(F.bool_and(F.when(value, test)), F.lit(False)).alias("all"),
+    found = j.groupBy("claim_id").agg(
+        F.sum(value.cast("bigint")).alias("n_values"),
+        F.sum((F.col("kind") == "absence").cast("bigint")).alias("n_absent"),
+        F.bool_or(F.when(value, test)).alias("any"),
+        F.bool_and(F.when(value, test)).alias("all"),
         F.avg(num).alias("mean"),
         F.min(clean).alias("min"),
         F.max(clean).alias("max"),
         F.array_sort(F.collect_list(F.when(value, F.col("fact_cid")))).alias("evidence"),
     )
+    none = {"n_values": F.lit(0).cast("bigint"), "n_absent": F.lit(0).cast("bigint"), "any": F.lit(False), "all": F.lit(False), "evidence": F.array().cast("array<string>")}
+    g = claims.select("claim_id", "op", "agg", "value", "vals").join(found, "claim_id", "left").withColumns({c: F.coalesce(c, v) for c, v in none.items()})
     folded = F.when(F.col("agg") == "mean", F.col("mean")).when(F.col("agg") == "min", F.col("min")).otherwise(F.col("max"))
     verdict = (
         F.when(F.col("op") == "exists", F.col("n_values") > 0)
@@ -150,17 +157,20 @@ def verify_resolve_plan(claims: DataFrame, facts: DataFrame) -> DataFrame:
     return one.join(stored, ["cell", "band", "slot"], "left_anti").select("claim_id", "cell", "band", "slot")
 
 
-def enforce_privacy(facts: DataFrame, bands: DataFrame, level: int, l2: bool = False) -> DataFrame:
-    """Facts with ``action`` permit, snap (level finer than the band's min_level) or refuse. ``bands``:
-    (band, privacy, min_level)."""
+def enforce_privacy(facts: DataFrame, bands: DataFrame, level: int, l2: bool = False, parent=None) -> DataFrame:
+    """Facts that may be shown at a grid ``level`` with ``action`` permit or snap; refused ones are left
+    out. A snapped row (level finer than the band's min_level) carries the coarser cell
+    ``parent(cell, min_level)`` instead of its own. ``bands``: (band, privacy, min_level)."""
     action = (
         F.when(F.col("privacy") == "prohibited", "refuse")
         .when((F.col("privacy") == "l2_only") & F.lit(not l2), "refuse")
         .when((F.col("privacy") == "aggregate_only") & (F.lit(level) < F.col("min_level")), "snap")
         .otherwise("permit")
     )
-    j = facts.join(F.broadcast(bands), "band", "left").withColumn("action", action)
-    return j.withColumn("privacy_snapped", F.col("action") == "snap").drop("privacy", "min_level")
+    j = facts.join(F.broadcast(bands), "band", "left").withColumn("action", action).where("action <> 'refuse'")
+    snapped = F.col("action") == "snap"
+    coarse = (parent or parent_cell)(F.col("cell"), F.col("min_level"))
+    return j.withColumns({"cell": F.when(snapped, coarse).otherwise(F.col("cell")), "privacy_snapped": snapped}).drop("privacy", "min_level")
 
 
 # Band name prefixes and their sensor tier.
@@ -215,17 +225,22 @@ def resolve_tokens(tokens: DataFrame, facts: DataFrame) -> DataFrame:
     return j.select("token", status.alias("status"), "band", "num")
 
 
-def trajectory(requests: DataFrame, facts: DataFrame) -> DataFrame:
+def trajectory(requests: DataFrame, facts: DataFrame, most: int = 64) -> DataFrame:
     """(req_id, points, stored_slots): ordered primary points in the window [lo, hi]; where there are
-    none, up to 64 slots that hold something."""
+    none, the first ``most`` slots that hold something. Only points inside a window, and the slots of
+    requests without one, are gathered."""
     f = facts.where("kind = 'primary'").select("cell", "band", "tslot", "num")
-    j = requests.join(f, ["cell", "band"], "left")
-    inside = F.col("tslot").between(F.col("lo"), F.col("hi"))
-    g = j.groupBy("req_id").agg(
-        F.array_sort(F.collect_list(F.when(inside, F.struct("tslot", "num")))).alias("points"),
-        F.array_sort(F.collect_set("tslot")).alias("slots"),
+    inside = requests.join(f, ["cell", "band"]).where("tslot between lo and hi").groupBy("req_id").agg(
+        F.array_sort(F.collect_list(F.struct("tslot", "num"))).alias("points")
     )
-    return g.select("req_id", "points", F.when(F.size("points") == 0, F.slice("slots", 1, 64)).alias("stored_slots"))
+    rest = requests.join(inside.select("req_id"), "req_id", "left_anti")
+    slots = rest.join(f.select("cell", "band", "tslot").distinct(), ["cell", "band"])
+    first = slots.withColumn("rn", F.row_number().over(Window.partitionBy("req_id").orderBy("tslot"))).where(F.col("rn") <= most)
+    stored = first.groupBy("req_id").agg(F.array_sort(F.collect_list("tslot")).alias("slots"))
+    j = requests.select("req_id").join(inside, "req_id", "left").join(stored, "req_id", "left")
+    points = F.coalesce("points", F.array().cast(inside.schema["points"].dataType))
+    empty = F.array().cast(stored.schema["slots"].dataType)
+    return j.select("req_id", points.alias("points"), F.when(F.col("points").isNull(), F.coalesce("slots", empty)).alias("stored_slots"))
 
 
 def pick_slot(facts: DataFrame, how: str = "newest") -> DataFrame:

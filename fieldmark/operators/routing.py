@@ -115,3 +115,11 @@ def sample_cells(cells: DataFrame, n: int) -> DataFrame:
     """At most n cells per region in a fixed pseudo-random order."""
     w = Window.partitionBy("region").orderBy((F.col("cell") * 7919) % 10007, "cell")
     return cells.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).drop("rn")
+
+
+def hotspot_overlap(hunts: DataFrame, least: int = 2) -> DataFrame:
+    """Cells of a region that are ranked in ``least`` hunts or more: how many, which, and the best rank."""
+    g = hunts.groupBy("region", "cell").agg(
+        F.count_distinct("event").alias("hunts"), F.array_join(F.array_sort(F.collect_set("event")), ",").alias("events"), F.min("rank").alias("best_rank")
+    )
+    return g.where(F.col("hunts") >= least)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .aggregate import counted_median
+
 
 def trend(series: DataFrame) -> DataFrame:
     """Least-squares slope per slot of every key with at least three points."""
@@ -56,9 +58,11 @@ def temporal_recipe(facts: DataFrame, recipe: DataFrame, now: int) -> DataFrame:
     f = facts.where("kind = 'primary'").join(F.broadcast(recipe), "band")
     inside = f.where((F.col("tslot") <= now) & (F.col("tslot") > now - F.col("lookback")))
     g = inside.groupBy("cell", "band", "aggregator", "purpose", "trigger").agg(
-        F.sum("num").alias("sum"), F.avg("num").alias("mean"), F.max("num").alias("max"), F.min("num").alias("min"), F.median("num").alias("median"),
+        F.sum("num").alias("sum"), F.avg("num").alias("mean"), F.max("num").alias("max"), F.min("num").alias("min"),
         F.max(F.struct("tslot", "event_id", "num")).alias("latest"), F.min(F.struct("tslot", "event_id", "num")).alias("first"),
     )
+    middle = counted_median(inside.where("aggregator = 'median'"), ["cell", "band", "purpose"], "num")
+    g = g.join(middle, ["cell", "band", "purpose"], "left")
     value = F.col("sum")
     for name in ("mean", "max", "min", "median"):
         value = F.when(F.col("aggregator") == name, F.col(name)).otherwise(value)

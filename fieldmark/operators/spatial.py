@@ -89,11 +89,40 @@ def ring_area(ring: Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / 2
 
 
-def field_areas(polys: DataFrame) -> DataFrame:
-    """Area of the outer ring in square metres, scaled by the latitude of the box's middle."""
+def ring_centroid(ring: Column) -> Column:
+    """Area-weighted centre of a closed ring; the mean of its corners where it has no area."""
+    a, b = F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1)
+    cross = lambda p, q: p["lng"] * q["lat"] - q["lng"] * p["lat"]
+    parts = F.zip_with(
+        a, b, lambda p, q: F.struct(cross(p, q).alias("w"), ((p["lng"] + q["lng"]) * cross(p, q)).alias("x"), ((p["lat"] + q["lat"]) * cross(p, q)).alias("y"))
+    )
+    zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    total = F.aggregate(parts, zero, lambda s, p: F.struct((s["w"] + p["w"]).alias("w"), (s["x"] + p["x"]).alias("x"), (s["y"] + p["y"]).alias("y")))
+    mean = lambda c: F.aggregate(a, F.lit(0.0), lambda s, p: s + p[c]) / F.size(a)
+    flat = F.abs(total["w"]) < 1e-18
+    return F.struct(
+        F.when(flat, mean("lng")).otherwise(total["x"] / (3 * total["w"])).alias("lng"), F.when(flat, mean("lat")).otherwise(total["y"] / (3 * total["w"])).alias("lat")
+    )
+
+
+def field_areas(polys: DataFrame, bbox: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """(poly_id, area_m2, lng, lat): area of the outer ring in square metres, with the lengths of a degree
+    at its corners' mean latitude, and its area-weighted centre. ``bbox`` (lng, lat, lng, lat) keeps the
+    polygons whose boxes meet it."""
     b = with_bbox(polys)
-    area = F.abs(ring_area(F.get("rings", F.lit(0)))) * METRES_PER_DEGREE**2 * F.cos(F.radians((F.col("lat_min") + F.col("lat_max")) / 2))
-    return b.select("poly_id", area.alias("area_m2"))
+    if bbox is not None:
+        b = b.where(f"lng_max >= {bbox[0]} and lat_max >= {bbox[1]} and lng_min <= {bbox[2]} and lat_min <= {bbox[3]}")
+    ring = F.get("rings", F.lit(0))
+    mean = F.radians(F.aggregate(ring, F.lit(0.0), lambda s, p: s + p["lat"]) / F.size(ring))
+    # Metres of a degree on the ellipsoid.
+    square = F.lit(111132.92) * (111412.84 * F.cos(mean) - 93.5 * F.cos(3 * mean))
+    centre = ring_centroid(ring)
+    return b.select("poly_id", (F.abs(ring_area(ring)) * square).alias("area_m2"), centre["lng"].alias("lng"), centre["lat"].alias("lat"))
+
+
+def field_totals(areas: DataFrame, *by: str) -> DataFrame:
+    """Number of fields, their area and the largest one, per group."""
+    return areas.groupBy(*by).agg(F.count("*").alias("fields"), F.sum("area_m2").alias("area_m2"), F.max("area_m2").alias("largest_m2"))
 
 
 def clipped_length(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:

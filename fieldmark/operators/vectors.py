@@ -12,9 +12,9 @@ from pyspark.sql.window import Window
 
 from fieldmark.functions.ship import ship
 
-MAX_QUERIES = 4096
-#: Sketches that meet one block of queries in a task.
-SKETCH_BLOCK = 65_536
+#: Queries held by every task, rows that meet a block of queries in one task beyond that number, and
+#: queries scored together.
+MAX_QUERIES, ROW_BLOCK, QUERY_STEP = 4096, 65_536, 128
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -44,46 +44,140 @@ def state_diff(vecs: DataFrame, t0: int, t1: int) -> DataFrame:
     return a.join(b, "cell").select("cell", F.zip_with("a", "b", lambda x, y: y - x).alias("residual"), l2(F.col("a"), F.col("b")).alias("l2"), cosine(F.col("a"), F.col("b")).alias("cosine"))
 
 
+def _unit_rows(vectors, dim: int) -> np.ndarray:
+    """Vectors of any lengths as unit rows, padded with zeros; zero stays zero, null and NaN components
+    make the row NaN."""
+    out = np.zeros((len(vectors), dim))
+    for i, v in enumerate(vectors):
+        out[i, : len(v)] = np.asarray(v, dtype=float)
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(norm > 0, norm, 1)
+
+
+def _best_cells(asked: pd.DataFrame, known: pd.DataFrame, k: int, score) -> pd.DataFrame:
+    """(q, cell, score) of the k best cells of every query among ``known``: best row per cell, the query
+    itself left out, ties by cell; scores that are not a number are dropped. ``score(keys, rows)`` is
+    a matrix of queries by rows."""
+    cell, at = np.unique(known["cell"].to_numpy(), return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    first = np.searchsorted(at[order], np.arange(len(cell)))
+    ids, rows, out = asked["q"].to_numpy(), known["key"].to_numpy()[order], []
+    for lo in range(0, len(ids), QUERY_STEP):
+        s = score(asked["key"].to_numpy()[lo : lo + QUERY_STEP], rows)
+        best = np.maximum.reduceat(np.where(np.isnan(s), -np.inf, s), first, axis=1)
+        own = ids[lo : lo + QUERY_STEP]
+        best[own[:, None] == cell[None, :]] = -np.inf
+        # a cell of the overall top k is among the k best of the rows that hold its best one
+        top = np.argsort(-np.round(best, 9), axis=1, kind="stable")[:, :k]
+        value = np.take_along_axis(best, top, axis=1).ravel()
+        found = pd.DataFrame({"q": np.repeat(own, top.shape[1]), "cell": cell[top.ravel()], "score": value})
+        out.append(found[np.isfinite(value)])
+    return pd.concat(out, ignore_index=True)
+
+
+def _searched(queries: DataFrame, rows: DataFrame, k: int, score) -> DataFrame:
+    """(q, cell, score) that holds the k best cells of every query. ``queries``: (q, key), ``rows``:
+    (cell, key), keys not null. Up to MAX_QUERIES queries go to every task; more meet the rows in
+    pairs of blocks. Either way each block is cut to k per query before anything is shuffled."""
+    ship(rows.sparkSession)
+    schema = "q long, cell long, score double"
+    n = queries.count()
+    if n <= MAX_QUERIES:
+        asked = queries.toPandas()
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch) and len(asked):
+                    yield _best_cells(asked, batch, k, score)
+
+        found = rows.mapInPandas(run, schema)
+    else:
+        nq, nv = -(-n // MAX_QUERIES), max(1, -(-rows.count() // ROW_BLOCK))
+        left = queries.select("*", F.pmod(F.xxhash64("q"), F.lit(nq)).cast("long").alias("qb"), F.explode(F.expr(f"sequence(0L, {nv - 1}L)")).alias("vb"))
+        right = rows.select("*", F.explode(F.expr(f"sequence(0L, {nq - 1}L)")).alias("qb"), F.pmod(F.xxhash64("cell", F.monotonically_increasing_id()), F.lit(nv)).cast("long").alias("vb"))
+
+        def pair(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+            if not len(asked) or not len(known):
+                return pd.DataFrame({"q": [], "cell": [], "score": []})
+            return _best_cells(asked, known, k, score)
+
+        found = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(pair, schema)
+    return found.groupBy("q", "cell").agg(F.max("score").alias("score"))
+
+
+def _cosines(x, y) -> np.ndarray:
+    dim = max(1, max(map(len, x)), max(map(len, y)))
+    return _unit_rows(x, dim) @ _unit_rows(y, dim).T
+
+
+def _newest(vecs: DataFrame, name: str) -> DataFrame:
+    return vecs.where("vec is not null").groupBy("cell", "band").agg(F.max_by("vec", "tslot").alias(f"v_{name}"), F.max("tslot").alias(f"t_{name}"))
+
+
+def compare_vectors(pairs: DataFrame, vecs: DataFrame, family: str = "") -> DataFrame:
+    """Per pair (a, b): vector bands that both cells have, each one's cosine (in the order of names), and
+    one cosine over all of them together, each band cut to the shorter length; null where none is
+    shared. ``family`` keeps the bands whose names begin so."""
+    v = vecs.where(F.col("band").startswith(family))
+    x = pairs.join(_newest(v, "a").withColumnRenamed("cell", "a"), "a")
+    y = pairs.join(_newest(v, "b").withColumnRenamed("cell", "b"), "b").select("a", "b", "band", "v_b")
+    n = F.least(F.size("v_a"), F.size("v_b"))
+    p, q = F.slice("v_a", 1, n), F.slice("v_b", 1, n)
+    j = x.join(y, ["a", "b", "band"]).select("a", "b", "band", dot(p, q).alias("pq"), dot(p, p).alias("pp"), dot(q, q).alias("qq"), cosine(F.col("v_a"), F.col("v_b")).alias("cosine"))
+    g = j.groupBy("a", "b").agg(
+        F.array_sort(F.collect_list(F.struct("band", "cosine"))).alias("bands"), F.sum("pq").alias("pq"), F.sum("pp").alias("pp"), F.sum("qq").alias("qq")
+    )
+    whole = F.when(F.col("pp") * F.col("qq") > 0, F.col("pq") / F.sqrt(F.col("pp") * F.col("qq"))).otherwise(0.0)
+    told = g.select("a", "b", "bands", whole.alias("cosine"))
+    return pairs.join(told, ["a", "b"], "left")
+
+
+def compare_vector_bands(requests: DataFrame, vecs: DataFrame) -> DataFrame:
+    """Cosine, L2 and per-dimension delta of two bands of a cell, at the request's slot or each band's
+    newest, and the predicate's verdict: true, false, or incomparable where a side has no vector.
+    ``requests``: (cell, band_a, band_b, tslot, predicate, threshold)."""
+
+    def side(name: str) -> DataFrame:
+        fixed = vecs.where("vec is not null").select("cell", F.col("band").alias(f"band_{name}"), F.col("tslot"), F.col("vec").alias(f"f_{name}"))
+        newest = _newest(vecs, name).withColumnRenamed("band", f"band_{name}")
+        return fixed, newest
+
+    j = requests
+    for name in "ab":
+        fixed, newest = side(name)
+        j = j.join(fixed, ["cell", f"band_{name}", "tslot"], "left").join(newest, ["cell", f"band_{name}"], "left")
+        j = j.withColumns({f"v_{name}": F.when(F.col("tslot").isNull(), F.col(f"v_{name}")).otherwise(F.col(f"f_{name}")), f"t_{name}": F.coalesce("tslot", f"t_{name}")}).drop(f"f_{name}")
+    n = F.least(F.size("v_a"), F.size("v_b"))
+    a, b = F.slice("v_a", 1, n), F.slice("v_b", 1, n)
+    both = F.col("v_a").isNotNull() & F.col("v_b").isNotNull()
+    j = j.select(
+        "cell", "band_a", "band_b", F.when(F.col("v_a").isNotNull(), F.col("t_a")).alias("tslot_a"), F.when(F.col("v_b").isNotNull(), F.col("t_b")).alias("tslot_b"), "predicate", "threshold",
+        F.when(both, cosine(F.col("v_a"), F.col("v_b"))).alias("cosine"), F.when(both, l2(a, b)).alias("l2"), F.when(both, F.zip_with(a, b, lambda x, y: y - x)).alias("delta"),
+    )
+    ok = F.when(F.col("predicate") == "cosine_ge", F.col("cosine") >= F.col("threshold")).when(F.col("predicate") == "cosine_gt", F.col("cosine") > F.col("threshold")).when(
+        F.col("predicate") == "l2_le", F.col("l2") <= F.col("threshold")
+    )
+    return j.withColumn("verdict", F.coalesce(ok.cast("string"), F.lit("incomparable"))).drop("threshold")
+
+
+def diff_vectors(requests: DataFrame, vecs: DataFrame) -> DataFrame:
+    """Derivative rows vec(tslot_b) - vec(tslot_a), cut to the shorter length, of requests (cell, band,
+    tslot_a, tslot_b) with two different slots."""
+    q = requests.where("tslot_a <> tslot_b")
+    for name in "ab":
+        q = q.join(vecs.where("vec is not null").select("cell", "band", F.col("tslot").alias(f"tslot_{name}"), F.col("vec").alias(f"v_{name}")), ["cell", "band", f"tslot_{name}"])
+    n = F.least(F.size("v_a"), F.size("v_b"))
+    delta = F.zip_with(F.slice("v_a", 1, n), F.slice("v_b", 1, n), lambda x, y: y - x)
+    return q.select("cell", "band", "tslot_a", "tslot_b", F.lit("delta").alias("op"), delta.alias("vec"), F.lit(1.0).alias("confidence"), F.lit("nd.delta@1").alias("fn_key"))
+
+
 def find_similar(queries: DataFrame, vecs: DataFrame, k: int = 10) -> DataFrame:
-    """Top k cells by cosine for every query cell (its oldest vector), itself left out; best slot per
-    cell. Queries come in blocks of MAX_QUERIES held by every task; each Arrow batch of candidates is
-    scored by one matrix product and cut to k per query before anything is shuffled."""
-    ship(vecs.sparkSession)
-    q = queries.select(F.col("cell").alias("q"), "vec")
-    if q.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        return _joined_similar(q, vecs, k)
-    rows = q.collect()
-    ids = np.array([r["q"] for r in rows])
-    x = np.array([r["vec"] for r in rows], dtype=float)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            y = np.stack(batch["vec"].to_numpy())
-            s = x @ (y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)).T
-            cell, at = np.unique(batch["cell"].to_numpy(), return_inverse=True)
-            order = np.argsort(at, kind="stable")
-            best = np.maximum.reduceat(s[:, order], np.searchsorted(at[order], np.arange(len(cell))), axis=1)
-            best[ids[:, None] == cell[None, :]] = -np.inf
-            # a cell of the overall top k is among the k best of the batch that holds its best slot
-            top = np.argsort(-np.round(best, 9), axis=1, kind="stable")[:, :k]
-            qi = np.repeat(np.arange(len(ids)), top.shape[1])
-            out = pd.DataFrame({"q": ids[qi], "cell": cell[top.ravel()], "score": best[qi, top.ravel()]})
-            yield out[np.isfinite(out["score"])]
-
-    scored = vecs.select("cell", "vec").mapInPandas(score, "q long, cell long, score double")
-    return _top(scored.groupBy("q", "cell").agg(F.max("score").alias("score")), k)
-
-
-def _joined_similar(q: DataFrame, vecs: DataFrame, k: int) -> DataFrame:
-    """The same for more queries than a task should hold: blocks of queries meet blocks of candidates."""
-    blocks = 64
-    left = q.select("q", F.col("vec").alias("a"), F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("vb"))
-    right = vecs.select("cell", F.col("vec").alias("b"), F.pmod(F.xxhash64("cell"), F.lit(blocks)).cast("int").alias("vb"))
-    s = left.join(right, "vb").where("q <> cell").groupBy("q", "cell").agg(F.max(cosine(F.col("a"), F.col("b"))).alias("score"))
-    return _top(s, k)
+    """Top k cells by cosine for every query vector, its own cell left out; best slot per cell. Null
+    vectors have no score, vectors with NaN or null components none either, zero vectors 0; of
+    vectors of unequal length the longer one's rest counts in its norm only."""
+    q = queries.where("vec is not null").select(F.col("cell").alias("q"), F.col("vec").alias("key"))
+    v = vecs.where("vec is not null").select("cell", F.col("vec").alias("key"))
+    return _top(_searched(q, v, k, _cosines), k)
 
 
 def _top(scored: DataFrame, k: int) -> DataFrame:
@@ -92,12 +186,17 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
 
 
 def pack_bits(vecs: DataFrame) -> DataFrame:
-    """Sign bits (>= 0 is 1), first component highest, in one 64-bit integer of the first 64 components."""
-    bits = F.aggregate(
-        F.transform(F.slice("vec", 1, 64), lambda v: F.when(v >= 0, F.lit(1)).otherwise(0).cast("bigint")), F.lit(0).cast("bigint"),
+    """(cell, tslot, dims, bits): sign bits (>= 0 is 1) of all components, the first one highest, in words
+    of 64 bits, the last padded with zeros; a null vector has null bits."""
+    n = F.size("vec")
+    padded = F.concat(F.col("vec").cast("array<double>"), F.array_repeat(F.lit(-1.0), F.pmod(-n, F.lit(64)).cast("int")))
+    starts = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(64))).otherwise(F.array().cast("array<int>"))
+    word = lambda at: F.aggregate(
+        F.transform(F.slice(F.col("padded"), at, 64), lambda v: F.when(v >= 0, F.lit(1)).otherwise(0).cast("bigint")), F.lit(0).cast("bigint"),
         lambda a, b: F.shiftleft(a, 1).bitwiseOR(b),
     )
-    return vecs.select("cell", "tslot", bits.alias("bits"))
+    rows = vecs.select("cell", "tslot", F.when(F.col("vec").isNotNull(), n).alias("dims"), padded.alias("padded"), starts.alias("starts"))
+    return rows.select("cell", "tslot", "dims", F.when(F.col("dims").isNotNull(), F.transform("starts", word)).alias("bits"))
 
 
 def rotation(dim: int, seed: int = 11) -> np.ndarray:
@@ -111,41 +210,27 @@ def rotate(vecs: DataFrame, r: np.ndarray) -> DataFrame:
     return vecs.withColumn("vec", F.transform(rows, lambda row: dot(F.col("vec"), row)))
 
 
-def _blocked_hamming(queries: DataFrame, bits: DataFrame, k: int) -> DataFrame:
-    """(q, cell, d) that holds the k nearest cells of every query: blocks of queries meet blocks of
-    sketches, and each pair of blocks keeps its k best cells of a query."""
-    nq = -(-queries.count() // MAX_QUERIES)
-    nv = -(-bits.count() // SKETCH_BLOCK) or 1
-    left = queries.select("q", "qbits", F.pmod(F.xxhash64("q"), F.lit(nq).cast("bigint")).alias("qb"), F.explode(F.expr(f"sequence(0L, {nv - 1}L)")).alias("vb"))
-    right = bits.select("cell", "bits", F.explode(F.expr(f"sequence(0L, {nq - 1}L)")).alias("qb"), F.pmod(F.xxhash64("cell", "tslot"), F.lit(nv).cast("bigint")).alias("vb"))
-
-    def score(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"q": [], "cell": [], "d": []}, dtype=np.int64)]
-        if len(known):
-            known = known.sort_values("cell", kind="stable")
-            cell, first = np.unique(known["cell"].to_numpy(), return_index=True)
-            sketch = known["bits"].to_numpy()
-            for q, own in zip(asked["q"].to_numpy(), asked["qbits"].to_numpy(), strict=True):
-                d = np.minimum.reduceat(np.bitwise_count((sketch ^ own).view(np.uint64)), first).astype(np.int64)
-                other = np.flatnonzero(cell != q)
-                top = other[np.argsort(d[other], kind="stable")[:k]]
-                out.append(pd.DataFrame({"q": q, "cell": cell[top], "d": d[top]}))
-        return pd.concat(out, ignore_index=True)
-
-    pairs = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(score, "q long, cell long, d long")
-    return pairs.groupBy("q", "cell").agg(F.min("d").cast("int").alias("d"))
-
-
-def find_similar_hamming(queries: DataFrame, bits: DataFrame, k: int, dims: int = 64) -> DataFrame:
-    """Nearest sketches: distance, score 1 - 2 d / dims, one row per cell. ``queries``: (q, qbits)."""
-    bits, queries = bits.where("bits is not null"), queries.where("qbits is not null")
-    if queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES:
-        d = F.bit_count(F.col("bits").bitwiseXOR(F.col("qbits")))
-        near = bits.join(F.broadcast(queries), F.col("cell") != F.col("q")).groupBy("q", "cell").agg(F.min(d).alias("d"))
-    else:
-        near = _blocked_hamming(queries, bits, k)
-    w = Window.partitionBy("q").orderBy("d", "cell")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("score", 1 - 2 * F.col("d") / dims)
+def _likeness(x, y) -> np.ndarray:
+    """1 - 2 d / dims for Hamming distance d; keys are the number of dimensions and the words."""
+    dims_x, dims_y = np.array([len(v) and v[0] for v in x]), np.array([len(v) and v[0] for v in y])
+    wide = max(max(map(len, x)), max(map(len, y)), 2)
+    a, b = np.zeros((len(x), wide - 1), np.int64), np.zeros((len(y), wide - 1), np.int64)
+    for out, rows in ((a, x), (b, y)):
+        for i, v in enumerate(rows):
+            out[i, : len(v) - 1] = v[1:]
+    d = np.zeros((len(x), len(y)))
+    for w in range(wide - 1):
+        d += np.bitwise_count((a[:, w, None] ^ b[None, :, w]).view(np.uint64))
+    return np.where((dims_x[:, None] == dims_y[None, :]) & (dims_x[:, None] > 0), 1 - 2 * d / np.maximum(dims_x, 1)[:, None], np.nan)
+
+
+def find_similar_hamming(queries: DataFrame, bits: DataFrame, k: int) -> DataFrame:
+    """Nearest sketches of the same number of dimensions: distance, score 1 - 2 d / dims, one row per
+    cell. ``queries``: (q, dims, bits), ``bits``: (cell, dims, bits)."""
+    key = F.concat(F.array(F.col("dims").cast("long")), "bits").alias("key")
+    asked = queries.where("bits is not null")
+    near = _searched(asked.select("q", key), bits.where("bits is not null").select("cell", key), k, _likeness)
+    return _top(near.join(asked.select("q", "dims"), "q").withColumn("d", F.round((1 - F.col("score")) * F.col("dims") / 2).cast("int")).drop("dims"), k)
 
 
 def triage_size(k: int, recall: float | None) -> int:

@@ -54,11 +54,27 @@ def f03_zonal_stats(spark, d):
 
 @query(
     X.with_("facts", "latest", extra=REGION_SQL)
-    + "SELECT region, round(avg(num) FILTER (band='click'),6) AS click, round(avg(num) FILTER (band='purchase'),6) AS purchase FROM latest JOIN regions USING (cell) WHERE kind='primary' GROUP BY region"
+    + "SELECT region, round(avg(num) FILTER (band='click'),6) AS click, round(avg(num) FILTER (band='purchase'),6) AS purchase, round(median(num) FILTER (band='click'),6) AS click_median, round(median(num) FILTER (band='purchase'),6) AS purchase_median FROM latest JOIN regions USING (cell) WHERE kind='primary' GROUP BY region"
 )
 def f04_place_profile(spark, d):
     p = A.place_profile(regions(spark, d), latest(spark, d), ["click", "purchase"])
-    return p.select("region", F.round("click", 6).alias("click"), F.round("purchase", 6).alias("purchase"))
+    return p.select("region", *[F.round(c, 6).alias(c) for c in p.columns[1:]])
+
+
+@query(
+    X.with_("vecs", extra="regions AS (SELECT DISTINCT cell, cell % 12 AS region FROM vecs)")
+    + """, e AS (SELECT region, band, generate_subscripts(vec,1) AS i, unnest(vec) AS x FROM vecs JOIN regions USING (cell)), m AS (SELECT region, band, i, avg(x) AS m FROM e GROUP BY ALL), n AS (SELECT region, band, count(*) AS n FROM vecs JOIN regions USING (cell) GROUP BY ALL)
+    SELECT region, band, n, list(round(m,6) ORDER BY i) AS centroid FROM m JOIN n USING (region, band) GROUP BY ALL"""
+)
+def f02_region_centroids(spark, d):
+    v = X.vecs(spark, d)
+    r = A.region_centroids(v.select("cell", (F.col("cell") % 12).alias("region")).distinct(), v)
+    return r.withColumn("centroid", F.transform("centroid", lambda x: F.round(x, 6)))
+
+
+@query(X.with_("facts", "latest", extra=REGION_SQL) + "SELECT region, cell, band, tslot, num FROM latest JOIN regions USING (cell) WHERE kind='primary'")
+def f03_zonal_cells(spark, d):
+    return A.zonal_cells(regions(spark, d), latest(spark, d))
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldmark.operators import lookup as L
 from fieldmark.sources import fixtures as X
+from fieldmark.sources.fixtures import scratch
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -29,8 +30,10 @@ def latest(spark: SparkSession, d: str) -> DataFrame:
 @query(X.with_("facts") + "SELECT cell, band, tslot, num, fact_cid FROM facts WHERE band IN ('click','purchase') AND tslot BETWEEN 19728 AND 19740 AND cell IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12)")
 def a01_read_facts(spark, d):
     cells = X.read(spark, d, "customer").where("c_nationkey < 12").select(F.col("c_custkey").alias("cell"))
-    f = X.facts(spark, d).where(F.col("band").isin("click", "purchase") & F.col("tslot").between(19728, 19740))
-    return f.join(cells, "cell", "left_semi").select("cell", "band", "tslot", "num", "fact_cid")
+    path = scratch(spark)
+    L.append_facts(X.facts(spark, d), path)
+    f = L.read_facts(spark, path, ["click", "purchase"], cells, (19728, 19740))
+    return f.select("cell", "band", "tslot", "num", "fact_cid")
 
 
 @query(X.with_("facts", "latest") + "SELECT cell, band, tslot, num, fact_cid, kind FROM latest")
@@ -146,11 +149,13 @@ PRIVACY = [("click", "public", 0), ("purchase", "aggregate_only", 8), ("error",
 
 @query(
     X.with_("facts")
-    + """SELECT cell, band, fact_cid, action, action='snap' AS privacy_snapped FROM (SELECT cell, band, fact_cid, CASE band WHEN 'error' THEN 'refuse' WHEN 'view' THEN 'refuse' WHEN 'purchase' THEN 'snap' ELSE 'permit' END AS action FROM facts)"""
+    + """SELECT CASE WHEN band='purchase' THEN cell//8*8 ELSE cell END AS cell, band, fact_cid, num, CASE band WHEN 'purchase' THEN 'snap' ELSE 'permit' END AS action, band='purchase' AS privacy_snapped FROM facts WHERE band NOT IN ('error','view')"""
 )
 def c04_enforce_privacy(spark, d):
     bands = spark.createDataFrame(PRIVACY, "band string, privacy string, min_level int")
-    return L.enforce_privacy(X.facts(spark, d), bands, level=4).select("cell", "band", "fact_cid", "action", "privacy_snapped")
+    blocks = lambda cell, level: F.floor(cell / level).cast("bigint") * level  # noqa: E731 - these cells are plain numbers
+    out = L.enforce_privacy(X.facts(spark, d), bands, level=4, parent=blocks)
+    return out.select("cell", "band", "fact_cid", "num", "action", "privacy_snapped")
 
 
 @query(X.with_("facts") + "SELECT tier, count(*) AS n FROM (SELECT CASE WHEN starts_with(band,'cl') THEN 'S1' WHEN starts_with(band,'pur') THEN 'S2' ELSE 'Static' END AS tier FROM facts) GROUP BY tier")

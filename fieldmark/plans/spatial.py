@@ -77,12 +77,35 @@ def e04_nearest_place(spark, d):
     return E.nearest_place(points(spark, d), s, 300.0, 5.0).select("id", F.round("km", 5).alias("km"))
 
 
-@query(
-    f"""WITH {EDGES}, b AS (SELECT poly_id, min(least(y0,y1)) AS lo, max(greatest(y0,y1)) AS hi FROM edges GROUP BY 1) SELECT e.poly_id, round(abs(sum(x0*y1-x1*y0)/2)*pow(111320.0,2)*cos(radians((any_value(lo)+any_value(hi))/2))/1e6,3) AS area_km2, (SELECT count(*) FROM part) AS n_parts FROM edges e JOIN b USING (poly_id) WHERE ring=0 GROUP BY e.poly_id"""
-)
+# one field of five corners per order, of a size that its price sets
+CORNERS = ((0, 0), (4, 1), (5, 3), (2, 5), (-1, 2))
+
+
+def fields(spark, d):
+    o = X.with_point(X.read(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 1e7).alias("size")), "o_orderkey")
+    ring = F.array(*[F.struct((F.col("lng") + F.col("size") * x).alias("lng"), (F.col("lat") + F.col("size") * y).alias("lat")) for x, y in (*CORNERS, CORNERS[0])])
+    return o.select(F.col("o_orderkey").alias("poly_id"), F.array(ring).alias("rings"))
+
+
+FIELD = f"fo AS (SELECT o_orderkey, o_totalprice/1e7 AS size, {X.point_sql('o_orderkey')} FROM orders), fv AS (" + " UNION ALL ".join(
+    f"SELECT o_orderkey AS poly_id, lng+size*{x} AS x, lat+size*{y} AS y, {i} AS i FROM fo" for i, (x, y) in enumerate((*CORNERS, CORNERS[0]))
+) + """), fe AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM fv WINDOW w AS (PARTITION BY poly_id ORDER BY i)),
+    fm AS (SELECT poly_id, avg(y) AS lat, min(x) AS x_lo, max(x) AS x_hi, min(y) AS y_lo, max(y) AS y_hi FROM fv GROUP BY 1),
+    fs AS (SELECT poly_id, sum(x*y1-x1*y) AS a2, sum((x+x1)*(x*y1-x1*y)) AS cx, sum((y+y1)*(x*y1-x1*y)) AS cy FROM fe WHERE x1 IS NOT NULL GROUP BY 1),
+    fa AS (SELECT poly_id, abs(a2/2)*111132.92*(111412.84*cos(radians(lat))-93.5*cos(3*radians(lat))) AS area, cx/(3*a2) AS lng, cy/(3*a2) AS lat FROM fs JOIN fm USING (poly_id) WHERE x_hi>=-100 AND x_lo<=100 AND y_hi>=-60 AND y_lo<=60)"""
+
+
+@query(f"WITH {FIELD} SELECT poly_id, round(area/1e6,3) AS area_km2, round(lng,4) AS lng, round(lat,4) AS lat FROM fa")
 def e07_field_areas(spark, d):
-    n = X.read(spark, d, "part").agg(F.count("*").alias("n_parts"))
-    return E.field_areas(polys(spark)).select("poly_id", F.round(F.col("area_m2") / 1e6, 3).alias("area_km2")).join(n, how="cross")
+    f = E.field_areas(fields(spark, d), (-100.0, -60.0, 100.0, 60.0))
+    return f.select("poly_id", F.round(F.col("area_m2") / 1e6, 3).alias("area_km2"), F.round("lng", 4).alias("lng"), F.round("lat", 4).alias("lat"))
+
+
+@query(f"WITH {FIELD} SELECT floor(lat/10)::BIGINT AS zone, count(*) AS fields, round(sum(area)/1e6,1) AS area_km2, round(max(area)/1e6,3) AS largest_km2 FROM fa GROUP BY 1")
+def e07_field_totals(spark, d):
+    f = E.field_areas(fields(spark, d), (-100.0, -60.0, 100.0, 60.0)).withColumn("zone", F.floor(F.col("lat") / 10))
+    t = E.field_totals(f, "zone")
+    return t.select("zone", "fields", F.round(F.col("area_m2") / 1e6, 1).alias("area_km2"), F.round(F.col("largest_m2") / 1e6, 3).alias("largest_km2"))
 
 
 @query(
@@ -95,20 +118,26 @@ def e08_protected_status(spark, d):
     return E.protected_status(hits.select("id", F.col("poly_id").alias("area_id"), tags.alias("tags"))).select("id", "area_id", "category")
 
 
-SEG = f"seg AS (SELECT lng AS x0, lat AS y0, lead(lng) OVER w AS x1, lead(lat) OVER w AS y1 FROM (SELECT event_id, user_id, {X.point_sql('event_id')} FROM events WHERE user_id%10=0) WINDOW w AS (PARTITION BY user_id ORDER BY event_id))"
+SEG = f"seg AS (SELECT lng AS x0, lat AS y0, lead(lng) OVER w AS x1, lead(lat) OVER w AS y1 FROM (SELECT event_id, user_id, {X.point_sql('event_id')} FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id))"
+
+
+def _entry(v: str, lo: str, hi: str, d: str, end: int) -> str:
+    pick = "least" if end == 0 else "greatest"
+    return f"CASE WHEN {d}=0 THEN CASE WHEN {v} BETWEEN {lo} AND {hi} THEN {end}.0 ELSE {2 if end == 0 else -1}.0 END ELSE {pick}(({lo}-{v})/nullif({d},0),({hi}-{v})/nullif({d},0)) END"
 
 
 @query(
-    f"""WITH {BOX}, {SEG}, j AS (SELECT *, x1-x0 AS dx, y1-y0 AS dy FROM seg JOIN boxes ON least(x0,x1)<=lng_max AND greatest(x0,x1)>=lng_min AND least(y0,y1)<=lat_max AND greatest(y0,y1)>=lat_min WHERE x1 IS NOT NULL AND x1<>x0 AND y1<>y0),
-    t AS (SELECT *, greatest(0.0, least(1.0, greatest((lng_min-x0)/dx,(lng_max-x0)/dx), greatest((lat_min-y0)/dy,(lat_max-y0)/dy)) - greatest(0.0, least((lng_min-x0)/dx,(lng_max-x0)/dx), least((lat_min-y0)/dy,(lat_max-y0)/dy))) AS t FROM j)
-    SELECT box_id, round(sum(t*sqrt(pow(dx*111320.0*cos(radians((lat_min+lat_max)/2)),2)+pow(dy*111320.0,2)))/1000,3) AS km FROM t GROUP BY box_id HAVING sum(t)>0"""
+    f"""WITH {BOX}, {SEG}, j AS (SELECT *, x1-x0 AS dx, y1-y0 AS dy FROM seg JOIN boxes ON least(x0,x1)<=lng_max AND greatest(x0,x1)>=lng_min AND least(y0,y1)<=lat_max AND greatest(y0,y1)>=lat_min WHERE x1 IS NOT NULL),
+    t AS (SELECT *, greatest(0.0, least(1.0, {_entry("x0", "lng_min", "lng_max", "dx", 1)}, {_entry("y0", "lat_min", "lat_max", "dy", 1)}) - greatest(0.0, {_entry("x0", "lng_min", "lng_max", "dx", 0)}, {_entry("y0", "lat_min", "lat_max", "dy", 0)})) AS t FROM j),
+    m AS (SELECT box_id, t*sqrt(pow(dx*111320.0*cos(radians((lat_min+lat_max)/2)),2)+pow(dy*111320.0,2)) AS m FROM t)
+    SELECT box_id, round(sum(m)/1000,3) AS km FROM m GROUP BY box_id HAVING sum(m)>0"""
 )
 def e06_line_length_in_boxes(spark, d):
     from pyspark.sql.window import Window
 
-    e = X.with_point(X.read(spark, d, "events").where("user_id % 10 = 0").select("event_id", "user_id"), "event_id")
+    e = X.with_point(X.read(spark, d, "events").select("event_id", "user_id"), "event_id")
     w = Window.partitionBy("user_id").orderBy("event_id")
-    seg = e.select(F.col("lng").alias("x0"), F.col("lat").alias("y0"), F.lead("lng").over(w).alias("x1"), F.lead("lat").over(w).alias("y1")).where("x1 is not null and x1 <> x0 and y1 <> y0")
+    seg = e.select(F.col("lng").alias("x0"), F.col("lat").alias("y0"), F.lead("lng").over(w).alias("x1"), F.lead("lat").over(w).alias("y1")).where("x1 is not null")
     return E.line_length_in_boxes(seg, boxes(spark, d)).select("box_id", F.round(F.col("metres") / 1000, 3).alias("km"))
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from fieldmark.operators import integrity as K
@@ -12,6 +9,7 @@ from fieldmark.operators import lookup as L
 from fieldmark.operators import routing as R
 from fieldmark.sources import fixtures as X
 from fieldmark.sources import ingest as G
+from fieldmark.sources.fixtures import scratch
 from fieldmark.streaming import jobs as J
 
 from .aggregate import REGION_SQL, regions
@@ -31,12 +29,6 @@ def query(sql):
     return add
 
 
-def scratch(spark) -> str:
-    """A new path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="fieldmark-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 # Topics and their aliases, topics and their bands.
 TOPICS = [("cold", "cold"), ("cold", "frozen"), ("blue", "blue anvil"), ("blue", "blue"), ("widget", "widget"), ("metal", "steel"), ("metal", "copper"), ("red", "red"), ("green", "green")]
 TOPIC_BANDS = [("cold", "click"), ("cold", "view"), ("blue", "purchase"), ("widget", "click"), ("widget", "error"), ("metal", "view"), ("red", "signup"), ("green", "purchase")]
@@ -74,9 +66,9 @@ def i01_route_keyword(spark, d):
     return R.route_keyword(questions(spark, d), topics(spark)).withColumn("score", F.round("score", 6))
 
 
-@query("SELECT doc_id AS qid, length(trim(left(text,200)))>0 AND NOT contains(lower(left(text,200)),'idiot') AND NOT contains(lower(left(text,200)),'license') AS in_scope FROM documents")
+@query("SELECT doc_id AS qid, length(trim(text))>0 AND NOT contains(lower(text),'idiot') AND NOT contains(lower(text),'license') AS in_scope FROM documents")
 def i02_in_scope(spark, d):
-    docs = X.read(spark, d, "documents").select(F.col("doc_id").alias("qid"), F.left("text", F.lit(200)).alias("text"))
+    docs = X.read(spark, d, "documents").select(F.col("doc_id").alias("qid"), "text")
     return R.in_scope(docs, ("idiot", "license"))
 
 
@@ -136,13 +128,24 @@ def h02_sample_cells(spark, d):
     return R.sample_cells(regions(spark, d), 8).select("region", "cell")
 
 
+@query(
+    X.with_("facts", extra=f"{REGION_SQL}, {NEWEST_SQL}, {SAMPLE}")
+    + """, v AS (SELECT s.region, s.cell, n.band, row_number() OVER (PARTITION BY s.region, n.band ORDER BY n.num DESC, s.cell) AS rank FROM smp s JOIN newest n ON n.cell=s.cell AND n.band IN ('view','click','purchase'))
+    SELECT region, cell, count(*) AS hunts, string_agg(band, ',' ORDER BY band) AS events, min(rank) AS best_rank FROM v WHERE rank<=4 GROUP BY ALL HAVING count(*)>1"""
+)
+def h03_hotspot_overlap(spark, d):
+    rows = [(b, b, None, None, True) for b in ("view", "click", "purchase")]
+    events = spark.createDataFrame(rows, "event string, band string, gate string, gate_min double, descending boolean")
+    return R.hotspot_overlap(R.hunt(events, regions(spark, d), X.facts(spark, d), most=4, sample=8))
+
+
 @query(X.with_("facts", extra=REGION_SQL) + "SELECT region, count(*) AS uncovered FROM regions r WHERE NOT EXISTS (SELECT 1 FROM facts f WHERE f.cell=r.cell AND f.band='error' AND f.tslot>=19740) GROUP BY region")
 def h03_uncovered_cells(spark, d):
     seen = X.facts(spark, d).where("band = 'error' and tslot >= 19740").select("cell").distinct()
     return regions(spark, d).join(seen, "cell", "left_anti").groupBy("region").agg(F.count("*").alias("uncovered"))
 
 
-CID = "sha256(coalesce(CAST(cell AS VARCHAR),'') || '|' || coalesce(band,'') || '|' || coalesce(CAST(tslot AS VARCHAR),'') || '|' || coalesce(kind,''))"
+CID = "sha256(CAST(to_json({'cell': cell, 'band': band, 'tslot': tslot, 'kind': kind}) AS VARCHAR))"
 
 
 @query(X.with_("facts") + f"SELECT DISTINCT cell, band, tslot, kind, {CID} AS cid FROM facts")
@@ -173,6 +176,27 @@ def k03_audit_batches(spark, d):
     return K.audit_batches(roots, declared)
 
 
+WAY = "concat_ws(','" + "".join(
+    f", CASE WHEN len(l{k}.v)>1 THEN CASE WHEN (p>>{k})%2=0 THEN '>' ELSE '<' END || coalesce(l{k}.v[CAST(xor(p>>{k},1) AS INT)+1], l{k}.v[CAST(p>>{k} AS INT)+1]) END" for k in range(6)
+) + ")"
+
+
+@query(
+    f"WITH {MERKLE}, o AS (SELECT batch, leaf, row_number() OVER (PARTITION BY batch ORDER BY leaf)-1 AS p FROM leaves) SELECT batch, leaf, p AS i, {WAY} AS path FROM o "
+    + " ".join(f"JOIN l{k} USING (batch)" for k in range(6))
+)
+def k02_merkle_paths(spark, d):
+    way = F.transform("path", lambda s: F.concat(F.when(s["right"], ">").otherwise("<"), s["hash"]))
+    return K.merkle_paths(leaves(spark, d)).select("batch", "leaf", "i", F.array_join(way, ",").alias("path"))
+
+
+@query(f"WITH {MERKLE} SELECT batch, n, CASE WHEN batch%100=0 THEN 0 ELSE n END AS n_ok FROM l6")
+def k03_audit_proofs(spark, d):
+    roots = K.merkle_roots(leaves(spark, d))
+    declared = roots.select("batch", F.when(F.col("batch") % 100 == 0, "bad").otherwise(F.col("root")).alias("declared"))
+    return K.audit_proofs(K.merkle_paths(leaves(spark, d)), declared)
+
+
 @query(
     """WITH r AS (SELECT o_custkey AS segment, o_orderkey AS pos, sha256(CAST(o_orderkey AS VARCHAR)) AS hash FROM orders), g AS (SELECT segment, sha256(string_agg(hash,'' ORDER BY pos, hash)) AS f, count(*) AS n FROM r GROUP BY segment)
     SELECT segment, n, segment%10<>0 AS ok FROM g"""
@@ -193,19 +217,19 @@ def j01_ingest_stream(spark, d):
 @query("SELECT time_bucket(INTERVAL 300 SECONDS, ts) AS start, count(*) AS facts FROM events GROUP BY 1")
 def j02_corpus_ticks(spark, d):
     t = J.corpus_ticks(J.fact_stream(spark, d, "events.parquet"), 300)
-    return J.finish_counts(t, scratch(spark), scratch(spark)).select(F.col("start").cast("timestamp_ntz").alias("start"), "facts")
+    return J.finish_counts(t, scratch(spark), scratch(spark), ["start"]).select(F.col("start").cast("timestamp_ntz").alias("start"), "facts")
 
 
 @query("WITH w AS (SELECT date_trunc('hour', ts) + INTERVAL 1 HOUR * unnest(range(1,25)) AS \"end\", value FROM events) SELECT \"end\", count(*) AS n, max(value) AS largest FROM w GROUP BY 1")
 def j03_fire_stream(spark, d):
     w = J.fire_windows(J.fact_stream(spark, d, "events.parquet"))
-    return J.finish_counts(w, scratch(spark), scratch(spark)).select(F.col("end").cast("timestamp_ntz").alias("end"), "n", "largest")
+    return J.finish_counts(w, scratch(spark), scratch(spark), ["end"]).select(F.col("end").cast("timestamp_ntz").alias("end"), "n", "largest")
 
 
 @query("SELECT user_id%7 AS signer, count(*) AS citations, max(ts) AS last_cited FROM events GROUP BY 1")
 def j04_citation_counts(spark, d):
     c = J.citation_counts(J.fact_stream(spark, d, "events.parquet"))
-    return J.finish_counts(c, scratch(spark), scratch(spark)).withColumn("last_cited", F.col("last_cited").cast("timestamp_ntz"))
+    return J.finish_counts(c, scratch(spark), scratch(spark), ["signer"]).withColumn("last_cited", F.col("last_cited").cast("timestamp_ntz"))
 
 
 @query("SELECT event_id, old, value AS new, round(value-old,6) AS delta FROM (SELECT *, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS old FROM events) WHERE old IS NOT NULL")
@@ -269,10 +293,10 @@ def a08_pick_scene(spark, d):
     return G.pick_scene(p, theme(spark, d), 30)
 
 
-@query("SELECT qid, id, population FROM (SELECT o_orderkey AS qid, p_partkey AS id, p_size*1000+p_partkey AS population, row_number() OVER (PARTITION BY o_orderkey ORDER BY p_size*1000+p_partkey DESC, p_partkey) AS rn FROM orders JOIN part ON lower(p_name)=lower((SELECT max(p_name) FROM part)) WHERE o_orderkey%100=0) WHERE rn<=3")
+@query("SELECT qid, id, population FROM (SELECT c_custkey AS qid, b.p_partkey AS id, b.p_size*1000+b.p_partkey AS population, row_number() OVER (PARTITION BY c_custkey ORDER BY b.p_size*1000+b.p_partkey DESC, b.p_partkey) AS rn FROM customer JOIN part a ON a.p_partkey=c_custkey JOIN part b ON lower(b.p_name)=lower(a.p_name)) WHERE rn<=3")
 def e03_lookup_places(spark, d):
     p = X.read(spark, d, "part")
-    name = p.agg(F.max("p_name").alias("query"))
-    q = X.read(spark, d, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("qid")).join(name, how="cross")
+    asked = p.select(F.col("p_partkey").alias("c_custkey"), F.col("p_name").alias("query"))
+    q = X.read(spark, d, "customer").join(asked, "c_custkey").select(F.col("c_custkey").alias("qid"), "query")
     places = p.select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("key"), (F.col("p_size") * 1000 + F.col("p_partkey")).alias("population"))
     return G.lookup_places(q, places, 3).select("qid", "id", "population")

@@ -46,7 +46,7 @@ def knn(spark, d, k=5):
 
 def ham(spark, d, k):
     b = V.pack_bits(X.vecs(spark, d))
-    q = b.where("cell % 10 = 0").groupBy("cell").agg(F.min_by("bits", "tslot").alias("qbits")).withColumnRenamed("cell", "q")
+    q = b.where("cell % 10 = 0").groupBy(F.col("cell").alias("q")).agg(F.min_by("dims", "tslot").alias("dims"), F.min_by("bits", "tslot").alias("bits"))
     return V.find_similar_hamming(q, b, k)
 
 
@@ -73,12 +73,13 @@ def d06_find_similar_claim(spark, d):
 
 @query(X.with_("vecs", extra=BITS) + "SELECT cell, tslot, bits FROM bits")
 def d07_pack_bits(spark, d):
-    return V.pack_bits(X.vecs(spark, d)).select("cell", "tslot", F.lpad(F.bin("bits"), 64, "0").alias("bits"))
+    words = F.array_join(F.transform("bits", lambda b: F.lpad(F.bin(b), 64, "0")), "")
+    return V.pack_bits(X.vecs(spark, d)).select("cell", "tslot", F.substring(words, F.lit(1), F.col("dims")).alias("bits"))
 
 
 @query(None)
 def d07_pack_bits_rotated(spark, d):
-    return V.pack_bits(V.rotate(X.vecs(spark, d), V.rotation(64)))
+    return V.pack_bits(V.rotate(X.vecs(spark, d), V.rotation(64))).select("cell", "tslot", "dims", F.array_join(F.transform("bits", lambda b: F.hex(b)), "").alias("bits"))
 
 
 @query(X.with_("vecs", extra=f"{BITS}, {HAM}") + "SELECT q, cell, d, rank, round(score,6) AS score FROM ham WHERE rank<=5")
@@ -208,3 +209,49 @@ def f13_change_variant(spark, d):
     v = X.vecs(spark, d)
     mask = v.select("cell").distinct().select("cell", (F.col("cell") % 3).cast("double").alias("leg"))
     return V.change_variant(encoders(v), "forest", mask).withColumn("ensemble", F.round("ensemble", 6))
+
+
+NEW = "nw AS (SELECT cell, band, arg_max(vec,tslot) AS vec, max(tslot) AS tslot FROM enc GROUP BY ALL)"
+
+
+@query(
+    X.with_("vecs", extra=f"{ENC}, {NEW}")
+    + f""", pr AS (SELECT DISTINCT cell AS a, cell+1 AS b FROM vecs), j AS (SELECT a, b, x.band, {cos("x.vec", "y.vec")} AS c, list_dot_product(x.vec,y.vec) AS pq, list_dot_product(x.vec,x.vec) AS pp, list_dot_product(y.vec,y.vec) AS qq FROM pr JOIN nw x ON x.cell=a JOIN nw y ON y.cell=b AND y.band=x.band)
+    SELECT a, b, string_agg(band || '=' || CAST(round(c*10000) AS BIGINT), ',' ORDER BY band) AS bands, round(sum(pq)/sqrt(sum(pp)*sum(qq)),6) AS cosine FROM pr LEFT JOIN j USING (a, b) GROUP BY a, b"""
+)
+def d01_compare_vectors(spark, d):
+    v = X.vecs(spark, d)
+    pairs = v.select(F.col("cell").alias("a"), (F.col("cell") + 1).alias("b")).distinct()
+    out = V.compare_vectors(pairs, encoders(v))
+    bands = F.array_join(F.transform("bands", lambda s: F.concat(s["band"], F.lit("="), F.round(s["cosine"] * 10000).cast("bigint").cast("string"))), ",")
+    return out.select("a", "b", bands.alias("bands"), F.round("cosine", 6).alias("cosine"))
+
+
+@query(
+    X.with_("vecs", extra=f"{ENC}, {NEW}")
+    + f""", q AS (SELECT DISTINCT cell, CASE WHEN cell%2=0 THEN 2019 END AS ts, ['cosine_ge','cosine_gt','l2_le'][cell%3+1] AS predicate, [0.0,0.1,1.3][cell%3+1] AS threshold FROM vecs),
+    s AS (SELECT q.*, CASE WHEN ts IS NULL THEN n0.vec ELSE e0.vec END AS va, CASE WHEN ts IS NULL THEN n1.vec ELSE e1.vec END AS vb, CASE WHEN ts IS NULL THEN n0.tslot ELSE e0.tslot END AS tslot_a, CASE WHEN ts IS NULL THEN n1.tslot ELSE e1.tslot END AS tslot_b
+      FROM q LEFT JOIN nw n0 ON n0.cell=q.cell AND n0.band='e0' LEFT JOIN nw n1 ON n1.cell=q.cell AND n1.band='e1' LEFT JOIN enc e0 ON e0.cell=q.cell AND e0.band='e0' AND e0.tslot=q.ts LEFT JOIN enc e1 ON e1.cell=q.cell AND e1.band='e1' AND e1.tslot=q.ts),
+    c AS (SELECT *, {cos("va", "vb")} AS cosine, sqrt(list_sum(list_transform(list_zip(va,vb), lambda z: (z[1]-z[2])*(z[1]-z[2])))) AS l2, list_sum(list_transform(list_zip(va,vb), lambda z: z[2]-z[1])) AS moved FROM s)
+    SELECT cell, tslot_a, tslot_b, predicate, round(cosine,6) AS cosine, round(l2,5) AS l2, round(moved,5) AS moved, coalesce(CAST(CASE predicate WHEN 'cosine_ge' THEN cosine>=threshold WHEN 'cosine_gt' THEN cosine>threshold ELSE l2<=threshold END AS VARCHAR),'incomparable') AS verdict FROM c"""
+)
+def d02_compare_vector_bands(spark, d):
+    v = X.vecs(spark, d)
+    kind = (F.col("cell") % 3 + 1).cast("int")
+    q = v.select("cell").distinct().select(
+        "cell", F.lit("e0").alias("band_a"), F.lit("e1").alias("band_b"), F.when(F.col("cell") % 2 == 0, F.lit(2019)).cast("bigint").alias("tslot"),
+        F.element_at(F.array(*map(F.lit, ("cosine_ge", "cosine_gt", "l2_le"))), kind).alias("predicate"), F.element_at(F.array(*map(F.lit, (0.0, 0.1, 1.3))), kind).alias("threshold"),
+    )
+    out = V.compare_vector_bands(q, encoders(v).select("cell", "band", F.col("tslot").cast("bigint").alias("tslot"), "vec"))
+    moved = F.aggregate("delta", F.lit(0.0), lambda a, x: a + x)
+    return out.select("cell", "tslot_a", "tslot_b", "predicate", F.round("cosine", 6).alias("cosine"), F.round("l2", 5).alias("l2"), F.round(moved, 5).alias("moved"), "verdict")
+
+
+@query(
+    X.with_("vecs", extra=ENC)
+    + "SELECT a.cell, a.band, a.tslot AS tslot_a, b.tslot AS tslot_b, 'delta' AS op, list_transform(list_zip(a.vec,b.vec), lambda z: round(z[2]-z[1],6)) AS vec, 1.0::DOUBLE AS confidence, 'nd.delta@1' AS fn_key FROM enc a JOIN enc b ON a.cell=b.cell AND a.band=b.band AND b.tslot=a.tslot+1"
+)
+def d03_diff_vectors(spark, d):
+    e = encoders(X.vecs(spark, d))
+    q = e.select("cell", "band", F.col("tslot").alias("tslot_a"), (F.col("tslot") + 1).alias("tslot_b"))
+    return V.diff_vectors(q, e).withColumn("vec", F.transform("vec", lambda x: F.round(x, 6)))

@@ -48,10 +48,11 @@ def gazetteer_keys(df: DataFrame) -> DataFrame:
 
 
 def lookup_places(queries: DataFrame, places: DataFrame, n: int) -> DataFrame:
-    """Top n places by population for the normalised query name; ``places``: (id, key, population)."""
-    j = queries.withColumn("key", normal_name("query")).join(places, "key")
-    w = Window.partitionBy("qid").orderBy(F.desc("population"), "id")
-    return j.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
+    """Top n places by population for the normalised query name; ``places``: (id, key, population). Places
+    are cut to n per name before they meet the queries."""
+    w = Window.partitionBy("key").orderBy(F.desc("population"), "id")
+    top = places.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
+    return queries.withColumn("key", normal_name("query")).join(top, "key")
 
 
 def read_theme(spark: SparkSession, path: str, box: tuple[float, float, float, float], columns: list[str]) -> DataFrame:

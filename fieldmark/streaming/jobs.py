@@ -36,14 +36,17 @@ def ingest(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
     return latest_facts(finish(once, target, checkpoint))
 
 
-def finish_counts(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
-    """Run an aggregating stream in complete mode: every trigger replaces the sink's table."""
+def finish_counts(stream: DataFrame, target: str, checkpoint: str, keys: list[str]) -> DataFrame:
+    """Run an aggregating stream in update mode: every trigger adds the groups that changed under its own
+    number (again after a failure, with the same result), readers take a group's last row."""
 
-    def replace(df: DataFrame, _: int) -> None:
-        df.write.mode("overwrite").parquet(target)
+    def add(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{target}/trigger={number}")
 
-    stream.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(target)
+    stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    told = stream.sparkSession.read.parquet(target).groupBy(*keys).agg(F.max_by(F.struct(*rest), "trigger").alias("r"))
+    return told.select(*[F.col(c) if c in keys else F.col(f"r.{c}").alias(c) for c in stream.columns])
 
 
 def corpus_ticks(stream: DataFrame, seconds: int) -> DataFrame:

@@ -69,20 +69,91 @@ def test_rotation_is_orthogonal():
 
 
 def test_negated_vector_is_at_full_distance(spark):
-    v = np.random.default_rng(0).standard_normal(64)
-    df = spark.createDataFrame([(1, 0, v.tolist()), (2, 0, (-v).tolist())], "cell long, tslot long, vec array<double>")
+    v = np.random.default_rng(0).standard_normal(100)
+    df = spark.createDataFrame([(1, 0, v.tolist()), (2, 0, (-v).tolist()), (3, 0, v[:64].tolist()), (4, 0, None), (5, 0, [])], "cell long, tslot long, vec array<double>")
     bits = vectors.pack_bits(df)
-    q = bits.where("cell = 1").select(F.col("cell").alias("q"), F.col("bits").alias("qbits"))
-    assert one(vectors.find_similar_hamming(q, bits, 5))["d"] == 64
+    q = bits.where("cell = 1").withColumnRenamed("cell", "q")
+    r = one(vectors.find_similar_hamming(q, bits, 5))
+    assert (r["cell"], r["d"], r["score"]) == (2, 100, -1.0)
 
 
-def test_many_queries_take_the_joined_path(spark):
+def test_sketches_read_every_component(spark):
+    df = spark.createDataFrame([(1, 0, [1.0] * 65), (2, 0, [1.0] * 64 + [-1.0])], "cell long, tslot long, vec array<double>")
+    a, b = (r["bits"] for r in vectors.pack_bits(df).orderBy("cell").collect())
+    assert a == [-1, -(2**63)] and b == [-1, 0]
+
+
+def test_many_queries_give_what_few_do(spark, monkeypatch):
     rng = np.random.default_rng(1)
-    df = spark.createDataFrame([(i, 0, rng.standard_normal(8).tolist()) for i in range(40)], "cell long, tslot long, vec array<double>")
+    rows = [(i, t, rng.standard_normal(8).tolist()) for i in range(40) for t in (0, 1)]
+    rows += [(50, 0, None), (51, 0, [float("nan")] * 8), (52, 0, [0.0] * 8), (53, 0, rows[0][2][:3]), (54, 0, [None] + rows[1][2][1:]), (55, 0, rows[2][2] + [1.0])]
+    df = spark.createDataFrame(rows, "cell long, tslot long, vec array<double>")
     q = vectors.pick_vector(df, "oldest")
-    a = {(r["q"], r["cell"]): round(r["score"], 9) for r in vectors.find_similar(q, df, 3).collect()}
-    b = {(r["q"], r["cell"]): round(r["score"], 9) for r in vectors._joined_similar(q.select(F.col("cell").alias("q"), "vec"), df, 3).collect()}
-    assert a == b and len(a) == 120
+    bits = vectors.pack_bits(df)
+    asked = bits.where("tslot = 0").withColumnRenamed("cell", "q")
+
+    def found():
+        near = vectors.find_similar(q, df, 6).collect() + vectors.find_similar_hamming(asked, bits, 6).select("q", "cell", "score", "rank").collect()
+        return sorted((r["q"], r["cell"], round(r["score"], 9), r["rank"]) for r in near)
+
+    few = found()
+    monkeypatch.setattr(vectors, "MAX_QUERIES", 7)
+    monkeypatch.setattr(vectors, "ROW_BLOCK", 20)
+    assert found() == few
+    y = {i: np.array(v, dtype=float) for i, t, v in rows if v is not None and t == 0}
+    cos = {}
+    for i, t, v in rows:
+        if i != 3 and v is not None and not np.isnan(np.array(v, dtype=float)).any():
+            n = min(len(y[3]), len(v))
+            norm = np.linalg.norm(y[3]) * np.linalg.norm(v)
+            s = float(np.dot(y[3][:n], v[:n]) / norm) if norm else 0.0
+            cos[i] = max(cos.get(i, -2), s)
+    want = sorted(cos, key=lambda i: (-round(cos[i], 9), i))[:6]
+    assert [r["cell"] for r in vectors.find_similar(q.where("cell = 3"), df, 6).orderBy("rank").collect()] == want
+
+
+def test_content_ids_tell_rows_apart(spark):
+    from fieldmark.operators import integrity
+
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "x"), ("", "x")], "p string, q string")
+    assert integrity.with_cid(df, ["p", "q"]).count() == 4
+
+
+def test_merkle_trees_of_more_than_a_run(spark, monkeypatch):
+    import hashlib
+
+    from fieldmark.operators import integrity
+
+    monkeypatch.setattr(integrity, "RUN", 8)
+    monkeypatch.setattr(integrity, "LEVELS", 3)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    sizes = {1: 1, 2: 2, 3: 7, 4: 8, 5: 9, 6: 17, 7: 64, 8: 65, 9: 100}
+    rows = [(b, sha(f"{b}/{i}")) for b, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "batch long, leaf string")
+    want = {}
+    for b in sizes:
+        level = [sha(x) for x in sorted(x for c, x in rows if c == b)]
+        while len(level) > 1:
+            level = [sha(level[i] + level[min(i + 1, len(level) - 1)]) for i in range(0, len(level), 2)]
+        want[b] = level[0]
+    roots = integrity.merkle_roots(df)
+    assert {r["batch"]: r["root"] for r in roots.collect()} == want
+    declared = roots.select("batch", F.col("root").alias("declared"))
+    assert {(r["n"], r["n_ok"]) for r in integrity.audit_proofs(integrity.merkle_paths(df), declared).collect()} == {(n, n) for n in sizes.values()}
+
+
+def test_medians_skip_nan_and_null(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 4.0), ("a", 4.0), ("a", float("nan")), ("a", None), ("a", 9.0), ("b", 2.0), ("b", 3.0), ("c", None)], "k string, v double")
+    assert {r["k"]: r["median"] for r in aggregate.counted_median(df, ["k"], "v").collect()} == {"a": 4.0, "b": 2.5}
+
+
+def test_privacy_coarsens_and_refuses(spark):
+    df = grid.to_cell(spark.createDataFrame([("p", 48.85, 2.35), ("x", 48.85, 2.35), ("o", 48.85, 2.35)], "band string, lat double, lng double"))
+    bands = spark.createDataFrame([("p", "aggregate_only", 10), ("x", "prohibited", 0), ("o", "public", 0)], "band string, privacy string, min_level int")
+    got = {r["band"]: r["cell"] for r in lookup.enforce_privacy(df, bands, 4).collect()}
+    fine = one(df)["cell"]
+    assert set(got) == {"p", "o"} and got["o"] == fine and got["p"] != fine
+    assert got["p"] == one(grid.coarsen(df.withColumn("num", F.lit(1.0)), [10]))["parent"]
 
 
 def test_claims_on_missing_and_nan_values(spark):
@@ -110,15 +181,3 @@ def test_diffusion_closed_form_equals_steps(spark):
     for _ in range(4):
         u += 0.2 * (s - 4 * u)
     assert math.isclose(got[(1, 1)], u)
-
-
-def test_hamming_search_beyond_one_block_of_queries(spark, monkeypatch):
-    from fieldmark.operators import vectors
-
-    bits = spark.range(600).selectExpr("id % 200 as cell", "id div 200 as tslot", "xxhash64(id div 3) as bits")
-    q = bits.where("tslot = 0").selectExpr("cell as q", "bits as qbits")
-    want = sorted(map(tuple, vectors.find_similar_hamming(q, bits, 5).select("q", "rank", "cell", "d").collect()))
-    monkeypatch.setattr(vectors, "MAX_QUERIES", 60)
-    monkeypatch.setattr(vectors, "SKETCH_BLOCK", 100)
-    got = vectors.find_similar_hamming(q, bits, 5)
-    assert sorted(map(tuple, got.select("q", "rank", "cell", "d").collect())) == want and len(want) == 1000
