@@ -49,6 +49,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table of few splits (a small file is one split) to all cores; a table of as many splits as
+    cores is left as it is. Results do not depend on it. At most the first splits are looked at."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    split = F.spark_partition_id()
+    wide = cores <= 1 or df.select(split.alias("split")).where(F.col("split") >= cores - 1).take(1)
+    return df if wide else df.repartition(cores)
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and pass it to ``body`` (a lambda over a Column)."""
     return F.transform(F.array(value), body)[0]

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, stage
+from .common import new_path, spread, stage
 from .token_cache import tokenizer
 
 MAX_BITS = 18
@@ -59,7 +59,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 2, text_col: str = "text"
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids, "counts": None})
         yield pd.DataFrame({"doc_id": [None], "ids": [None], "counts": [zlib.compress(total.tobytes(), 1)]})
 
-    return docs.select("doc_id", F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, ids binary, counts binary")
+    return spread(docs.select("doc_id", F.col(text_col).alias("text"))).mapInPandas(run, "doc_id long, ids binary, counts binary")
 
 
 def _runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:

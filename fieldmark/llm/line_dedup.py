@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_side, stage
+from .common import small_side, spread, stage
 
 MIN_WORDS, SURE_WORDS = 40, 50
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -39,11 +39,8 @@ HOT_ROWS, SALTS = 1000, 64
 def text_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(doc_id, th, p, h, n): every line with a word, its place, hash and words; th tells apart the
     texts of one id."""
-    split = docs.select(
-        "doc_id",
-        F.xxhash64(text_col).alias("th"),
-        F.posexplode(F.split(F.col(text_col), "\n")).alias("p", "line"),
-    )
+    texts = spread(docs.select("doc_id", F.col(text_col).alias("text")))
+    split = texts.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("p", "line"))
     trimmed = split.select("doc_id", "th", "p", F.btrim("line", F.lit(GAP_CHARS)).alias("line")).where("line <> ''")
     return trimmed.select(
         "doc_id", "th", "p", F.xxhash64("line").alias("h"), F.size(F.split("line", WORD_GAP)).alias("n")

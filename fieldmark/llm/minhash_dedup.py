@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, stage
+from .common import small_side, spread, stage
 from .components import connected_components, forest
 from .words import mix, shingle_set, word_hashes
 
@@ -83,7 +83,7 @@ def sketched(docs: DataFrame, shingle: int, text_col: str = "text") -> DataFrame
             ids = pd.array([None if k is None else _short(k) for k in keys], dtype="Int64")
             yield pd.DataFrame({"doc_id": batch["doc_id"], "th": batch["th"], "n_shingles": n, "set_key": keys, "id": ids, "bands": bands})
 
-    rows = docs.select("doc_id", F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    rows = spread(docs.select("doc_id", F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")))
     return rows.mapInPandas(run, "doc_id long, th long, n_shingles long, set_key binary, id long, bands array<long>")
 
 

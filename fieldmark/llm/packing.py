@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_side, stage
+from .common import small_side, spread, stage
 from .token_cache import tokenizer
 
 #: Widths of length classes, the widest that divides the sequence length.
@@ -52,7 +52,7 @@ def tokenized_pieces(docs: DataFrame, path: str, seq_len: int = 2048, end_id: in
             yield pieces.astype({"doc_id": "Int64"})
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids
-    return docs.select("doc_id", F.col(text_col).alias("text")).mapInPandas(run, schema)
+    return spread(docs.select("doc_id", F.col(text_col).alias("text"))).mapInPandas(run, schema)
 
 
 def best_pattern(sizes: np.ndarray, values: np.ndarray, room: int) -> tuple[float, np.ndarray]:

@@ -23,7 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 SPACE = "▁"
+# Texts that show a model's normaliser, and their marked form: a space mark before the text, no folding
+# of white space, letters or widths.
+PROBES = {t: f"{SPACE}{t}".replace(" ", SPACE) for t in ("a", " a", "a  b", "a ", "Ab", "ﬁ", "Å")}
 CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Chunks kept per Python worker in each of two generations; a chunk found in the older one moves to
 #: the younger, so frequent chunks stay.
@@ -42,6 +47,9 @@ class PieceEncoder(dict):
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        for text, marked in PROBES.items():
+            if "".join(sp.encode(text, out_type=str)) != marked:
+                raise ValueError(f"{model_path} normalises texts in a way that this encoder does not follow")
         self.score: dict[str, float] = {}
         self.id_of: dict[str, int] = {}
         self.byte_id = [0] * 256
@@ -233,6 +241,6 @@ def piece_digest(docs: DataFrame, model_path: str, text_col: str = "text") -> Da
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             ]
 
-    return docs.select("doc_id", F.col(text_col).alias("text")).mapInPandas(
+    return spread(docs.select("doc_id", F.col(text_col).alias("text"))).mapInPandas(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import let, small_side, stage
+from .common import let, small_side, spread, stage
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 GAP_CHARS = " \t\n\x0b\x0c\r"
@@ -262,8 +262,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang",
 
 
 def _features(docs: DataFrame, stratum_col: str, text_col: str) -> DataFrame:
-    stratum = F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum")
-    return docs.select("doc_id", stratum, quality_features(docs, text_col).alias("q")).select("doc_id", "stratum", "q.*")
+    rows = spread(docs.select("doc_id", F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum"), F.col(text_col).alias("text")))
+    return rows.select("doc_id", "stratum", quality_features(rows, "text").alias("q")).select("doc_id", "stratum", "q.*")
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", text_col: str = "text", risk: RiskControl = RiskControl()) -> DataFrame:
@@ -273,7 +273,7 @@ def quality_filter(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang"
     known = small_side(labels.where("quality is not null and doc_id is not null").select("doc_id").distinct(), BROADCAST_LABELS)
     features = stage(_features(docs.join(known, "doc_id", "left_semi"), stratum_col, text_col), "quality")
     cutoffs = stage(certified_cutoffs(features, labels, risk=risk), "cutoffs")
-    stratum = F.coalesce(F.col(stratum_col), F.lit(""))
+    docs, stratum = spread(docs), F.coalesce(F.col(stratum_col), F.lit(""))
     if cutoffs.limit(MAX_INLINE_STRATA * len(RULES) + 1).count() <= MAX_INLINE_STRATA * len(RULES):
         over = _inline(cutoffs, stratum)
         # one expression, so that the features are computed once per row

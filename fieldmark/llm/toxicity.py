@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, stage
+from .common import fold, spread, stage
 
 ORDERS = (3, 4, 5)
 SAMPLE_PER_CLASS = 1200
@@ -195,13 +195,14 @@ def toxicity_score(model: ToxicityModel):
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
     """(doc_id, score, predicted)."""
-    scored = docs.select("doc_id", toxicity_score(model)(F.col(text_col)).alias("score"))
+    texts = spread(docs.select("doc_id", F.col(text_col).alias("text")))
+    scored = texts.select("doc_id", toxicity_score(model)(F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def toxicity_filter(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
     """The documents that are not predicted toxic, with all their columns."""
-    return docs.where(toxicity_score(model)(F.col(text_col)) < THRESHOLD)
+    return spread(docs).where(toxicity_score(model)(F.col(text_col)) < THRESHOLD)
 
 
 def training_fold(doc_id: Column) -> Column:

@@ -221,6 +221,24 @@ def test_license_scan(docs, texts):
     assert [to_postfix(x) for x in ("MIT OR", "(MIT", "MIT GPL", "")] == [None] * 4
 
 
+def test_license_labels_against_brute_force(spark):
+    from fieldmark.llm.license_scan import BASE_PHRASES, NOTICE_PHRASES, WEIGHTS, license_digest, license_scan
+
+    rng = random.Random(31)
+    phrases = BASE_PHRASES | NOTICE_PHRASES
+    parts = [*phrases, *(p.upper() for p in phrases), "gnu", "general", "license", "mit", "creative commons", "foo-bar", "é", "x1", "\n", "SPDX-License-Identifier: ISC\n", "\nSPDX-License-Identifier: MPL-2.0 OR curl\n"]
+    texts = {i: rng.choice([" ", ", ", "-", "\n"]).join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for i in range(300)}
+    rows = license_digest(license_scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    for i, r in by_id(rows).items():
+        ws = word.findall(texts[i].translate(LOW))
+        hits = [(k, p) for p in phrases for k in range(len(ws)) if ws[k : k + len(p.split())] == p.split()]
+        tags = [x for m in re.finditer(r"(?<![^\W_])SPDX-License-Identifier: (ISC|MPL-2.0 OR curl)", texts[i]) for x in {"ISC": ["isc"]}.get(m[1], ["mpl", "curl"])]
+        assert set(r.labels.split(",")) - {""} == {phrases[p] for _, p in hits} | set(tags), texts[i]
+        missed = math.prod(1 - WEIGHTS["base" if p in BASE_PHRASES else "notice"] for _, p in hits) * (1 - WEIGHTS["tag"]) ** len(tags)
+        assert r.score == pytest.approx(1 - missed)
+
+
 @pytest.mark.parametrize(
     ("text", "labels", "normal"),
     [
@@ -604,6 +622,72 @@ def test_huffman(docs, texts, spark, tmp_path):
     assert code_lengths(np.array([0, 7, 0])).tolist() == [0, 1, 0]
 
 
+@pytest.mark.parametrize("inline", [256, 0])
+def test_filters_judge_rows(spark, monkeypatch, inline):
+    """Rows that share an id are judged by their own texts, whatever their columns are called."""
+    from fieldmark.llm import quality_rules as Q
+    from fieldmark.llm.toxicity import ToxicityModel, toxicity_filter
+
+    monkeypatch.setattr(Q, "MAX_INLINE_STRATA", inline)
+    rng = random.Random(41)
+    good, bad = prose(rng, 40), "short"
+    names = ["stratum", "q", "kept", "row", "cuts", "__toxicity", "emptied"]
+    rows = [(1, good), (1, bad), (None, good), (None, bad), (2, None), (2, ""), (2, good), (2, good)]
+    df = spark.createDataFrame([(*r, "en", *names) for r in rows], "doc_id long, text string, lang string, " + ", ".join(f"`{n}` string" for n in names))
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    out = Q.quality_filter(df, labels)
+    assert out.columns == df.columns
+    assert collections.Counter((r.doc_id, r.text) for r in out.collect()) == collections.Counter([(1, good), (None, good), (2, good), (2, good)])
+    constant = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -1.0)
+    assert toxicity_filter(df, constant).columns == df.columns and toxicity_filter(df, constant).count() == len(rows)
+
+
+def test_pipeline_run_against_plain_stages(spark, tmp_path):
+    """run() equals the stages done plainly: quality verdicts and scores row by row, lines, links, ids."""
+    import corpus_pipeline as C
+    from tokenizers import Tokenizer
+
+    from fieldmark.llm.line_dedup import line_dedup
+    from fieldmark.llm.quality_rules import quality_rules
+    from fieldmark.llm.toxicity import score_toxicity, train_toxicity, training_fold
+
+    base = "/root/testdata/sf0.001"
+    for t in ("documents", "labels"):
+        src = spark.read.parquet(f"{base}/{t}.parquet")
+        if t == "documents":
+            rng = random.Random(51)
+            more = [(9001, prose(rng, 200), "en", "s", 1), (9002, None, None, None, None), (9003, "", "en", "s", 0), (None, prose(rng, 60), "en", "s", 2)]
+            src = src.unionByName(spark.createDataFrame(more, src.schema))
+        src.coalesce(1).write.parquet(str(tmp_path / f"{t}.parquet"))
+    d = str(tmp_path)
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    kept = collections.Counter(r.doc_id for r in quality_rules(docs, labels).where("kept").collect())
+    one = docs.where(F.col("doc_id").isin([i for i in kept if i is not None]) | (F.col("doc_id").isNull() if None in kept else F.lit(False)))
+    model = train_toxicity(one, labels, training_fold(F.col("doc_id")))
+    clean = {r.doc_id for r in score_toxicity(one, model).where("predicted = 0").collect()}
+    two = [r for r in one.collect() if r.doc_id in clean]
+    third = line_dedup(spark.createDataFrame(two, docs.schema), report=True).collect()
+    before = {r.doc_id: r.text for r in two}
+    four = {}
+    for r in third:
+        gone = set((before[r.doc_id] or "").split("\n")) - set((r.text or "").split("\n"))
+        assert r.n_removed_lines == 0 or gone or r.n_lines > r.n_removed_lines
+        if not (r.n_removed_lines and not words(r.text)):
+            four[r.doc_id] = r.text
+    least = components({i: shingles(t, 5) for i, t in four.items() if i is not None}, 80)
+    five = {i for i in four if i is None or least[i] == i}
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rows = C.run(spark, d).collect()
+    assert {r.doc_id for r in rows} == five
+    pieces = collections.defaultdict(dict)
+    for r in rows:
+        pieces[r.doc_id][r.start] = r
+    for i in five:
+        ids = np.array([*t.encode(four[i] or "", add_special_tokens=False).ids, 1], "<u4")
+        assert sum(r.length for r in pieces[i].values()) == len(ids)
+        assert all(r.ids_crc32 == zlib.crc32(ids[s : s + r.length].tobytes()) for s, r in pieces[i].items())
+
+
 def test_pipeline(spark):
     import corpus_pipeline as C
 
