@@ -129,6 +129,12 @@ def annual_normal(series: DataFrame, y0: int, y1: int) -> DataFrame:
     return years.groupBy("key").agg(F.avg("total").alias("normal"), F.count("*").alias("years"))
 
 
+def monthly_normal(series: DataFrame, y0: int, y1: int) -> DataFrame:
+    """Mean over years of every calendar month, per key, and the number of years behind it."""
+    rows = series.where(F.year("month").between(y0, y1))
+    return rows.groupBy("key", F.month("month").alias("moy")).agg(F.avg("num").alias("normal"), F.count("*").alias("years"))
+
+
 def monthly_composite(obs: DataFrame) -> DataFrame:
     keys = ["cell", "band", "month"]
     return obs.groupBy(*keys).agg(F.avg("num").alias("mean"), F.count("*").alias("n")).join(counted_median(obs, keys, "num"), keys, "left")
@@ -166,7 +172,7 @@ def screen_plots(plots: DataFrame) -> DataFrame:
 def coverage_matrix(facts: DataFrame) -> DataFrame:
     return facts.groupBy("band").agg(
         F.count("*").alias("n_facts"), F.countDistinct("cell").alias("n_cells"), F.min("tslot").alias("from_slot"), F.max("tslot").alias("to_slot"),
-        F.bool_or(F.col("kind") == "primary").alias("has_values"),
+        F.max("signed_at").alias("newest"), F.bool_or(F.col("kind") == "primary").alias("has_values"),
     )
 
 
@@ -174,6 +180,11 @@ def corpus_stats(facts: DataFrame) -> DataFrame:
     return facts.agg(F.countDistinct("cell").alias("cells"), F.countDistinct("band").alias("bands"), F.count("*").alias("facts"))
 
 
+def top_bands(facts: DataFrame, n: int) -> DataFrame:
+    """The n bands with most facts."""
+    return facts.groupBy("band").agg(F.count("*").alias("facts")).orderBy(F.desc("facts"), "band").limit(n)
+
+
 def density_bins(points: DataFrame) -> DataFrame:
     g = points.groupBy(F.floor("lat").alias("lat_bin"), F.floor("lng").alias("lng_bin")).agg(F.count("*").alias("n"))
     return g.withColumn("level", F.log1p("n"))
@@ -181,9 +192,13 @@ def density_bins(points: DataFrame) -> DataFrame:
 
 def contributors(batches: DataFrame, citations: DataFrame, n: int) -> DataFrame:
     """Top signers by citations + 8 ln(1 + facts) + 4 ln(1 + attestations); unique_cells is the sum of
-    per-batch distinct counts. ``batches``: (batch_id, attester, cell); ``citations``: (attester, n)."""
-    per = batches.groupBy("attester", "batch_id").agg(F.count("*").alias("facts"), F.countDistinct("cell").alias("cells"))
-    g = per.groupBy("attester").agg(F.count("*").alias("attestations"), F.sum("facts").alias("facts"), F.sum("cells").alias("unique_cells"))
+    per-batch distinct counts. ``batches``: (batch_id, attester, cell, seen); ``citations``: (attester, n)."""
+    per = batches.groupBy("attester", "batch_id").agg(
+        F.count("*").alias("facts"), F.countDistinct("cell").alias("cells"), F.min("seen").alias("lo"), F.max("seen").alias("hi")
+    )
+    g = per.groupBy("attester").agg(
+        F.count("*").alias("attestations"), F.sum("facts").alias("facts"), F.sum("cells").alias("unique_cells"), F.min("lo").alias("first_seen"), F.max("hi").alias("last_seen")
+    )
     j = g.join(citations, "attester", "left").withColumn("citations", F.coalesce("n", F.lit(0))).drop("n")
     score = F.col("citations") + 8 * F.log1p("facts") + 4 * F.log1p("attestations")
     return j.withColumn("score", score).orderBy(F.desc("score"), "attester").limit(n)
@@ -193,16 +208,28 @@ def contributors(batches: DataFrame, citations: DataFrame, n: int) -> DataFrame:
 VOLUME_WEIGHT = {"very_high": 4, "high": 3, "medium": 2, "low": 1}
 
 
-def eval_report(results: DataFrame) -> DataFrame:
-    """Accuracy, volume-weighted accuracy, severity-weighted misses and mean time per domain."""
+def eval_report(results: DataFrame, by: str = "domain") -> DataFrame:
+    """Accuracy, volume-weighted accuracy, severity-weighted misses, and mean, median and 95th percentile
+    of time per domain (or volume, or region)."""
     w = F.lit(1)
     for k, v in VOLUME_WEIGHT.items():
         w = F.when(F.col("volume") == k, v).otherwise(w)
     hit = F.col("pass").cast("int")
-    return results.withColumn("w", w).groupBy("domain").agg(
+    base = results.withColumn("w", w).groupBy(by).agg(
         F.count("*").alias("n"), F.avg(hit).alias("accuracy"), (F.sum(hit * F.col("w")) / F.sum("w")).alias("weighted_accuracy"),
         F.sum((1 - hit) * F.col("severity")).alias("miss_cost"), F.avg("elapsed").alias("mean_elapsed"),
     )
+    for p, name in ((0.5, "p50"), (0.95, "p95")):
+        base = base.join(nearest_rank(results, [by], "elapsed", p, name), by, "left")
+    return base
+
+
+def grade_lists(answers: DataFrame, truth: DataFrame) -> DataFrame:
+    """Whether the ids of an answer are exactly the expected ones, and the share of these that it holds.
+    Both: (id, ids)."""
+    j = answers.select("id", F.array_distinct("ids").alias("a")).join(truth.select("id", F.array_distinct("ids").alias("t")), "id")
+    both = F.size(F.array_intersect("a", "t"))
+    return j.select("id", (F.array_sort("a") == F.array_sort("t")).alias("exact"), F.when(F.size("t") > 0, both / F.size("t")).alias("overlap"))
 
 
 def grade(answers: DataFrame, truth: DataFrame) -> DataFrame:
@@ -210,10 +237,15 @@ def grade(answers: DataFrame, truth: DataFrame) -> DataFrame:
     return answers.join(truth, "id").select("id", F.coalesce(F.col("answer").between(F.col("lo"), F.col("hi")), F.lit(False)).alias("ok"))
 
 
-def usage_stats(log: DataFrame, edges: list[float]) -> DataFrame:
-    """Calls per tool and latency bucket."""
+def usage_stats(log: DataFrame) -> DataFrame:
+    """Calls per tool and client platform."""
+    return log.groupBy("tool", "platform").agg(F.count("*").alias("calls"))
+
+
+def latency_histogram(log: DataFrame, edges: list[float]) -> DataFrame:
+    """Calls per path and latency bucket; a bucket is the number of edges reached."""
     bucket = sum(((F.col("elapsed") >= e).cast("int") for e in edges), F.lit(0))
-    return log.groupBy("tool", bucket.alias("bucket")).agg(F.count("*").alias("calls"))
+    return log.groupBy("path", bucket.alias("bucket")).agg(F.count("*").alias("calls"))
 
 
 def fire_summary(fires: DataFrame) -> DataFrame:

@@ -54,8 +54,43 @@ def with_center(df: DataFrame, cell: str = "cell") -> DataFrame:
 
 
 def cell_dim(facts: DataFrame) -> DataFrame:
-    """Distinct cells with centre and counts of facts and bands."""
-    return with_center(facts.groupBy("cell").agg(F.count("*").alias("n_facts"), F.countDistinct("band").alias("n_bands")))
+    """Distinct cells with centre, box and counts of facts and bands."""
+    dim = with_center(facts.groupBy("cell").agg(F.count("*").alias("n_facts"), F.countDistinct("band").alias("n_bands")))
+    half_lat, half_lng = 90 / LAT_MAX, 180 / LNG_MAX
+    return dim.withColumns(
+        {"lat_min": F.col("lat") - half_lat, "lat_max": F.col("lat") + half_lat, "lng_min": F.col("lng") - half_lng, "lng_max": F.col("lng") + half_lng}
+    )
+
+
+def to_pixel(points: DataFrame, rasters: DataFrame) -> DataFrame:
+    """Row and column of every point (id, x, y, raster) on its raster, rounded to the nearest pixel.
+    ``rasters``: (raster, x0, y0, dx, dy, width, height, nodata), the header: world place of pixel (0, 0)
+    and the steps of a column and a row; one row per raster."""
+    j = points.join(rasters, "raster")
+    half_up = lambda v: F.floor(v + 0.5)
+    return j.withColumns({"row": half_up((F.col("y") - F.col("y0")) / F.col("dy")), "col": half_up((F.col("x") - F.col("x0")) / F.col("dx"))})
+
+
+def sample_points(points: DataFrame, pixels: DataFrame, rasters: DataFrame, bands: list[str]) -> DataFrame:
+    """(id, band, value, kind, reason): every band's value at every point; outside the image and on nodata
+    an absence. ``pixels``: (raster, band, row, col, value)."""
+    at = to_pixel(points, rasters).withColumn("band", F.explode(F.array(*map(F.lit, bands))))
+    inside = F.col("row").between(0, F.col("height") - 1) & F.col("col").between(0, F.col("width") - 1)
+    found = at.join(pixels, ["raster", "band", "row", "col"], "left")
+    reason = F.when(~inside, "outside_image").when(F.col("value").isNull() | (F.col("value") == F.col("nodata")), "nodata")
+    j = found.select("id", "band", "value", reason.alias("reason"))
+    return j.select("id", "band", F.when(F.col("reason").isNull(), F.col("value")).alias("value"), F.when(F.col("reason").isNull(), "primary").otherwise("absence").alias("kind"), "reason")
+
+
+def sample_windows(points: DataFrame, pixels: DataFrame, rasters: DataFrame, w: int, h: int) -> DataFrame:
+    """(id, window): w x h pixels around every point, row by row; pixels outside the image or without a
+    value are 0. ``pixels``: (raster, row, col, value)."""
+    steps = F.array(*[F.struct(F.lit(r * w + c).alias("k"), F.lit(r - h // 2).alias("dr"), F.lit(c - w // 2).alias("dc")) for r in range(h) for c in range(w)])
+    at = to_pixel(points, rasters).select("id", "raster", "nodata", "row", "col", F.explode(steps).alias("s"))
+    at = at.select("id", "raster", "nodata", "s.k", (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"))
+    value = F.coalesce(F.when(F.col("value") != F.col("nodata"), F.col("value")), F.lit(0.0))
+    j = at.join(pixels, ["raster", "row", "col"], "left").select("id", F.struct("k", value.alias("v")).alias("x"))
+    return j.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("window"))
 
 
 def parent_cell(cell: Column, level: Column) -> Column:

@@ -23,7 +23,16 @@ def any_of(text: Column, phrases: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(p) for p in phrases])
 
 
-def in_scope(questions: DataFrame, denied: tuple[str, ...]) -> DataFrame:
+# Phrases of questions that are out of scope.
+OUT_OF_SCOPE = (
+    "who won", "election", "elections", "who is the president", "current president", "current prime minister", "world cup", "super bowl",
+    "olympic medal", "meaning of life", "what's the meaning", "tell me a joke", "write a poem", "are you sentient", "are you conscious",
+    "stock price", "stock market", "share price", "crypto price", "bitcoin price", "ethereum price", "nasdaq", "what should i eat",
+    "recipe for", "how do i lose weight", "ignore previous", "system prompt", "you are now",
+)
+
+
+def in_scope(questions: DataFrame, denied: tuple[str, ...] = OUT_OF_SCOPE) -> DataFrame:
     """Whether a question has text and none of the denied phrases."""
     t = F.lower(F.btrim("text"))
     return questions.select("qid", F.coalesce((F.length(t) > 0) & ~any_of(t, denied), F.lit(False)).alias("in_scope"))

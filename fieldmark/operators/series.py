@@ -34,7 +34,7 @@ def seasonal_forecast(series: DataFrame, lookback: int = 6, lo: float = -1.0, hi
 def lag_pairs(vintages: DataFrame, lags: int = 3) -> DataFrame:
     """Sliding (``lags`` vectors, next vector) pairs of the longest run of consecutive years of every
     cell (first on ties), the newest pair held out."""
-    years = vintages.groupBy("cell", "year").agg(F.first("vec").alias("vec"))
+    years = vintages.groupBy("cell", "year").agg(F.min("vec").alias("vec"))
     w = Window.partitionBy("cell").orderBy("year")
     islands = years.withColumn("island", F.col("year") - F.row_number().over(w))
     size = islands.groupBy("cell", "island").agg(F.count("*").alias("n")).where(F.col("n") > lags)
@@ -52,6 +52,20 @@ def persistence_forecast(vintages: DataFrame) -> DataFrame:
     return g.select("cell", (F.col("last.year") + 1).alias("year"), F.col("last.vec").alias("forecast"))
 
 
+def persistence_score(vintages: DataFrame) -> DataFrame:
+    """Cosine and squared error of the last vintage but one as the forecast of the last, for cells with
+    three vintages or more."""
+    from .vectors import cosine, l2
+
+    years = vintages.groupBy("cell", "year").agg(F.min("vec").alias("vec"))
+    w = Window.partitionBy("cell")
+    last = years.select(
+        "cell", "year", "vec", F.lag("vec").over(w.orderBy("year")).alias("before"), F.max("year").over(w).alias("newest"), F.count("*").over(w).alias("n")
+    ).where("n >= 3 and year = newest")
+    a, b = F.col("vec"), F.col("before")
+    return last.select("cell", "year", cosine(a, b).alias("cosine"), (l2(a, b) * l2(a, b)).alias("squared_error"))
+
+
 def temporal_recipe(facts: DataFrame, recipe: DataFrame, now: int) -> DataFrame:
     """One value per (cell, recipe step). ``recipe``: (band, lookback, aggregator, purpose, trigger); a
     value below its trigger is skipped."""

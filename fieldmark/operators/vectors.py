@@ -250,6 +250,15 @@ def triage_recall(triage: DataFrame, exact: DataFrame, k: int) -> DataFrame:
     return hit.groupBy("q").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count("*")).alias("recall"))
 
 
+def recall_ewma(recalls: DataFrame, alpha: float = 0.05, warm: int = 50, most: int = 1000) -> DataFrame:
+    """(q, ewma, warm): the running average of recalls in the order of queries, and whether enough of them
+    were seen. Only the last ``most`` weigh in: older ones weigh less than a double's last bit."""
+    order = Window.orderBy("q")
+    last = F.collect_list("recall").over(order.rowsBetween(-most + 1, 0))
+    mean = F.aggregate(last, F.lit(None).cast("double"), lambda a, x: F.coalesce((1 - alpha) * a + alpha * x, x))
+    return recalls.select("q", mean.alias("ewma"), (F.row_number().over(order) >= warm).alias("warm"))
+
+
 def consensus(lists: list[DataFrame]) -> DataFrame:
     """How many lists of (q, cell) hold each cell."""
     u = lists[0].select("q", "cell")

@@ -79,13 +79,14 @@ def f03_zonal_cells(spark, d):
 
 @query(
     X.with_("samples")
-    + "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((cop-swr)/nullif(cop+swr,0),6) AS ndvi, round(2.5*(cop-swr)/nullif(cop+6*swr-7.5*rh+1,0),4) AS evi FROM samples"
+    + "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((cop-swr)/nullif(cop+swr,0),6) AS ndvi, round(2.5*(cop-swr)/nullif(cop+6*swr-7.5*rh+1,0),4) AS evi, round((rh-cop)/nullif(rh+cop,0),6) AS ndwi FROM samples"
 )
 def f05_spectral_indices(spark, d):
     s = X.samples(spark, d)
     return s.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(A.ratio_index(F.col("cop"), F.col("swr")), 6).alias("ndvi"),
         F.round(A.enhanced_vegetation(F.col("rh"), F.col("swr"), F.col("cop")), 4).alias("evi"),
+        F.round(A.ratio_index(F.col("rh"), F.col("cop")), 6).alias("ndwi"),
     )
 
 
@@ -159,6 +160,11 @@ def f17_annual_normal(spark, d):
     return A.annual_normal(X.monthly(spark, d), 1995, 2000).withColumn("normal", F.round("normal", 6))
 
 
+@query(X.with_("monthly") + "SELECT key, month(month) AS moy, round(avg(num),6) AS normal, count(*) AS years FROM monthly WHERE year(month) BETWEEN 1995 AND 2000 GROUP BY ALL")
+def f17_monthly_normal(spark, d):
+    return A.monthly_normal(X.monthly(spark, d), 1995, 2000).withColumn("normal", F.round("normal", 6))
+
+
 @query(
     """SELECT user_id AS cell, count(*) AS n, max(value) AS max_frp, round(sum(value),4) AS sum_frp, CAST(floor(epoch(max(ts))) AS BIGINT) AS last, max(user_id%101) AS max_confidence, CAST(bit_or(1<<(event_id%4)::INT) AS BIGINT) AS sensors,
     sum((hour(ts) BETWEEN 6 AND 17)::INT)::BIGINT*255//count(*) AS day_share FROM events GROUP BY user_id"""
@@ -172,7 +178,7 @@ def f18_fire_summary(spark, d):
     return A.fire_summary(fires).withColumn("sum_frp", F.round("sum_frp", 4))
 
 
-@query(X.with_("facts") + "SELECT band, count(*) AS n_facts, count(DISTINCT cell) AS n_cells, min(tslot) AS from_slot, max(tslot) AS to_slot, bool_or(kind='primary') AS has_values FROM facts GROUP BY band")
+@query(X.with_("facts") + "SELECT band, count(*) AS n_facts, count(DISTINCT cell) AS n_cells, min(tslot) AS from_slot, max(tslot) AS to_slot, max(signed_at) AS newest, bool_or(kind='primary') AS has_values FROM facts GROUP BY band")
 def f19_coverage_matrix(spark, d):
     return A.coverage_matrix(X.facts(spark, d))
 
@@ -182,6 +188,11 @@ def f20_corpus_stats(spark, d):
     return A.corpus_stats(X.facts(spark, d))
 
 
+@query(X.with_("facts") + "SELECT band, count(*) AS facts FROM facts GROUP BY band ORDER BY facts DESC, band LIMIT 3")
+def f20_top_bands(spark, d):
+    return A.top_bands(X.facts(spark, d), 3)
+
+
 @query(f"WITH {DENSE.replace('/1000.0','')} SELECT CAST(floor(lat) AS BIGINT) AS lat_bin, CAST(floor(lng) AS BIGINT) AS lng_bin, count(*) AS n, round(ln(1+count(*)),6) AS level FROM pts GROUP BY 1,2")
 def f21_density_bins(spark, d):
     p = X.with_point(X.read(spark, d, "events"), "event_id")
@@ -189,25 +200,57 @@ def f21_density_bins(spark, d):
 
 
 @query(
-    """WITH b AS (SELECT l_orderkey AS batch_id, l_orderkey%50 AS attester, l_partkey AS cell FROM lineitem), p AS (SELECT attester, batch_id, count(*) AS facts, count(DISTINCT cell) AS cells FROM b GROUP BY ALL),
-    c AS (SELECT l_suppkey%50 AS attester, count(*) AS n FROM lineitem GROUP BY 1) SELECT attester, count(*) AS attestations, sum(facts)::BIGINT AS facts, sum(cells)::BIGINT AS unique_cells, any_value(coalesce(n,0)) AS citations,
+    """WITH b AS (SELECT l_orderkey AS batch_id, l_orderkey%50 AS attester, l_partkey AS cell, l_shipdate AS seen FROM lineitem), p AS (SELECT attester, batch_id, count(*) AS facts, count(DISTINCT cell) AS cells, min(seen) AS lo, max(seen) AS hi FROM b GROUP BY ALL),
+    c AS (SELECT l_suppkey%50 AS attester, count(*) AS n FROM lineitem GROUP BY 1) SELECT attester, count(*) AS attestations, sum(facts)::BIGINT AS facts, sum(cells)::BIGINT AS unique_cells, min(lo) AS first_seen, max(hi) AS last_seen, any_value(coalesce(n,0)) AS citations,
     round(any_value(coalesce(n,0))+8*ln(1+sum(facts))+4*ln(1+count(*)),6) AS score FROM p LEFT JOIN c USING (attester) GROUP BY attester ORDER BY score DESC, attester LIMIT 20"""
 )
 def f22_contributors(spark, d):
     li = X.read(spark, d, "lineitem")
-    b = li.select(F.col("l_orderkey").alias("batch_id"), (F.col("l_orderkey") % 50).alias("attester"), F.col("l_partkey").alias("cell"))
+    b = li.select(F.col("l_orderkey").alias("batch_id"), (F.col("l_orderkey") % 50).alias("attester"), F.col("l_partkey").alias("cell"), F.col("l_shipdate").alias("seen"))
     c = li.groupBy((F.col("l_suppkey") % 50).alias("attester")).agg(F.count("*").alias("n"))
     return A.contributors(b, c, 20).withColumn("score", F.round("score", 6))
 
 
+def report_sql(by: str) -> str:
+    rank = "CAST(floor((c-1)*{p}+0.5) AS BIGINT)"
+    return (
+        X.with_("results")
+        + f""", w AS (SELECT *, user_id%12 AS region, CASE volume WHEN 'very_high' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS w FROM results), k AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY elapsed)-1 AS rn, count(*) OVER (PARTITION BY {by}) AS c FROM w)
+    SELECT {by}, count(*) AS n, round(avg(pass::INT),6) AS accuracy, round(sum(pass::INT*w)/sum(w),6) AS weighted_accuracy, sum((1-pass::INT)*severity)::BIGINT AS miss_cost, round(avg(elapsed),6) AS mean_elapsed,
+    max(elapsed) FILTER (rn={rank.format(p=0.5)}) AS p50, max(elapsed) FILTER (rn={rank.format(p=0.95)}) AS p95 FROM k GROUP BY {by}"""
+    )
+
+
+def report(spark, d, by):
+    r = A.eval_report(X.results(spark, d).withColumn("region", F.col("user_id") % 12), by)
+    return r.withColumns({c: F.round(c, 6) for c in ("accuracy", "weighted_accuracy", "mean_elapsed")})
+
+
+@query(report_sql("domain"))
+def f23_eval_report(spark, d):
+    return report(spark, d, "domain")
+
+
+@query(report_sql("volume"))
+def f23_eval_by_volume(spark, d):
+    return report(spark, d, "volume")
+
+
+@query(report_sql("region"))
+def f23_eval_by_region(spark, d):
+    return report(spark, d, "region")
+
+
 @query(
-    X.with_("results")
-    + """, w AS (SELECT *, CASE volume WHEN 'very_high' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS w FROM results)
-    SELECT domain, count(*) AS n, round(avg(pass::INT),6) AS accuracy, round(sum(pass::INT*w)/sum(w),6) AS weighted_accuracy, sum((1-pass::INT)*severity)::BIGINT AS miss_cost, round(avg(elapsed),6) AS mean_elapsed FROM w GROUP BY domain"""
+    """WITH e AS (SELECT event_id AS id, list_sort(list_distinct([event_id%7, user_id%5, 3])) AS a, list_sort(list_distinct([event_id%5, user_id%7, 3])) AS t FROM events)
+    SELECT id, a=t AS exact, round(len(list_intersect(a,t))/len(t),6) AS overlap FROM e"""
 )
-def f23_eval_report(spark, d):
-    r = A.eval_report(X.results(spark, d))
-    return r.withColumns({c: F.round(c, 6) for c in ("accuracy", "weighted_accuracy", "mean_elapsed")})
+def f24_grade_lists(spark, d):
+    e = X.read(spark, d, "events")
+    k, u = F.col("event_id"), F.col("user_id")
+    three = F.lit(3).cast("bigint")
+    g = A.grade_lists(e.select(k.alias("id"), F.array(k % 7, u % 5, three).alias("ids")), e.select(k.alias("id"), F.array(k % 5, u % 7, three).alias("ids")))
+    return g.withColumn("overlap", F.round("overlap", 6))
 
 
 @query("SELECT event_id AS id, coalesce(value BETWEEN 10 AND 10+user_id%90, false) AS ok FROM events")
@@ -216,10 +259,20 @@ def f24_grade(spark, d):
     return A.grade(e.select("id", F.col("value").alias("answer")), e.select("id", F.lit(10).alias("lo"), (10 + F.col("user_id") % 90).alias("hi")))
 
 
-@query("SELECT event_type AS tool, (value>=10)::INT+(value>=50)::INT+(value>=200)::INT AS bucket, count(*) AS calls FROM events GROUP BY 1,2")
+def request_log(spark, d):
+    platform = F.element_at(F.array(*map(F.lit, ("cli", "web", "sdk"))), (F.col("user_id") % 3 + 1).cast("int"))
+    path = F.concat(F.lit("/v"), (F.col("event_id") % 4).cast("string"))
+    return X.read(spark, d, "events").select(F.col("event_type").alias("tool"), platform.alias("platform"), path.alias("path"), F.col("value").alias("elapsed"))
+
+
+@query("SELECT event_type AS tool, ['cli','web','sdk'][user_id%3+1] AS platform, count(*) AS calls FROM events GROUP BY 1,2")
 def f25_usage_stats(spark, d):
-    log = X.read(spark, d, "events").select(F.col("event_type").alias("tool"), F.col("value").alias("elapsed"))
-    return A.usage_stats(log, [10.0, 50.0, 200.0])
+    return A.usage_stats(request_log(spark, d))
+
+
+@query("SELECT '/v' || (event_id%4) AS path, (value>=10)::INT+(value>=50)::INT+(value>=200)::INT AS bucket, count(*) AS calls FROM events GROUP BY 1,2")
+def f25_latency_histogram(spark, d):
+    return A.latency_histogram(request_log(spark, d), [10.0, 50.0, 200.0])
 
 
 SERIES = "s AS (SELECT key, (year(month)*12+month(month))::BIGINT AS t, num/1000 AS num FROM monthly)"
@@ -247,11 +300,12 @@ def g04_seasonal_forecast(spark, d):
 @query(
     X.with_("vecs")
     + """, y AS (SELECT cell, tslot AS year FROM vecs), p AS (SELECT cell, year FROM y WHERE (SELECT count(*) FROM y z WHERE z.cell=y.cell AND z.year BETWEEN y.year-3 AND y.year-1)=3)
-    SELECT cell, year, year=max(year) OVER (PARTITION BY cell) AS held_out FROM p"""
+    SELECT p.cell, year, year=max(year) OVER (PARTITION BY p.cell) AS held_out, list_transform(v.vec, lambda x: round(x,6)+0.0) AS target, (SELECT list(list_transform(b.vec, lambda x: round(x,6)+0.0) ORDER BY b.tslot) FROM vecs b WHERE b.cell=p.cell AND b.tslot BETWEEN p.year-3 AND p.year-1) AS inputs FROM p JOIN vecs v ON v.cell=p.cell AND v.tslot=p.year"""
 )
 def g05_lag_pairs(spark, d):
     v = X.vecs(spark, d).withColumnRenamed("tslot", "year")
-    return S.lag_pairs(v).select("cell", "year", "held_out")
+    plain = lambda v: F.transform(v, lambda x: F.round(x, 6) + 0.0)
+    return S.lag_pairs(v).select("cell", "year", "held_out", plain(F.col("target")).alias("target"), F.transform("inputs", plain).alias("inputs"))
 
 
 @query(X.with_("vecs") + "SELECT cell, max(tslot)+1 AS year, round(list_sum(arg_max(vec, tslot)),5) AS total FROM vecs GROUP BY cell HAVING count(DISTINCT tslot)>=3")
@@ -260,6 +314,17 @@ def g06_persistence_forecast(spark, d):
     return f.select("cell", "year", F.round(F.aggregate("forecast", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
+@query(
+    X.with_("vecs")
+    + """, r AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY tslot DESC) AS rn, count(*) OVER (PARTITION BY cell) AS n FROM vecs)
+    SELECT a.cell, a.tslot AS year, round(list_dot_product(a.vec,b.vec)/(sqrt(list_dot_product(a.vec,a.vec))*sqrt(list_dot_product(b.vec,b.vec))),6) AS cosine, round(list_sum(list_transform(list_zip(a.vec,b.vec), lambda z: (z[1]-z[2])*(z[1]-z[2]))),5) AS squared_error
+    FROM r a JOIN r b ON a.cell=b.cell AND a.rn=1 AND b.rn=2 WHERE a.n>=3"""
+)
+def g06_persistence_score(spark, d):
+    s = S.persistence_score(X.vecs(spark, d).withColumnRenamed("tslot", "year"))
+    return s.select("cell", "year", F.round("cosine", 6).alias("cosine"), F.round("squared_error", 5).alias("squared_error"))
+
+
 @query(
     X.with_("facts")
     + """, i AS (SELECT * FROM facts WHERE kind='primary' AND tslot<=19745 AND ((band='click' AND tslot>19735) OR (band='purchase' AND tslot>19725)))

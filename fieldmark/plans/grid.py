@@ -42,10 +42,17 @@ def b01_to_cell(spark, d):
     return G.to_cell(points(spark, d)).groupBy("cell").agg(F.count("*").alias("n"), F.round(F.sum("num"), 4).alias("total"))
 
 
-@query(f"WITH {POINTS}, {CELLS} SELECT cell, count(*) AS n_facts, round(((cell >> 22) & {G.LAT_MAX})/{G.LAT_MAX}.0*180-90, 6) AS lat, round((cell & {G.LNG_MAX})/{G.LNG_MAX}.0*360-180, 6) AS lng FROM cells GROUP BY cell")
+BANDED = f"pts AS (SELECT event_id AS id, value AS num, event_type AS band, {X.point_sql('event_id', True)} FROM events)"
+CENTRE = f"(SELECT *, ((cell >> 22) & {G.LAT_MAX})/{G.LAT_MAX}.0*180-90 AS clat, (cell & {G.LNG_MAX})/{G.LNG_MAX}.0*360-180 AS clng FROM cells)"
+
+
+@query(
+    f"""WITH {BANDED}, {CELLS} SELECT cell, count(*) AS n_facts, count(DISTINCT band) AS n_bands, round(any_value(clat),6) AS lat, round(any_value(clng),6) AS lng,
+    round(any_value(clat)-90.0/{G.LAT_MAX},6) AS lat_min, round(any_value(clat)+90.0/{G.LAT_MAX},6) AS lat_max, round(any_value(clng)-180.0/{G.LNG_MAX},6) AS lng_min, round(any_value(clng)+180.0/{G.LNG_MAX},6) AS lng_max FROM {CENTRE} GROUP BY cell"""
+)
 def b02_cell_dim(spark, d):
-    dim = G.cell_dim(G.to_cell(points(spark, d)).withColumn("band", F.lit("b")))
-    return dim.select("cell", "n_facts", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
+    dim = G.cell_dim(G.to_cell(dense(spark, d)))
+    return dim.withColumns({c: F.round(c, 6) for c in dim.columns[3:]})
 
 
 @query(
@@ -117,10 +124,10 @@ def b08_hilbert_key(spark, d):
 
 @query(
     X.with_("pixels", extra=N9)
-    + """SELECT "row", col, round(degrees(atan(sqrt(dx*dx+dy*dy))),6) AS slope, round(v4 - (v0+v1+v2+v3+v4+v5+v6+v7+v8)/9,6) AS tpi FROM (SELECT *, ((v2+2*v5+v8)-(v0+2*v3+v6))/8 dx, ((v6+2*v7+v8)-(v0+2*v1+v2))/8 dy FROM n9) WHERE v0+v1+v2+v3+v4+v5+v6+v7+v8 IS NOT NULL"""
+    + """SELECT "row", col, round(degrees(atan(sqrt(dx*dx+dy*dy))),6) AS slope, round((degrees(atan2(-dx,dy))+360)%360,4) AS aspect, round(v4 - (v0+v1+v2+v3+v4+v5+v6+v7+v8)/9,6) AS tpi FROM (SELECT *, ((v2+2*v5+v8)-(v0+2*v3+v6))/8 dx, ((v6+2*v7+v8)-(v0+2*v1+v2))/8 dy FROM n9) WHERE v0+v1+v2+v3+v4+v5+v6+v7+v8 IS NOT NULL"""
 )
 def f06_terrain(spark, d):
-    return A.terrain(X.pixels(spark, d)).select("row", "col", F.round("slope", 6).alias("slope"), F.round("tpi", 6).alias("tpi"))
+    return A.terrain(X.pixels(spark, d)).withColumns({"slope": F.round("slope", 6), "aspect": F.round("aspect", 4), "tpi": F.round("tpi", 6)})
 
 
 @query(
@@ -134,10 +141,10 @@ def f14_neighbour_anomaly(spark, d):
 
 @query(
     X.with_("pixels", extra=N9)
-    + """SELECT "row", col, round(s/4 + pow(1-4*0.2, 3)*(v4-s/4),6) AS value FROM (SELECT *, coalesce(v1,v4)+coalesce(v3,v4)+coalesce(v5,v4)+coalesce(v7,v4) AS s FROM n9)"""
+    + """SELECT "row", col, round(s/4 + pow(1-4*0.2, 3)*(v4-s/4),6) AS value, greatest(v0,v1,v2,v3,v4,v5,v6,v7,v8)-least(v0,v1,v2,v3,v4,v5,v6,v7,v8)<0.01 AS uniform FROM (SELECT *, coalesce(v1,v4)+coalesce(v3,v4)+coalesce(v5,v4)+coalesce(v7,v4) AS s FROM n9)"""
 )
 def f15_relax_stencil(spark, d):
-    return A.relax_stencil(X.pixels(spark, d), 0.2, 3).select("row", "col", F.round("value", 6).alias("value"))
+    return A.relax_stencil(X.pixels(spark, d), 0.2, 3).withColumn("value", F.round("value", 6))
 
 
 @query(X.with_("pixels") + 'SELECT "row"//4 AS "row", col//4 AS col, round(avg(value)+1e-9,5) AS value, count(*) AS n FROM pixels GROUP BY 1,2')
@@ -145,24 +152,37 @@ def f16_downsample(spark, d):
     return A.downsample(X.pixels(spark, d), 4).withColumn("value", F.round(F.col("value") + 1e-9, 5))
 
 
+# one raster of 150 rows of 100 pixels; low values are nodata
+RASTER = [("r", 0.0, 0.0, 1.0, -1.0, 100, 150, -9999.0)]
+
+
+def raster(spark, d):
+    header = spark.createDataFrame(RASTER, "raster string, x0 double, y0 double, dx double, dy double, width int, height int, nodata double")
+    px = X.pixels(spark, d).select(F.lit("r").alias("raster"), "row", "col", F.when(F.col("value") < 100, -9999.0).otherwise(F.col("value")).alias("value"))
+    return px, header
+
+
 @query(
     X.with_("pixels")
-    + """, q AS (SELECT c_custkey AS id, CAST(floor(c_acctbal/100+0.5) AS BIGINT) AS r, CAST(floor((c_custkey%1200)/12.0+0.5) AS BIGINT) AS c FROM customer) SELECT q.id, p.value, CASE WHEN p.value IS NULL THEN 'absence' ELSE 'primary' END AS kind FROM q LEFT JOIN pixels p ON p."row"=q.r AND p.col=q.c"""
+    + """, q AS (SELECT c_custkey AS id, CAST(floor((-c_acctbal/100)/-1.0+0.5) AS BIGINT) AS r, CAST(floor((c_custkey%1200)/12.0+0.5) AS BIGINT) AS c FROM customer), b AS (SELECT *, unnest(['plain','twice']) AS band FROM q),
+    j AS (SELECT b.id, b.band, CASE WHEN r<0 OR r>149 OR c<0 OR c>99 THEN 'outside_image' WHEN p.value IS NULL OR p.value<100 THEN 'nodata' END AS reason, CASE band WHEN 'plain' THEN p.value ELSE 2*p.value END AS v FROM b LEFT JOIN pixels p ON p."row"=b.r AND p.col=b.c)
+    SELECT id, band, CASE WHEN reason IS NULL THEN v END AS value, CASE WHEN reason IS NULL THEN 'primary' ELSE 'absence' END AS kind, reason FROM j"""
 )
 def d13_sample_points(spark, d):
-    c = X.read(spark, d, "customer")
-    q = c.select(F.col("c_custkey").alias("id"), F.floor(F.col("c_acctbal") / 100 + 0.5).alias("row"), F.floor((F.col("c_custkey") % 1200) / 12 + 0.5).alias("col"))
-    return q.join(X.pixels(spark, d), ["row", "col"], "left").select("id", "value", F.when(F.col("value").isNull(), "absence").otherwise("primary").alias("kind"))
+    px, header = raster(spark, d)
+    twice = F.when(F.col("value") == -9999, F.col("value")).otherwise(2 * F.col("value"))
+    px = px.withColumn("band", F.lit("plain")).unionByName(px.withColumns({"band": F.lit("twice"), "value": twice}))
+    q = X.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("r").alias("raster"), ((F.col("c_custkey") % 1200) / 12).alias("x"), (-F.col("c_acctbal") / 100).alias("y"))
+    return G.sample_points(q, px, header, ["plain", "twice"])
 
 
 @query(
     X.with_("pixels")
-    + """, q AS (SELECT s_suppkey AS id, s_suppkey%150 AS r, (s_suppkey*3)%100 AS c FROM supplier), o AS (SELECT *, unnest([-1,0,1]) AS dr FROM q), w AS (SELECT *, unnest([-1,0,1]) AS dc FROM o)
-    SELECT w.id, round(sum(coalesce(p.value,0)),6) AS total, count(p.value) AS inside FROM w LEFT JOIN pixels p ON p."row"=w.r+dr AND p.col=w.c+dc GROUP BY w.id"""
+    + """, q AS (SELECT s_suppkey AS id, s_suppkey%150 AS r, (s_suppkey*3)%100 AS c FROM supplier), o AS (SELECT *, unnest(range(-1,2)) AS dr FROM q), w AS (SELECT *, unnest(range(-2,3)) AS dc FROM o)
+    SELECT w.id, list(CASE WHEN p.value>=100 THEN p.value ELSE 0 END ORDER BY dr, dc) AS "window" FROM w LEFT JOIN pixels p ON p."row"=w.r+dr AND p.col=w.c+dc GROUP BY w.id"""
 )
 def d14_sample_windows(spark, d):
-    s = X.read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 150).alias("r"), (F.col("s_suppkey") * 3 % 100).alias("c"))
-    one = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
-    w = s.select("*", one.alias("dr")).select("*", one.alias("dc")).select("id", (F.col("r") + F.col("dr")).alias("row"), (F.col("c") + F.col("dc")).alias("col"))
-    j = w.join(X.pixels(spark, d), ["row", "col"], "left")
-    return j.groupBy("id").agg(F.round(F.sum(F.coalesce("value", F.lit(0.0))), 6).alias("total"), F.count("value").alias("inside"))
+    px, header = raster(spark, d)
+    k = F.col("s_suppkey")
+    q = X.read(spark, d, "supplier").select(k.alias("id"), F.lit("r").alias("raster"), (k * 3 % 100).cast("double").alias("x"), (-(k % 150)).cast("double").alias("y"))
+    return G.sample_windows(q, px, header, 5, 3)

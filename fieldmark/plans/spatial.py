@@ -70,11 +70,11 @@ def e05_count_in_boxes(spark, d):
 @query(
     f"""WITH {PTS}, p AS (SELECT s_suppkey AS place, {X.point_sql("s_suppkey")} FROM supplier),
     j AS (SELECT pts.id, place, round(2*6371.0088*asin(sqrt(least(1.0, pow(sin(radians(p.lat-pts.lat)/2),2)+cos(radians(pts.lat))*cos(radians(p.lat))*pow(sin(radians(p.lng-pts.lng)/2),2)))),5) AS km FROM pts JOIN p ON abs(p.lat-pts.lat)<10)
-    SELECT id, km FROM j WHERE km<=300 QUALIFY row_number() OVER (PARTITION BY id ORDER BY km, place)=1"""
+    SELECT id, place, km FROM j WHERE km<=300 QUALIFY row_number() OVER (PARTITION BY id ORDER BY km, place)=1"""
 )
 def e04_nearest_place(spark, d):
     s = X.with_point(X.read(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), "id")
-    return E.nearest_place(points(spark, d), s, 300.0, 5.0).select("id", F.round("km", 5).alias("km"))
+    return E.nearest_place(points(spark, d), s, 300.0, 5.0).select("id", "place", F.round("km", 5).alias("km"))
 
 
 # one field of five corners per order, of a size that its price sets
@@ -141,6 +141,12 @@ def e06_line_length_in_boxes(spark, d):
     return E.line_length_in_boxes(seg, boxes(spark, d)).select("box_id", F.round(F.col("metres") / 1000, 3).alias("km"))
 
 
+@query(f"WITH {FIELD}, {BOX} SELECT box_id, count(poly_id) AS n FROM boxes LEFT JOIN fa ON lng BETWEEN lng_min AND lng_max AND lat BETWEEN lat_min AND lat_max GROUP BY box_id")
+def e05_count_centroids(spark, d):
+    f = E.field_areas(fields(spark, d), (-100.0, -60.0, 100.0, 60.0))
+    return E.count_in_boxes(f.select(F.col("poly_id").alias("id"), "lng", "lat"), boxes(spark, d))
+
+
 DIV = """divs AS (SELECT 'n' || n_nationkey AS division, lower(n_name) AS name, 2 AS admin_rank, 300.0 AS area, (n_nationkey%5)*20-50.0 AS x, (n_nationkey//5)*15-40.0 AS y, 20.0 AS w, 15.0 AS h FROM nation
  UNION ALL SELECT 'r' || r_regionkey, lower(r_name), 1, 1500.0, r_regionkey*20-50.0, -40.0, 20.0, 75.0 FROM region)"""
 

@@ -66,10 +66,19 @@ def i01_route_keyword(spark, d):
     return R.route_keyword(questions(spark, d), topics(spark)).withColumn("score", F.round("score", 6))
 
 
-@query("SELECT doc_id AS qid, length(trim(text))>0 AND NOT contains(lower(text),'idiot') AND NOT contains(lower(text),'license') AS in_scope FROM documents")
+DENIED = (*R.OUT_OF_SCOPE, "idiot", "license")
+DENIED_SQL = " OR ".join("contains(lower(text),'" + p.replace("'", "''") + "')" for p in DENIED)
+
+
+@query(f"SELECT doc_id AS qid, length(trim(text))>0 AND NOT ({DENIED_SQL}) AS in_scope FROM documents")
 def i02_in_scope(spark, d):
-    docs = X.read(spark, d, "documents").select(F.col("doc_id").alias("qid"), "text")
-    return R.in_scope(docs, ("idiot", "license"))
+    return R.in_scope(X.read(spark, d, "documents").select(F.col("doc_id").alias("qid"), "text"), DENIED)
+
+
+@query(f"SELECT conv_id, turn, length(trim(text))>0 AND NOT ({DENIED_SQL}) AS in_scope FROM conversations")
+def i02_conversations_in_scope(spark, d):
+    turns = X.read(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("qid"), "text")
+    return R.in_scope(turns, DENIED).select("qid.conv_id", "qid.turn", "in_scope")
 
 
 @query(

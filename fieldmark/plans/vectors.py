@@ -50,9 +50,11 @@ def ham(spark, d, k):
     return V.find_similar_hamming(q, b, k)
 
 
-@query(X.with_("vecs") + f"SELECT a.cell, round(sqrt(list_sum(list_transform(list_zip(a.vec,b.vec), lambda z: (z[1]-z[2])*(z[1]-z[2])))),5) AS l2, round({cos('a.vec','b.vec')},6) AS cosine FROM vecs a JOIN vecs b ON a.cell=b.cell AND a.tslot=2017 AND b.tslot=2021")
+@query(X.with_("vecs") + f"SELECT a.cell, round(sqrt(list_sum(list_transform(list_zip(a.vec,b.vec), lambda z: (z[1]-z[2])*(z[1]-z[2])))),5) AS l2, round({cos('a.vec','b.vec')},6) AS cosine, list_transform(list_zip(a.vec,b.vec), lambda z: round(z[2]-z[1],6)+0.0) AS residual FROM vecs a JOIN vecs b ON a.cell=b.cell AND a.tslot=2017 AND b.tslot=2021")
 def d04_state_diff(spark, d):
-    return V.state_diff(X.vecs(spark, d), 2017, 2021).select("cell", F.round("l2", 5).alias("l2"), F.round("cosine", 6).alias("cosine"))
+    return V.state_diff(X.vecs(spark, d), 2017, 2021).select(
+        "cell", F.round("l2", 5).alias("l2"), F.round("cosine", 6).alias("cosine"), F.transform("residual", lambda x: F.round(x, 6) + 0.0).alias("residual")
+    )
 
 
 @query(X.with_("vecs", extra=f"{Q}, {KNN}") + "SELECT q, cell, rank, round(score,6) AS score FROM knn")
@@ -103,6 +105,17 @@ def d10_triage_recall(spark, d):
     return V.triage_recall(t, V.rerank(t, queries(v), v, 5), 5).withColumn("recall", F.round("recall", 6))
 
 
+@query(
+    X.with_("vecs", extra=f"{Q}, {BITS}, {HAM}, {RERANK}")
+    + """, rc AS (SELECT rr.q, count(h.cell)/count(*) AS recall FROM rr LEFT JOIN ham h ON h.q=rr.q AND h.cell=rr.cell AND h.rank<=5 GROUP BY rr.q)
+    SELECT q, round(list_reduce(list(recall) OVER w, lambda a, x: 0.95*a+0.05*x),6) AS ewma, row_number() OVER (ORDER BY q)>=50 AS warm FROM rc WINDOW w AS (ORDER BY q ROWS BETWEEN 999 PRECEDING AND CURRENT ROW)"""
+)
+def d10_recall_ewma(spark, d):
+    v = X.vecs(spark, d)
+    t = ham(spark, d, 20)
+    return V.recall_ewma(V.triage_recall(t, V.rerank(t, queries(v), v, 5), 5)).withColumn("ewma", F.round("ewma", 6))
+
+
 PARTS = ((1, 32), (17, 48), (33, 64))
 
 
@@ -151,11 +164,13 @@ ENC = "enc AS (" + " UNION ALL ".join(f"SELECT cell, tslot, 'e{i}' AS band, vec[
 
 @query(
     X.with_("vecs", extra=ENC)
-    + """, n AS (SELECT cell, band, arg_max(vec,tslot) AS vec FROM enc GROUP BY ALL) SELECT cell, round(sum(list_sum(vec)),5) AS total, 96 AS dims, (count(*) FILTER (band='e0')=0)::INT+(count(*) FILTER (band='e1')=0)::INT+(count(*) FILTER (band='e2')=0)::INT AS missing FROM n GROUP BY cell"""
+    + """, n AS (SELECT cell, band, arg_max(vec,tslot) AS vec FROM enc GROUP BY ALL), z AS (SELECT cell, unnest(['e0','e1','e2']) AS band FROM (SELECT DISTINCT cell FROM enc)),
+    c AS (SELECT z.cell, list_transform(flatten(list(coalesce(n.vec, list_transform(range(32), lambda i: 0.0)) ORDER BY z.band)), lambda x: round(x,6)+0.0) AS cube FROM z LEFT JOIN n ON n.cell=z.cell AND n.band=z.band GROUP BY z.cell)
+    SELECT cell, any_value(c.cube) AS cube, 96 AS dims, (count(*) FILTER (band='e0')=0)::INT+(count(*) FILTER (band='e1')=0)::INT+(count(*) FILTER (band='e2')=0)::INT AS missing FROM n JOIN c USING (cell) GROUP BY cell"""
 )
 def d15_state_cube(spark, d):
     c = V.state_cube(encoders(X.vecs(spark, d)), [("e0", 32), ("e1", 32), ("e2", 32)])
-    return c.select("cell", F.round(F.aggregate("cube", F.lit(0.0), lambda a, x: a + x), 5).alias("total"), F.size("cube").alias("dims"), F.size("missing").alias("missing"))
+    return c.select("cell", F.transform("cube", lambda x: F.round(x, 6) + 0.0).alias("cube"), F.size("cube").alias("dims"), F.size("missing").alias("missing"))
 
 
 @query(
@@ -249,9 +264,9 @@ def d02_compare_vector_bands(spark, d):
 
 @query(
     X.with_("vecs", extra=ENC)
-    + "SELECT a.cell, a.band, a.tslot AS tslot_a, b.tslot AS tslot_b, 'delta' AS op, list_transform(list_zip(a.vec,b.vec), lambda z: round(z[2]-z[1],6)) AS vec, 1.0::DOUBLE AS confidence, 'nd.delta@1' AS fn_key FROM enc a JOIN enc b ON a.cell=b.cell AND a.band=b.band AND b.tslot=a.tslot+1"
+    + "SELECT a.cell, a.band, a.tslot AS tslot_a, b.tslot AS tslot_b, 'delta' AS op, list_transform(list_zip(a.vec,b.vec), lambda z: round(z[2]-z[1],6)+0.0) AS vec, 1.0::DOUBLE AS confidence, 'nd.delta@1' AS fn_key FROM enc a JOIN enc b ON a.cell=b.cell AND a.band=b.band AND b.tslot=a.tslot+1"
 )
 def d03_diff_vectors(spark, d):
     e = encoders(X.vecs(spark, d))
     q = e.select("cell", "band", F.col("tslot").alias("tslot_a"), (F.col("tslot") + 1).alias("tslot_b"))
-    return V.diff_vectors(q, e).withColumn("vec", F.transform("vec", lambda x: F.round(x, 6)))
+    return V.diff_vectors(q, e).withColumn("vec", F.transform("vec", lambda x: F.round(x, 6) + 0.0))
