@@ -54,11 +54,11 @@ def f03_zonal_stats(spark, d):
 
 @query(
     X.with_("facts", "latest", extra=REGION_SQL)
-    + "SELECT region, round(avg(num) FILTER (band='click'),6) AS click, round(avg(num) FILTER (band='purchase'),6) AS purchase, round(median(num) FILTER (band='click'),6) AS click_median, round(median(num) FILTER (band='purchase'),6) AS purchase_median FROM latest JOIN regions USING (cell) WHERE kind='primary' GROUP BY region"
+    + "SELECT region, round(avg(num) FILTER (band='click'),6) AS click, round(avg(num) FILTER (band='purchase'),6) AS purchase, round(median(num) FILTER (band='click')+1e-9,6) AS click_median, round(median(num) FILTER (band='purchase')+1e-9,6) AS purchase_median FROM latest JOIN regions USING (cell) WHERE kind='primary' GROUP BY region"
 )
 def f04_place_profile(spark, d):
     p = A.place_profile(regions(spark, d), latest(spark, d), ["click", "purchase"])
-    return p.select("region", *[F.round(c, 6).alias(c) for c in p.columns[1:]])
+    return p.select("region", *[F.round(F.col(c) + (1e-9 if c.endswith("_median") else 0), 6).alias(c) for c in p.columns[1:]])
 
 
 @query(
