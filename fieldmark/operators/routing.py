@@ -103,18 +103,27 @@ def answer_plan(routed: DataFrame, topic_bands: DataFrame, facts: DataFrame) ->
     )
 
 
+def _gate(op: Column, value: Column, bound: Column) -> Column:
+    tests = {">=": value >= bound, ">": value > bound, "<=": value <= bound, "<": value < bound, "=": value == bound}
+    out = F.lit(False)
+    for name, ok in tests.items():
+        out = F.when(op == name, ok).otherwise(out)
+    return out
+
+
 def hunt(events: DataFrame, cells: DataFrame, facts: DataFrame, most: int = 8, sample: int = 32) -> DataFrame:
     """Top cells of every (event, region): at most ``sample`` cells per region in hash order, the newest
     primary value of the event's band, an optional gate band, ranked up or down. ``events``: (event,
-    band, gate, gate_min, descending)."""
+    band, gate, gate_min, descending), and gate_op where the gate is not ``>=``: ``>``, ``<=``, ``<`` or
+    ``=``; any other lets nothing through."""
     from .lookup import pick_slot
 
     chosen = sample_cells(cells, sample)
     newest = pick_slot(facts)
-    e = F.broadcast(events)
-    v = chosen.join(newest, "cell").join(e, "band").select("event", "region", "cell", F.col("num").alias("value"), "gate", "gate_min", "descending")
+    e = F.broadcast(events if "gate_op" in events.columns else events.withColumn("gate_op", F.lit(">=")))
+    v = chosen.join(newest, "cell").join(e, "band").select("event", "region", "cell", F.col("num").alias("value"), "gate", "gate_op", "gate_min", "descending")
     g = newest.select("cell", F.col("band").alias("gate"), F.col("num").alias("gate_value"))
-    j = v.join(g, ["cell", "gate"], "left").where(F.col("gate").isNull() | (F.col("gate_value") >= F.col("gate_min")))
+    j = v.join(g, ["cell", "gate"], "left").where(F.col("gate").isNull() | _gate(F.col("gate_op"), F.col("gate_value"), F.col("gate_min")))
     order = F.when(F.col("descending"), -F.col("value")).otherwise(F.col("value"))
     w = Window.partitionBy("event", "region").orderBy(order, "cell")
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("event", "region", "rank", "cell", "value", "gate_value")

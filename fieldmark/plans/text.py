@@ -132,6 +132,18 @@ def h01_hunt(spark, d):
     return R.hunt(events, regions(spark, d), X.facts(spark, d), most=3, sample=8)
 
 
+@query(
+    X.with_("facts", extra=f"{REGION_SQL}, {NEWEST_SQL}, {SAMPLE}")
+    + """, e(event, op, bound) AS (VALUES ('lt','<',40.0), ('le','<=',40.0), ('gt','>',40.0), ('other','~',40.0)), v AS (SELECT event, s.region, s.cell, n.num AS value, g.num AS gate_value FROM e CROSS JOIN smp s JOIN newest n ON n.cell=s.cell AND n.band='purchase' JOIN newest g ON g.cell=s.cell AND g.band='click'
+      WHERE CASE op WHEN '<' THEN g.num<bound WHEN '<=' THEN g.num<=bound WHEN '>' THEN g.num>bound ELSE false END)
+    SELECT event, region, cell, value, gate_value, row_number() OVER (PARTITION BY event, region ORDER BY value DESC, cell) AS rank FROM v QUALIFY rank<=3"""
+)
+def h01_hunt_gates(spark, d):
+    rows = [("lt", "purchase", "click", "<", 40.0, True), ("le", "purchase", "click", "<=", 40.0, True), ("gt", "purchase", "click", ">", 40.0, True), ("other", "purchase", "click", "~", 40.0, True)]
+    events = spark.createDataFrame(rows, "event string, band string, gate string, gate_op string, gate_min double, descending boolean")
+    return R.hunt(events, regions(spark, d), X.facts(spark, d), most=3, sample=8)
+
+
 @query(X.with_(extra=f"{REGION_SQL}, {SAMPLE}") + "SELECT region, cell FROM smp")
 def h02_sample_cells(spark, d):
     return R.sample_cells(regions(spark, d), 8).select("region", "cell")
