@@ -120,6 +120,25 @@ def downsample(pixels: DataFrame, k: int) -> DataFrame:
     return pixels.groupBy(F.floor(F.col("row") / k).alias("row"), F.floor(F.col("col") / k).alias("col")).agg(F.avg("value").alias("value"), F.count("*").alias("n"))
 
 
+def resize(pixels: DataFrame, shape: tuple[int, int], to: tuple[int, int]) -> DataFrame:
+    """Bilinear resize from ``shape`` to ``to`` (rows, columns), corner pixels on corner pixels; a pixel
+    with a missing or null corner is null. Every target asks for its four corners in one equi-join."""
+
+    def span(at: Column, src: int, dst: int) -> tuple[Column, Column, Column]:
+        f = at * ((src - 1) / max(dst - 1, 1))
+        low = F.floor(f)
+        return low, F.least(low + 1, F.lit(src - 1)), f - low
+
+    place = pixels.sparkSession.range(to[0] * to[1]).select(F.expr(f"id div {to[1]}").alias("r"), (F.col("id") % to[1]).alias("c"))
+    (y0, y1, dy), (x0, x1, dx) = span(F.col("r"), shape[0], to[0]), span(F.col("c"), shape[1], to[1])
+    corner = lambda y, x, w: F.struct(y.cast("bigint").alias("row"), x.cast("bigint").alias("col"), w.alias("w"))
+    corners = F.array(corner(y0, x0, (1 - dy) * (1 - dx)), corner(y0, x1, (1 - dy) * dx), corner(y1, x0, dy * (1 - dx)), corner(y1, x1, dy * dx))
+    asked = place.select("r", "c", F.inline(corners))
+    j = asked.join(pixels.select("row", "col", "value"), ["row", "col"], "left")
+    value = F.when(F.count("value") == 4, F.sum(F.col("w") * F.col("value")))
+    return j.groupBy("r", "c").agg(value.alias("value")).select(F.col("r").alias("row"), F.col("c").alias("col"), "value")
+
+
 def annual_normal(series: DataFrame, y0: int, y1: int) -> DataFrame:
     """Mean over years with all 12 months of the annual total, per key."""
     years = (
@@ -154,21 +173,31 @@ def class_profile(rows: DataFrame, keys: list[str], cls: str) -> DataFrame:
     return top.select(*keys, "mode", (F.col("n") / F.col("total")).alias("share"), "classes")
 
 
-def screen_plots(plots: DataFrame) -> DataFrame:
+def screen_plots(plots: DataFrame, cell_ha: float | None = None, least_ha: float = 0.5) -> DataFrame:
     """Per plot the failing share and verdict of cells (plot, canopy, loss_year, base2020, other_loss).
     Forest in 2020: baseline layer, or canopy above 10 with no loss up to 2020. Loss after 2020 in
     either product fails (2), else passes (1); not forest is out of scope (3); null inputs are
-    indeterminate."""
+    indeterminate. With ``cell_ha``, the area of a cell, a plot whose failing cells cover less than
+    ``least_ha`` is told apart (fail_below_de_minimis)."""
     forest = F.col("base2020") | ((F.col("canopy") > 10) & ((F.col("loss_year") == 0) | (F.col("loss_year") > 2020)))
     lost = (F.col("loss_year") > 2020) | (F.col("other_loss") > 2020)
     cell = F.when(~forest, 3).when(lost, 2).otherwise(1)
-    g = plots.withColumn("v", F.when(forest.isNotNull() & lost.isNotNull(), cell)).groupBy("plot").agg(
-        F.count("*").alias("cells"), F.count("v").alias("known"), *[F.sum((F.col("v") == i).cast("bigint")).alias(f"v{i}") for i in (1, 2, 3)]
+    judged = plots.withColumn("v", F.when(forest.isNotNull() & lost.isNotNull(), cell))
+    g = judged.groupBy("plot").agg(
+        F.count("*").alias("cells"), F.count("v").alias("known"), *[F.coalesce(F.sum((F.col("v") == i).cast("bigint")), F.lit(0)).alias(f"v{i}") for i in (1, 2, 3)]
     )
-    verdict = F.when(F.col("known") < F.col("cells"), "indeterminate").when(F.col("v2") > 0, "fail").when(F.col("v1") > 0, "pass").otherwise("not_in_scope")
+    small = F.lit(False) if cell_ha is None else F.col("v2") * cell_ha < least_ha
+    failed = F.when(small, "fail_below_de_minimis").otherwise("fail")
+    verdict = F.when(F.col("known") < F.col("cells"), "indeterminate").when(F.col("v2") > 0, failed).when(F.col("v1") > 0, "pass").otherwise("not_in_scope")
     return g.select("plot", "cells", (F.col("v2") / F.col("cells")).alias("failing_share"), verdict.alias("verdict"))
 
 
+def screening_evidence(plots: DataFrame) -> DataFrame:
+    """(plot, fact_cid) of every cell whose loss after 2020 makes its plot fail."""
+    forest = F.col("base2020") | ((F.col("canopy") > 10) & ((F.col("loss_year") == 0) | (F.col("loss_year") > 2020)))
+    return plots.where(forest & ((F.col("loss_year") > 2020) | (F.col("other_loss") > 2020))).select("plot", "fact_cid").distinct()
+
+
 def coverage_matrix(facts: DataFrame) -> DataFrame:
     return facts.groupBy("band").agg(
         F.count("*").alias("n_facts"), F.countDistinct("cell").alias("n_cells"), F.min("tslot").alias("from_slot"), F.max("tslot").alias("to_slot"),

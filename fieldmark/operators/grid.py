@@ -53,12 +53,48 @@ def with_center(df: DataFrame, cell: str = "cell") -> DataFrame:
     )
 
 
+# Letters of a cell's text form.
+CONSONANTS, VOWELS = "bcdfghjklmnpqrstvwxyz", "aeiouAEIOU"
+SYLLABLES = (len(CONSONANTS) * len(VOWELS)) ** 2
+
+
+def _digit_text(d: Column) -> Column:
+    """A 16-bit digit as consonant, vowel, consonant, vowel; those beyond as z and four hex digits."""
+    pick = lambda letters, i: F.substring(F.lit(letters), (i % len(letters) + 1).cast("int"), F.lit(1))
+    v, c = len(VOWELS), len(CONSONANTS)
+    word = F.concat(pick(CONSONANTS, F.floor(d / (v * c * v))), pick(VOWELS, F.floor(d / (c * v))), pick(CONSONANTS, F.floor(d / v)), pick(VOWELS, d))
+    return F.when(d < SYLLABLES, word).otherwise(F.concat(F.lit("z"), F.lpad(F.lower(F.hex(d)), 4, "0")))
+
+
+def cell_text(cell: Column) -> Column:
+    """Text form of a cell: its four 16-bit digits, highest first, joined by dots."""
+    return F.concat_ws(".", *[_digit_text(F.shiftrightunsigned(cell, at).bitwiseAND(0xFFFF)) for at in (48, 32, 16, 0)])
+
+
+def _text_digit(word: Column) -> Column:
+    place = lambda letters, i: F.instr(F.lit(letters), F.substring(word, i, 1)) - 1
+    v, c = len(VOWELS), len(CONSONANTS)
+    d = ((place(CONSONANTS, 1) * v + place(VOWELS, 2)) * c + place(CONSONANTS, 3)) * v + place(VOWELS, 4)
+    spare = F.conv(F.substring(word, 2, 4), 16, 10).cast("int")
+    return F.when(word.rlike(f"^([{CONSONANTS}][{VOWELS}]){{2}}$"), d).when(word.rlike("^z[0-9a-f]{4}$") & (spare >= SYLLABLES), spare)
+
+
+def cell_of_text(text: Column) -> Column:
+    """The cell of a text form; null for anything else."""
+    words = F.split(text, r"\.")
+    digits = [_text_digit(F.get(words, F.lit(i))).cast("bigint") for i in range(4)]
+    return F.when(F.size(words) == 4, F.shiftleft(digits[0], 48) + F.shiftleft(digits[1], 32) + F.shiftleft(digits[2], 16) + digits[3])
+
+
 def cell_dim(facts: DataFrame) -> DataFrame:
-    """Distinct cells with centre, box and counts of facts and bands."""
+    """Distinct cells with centre, box (cut at the poles), text form and counts of facts and bands."""
     dim = with_center(facts.groupBy("cell").agg(F.count("*").alias("n_facts"), F.countDistinct("band").alias("n_bands")))
     half_lat, half_lng = 90 / LAT_MAX, 180 / LNG_MAX
     return dim.withColumns(
-        {"lat_min": F.col("lat") - half_lat, "lat_max": F.col("lat") + half_lat, "lng_min": F.col("lng") - half_lng, "lng_max": F.col("lng") + half_lng}
+        {
+            "lat_min": F.greatest(F.col("lat") - half_lat, F.lit(-90.0)), "lat_max": F.least(F.col("lat") + half_lat, F.lit(90.0)),
+            "lng_min": F.col("lng") - half_lng, "lng_max": F.col("lng") + half_lng, "text": cell_text(F.col("cell")),
+        }
     )
 
 
@@ -156,6 +192,14 @@ def tile_key(lat: Column, lng: Column, size: int) -> Column:
     )
 
 
+def corner_tile(lat: Column, lng: Column, size: int = 10, padded: bool = True) -> Column:
+    """Name of the size-degree tile by its north and west edge, such as 50N_100W; ``padded`` fills the
+    numbers to two and three digits."""
+    north, west = (F.ceil(lat / size) * size).cast("int"), (F.floor(lng / size) * size).cast("int")
+    number = lambda x, n: F.lpad(F.abs(x).cast("string"), n, "0") if padded else F.abs(x).cast("string")
+    return F.concat(number(north, 2), F.when(north >= 0, "N").otherwise("S"), F.lit("_"), number(west, 3), F.when(west >= 0, "E").otherwise("W"))
+
+
 def mercator_tile(lat: Column, lng: Column, zoom: int) -> tuple[Column, Column]:
     """(x, y) of the Web-Mercator tile; null beyond the projection's latitude."""
     n = float(1 << zoom)

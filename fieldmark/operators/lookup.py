@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .grid import parent_cell
+from .grid import CELL_PREFIX, LAT_BITS, LNG_BITS, parent_cell
 
 KEY = ("cell", "band", "tslot")
 #: Slots of a bucket in which claims on windows meet facts.
@@ -69,6 +69,32 @@ def purge(facts: DataFrame, fn_keys: list[str]) -> tuple[DataFrame, DataFrame]:
     return facts.where(~stale), facts.where(stale).groupBy("fn_key").agg(F.count("*").alias("n"))
 
 
+def stale_grid(cell: Column) -> Column:
+    """Whether a cell lies outside the present grid: other bits where the grid's prefix stands."""
+    return F.shiftright(cell, LAT_BITS + LNG_BITS) != CELL_PREFIX >> (LAT_BITS + LNG_BITS)
+
+
+def purge_plan(index: DataFrame, bodies: DataFrame, fn_keys: list[str], grid: bool = True, orphans: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(index rows kept, bodies kept, dry-run counts by reason). An index row goes for its recipe key,
+    then for a stale grid cell; a body goes if no row that is kept points to it. Nulls are kept."""
+    why = F.when(F.col("fn_key").isin(fn_keys), "fn_key")
+    if grid:
+        why = why.when(stale_grid(F.col("cell")), "stale_grid")
+    judged = index.withColumn("reason", why)
+    kept = judged.where("reason is null").drop("reason")
+    gone = judged.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
+    if not orphans:
+        return kept, bodies, gone
+    lost = orphan_bodies(bodies, kept).agg(F.lit("orphan").alias("reason"), F.count("*").alias("n")).where("n > 0")
+    return kept, bodies.join(kept.select("fact_cid"), "fact_cid", "left_semi"), gone.unionByName(lost)
+
+
+def apply_purge(kept: DataFrame, path: str) -> DataFrame:
+    """Write the rows kept to a new path, which readers then take instead of the old one."""
+    kept.write.parquet(path)
+    return kept.sparkSession.read.schema(kept.schema).parquet(path)
+
+
 def orphan_bodies(bodies: DataFrame, index: DataFrame) -> DataFrame:
     """Bodies that no key points to."""
     return bodies.join(index.select("fact_cid"), "fact_cid", "left_anti")
@@ -205,12 +231,39 @@ def loss_year(code: Column) -> Column:
     return F.when(code > 0, code + 2000)
 
 
-def ordinal_date(code: Column) -> Column:
-    """YYYYDDD to a date; null outside the year's days."""
+# Classes of what drove a loss.
+DRIVERS = {
+    1: "Permanent agriculture", 2: "Hard commodities", 3: "Shifting cultivation", 4: "Logging", 5: "Wildfire", 6: "Settlements and infrastructure",
+    7: "Other natural disturbances",
+}
+COMMODITY_DRIVERS, NATURAL_DRIVERS = (1, 2, 3), (5, 7)
+
+
+def driver_label(code: Column) -> Column:
+    """Name of a driver class; null for codes that are none."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in DRIVERS.items() for x in kv]), code.cast("int"))
+
+
+def driver_group(code: Column) -> Column:
+    """Commodity, natural or other; null for codes that are no class."""
+    return F.when(code.isin(*COMMODITY_DRIVERS), "commodity").when(code.isin(*NATURAL_DRIVERS), "natural").when(code.isin(*DRIVERS), "other")
+
+
+def disturbance_table(df: DataFrame) -> DataFrame:
+    """Losses per year, driver class and group from (loss, driver) codes, and the first and last alert of
+    the ordinal dates in ``alert``; cells without a loss are left out."""
+    year = loss_year(F.col("loss"))
+    keys = [year.alias("loss_year"), driver_label(F.col("driver")).alias("driver"), driver_group(F.col("driver")).alias("driver_group")]
+    day = ordinal_date(F.col("alert"), (2019, 2100))
+    return df.where("loss > 0").groupBy(*keys).agg(F.count("*").alias("n"), F.count(day).alias("alerts"), F.min(day).alias("first_alert"), F.max(day).alias("last_alert"))
+
+
+def ordinal_date(code: Column, years: tuple[int, int] = (1, 9999)) -> Column:
+    """YYYYDDD to a date; null outside the years or the year's days."""
     year, day = F.floor(code / 1000).cast("int"), (code % 1000).cast("int")
-    first = F.make_date(year, F.lit(1), F.lit(1))
+    first = F.make_date(F.when(year.between(*years), year), F.lit(1), F.lit(1))
     found = F.date_add(first, day - 1)
-    return F.when((day >= 1) & (F.year(found) == year), found)
+    return F.when(year.between(*years) & (day >= 1) & (F.year(found) == year), found)
 
 
 HANDLE = r"^memt:(\d+):([A-Za-z0-9]+)$"

@@ -57,23 +57,86 @@ def route_embedding(question_vecs: DataFrame, alias_vecs: DataFrame, keyword: Da
     return u.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
-# Cue phrases of question intents, tested in this order.
+# Cue phrases of question intents.
 INTENTS: tuple[tuple[str, tuple[str, ...]], ...] = (
-    ("similarity", ("similar to", "look like", "looks like", "resemble")),
-    ("change", ("changed", "change between", "difference between", "before and after")),
-    ("freshness", ("how fresh", "how recent", "last updated", "how old is")),
-    ("regional_density", ("coverage in", "density in", "how many cells in")),
-    ("global_coverage", ("global coverage", "what do you cover", "coverage map")),
-    ("hunt", ("find", "where are", "show me", "hotspots")),
+    ("similarity", (
+        "find places like", "places like", "similar to", "looks like", "where else", "analog of", "analogue of", "look-alike", "lookalike",
+        "comparable to", "find similar", "what's similar", "what is similar",
+    )),
+    ("change", (
+        "what changed", "what has changed", "year over year", "year-over-year", "since last year", "in the last year", "deforestation",
+        "deforested", "forest loss", "new construction", "urban expansion", "wetland change", "coastline change", "coastal erosion",
+        "shoreline retreat",
+    )),
+)
+# Phrases of questions about the corpus itself.
+FRESHNESS = (
+    "how fresh", "data freshness", "last attested", "last signed", "when did you last", "how recent", "how stale", "how up to date",
+    "how up-to-date",
+)
+CORPUS_WORDS = (
+    "your corpus", "your coverage", "your data", "your facts", "your cells", "your attestations", "attested cells", "signed facts",
+    "fact coverage", "coverage",
+)
+CORPUS_PREPOSITIONS = (" over ", " in ", " across ", " for ", " inside ", " within ")
+GLOBAL_COVERAGE = (
+    "where do you have", "where you have", "what cells do you have", "all the cells", "every cell you have", "how much data do you have",
+    "how dense is the corpus", "how dense is data",
+)
+# Verbs, prepositions and time phrases of event hunts, and the kinds of event with the
+# phrases that name them and those that rule them out.
+HUNT_VERBS = ("find ", "show me ", "where is ", "where are ", "where has", "where have", "where do ", "spot ", "identify ", "locate ", "hunt ", "any ", "list ")
+HUNT_PREPOSITIONS = (" in ", " over ", " across ", " throughout ", " around ", " near ")
+PAST = ("last year", "in the last", "since")
+EVENTS: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = (
+    ("algal_bloom", ("algal bloom", "algae bloom", "harmful bloom", "cyanobacteria", "chlorophyll bloom"), ()),
+    ("oil_slick", ("oil spill", "oil slick"), ()),
+    ("methane_plume", ("methane plume", "methane leak", "methane emission", "ghg leak", "super-emitter"), ()),
+    ("deforestation", ("deforestation", "forest loss", "forest clearing", "tree loss", "logging"), ()),
+    ("wildfire", ("burn scar", "burned area", "wildfire", "forest fire", "bushfire", "burn severity", "fire-affected"), ("wildfire risk", "fire risk")),
+    ("urban_heat_island", ("urban heat", "heat island"), ("heat risk", "uhi risk")),
+    ("landslide", ("landslide", "mudslide", "debris flow", "slope failure"), ()),
+    ("flood", ("flood extent", "inundation", "flooded fields", "flooded area", "flood-affected", "flood damage"), ()),
+    ("flood", ("flood",), ("flood risk",)),
+    ("drought", ("drought", "dry spell", "rainfall deficit"), ("drought risk",)),
+    ("soil_salinity", ("salinity", "salinized soil"), ()),
+    ("crop_stress", ("crop stress", "stressed crops", "crop damage", "yellowing crops"), ("crop stress risk", "crop risk")),
+    ("water_turbidity", ("turbidity", "sediment plume", "muddy water"), ()),
 )
 
 
-def classify_questions(questions: DataFrame, intents=INTENTS) -> DataFrame:
-    t = F.lower("text")
+def question_intent(text: Column) -> Column:
+    """Similarity or change, else recall."""
     kind: Column = F.lit("recall")
-    for name, cues in reversed(intents):
-        kind = F.when(any_of(t, cues), name).otherwise(kind)
-    return questions.select("qid", kind.alias("intent"))
+    for name, cues in reversed(INTENTS):
+        kind = F.when(any_of(text, cues), name).otherwise(kind)
+    return kind
+
+
+def corpus_audit(text: Column) -> Column:
+    """What a question asks of the corpus itself: freshness before density in a region before coverage of
+    the world; null for other questions."""
+    about = any_of(text, CORPUS_WORDS)
+    return (
+        F.when(any_of(text, FRESHNESS), "freshness").when(about & any_of(text, CORPUS_PREPOSITIONS), "regional_density")
+        .when(about | any_of(text, GLOBAL_COVERAGE), "global_coverage")
+    )
+
+
+def event_kind(text: Column) -> Column:
+    """Kind of event that a question hunts for: it needs a verb, or a place and no time of the past; null
+    for other questions."""
+    kind: Column = F.lit(None).cast("string")
+    for name, cues, unless in reversed(EVENTS):
+        named = any_of(text, cues) & ~any_of(text, unless) if unless else any_of(text, cues)
+        kind = F.when(named, name).otherwise(kind)
+    return F.when(any_of(text, HUNT_VERBS) | (any_of(text, HUNT_PREPOSITIONS) & ~any_of(text, PAST)), kind)
+
+
+def classify_questions(questions: DataFrame) -> DataFrame:
+    """(qid, intent, audit, event) of questions; a null text is a recall."""
+    t = F.lower("text")
+    return questions.select("qid", question_intent(t).alias("intent"), corpus_audit(t).alias("audit"), event_kind(t).alias("event"))
 
 
 # Prepositions that introduce a place.
@@ -91,16 +154,21 @@ def region_anchor(questions: DataFrame, most_bytes: int = 80) -> DataFrame:
     return questions.select("qid", F.when(at.isNotNull() & ok, tail).alias("anchor"))
 
 
-def answer_plan(routed: DataFrame, topic_bands: DataFrame, facts: DataFrame) -> DataFrame:
+def answer_plan(routed: DataFrame, topic_bands: DataFrame, facts: DataFrame, topic_algorithms: DataFrame | None = None) -> DataFrame:
     """Observed and missing bands of every routed question; ``routed``: (qid, cell, topic),
-    ``topic_bands``: (topic, band)."""
+    ``topic_bands``: (topic, band). With ``topic_algorithms``, (topic, algorithm), also the algorithms of
+    its topics; both registries hold a few rows per topic."""
     want = routed.join(F.broadcast(topic_bands), "topic").select("qid", "cell", "band").distinct()
     have = facts.where("kind = 'primary'").select("cell", "band", F.lit(True).alias("hit")).distinct()
     j = want.join(have, ["cell", "band"], "left")
-    return j.groupBy("qid").agg(
+    plan = j.groupBy("qid").agg(
         F.array_join(F.array_sort(F.collect_list(F.when(F.col("hit"), F.col("band")))), ",").alias("observed"),
         F.array_join(F.array_sort(F.collect_list(F.when(F.col("hit").isNull(), F.col("band")))), ",").alias("missing"),
     )
+    if topic_algorithms is None:
+        return plan
+    ways = routed.join(F.broadcast(topic_algorithms), "topic").groupBy("qid").agg(F.array_join(F.array_sort(F.collect_set("algorithm")), ",").alias("algorithms"))
+    return plan.join(ways, "qid", "full").select("qid", *[F.coalesce(c, F.lit("")).alias(c) for c in ("observed", "missing", "algorithms")])
 
 
 def _gate(op: Column, value: Column, bound: Column) -> Column:

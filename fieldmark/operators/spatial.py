@@ -155,22 +155,32 @@ def line_length_in_boxes(segments: DataFrame, boxes: DataFrame, size: float = 10
     return j.groupBy("box_id").agg(F.sum(clipped_length(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))).alias("metres")).where("metres > 0")
 
 
-# Strictest first.
-PROTECTION_RANK = {"Ia": 1, "Ib": 2, "II": 3, "III": 4, "IV": 5, "V": 6, "VI": 7}
+# Protection categories, strictest first, with the codes that name them.
+PROTECTION = (
+    ("Ia", ("1", "1a", "1b", "Ia", "Ib")), ("II", ("2", "II")), ("III", ("3", "III")), ("IV", ("4", "IV")), ("V", ("5", "V")), ("VI", ("6", "VI")),
+)
+UNREPORTED = "Not Reported"
+
+
+def _tag(*names: str) -> Column:
+    """The first of the tags that is there and not empty."""
+    return F.coalesce(*[F.nullif(F.element_at("tags", n), F.lit("")) for n in names])
 
 
 def protected_status(hits: DataFrame) -> DataFrame:
-    """Strictest area covering each point; ``hits``: (id, area_id, tags) of containments."""
-    rank = F.lit(99)
-    for k, v in PROTECTION_RANK.items():
-        rank = F.when(F.col("category") == k, v).otherwise(rank)
-    named = hits.withColumns(
-        {
-            "category": F.coalesce(F.nullif(F.element_at("tags", "iucn"), F.lit("")), F.element_at("tags", "protect_class"), F.lit("unknown")),
-            "name": F.coalesce(F.nullif(F.element_at("tags", "name"), F.lit("")), F.lit("unnamed")),
-        }
-    ).withColumn("rank", rank)
-    return named.groupBy("id").agg(F.min(F.struct("rank", "area_id", "category", "name")).alias("r")).select("id", "r.area_id", "r.category", "r.name")
+    """Strictest area covering each point, the least area_id of equal ones; ``hits``: (id, area_id, tags)
+    of containments. Category, name and designation fall back from tag to tag; an area without a name is
+    called by its id, one without a category ranks last."""
+    code = F.btrim(_tag("iucn_level", "protect_class"))
+    rank, category = F.lit(len(PROTECTION)), F.lit(UNREPORTED)
+    for i, (name, codes) in enumerate(PROTECTION):
+        rank, category = F.when(code.isin(*codes), i).otherwise(rank), F.when(code.isin(*codes), name).otherwise(category)
+    told = F.struct(
+        rank.alias("rank"), "area_id", category.alias("category"), F.coalesce(_tag("name:en", "name"), F.concat(F.lit("OSM area "), F.col("area_id").cast("string"))).alias("name"),
+        F.coalesce(_tag("protected_area", "boundary", "leisure"), F.lit("")).alias("designation"), F.coalesce(_tag("ISO3166-1:alpha3", "addr:country"), F.lit("")).alias("country"),
+        F.coalesce((F.element_at("tags", "maritime") == "yes") | (F.element_at("tags", "marine") == "yes"), F.lit(False)).alias("marine"),
+    )
+    return hits.groupBy("id").agg(F.min(told).alias("r")).select("id", "r.area_id", "r.category", "r.name", "r.designation", "r.country", "r.marine")
 
 
 def resolve_division(hits: DataFrame) -> DataFrame:

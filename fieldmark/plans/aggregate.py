@@ -152,6 +152,30 @@ def f11_screen_plots(spark, d):
     return A.screen_plots(p).withColumn("failing_share", F.round("failing_share", 6))
 
 
+PLOTS = "p AS (SELECT l_partkey AS plot, l_orderkey || '-' || l_linenumber AS fact_cid, CASE WHEN l_partkey%50<>0 THEN l_quantity*2 END AS canopy, CASE WHEN l_returnflag='R' THEN year(l_shipdate)+27 ELSE 0 END AS loss_year, l_linestatus='F' AS base2020 FROM lineitem)"
+FOREST = "(base2020 OR (canopy>10 AND (loss_year=0 OR loss_year>2020)))"
+
+
+def small_plots(spark, d):
+    return X.read(spark, d, "lineitem").select(
+        F.col("l_partkey").alias("plot"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("fact_cid"), F.when(F.col("l_partkey") % 50 != 0, F.col("l_quantity") * 2).alias("canopy"),
+        F.when(F.col("l_returnflag") == "R", F.year("l_shipdate") + 27).otherwise(0).alias("loss_year"), (F.col("l_linestatus") == "F").alias("base2020"), F.lit(0).alias("other_loss"),
+    )
+
+
+@query(
+    f"""WITH {PLOTS}, c AS (SELECT plot, CASE WHEN {FOREST} IS NULL THEN NULL WHEN NOT {FOREST} THEN 3 WHEN loss_year>2020 THEN 2 ELSE 1 END AS v FROM p), g AS (SELECT plot, count(*) AS cells, count(v) AS known, count(*) FILTER (v=1) AS v1, count(*) FILTER (v=2) AS v2 FROM c GROUP BY plot)
+    SELECT plot, cells, round(v2/cells,6) AS failing_share, CASE WHEN known<cells THEN 'indeterminate' WHEN v2*0.09>=0.5 THEN 'fail' WHEN v2>0 THEN 'fail_below_de_minimis' WHEN v1>0 THEN 'pass' ELSE 'not_in_scope' END AS verdict FROM g"""
+)
+def f11_screen_small_plots(spark, d):
+    return A.screen_plots(small_plots(spark, d), 0.09).withColumn("failing_share", F.round("failing_share", 6))
+
+
+@query(f"WITH {PLOTS} SELECT DISTINCT plot, fact_cid FROM p WHERE {FOREST} AND loss_year>2020")
+def f11_screening_evidence(spark, d):
+    return A.screening_evidence(small_plots(spark, d))
+
+
 @query(
     X.with_("monthly")
     + """, y AS (SELECT key, year(month) AS y, sum(num) AS total, count(*) AS m FROM monthly WHERE year(month) BETWEEN 1995 AND 2000 GROUP BY ALL HAVING count(*)=12) SELECT key, round(avg(total),6) AS normal, count(*) AS years FROM y GROUP BY key"""

@@ -43,16 +43,22 @@ def b01_to_cell(spark, d):
 
 
 BANDED = f"pts AS (SELECT event_id AS id, value AS num, event_type AS band, {X.point_sql('event_id', True)} FROM events)"
+# a digit is written as base 21, 10, 21, 10 letters; the cells' upper digits are fixed by the prefix
+DIGITS = ["(cell >> 48) & 65535", "(cell >> 32) & 65535", "(cell >> 16) & 65535", "cell & 65535"]
+CELL_TEXT = " || '.' || ".join(
+    f"CASE WHEN ({x})<44100 THEN substr('{G.CONSONANTS}',({x})//2100+1,1) || substr('{G.VOWELS}',({x})//210%10+1,1) || substr('{G.CONSONANTS}',({x})//10%21+1,1) || substr('{G.VOWELS}',({x})%10+1,1) ELSE format('z{{:04x}}',{x}) END"
+    for x in DIGITS
+)
 CENTRE = f"(SELECT *, ((cell >> 22) & {G.LAT_MAX})/{G.LAT_MAX}.0*180-90 AS clat, (cell & {G.LNG_MAX})/{G.LNG_MAX}.0*360-180 AS clng FROM cells)"
 
 
 @query(
     f"""WITH {BANDED}, {CELLS} SELECT cell, count(*) AS n_facts, count(DISTINCT band) AS n_bands, round(any_value(clat),6) AS lat, round(any_value(clng),6) AS lng,
-    round(any_value(clat)-90.0/{G.LAT_MAX},6) AS lat_min, round(any_value(clat)+90.0/{G.LAT_MAX},6) AS lat_max, round(any_value(clng)-180.0/{G.LNG_MAX},6) AS lng_min, round(any_value(clng)+180.0/{G.LNG_MAX},6) AS lng_max FROM {CENTRE} GROUP BY cell"""
+    round(any_value(clat)-90.0/{G.LAT_MAX},6) AS lat_min, round(any_value(clat)+90.0/{G.LAT_MAX},6) AS lat_max, round(any_value(clng)-180.0/{G.LNG_MAX},6) AS lng_min, round(any_value(clng)+180.0/{G.LNG_MAX},6) AS lng_max, {CELL_TEXT} AS text FROM {CENTRE} GROUP BY cell"""
 )
 def b02_cell_dim(spark, d):
     dim = G.cell_dim(G.to_cell(dense(spark, d)))
-    return dim.withColumns({c: F.round(c, 6) for c in dim.columns[3:]})
+    return dim.withColumns({c: F.round(c, 6) for c in dim.columns[3:] if c != "text"})
 
 
 @query(
@@ -108,6 +114,24 @@ def b07_tile_key(spark, d):
     return points(spark, d).groupBy(G.tile_key(F.col("lat"), F.col("lng"), 10).alias("tile")).agg(F.count("*").alias("n"))
 
 
+@query(
+    f"""WITH {POINTS}, t AS (SELECT *, CAST(ceil(lat/10)*10 AS INTEGER) n, CAST(floor(lng/10)*10 AS INTEGER) w FROM pts), e AS (SELECT *, CASE WHEN n>=0 THEN 'N' ELSE 'S' END AS ns, CASE WHEN w>=0 THEN 'E' ELSE 'W' END AS ew FROM t)
+    SELECT lpad(CAST(abs(n) AS VARCHAR),2,'0') || ns || '_' || lpad(CAST(abs(w) AS VARCHAR),3,'0') || ew AS tile, abs(n) || ns || '_' || abs(w) || ew AS plain, count(*) AS n FROM e GROUP BY 1,2"""
+)
+def b07_corner_tile(spark, d):
+    at = F.col("lat"), F.col("lng")
+    return points(spark, d).groupBy(G.corner_tile(*at).alias("tile"), G.corner_tile(*at, padded=False).alias("plain")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {POINTS}, t AS (SELECT *, CAST(floor(lat/3)*3 AS INTEGER) s, CAST(floor(lng/3)*3 AS INTEGER) w FROM pts)
+    SELECT printf('%s%02d%s%03d', CASE WHEN s>=0 THEN 'N' ELSE 'S' END, abs(s), CASE WHEN w>=0 THEN 'E' ELSE 'W' END, abs(w)) AS tile, count(*) AS n, round(sum(num),4) AS total FROM t GROUP BY 1"""
+)
+def b07_tile_3_degrees(spark, d):
+    p = points(spark, d)
+    return p.groupBy(G.tile_key(F.col("lat"), F.col("lng"), 3).alias("tile")).agg(F.count("*").alias("n"), F.round(F.sum("num"), 4).alias("total"))
+
+
 @query(
     f"""WITH {POINTS} SELECT CAST(floor((lng+180)/360*256) AS BIGINT) AS x, CAST(floor((1-ln(tan(radians(lat))+1/cos(radians(lat)))/pi())/2*256) AS BIGINT) AS y, count(*) AS n FROM pts GROUP BY 1,2"""
 )
@@ -152,6 +176,21 @@ def f16_downsample(spark, d):
     return A.downsample(X.pixels(spark, d), 4).withColumn("value", F.round(F.col("value") + 1e-9, 5))
 
 
+RESIZED = (40, 30)
+
+
+@query(
+    X.with_("pixels")
+    + """, s AS (SELECT max("row")+1 AS h, max(col)+1 AS w FROM pixels), t AS (SELECT r AS "row", c AS col, r*(h-1)/39.0 AS fy, c*(w-1)/29.0 AS fx, h, w FROM s, range(40) a(r), range(30) b(c)),
+    k AS (SELECT *, CAST(floor(fy) AS BIGINT) AS y0, CAST(floor(fx) AS BIGINT) AS x0 FROM t), q AS (SELECT *, least(y0+1,h-1) AS y1, least(x0+1,w-1) AS x1, fy-y0 AS dy, fx-x0 AS dx FROM k)
+    SELECT q."row", q.col, round((a.value*(1-dx)+b.value*dx)*(1-dy)+(c.value*(1-dx)+d.value*dx)*dy,5) AS value FROM q LEFT JOIN pixels a ON a."row"=y0 AND a.col=x0 LEFT JOIN pixels b ON b."row"=y0 AND b.col=x1 LEFT JOIN pixels c ON c."row"=y1 AND c.col=x0 LEFT JOIN pixels d ON d."row"=y1 AND d.col=x1"""
+)
+def f16_resize(spark, d):
+    px = X.pixels(spark, d)
+    size = px.agg((F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w")).first()
+    return A.resize(px, (size["h"], size["w"]), RESIZED).withColumn("value", F.round("value", 5))
+
+
 # one raster of 150 rows of 100 pixels; low values are nodata
 RASTER = [("r", 0.0, 0.0, 1.0, -1.0, 100, 150, -9999.0)]
 

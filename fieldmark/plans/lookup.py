@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldmark.operators import grid as G
 from fieldmark.operators import lookup as L
 from fieldmark.sources import fixtures as X
 from fieldmark.sources.fixtures import scratch
@@ -69,6 +70,27 @@ def a10_purge_dry_run(spark, d):
     return L.purge(X.facts(spark, d), ["f1", "f3"])[1]
 
 
+# every third user has a cell of the present grid
+GRID_FACTS = f"g AS (SELECT fact_cid, fn_key, band, CASE WHEN cell%3=0 THEN {G.CELL_PREFIX}+cell ELSE cell END AS cell FROM facts), i AS (SELECT *, CASE WHEN fn_key IN ('f1','f3') THEN 'fn_key' WHEN (cell>>43)<>({G.CELL_PREFIX}>>43) THEN 'stale_grid' END AS reason FROM g)"
+
+
+def grid_facts(spark, d):
+    f = X.facts(spark, d).select("fact_cid", "fn_key", "band", "cell")
+    return f.withColumn("cell", F.when(F.col("cell") % 3 == 0, F.col("cell") + G.CELL_PREFIX).otherwise(F.col("cell")))
+
+
+@query(X.with_("facts", extra=GRID_FACTS) + "SELECT reason, count(*) AS n FROM i WHERE reason IS NOT NULL GROUP BY 1 UNION ALL SELECT 'orphan', count(*) FROM i WHERE reason IS NOT NULL HAVING count(*)>0")
+def a10_purge_plan(spark, d):
+    f = grid_facts(spark, d)
+    return L.purge_plan(f, f.select("fact_cid"), ["f1", "f3"])[2]
+
+
+@query(X.with_("facts", extra=GRID_FACTS) + "SELECT fact_cid, fn_key, band, cell FROM i WHERE reason IS NULL")
+def a10_apply_purge(spark, d):
+    f = grid_facts(spark, d)
+    return L.apply_purge(L.purge_plan(f, f.select("fact_cid"), ["f1", "f3"])[0], scratch(spark))
+
+
 @query(X.with_("facts", "latest") + "SELECT fact_cid, cell, band FROM facts WHERE fact_cid NOT IN (SELECT fact_cid FROM latest)")
 def a10_orphan_bodies(spark, d):
     f = X.facts(spark, d)
@@ -185,6 +207,18 @@ def c07_decode_loss(spark, d):
     )
 
 
+@query(
+    """WITH c AS (SELECT CASE WHEN l_returnflag='R' THEN year(l_shipdate)-1985 ELSE 0 END AS loss, l_linenumber+l_suppkey%3 AS driver, (2017+l_orderkey%5)*1000+l_partkey%400 AS alert FROM lineitem),
+    o AS (SELECT *, CASE WHEN alert//1000>=2019 AND alert%1000>=1 AND alert%1000<=CASE WHEN alert//1000=2020 THEN 366 ELSE 365 END THEN CAST(make_date(CAST(alert//1000 AS INT),1,1) + CAST(alert%1000-1 AS INTEGER) AS DATE) END AS day FROM c WHERE loss>0)
+    SELECT 2000+loss AS loss_year, ['Permanent agriculture','Hard commodities','Shifting cultivation','Logging','Wildfire','Settlements and infrastructure','Other natural disturbances'][driver] AS driver,
+    CASE WHEN driver<=3 THEN 'commodity' WHEN driver IN (5,7) THEN 'natural' WHEN driver<=7 THEN 'other' END AS driver_group, count(*) AS n, count(day) AS alerts, min(day) AS first_alert, max(day) AS last_alert FROM o GROUP BY 1,2,3"""
+)
+def c07_disturbance_table(spark, d):
+    loss = F.when(F.col("l_returnflag") == "R", F.year("l_shipdate") - 1985).otherwise(0).cast("bigint")
+    driver, alert = F.col("l_linenumber") + F.col("l_suppkey") % 3, (2017 + F.col("l_orderkey") % 5) * 1000 + F.col("l_partkey") % 400
+    return L.disturbance_table(X.read(spark, d, "lineitem").select(loss.alias("loss"), driver.alias("driver"), alert.alias("alert")))
+
+
 @query(
     X.with_("facts")
     + """, t AS (SELECT CASE WHEN o_orderkey%7=0 THEN 'memt:' || o_orderkey ELSE 'memt:' || (o_orderkey%150) || ':' || (o_orderkey%10000) END AS token FROM orders),

@@ -108,14 +108,34 @@ def e07_field_totals(spark, d):
     return t.select("zone", "fields", F.round(F.col("area_m2") / 1e6, 1).alias("area_km2"), F.round(F.col("largest_m2") / 1e6, 3).alias("largest_km2"))
 
 
+# areas over the polygons, several on some of them: area, polygon, tags
+AREAS = [
+    ("a1", "square", {"iucn_level": "II", "name": "Square", "protected_area": "national_park", "ISO3166-1:alpha3": "KEN"}),
+    ("a2", "square", {"protect_class": " 1b ", "name": "Carre", "name:en": "Core", "boundary": "protected_area", "addr:country": "KE"}),
+    ("a3", "square", {"iucn_level": "Ia", "name": "", "leisure": "nature_reserve", "marine": "yes"}),
+    ("b1", "hole", {"iucn_level": "", "protect_class": "5", "boundary": "", "leisure": "park", "maritime": "no"}),
+    ("b2", "hole", {"iucn_level": "9", "protect_class": "1"}),
+    ("c1", "ell", {"protect_class": "VI", "name": "Ell", "maritime": "yes"}),
+    ("d1", "parts", {"name:en": "Parts"}),
+]
+# what the rules make of them: area, polygon, rank, category, name, designation, country, marine
+AREA_ROWS = [
+    ("a1", "square", 1, "II", "Square", "national_park", "KEN", False), ("a2", "square", 0, "Ia", "Core", "protected_area", "KE", False),
+    ("a3", "square", 0, "Ia", "OSM area a3", "nature_reserve", "", True), ("b1", "hole", 4, "V", "OSM area b1", "park", "", False),
+    ("b2", "hole", 6, "Not Reported", "OSM area b2", "", "", False), ("c1", "ell", 5, "VI", "Ell", "", "", True), ("d1", "parts", 6, "Not Reported", "Parts", "", "", False),
+]
+AREAS_SQL = "areas (area_id, poly_id, rank, category, name, designation, country, marine) AS (VALUES " + ", ".join(
+    "(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in AREA_ROWS
+) + ")"
+
+
 @query(
-    f"""WITH {PTS}, {EDGES}, {INSIDE}, c AS (SELECT id, poly_id, CASE WHEN poly_id='square' THEN 'II' WHEN poly_id='hole' THEN 'Ia' WHEN poly_id='ell' THEN 'V' ELSE 'unknown' END AS category FROM ins) SELECT id, poly_id AS area_id, category FROM c"""
+    f"""WITH {PTS}, {EDGES}, {INSIDE}, {AREAS_SQL} SELECT id, area_id, category, name, designation, country, marine FROM ins JOIN areas USING (poly_id) QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank, area_id)=1"""
 )
 def e08_protected_status(spark, d):
-    kind = spark.createDataFrame([("square", "II"), ("hole", "Ia"), ("ell", "V"), ("parts", "")], "poly_id string, iucn string")
-    hits = E.points_in_polygons(points(spark, d), polys(spark), 10.0).join(F.broadcast(kind), "poly_id")
-    tags = F.create_map(F.lit("iucn"), F.col("iucn"), F.lit("name"), F.col("poly_id"))
-    return E.protected_status(hits.select("id", F.col("poly_id").alias("area_id"), tags.alias("tags"))).select("id", "area_id", "category")
+    areas = spark.createDataFrame(AREAS, "area_id string, poly_id string, tags map<string, string>")
+    hits = E.points_in_polygons(points(spark, d), polys(spark), 10.0).join(F.broadcast(areas), "poly_id")
+    return E.protected_status(hits.select("id", "area_id", "tags"))
 
 
 SEG = f"seg AS (SELECT lng AS x0, lat AS y0, lead(lng) OVER w AS x1, lead(lat) OVER w AS y1 FROM (SELECT event_id, user_id, {X.point_sql('event_id')} FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id))"

@@ -95,14 +95,47 @@ def i03_route_embedding(spark, d):
     return R.route_embedding(v.select(F.col("vec_id").alias("qid"), "vec"), aliases, keyword).select("qid", "topic", "rank")
 
 
-INTENT_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text),'{c}')" for c in cues) + f" THEN '{name}'" for name, cues in R.INTENTS) + " ELSE 'recall' END"
+def has_sql(phrases) -> str:
+    return "(" + " OR ".join("contains(t,'" + p.replace("'", "''") + "')" for p in phrases) + ")"
 
 
-@query(f"WITH {ASK} SELECT qid, {INTENT_SQL} AS intent FROM asked")
+INTENT_SQL = "CASE " + " ".join(f"WHEN {has_sql(cues)} THEN '{name}'" for name, cues in R.INTENTS) + " ELSE 'recall' END"
+AUDIT_SQL = f"CASE WHEN {has_sql(R.FRESHNESS)} THEN 'freshness' WHEN {has_sql(R.CORPUS_WORDS)} THEN CASE WHEN {has_sql(R.CORPUS_PREPOSITIONS)} THEN 'regional_density' ELSE 'global_coverage' END WHEN {has_sql(R.GLOBAL_COVERAGE)} THEN 'global_coverage' END"
+EVENT_SQL = (
+    f"CASE WHEN {has_sql(R.HUNT_VERBS)} OR ({has_sql(R.HUNT_PREPOSITIONS)} AND NOT {has_sql(R.PAST)}) THEN CASE "
+    + " ".join(f"WHEN {has_sql(cues)}" + (f" AND NOT {has_sql(unless)}" if unless else "") + f" THEN '{name}'" for name, cues, unless in R.EVENTS)
+    + " END END"
+)
+
+
+@query(f"WITH {ASK} SELECT qid, {INTENT_SQL} AS intent, {AUDIT_SQL} AS audit, {EVENT_SQL} AS event FROM (SELECT qid, lower(text) AS t FROM asked)")
 def i04_classify_questions(spark, d):
     return R.classify_questions(asked(spark, d))
 
 
+# question templates: every phrase of the rules meets every opening and ending
+OPENINGS = ("find ", "", "tell me about ", "where has ")
+PHRASES = (*(p for _, cues, unless in R.EVENTS for p in (*cues, *unless)), *R.FRESHNESS, *R.CORPUS_WORDS, *R.GLOBAL_COVERAGE, *(p for _, cues in R.INTENTS for p in cues))
+ENDINGS = ("", " in ", " since 2020 near ", " for ")
+
+
+def words_sql(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+TEMPLATES = f"asked AS (SELECT o_orderkey AS qid, lower({words_sql(OPENINGS)}[o_orderkey%{len(OPENINGS)}+1] || {words_sql(PHRASES)}[o_orderkey//{len(OPENINGS)}%{len(PHRASES)}+1] || {words_sql(ENDINGS)}[o_custkey%{len(ENDINGS)}+1] || o_orderpriority) AS t FROM orders)"
+
+
+@query(f"WITH {TEMPLATES} SELECT qid, {INTENT_SQL} AS intent, {AUDIT_SQL} AS audit, {EVENT_SQL} AS event FROM asked")
+def i04_question_rules(spark, d):
+    def pick(words, k):
+        return F.element_at(F.array(*map(F.lit, words)), (k % len(words) + 1).cast("int"))
+
+    k = F.col("o_orderkey")
+    text = F.concat(pick(OPENINGS, k), pick(PHRASES, F.floor(k / len(OPENINGS))), pick(ENDINGS, F.col("o_custkey")), "o_orderpriority")
+    return R.classify_questions(X.read(spark, d, "orders").select(k.alias("qid"), text.alias("text")))
+
+
 @query(f"WITH {ASK} SELECT qid, 'Region ' || (qid%7) AS anchor FROM asked")
 def i05_region_anchor(spark, d):
     return R.region_anchor(asked(spark, d))
@@ -118,6 +151,22 @@ def i06_answer_plan(spark, d):
     return R.answer_plan(routed, spark.createDataFrame(TOPIC_BANDS, "topic string, band string"), X.facts(spark, d))
 
 
+TOPIC_ALGORITHMS = [("cold", "frost_days"), ("cold", "degree_days"), ("blue", "water_index"), ("metal", "soil_metal"), ("green", "water_index"), ("green", "greenness")]
+
+
+@query(
+    X.with_("facts", extra=f"{QS}, {ROUTE}, {values('tb', 'topic, band', TOPIC_BANDS)}, {values('ta', 'topic, algorithm', TOPIC_ALGORITHMS)}")
+    + """, w AS (SELECT DISTINCT qid, qid%300 AS cell, band FROM routed JOIN tb USING (topic)), h AS (SELECT DISTINCT cell, band FROM facts WHERE kind='primary'),
+    p AS (SELECT qid, string_agg(w.band, ',' ORDER BY w.band) FILTER (h.cell IS NOT NULL) AS observed, string_agg(w.band, ',' ORDER BY w.band) FILTER (h.cell IS NULL) AS missing FROM w LEFT JOIN h ON h.cell=w.cell AND h.band=w.band GROUP BY qid),
+    g AS (SELECT qid, string_agg(DISTINCT algorithm, ',' ORDER BY algorithm) AS algorithms FROM routed JOIN ta USING (topic) GROUP BY qid)
+    SELECT qid, coalesce(observed,'') AS observed, coalesce(missing,'') AS missing, coalesce(algorithms,'') AS algorithms FROM p FULL JOIN g USING (qid)"""
+)
+def i06_plan_algorithms(spark, d):
+    routed = R.route_keyword(questions(spark, d), topics(spark)).select("qid", (F.col("qid") % 300).alias("cell"), "topic")
+    bands = spark.createDataFrame(TOPIC_BANDS, "topic string, band string")
+    return R.answer_plan(routed, bands, X.facts(spark, d), spark.createDataFrame(TOPIC_ALGORITHMS, "topic string, algorithm string"))
+
+
 SAMPLE = "smp AS (SELECT cell, region FROM regions QUALIFY row_number() OVER (PARTITION BY region ORDER BY (cell*7919)%10007, cell)<=8)"
 
 
@@ -247,6 +296,28 @@ def j03_fire_stream(spark, d):
     return J.finish_counts(w, scratch(spark), scratch(spark), ["end"]).select(F.col("end").cast("timestamp_ntz").alias("end"), "n", "largest")
 
 
+@query(
+    """WITH b AS (SELECT time_bucket(INTERVAL 300 SECONDS, ts) AS start, event_type AS band, count(*) AS facts FROM events GROUP BY ALL)
+    SELECT start, band, facts, rank FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY facts DESC, band) AS rank FROM b) WHERE rank<=3"""
+)
+def j02_top_bands(spark, d):
+    t = J.band_ticks(J.fact_stream(spark, d, "events.parquet"), 300)
+    told = J.finish_counts(t, scratch(spark), scratch(spark), ["start", "band"])
+    return J.top_bands(told, 3).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT time_bucket(INTERVAL 300 SECONDS, ts) AS start, count(*) AS facts, count(DISTINCT user_id) AS cells FROM events GROUP BY 1")
+def j02_exact_ticks(spark, d):
+    f = X.facts(spark, d).withColumn("signed_at", F.col("signed_at").cast("timestamp"))
+    return J.exact_ticks(f, 300).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT event_id, CASE WHEN late THEN 'absence' ELSE 'primary' END AS kind, CASE WHEN late THEN 'outside_window' END AS reason, CASE WHEN NOT late THEN value END AS num FROM (SELECT *, ts < (SELECT max(ts) FROM events) - INTERVAL 24 HOURS AS late FROM events)")
+def j03_late_fires(spark, d):
+    rows = J.fire_rows(J.fact_stream(spark, d, "events.parquet"), scratch(spark), scratch(spark))
+    return rows.select("event_id", "kind", "reason", "num")
+
+
 @query("SELECT user_id%7 AS signer, count(*) AS citations, max(ts) AS last_cited FROM events GROUP BY 1")
 def j04_citation_counts(spark, d):
     c = J.citation_counts(J.fact_stream(spark, d, "events.parquet"))

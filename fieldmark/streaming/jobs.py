@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 from fieldmark.operators.lookup import latest_facts
 
@@ -49,20 +50,64 @@ def finish_counts(stream: DataFrame, target: str, checkpoint: str, keys: list[st
     return told.select(*[F.col(c) if c in keys else F.col(f"r.{c}").alias(c) for c in stream.columns])
 
 
-def corpus_ticks(stream: DataFrame, seconds: int) -> DataFrame:
+def tick(seconds: int) -> Column:
+    """Tumbling window of a tick, 5 to 300 seconds long."""
+    return F.window("signed_at", f"{min(max(seconds, 5), 300)} seconds")
+
+
+def corpus_ticks(stream: DataFrame, seconds: int = 15) -> DataFrame:
     """Facts and an estimate of distinct cells per tumbling window."""
-    w = F.window("signed_at", f"{seconds} seconds")
+    w = tick(seconds)
     return stream.withWatermark("signed_at", "1 day").groupBy(w.alias("w")).agg(F.count("*").alias("facts"), F.approx_count_distinct("cell").alias("cells")).select(
         F.col("w.start").alias("start"), "facts", "cells"
     )
 
 
+def exact_ticks(facts: DataFrame, seconds: int = 15) -> DataFrame:
+    """Ticks of a table, with the exact number of distinct cells."""
+    return facts.groupBy(tick(seconds).alias("w")).agg(F.count("*").alias("facts"), F.count_distinct("cell").alias("cells")).select(F.col("w.start").alias("start"), "facts", "cells")
+
+
+def band_ticks(stream: DataFrame, seconds: int = 15) -> DataFrame:
+    """Facts per band and tumbling window."""
+    g = stream.withWatermark("signed_at", "1 day").groupBy(tick(seconds).alias("w"), "band")
+    return g.agg(F.count("*").alias("facts")).select(F.col("w.start").alias("start"), "band", "facts")
+
+
+def top_bands(ticks: DataFrame, most: int = 3) -> DataFrame:
+    """The bands with most facts of every tick, from the sink of ``band_ticks``."""
+    order = Window.partitionBy("start").orderBy(F.desc("facts"), "band")
+    return ticks.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
 def fire_windows(stream: DataFrame) -> DataFrame:
     """Detections and largest power of the last 24 hours, every hour."""
     w = F.window("signed_at", "24 hours", "1 hour")
     return stream.withWatermark("signed_at", "24 hours").groupBy(w.alias("w")).agg(F.count("*").alias("n"), F.max("num").alias("largest")).select(F.col("w.end").alias("end"), "n", "largest")
 
 
+def fire_rows(stream: DataFrame, target: str, checkpoint: str, hours: int = 24) -> DataFrame:
+    """Detections of a stream; those more than ``hours`` older than the newest one seen, their own
+    trigger's included, are late and become absences. Every trigger writes its rows and its newest time
+    under its own number, so that a repeated trigger gives the same rows."""
+    spark = stream.sparkSession
+
+    def add(df: DataFrame, number: int) -> None:
+        here = df.agg(F.max(F.unix_micros("signed_at")).alias("newest"))
+        if number > 0:
+            before = spark.read.schema("newest long, trigger long").parquet(f"{target}/newest").where(F.col("trigger") < number)
+            here = here.unionByName(before.select("newest"))
+        newest = here.agg(F.max("newest").alias("newest")).first()["newest"]
+        spark.createDataFrame([(newest,)], "newest long").coalesce(1).write.mode("overwrite").parquet(f"{target}/newest/trigger={number}")
+        floor = F.lit(newest).cast("bigint") - hours * 3_600_000_000
+        late = F.coalesce(F.unix_micros("signed_at") < floor, F.lit(False))
+        told = df.withColumns({"kind": F.when(late, "absence").otherwise("primary"), "reason": F.when(late, "outside_window"), "num": F.when(~late, F.col("num"))})
+        told.write.mode("overwrite").parquet(f"{target}/rows/trigger={number}")
+
+    stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{target}/rows").drop("trigger")
+
+
 def citation_counts(stream: DataFrame) -> DataFrame:
     return stream.groupBy("signer").agg(F.count("*").alias("citations"), F.max("signed_at").alias("last_cited"))
 

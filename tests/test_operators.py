@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldmark.operators import aggregate, formula, grid, lookup, spatial, vectors
+from fieldmark.operators import aggregate, formula, grid, lookup, routing, spatial, vectors
+from fieldmark.streaming import jobs
 
 
 def one(df):
@@ -181,3 +182,66 @@ def test_diffusion_closed_form_equals_steps(spark):
     for _ in range(4):
         u += 0.2 * (s - 4 * u)
     assert math.isclose(got[(1, 1)], u)
+
+
+def test_cell_text(spark):
+    older_grid = (1 << 60) | (12 << 52) | (0xAB << 44)
+    cells = [0, 44099, 44100, 65535, older_grid, grid.CELL_PREFIX + 123456789, (1 << 63) - 1, -1]
+    df = spark.createDataFrame([(c,) for c in cells], "cell long").withColumn("text", grid.cell_text(F.col("cell")))
+    rows = df.withColumn("back", grid.cell_of_text(F.col("text"))).collect()
+    assert [r["back"] for r in rows] == cells
+    assert rows[0]["text"] == "baba.baba.baba.baba" and rows[1]["text"].endswith(".zUzU") and rows[2]["text"].endswith(".zac44")
+    assert rows[4]["text"].startswith("damO.zb000.") and rows[5]["text"].startswith("defi.zb000.")
+    bad = spark.createDataFrame([("baba.baba.baba",), ("baba.baba.baba.zzzz",), ("baba.baba.baba.z0000",), ("",), (None,)], "t string")
+    assert {r["c"] for r in bad.select(grid.cell_of_text(F.col("t")).alias("c")).collect()} == {None}
+
+
+def test_tiles_of_edges(spark):
+    df = spark.createDataFrame([(42.0, -93.4), (-0.5, 0.0), (0.0, -0.1), (-42.0, 170.0)], "lat double, lng double")
+    got = df.select(grid.corner_tile(F.col("lat"), F.col("lng")).alias("a"), grid.corner_tile(F.col("lat"), F.col("lng"), padded=False).alias("b")).collect()
+    assert [tuple(r) for r in got] == [("50N_100W", "50N_100W"), ("00N_000E", "0N_0E"), ("00N_010W", "0N_10W"), ("40S_170E", "40S_170E")]
+
+
+def test_resize(spark):
+    px = spark.createDataFrame([(r, c, float(10 * r + c)) for r in range(3) for c in range(3)], "row long, col long, value double")
+    same = {(r["row"], r["col"]): r["value"] for r in aggregate.resize(px, (3, 3), (3, 3)).collect()}
+    assert same == {(r, c): 10.0 * r + c for r in range(3) for c in range(3)}
+    half = {(r["row"], r["col"]): r["value"] for r in aggregate.resize(px, (3, 3), (5, 2)).collect()}
+    assert half == {(r, c): pytest.approx(5.0 * r + 2 * c) for r in range(5) for c in range(2)}
+    holed = aggregate.resize(px.where("row <> 0"), (3, 3), (2, 2)).collect()
+    assert {(r["row"], r["value"] is None) for r in holed} == {(0, True), (1, False)}
+    assert {(r["row"], r["col"]): r["value"] for r in aggregate.resize(px, (3, 3), (1, 1)).collect()} == {(0, 0): 0.0}
+
+
+def test_late_fires_follow_the_newest_of_all_triggers(spark, tmp_path):
+    hours = [(0, 0), (1, 30), (2, 10), (3, 5), (4, 40), (5, 15), (6, None)]
+    for i in range(0, 7, 2):
+        part = spark.createDataFrame(hours[i : i + 2], "event_id long, h long").select(
+            "event_id", F.lit(1).cast("bigint").alias("user_id"), F.lit("fire").alias("event_type"), F.timestamp_seconds(F.col("h") * 3600).alias("ts"), F.lit(2.0).alias("value")
+        )
+        part.coalesce(1).write.parquet(str(tmp_path / "part"), mode="append")
+    s = jobs.fact_stream(spark, str(tmp_path / "part"), "*.parquet", 1)
+    rows = {r["event_id"]: r for r in jobs.fire_rows(s, str(tmp_path / "out"), str(tmp_path / "state")).collect()}
+    assert sorted(rows) == list(range(7))
+    # files are read oldest first: the newest is 30, 30, 40 and 40 hours, so rows before 6, 6, 16 and 16 are late
+    assert [i for i in sorted(rows) if rows[i]["kind"] == "absence"] == [0, 3, 5]
+    assert rows[0]["reason"] == "outside_window" and rows[0]["num"] is None and rows[1]["num"] == 2.0 and rows[6]["kind"] == "primary"
+
+
+def test_question_rules(spark):
+    asked = {
+        "find deforestation": ("change", None, "deforestation"), "Deforestation since 2020 in Peru": ("change", None, None), "flood risk in Goa": ("recall", None, None),
+        "flood damage and flood risk in Goa": ("recall", None, "flood"), "forest fire risk near X": ("recall", None, None), "urban heat risk in Y": ("recall", None, None),
+        "how fresh is your data in Spain": ("recall", "freshness", None), "ndvi coverage over the amazon": ("recall", "regional_density", None),
+        "show me your coverage": ("recall", "global_coverage", None), "where do you have facts in Peru": ("recall", "global_coverage", None),
+        "What looks like Mt Fuji": ("similarity", None, None), "": ("recall", None, None), None: ("recall", None, None),
+    }
+    df = spark.createDataFrame(list(enumerate(asked)), "qid long, text string")
+    got = {r["qid"]: (r["intent"], r["audit"], r["event"]) for r in routing.classify_questions(df).collect()}
+    assert [got[i] for i in range(len(asked))] == list(asked.values())
+
+
+def test_ordinal_dates(spark):
+    df = spark.createDataFrame([(2020366,), (2021366,), (2018001,), (2101001,), (2019000,), (None,)], "d long")
+    got = [r["x"] and r["x"].isoformat() for r in df.select(lookup.ordinal_date(F.col("d"), (2019, 2100)).alias("x")).collect()]
+    assert got == ["2020-12-31", None, None, None, None, None]
