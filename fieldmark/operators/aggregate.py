@@ -173,6 +173,25 @@ def class_profile(rows: DataFrame, keys: list[str], cls: str) -> DataFrame:
     return top.select(*keys, "mode", (F.col("n") / F.col("total")).alias("share"), "classes")
 
 
+def class_shares(rows: DataFrame, keys: list[str], cls: str, classes: list[str]) -> DataFrame:
+    """Mean one-hot vector of a categorical column per key: the share of every class of a fixed list; a
+    class outside it counts in none, a null one not at all."""
+    return rows.where(F.col(cls).isNotNull()).groupBy(*keys).agg(*[F.avg((F.col(cls) == c).cast("double")).alias(c) for c in classes])
+
+
+# Families of land cover by the high bits of a class code, whose low three bits are the leaf.
+FAMILIES = ("veg_closed", "veg_open", "crop_annual", "crop_perennial", "built", "bare", "water", "cryo")
+
+
+def landcover_family(code: Column) -> Column:
+    """Family of a class code of 0 to 255; codes beyond the last family belong to it."""
+    return F.get(F.array(*map(F.lit, FAMILIES)), F.least(F.shiftright(code, 3), F.lit(len(FAMILIES) - 1)).cast("int"))
+
+
+def landcover_id(code: Column) -> Column:
+    return F.concat(F.lit("lcv-1.f"), F.shiftright(code, 3), F.lit(".l"), code.bitwiseAND(7))
+
+
 def screen_plots(plots: DataFrame, cell_ha: float | None = None, least_ha: float = 0.5) -> DataFrame:
     """Per plot the failing share and verdict of cells (plot, canopy, loss_year, base2020, other_loss).
     Forest in 2020: baseline layer, or canopy above 10 with no loss up to 2020. Loss after 2020 in

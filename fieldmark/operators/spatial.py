@@ -63,6 +63,41 @@ def count_in_boxes(points: DataFrame, boxes: DataFrame, size: float = 5.0) -> Da
     return boxes.select("box_id").join(n, "box_id", "left").select("box_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def vertex_centroid(parts: Column) -> tuple[Column, Column]:
+    """(lng, lat): mean corner, the closing one included, of the outer ring of the part with most corners
+    (the first of equal ones); null without corners."""
+    most = F.array_max(F.transform(parts, lambda p: F.size(F.get(p, F.lit(0)))))
+    ring = F.get(F.get(F.filter(parts, lambda p: F.size(F.get(p, F.lit(0))) == most), F.lit(0)), F.lit(0))
+    mean = lambda axis: F.when(most > 0, F.aggregate(ring, F.lit(0.0), lambda a, q: a + q[axis]) / most)
+    return mean("lng"), mean("lat")
+
+
+def count_centroids_in_boxes(polys: DataFrame, boxes: DataFrame, size: float = 5.0) -> DataFrame:
+    """Polygons whose mean corner lies inside each box, 0 included; ``polys``: (parts), a list of polygons
+    of rings each."""
+    lng, lat = vertex_centroid(F.col("parts"))
+    return count_in_boxes(polys.select(lng.alias("lng"), lat.alias("lat")), boxes, size)
+
+
+def fires_in_boxes(asks: DataFrame, fires: DataFrame, size: float = 1.0, hours: int = 24) -> DataFrame:
+    """Count, largest and summed power, last time, confidence, sensors and day share 0 .. 255 of the fires
+    (lng, lat, acquired) in each box (box_id, lng_min .. lat_max) from t0 to t1, 0 where there are none.
+    ``known`` is false for boxes whose time ends more than ``hours`` before the newest fire: the
+    detections at hand say nothing of them, so their figures are null."""
+    newest = fires.agg(F.max("acquired")).first()[0] or 0
+    p = fires.withColumns({"tx": F.floor(F.col("lng") / size), "ty": F.floor(F.col("lat") / size)})
+    inside = F.col("lng").between(F.col("lng_min"), F.col("lng_max")) & F.col("lat").between(F.col("lat_min"), F.col("lat_max"))
+    met = p.join(tiles_of(asks, size), ["tx", "ty"]).where(inside & F.col("acquired").between(F.col("t0"), F.col("t1")))
+    n, day = F.count("*"), F.sum((F.lower("daynight") == "d").cast("bigint"))
+    sums = met.groupBy("box_id").agg(
+        n.alias("n"), F.max("frp").alias("max_frp"), F.sum("frp").alias("sum_frp"), F.max("acquired").alias("last"), F.max("confidence").alias("max_confidence"),
+        F.bit_or("sensor").alias("sensors"), F.floor(day * 255 / n).alias("day_share"),
+    )
+    known = F.col("t1") >= newest - hours * 3600
+    j = asks.select("box_id", known.alias("known")).join(sums, "box_id", "left")
+    return j.select("box_id", "known", *[F.when(F.col("known"), F.coalesce(c, F.lit(0))).alias(c) for c in sums.columns[1:]])
+
+
 def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     a, b = F.radians(lat2 - lat1) / 2, F.radians(lng2 - lng1) / 2
     h = F.sin(a) * F.sin(a) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(b) * F.sin(b)

@@ -138,6 +138,20 @@ def f09_class_profile(spark, d):
     return A.class_profile(X.facts(spark, d), ["cell"], "band").withColumn("share", F.round("share", 6))
 
 
+@query(X.with_("facts") + "SELECT cell, " + ", ".join(f"round(count(*) FILTER (band='{c}')/count(*),6) AS {c}" for c in ("click", "error", "purchase", "view")) + " FROM facts GROUP BY cell")
+def f09_class_shares(spark, d):
+    shares = A.class_shares(X.facts(spark, d), ["cell"], "band", ["click", "error", "purchase", "view"])
+    return shares.select("cell", *[F.round(c, 6).alias(c) for c in shares.columns[1:]])
+
+
+@query(
+    """SELECT ['veg_closed','veg_open','crop_annual','crop_perennial','built','bare','water','cryo'][least(code//8,7)+1] AS family, 'lcv-1.f' || (code//8) || '.l' || (code%8) AS id, count(*) AS n FROM (SELECT l_partkey%80 AS code FROM lineitem) GROUP BY ALL"""
+)
+def f09_landcover_family(spark, d):
+    code = F.col("l_partkey") % 80
+    return X.read(spark, d, "lineitem").groupBy(A.landcover_family(code).alias("family"), A.landcover_id(code).alias("id")).agg(F.count("*").alias("n"))
+
+
 @query(
     """WITH p AS (SELECT l_suppkey AS plot, l_quantity*2 AS canopy, CASE WHEN l_returnflag='R' THEN year(l_shipdate)+20 ELSE 0 END AS loss_year, l_linestatus='F' AS base2020 FROM lineitem),
     c AS (SELECT plot, CASE WHEN NOT (base2020 OR (canopy>10 AND (loss_year=0 OR loss_year>2020))) THEN 3 WHEN loss_year>2020 THEN 2 ELSE 1 END AS v FROM p)

@@ -95,6 +95,38 @@ FIELD = f"fo AS (SELECT o_orderkey, o_totalprice/1e7 AS size, {X.point_sql('o_or
     fa AS (SELECT poly_id, abs(a2/2)*111132.92*(111412.84*cos(radians(lat))-93.5*cos(3*radians(lat))) AS area, cx/(3*a2) AS lng, cy/(3*a2) AS lat FROM fs JOIN fm USING (poly_id) WHERE x_hi>=-100 AND x_lo<=100 AND y_hi>=-60 AND y_lo<=60)"""
 
 
+@query(
+    f"""WITH {FIELD}, {BOX}, m AS (SELECT poly_id, avg(x) AS lng, avg(y) AS lat FROM fv GROUP BY 1)
+    SELECT box_id, count(poly_id) AS n FROM boxes LEFT JOIN m ON lng BETWEEN lng_min AND lng_max AND lat BETWEEN lat_min AND lat_max GROUP BY box_id"""
+)
+def e05_count_centroids(spark, d):
+    # a small triangle beside each field is its second part
+    near = lambda x, y: F.struct((F.col("rings")[0][0]["lng"] + x).alias("lng"), (F.col("rings")[0][0]["lat"] + y).alias("lat"))
+    triangle = F.array(F.array(near(20.0, 0.0), near(20.1, 0.0), near(20.0, 0.1), near(20.0, 0.0)))
+    f = fields(spark, d)
+    return E.count_centroids_in_boxes(f.select(F.array(triangle, F.col("rings")).alias("parts")), boxes(spark, d))
+
+
+FIRE_BOX = "asks AS (SELECT *, 1704067200 + (box_id%30)*86400 AS t0, 1704067200 + (box_id%30)*86400 + 604800 AS t1 FROM boxes)"
+
+
+@query(
+    f"""WITH {BOX}, {FIRE_BOX}, f AS (SELECT value AS frp, CAST(floor(epoch(ts)) AS BIGINT) AS acquired, user_id%101 AS confidence, hour(ts) BETWEEN 6 AND 17 AS day, CAST(1<<(event_id%4)::INT AS BIGINT) AS sensor, {X.point_sql('event_id')} FROM events),
+    g AS (SELECT box_id, count(*) AS n, max(frp) AS max_frp, sum(frp) AS sum_frp, max(acquired) AS last, max(confidence) AS max_confidence, bit_or(sensor) AS sensors, sum(day::INT)::BIGINT*255//count(*) AS day_share FROM asks JOIN f ON lng BETWEEN lng_min AND lng_max AND lat BETWEEN lat_min AND lat_max AND acquired BETWEEN t0 AND t1 GROUP BY 1),
+    k AS (SELECT box_id, t1 >= (SELECT max(acquired) FROM f)-86400 AS known FROM asks)
+    SELECT box_id, known, CASE WHEN known THEN coalesce(n,0) END AS n, CASE WHEN known THEN coalesce(max_frp,0) END AS max_frp, CASE WHEN known THEN round(coalesce(sum_frp,0),4) END AS sum_frp, CASE WHEN known THEN coalesce(last,0) END AS last, CASE WHEN known THEN coalesce(max_confidence,0) END AS max_confidence, CASE WHEN known THEN coalesce(sensors,0) END AS sensors, CASE WHEN known THEN coalesce(day_share,0) END AS day_share FROM k LEFT JOIN g USING (box_id)"""
+)
+def f18_fires_in_boxes(spark, d):
+    e = X.with_point(X.read(spark, d, "events"), "event_id")
+    fires = e.select(
+        "lng", "lat", F.col("value").alias("frp"), F.expr("unix_timestamp(ts)").alias("acquired"), (F.col("user_id") % 101).alias("confidence"),
+        F.when(F.hour("ts").between(6, 17), "D").otherwise("N").alias("daynight"), F.expr("shiftleft(1L, cast(event_id % 4 as int))").alias("sensor"),
+    )
+    start = F.lit(1704067200) + (F.col("box_id") % 30) * 86400
+    asks = boxes(spark, d).withColumns({"t0": start, "t1": start + 604800})
+    return E.fires_in_boxes(asks, fires, 5.0).withColumn("sum_frp", F.round("sum_frp", 4))
+
+
 @query(f"WITH {FIELD} SELECT poly_id, round(area/1e6,3) AS area_km2, round(lng,4) AS lng, round(lat,4) AS lat FROM fa")
 def e07_field_areas(spark, d):
     f = E.field_areas(fields(spark, d), (-100.0, -60.0, 100.0, 60.0))

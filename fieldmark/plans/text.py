@@ -354,7 +354,7 @@ def a04_unpack_series(spark, d):
     return u.groupBy("key").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("SELECT DISTINCT p_partkey AS id, unnest([lower(p_name), lower(p_type), lower(p_brand)]) AS key FROM part")
+@query("SELECT DISTINCT p_partkey AS id, trim(regexp_replace(lower(unnest([p_name, p_type, p_brand])), '[^a-z0-9]+', ' ', 'g')) AS key FROM part")
 def a05_gazetteer_keys(spark, d):
     p = X.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("asciiname"), F.col("p_brand").alias("alternates"))
     return G.gazetteer_keys(p)

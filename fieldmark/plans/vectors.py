@@ -226,6 +226,30 @@ def f13_change_variant(spark, d):
     return V.change_variant(encoders(v), "forest", mask).withColumn("ensemble", F.round("ensemble", 6))
 
 
+# the other domains: gate, uplift test of the leg, and the leg itself, in SQL and as a column
+VARIANTS = {
+    "wetland": (0.1, "abs(cell%40-20)>=15", lambda cell: cell % 40 - 20),
+    "urban": (0.2, "cell%3<>1", lambda cell: cell % 3 - 1),
+    "coast": (0.12, "cell%21 BETWEEN 5 AND 15", lambda cell: cell % 21 - 10),
+}
+
+
+def _variant(domain: str, leg) -> None:
+    gate, test, _ = VARIANTS[domain]
+    sql = SQL["f13_change_variant"].replace("s>0.2", f"s>{gate}").replace("cell%3>0", test)
+
+    def run(spark, d):
+        v = X.vecs(spark, d)
+        legs = v.select("cell").distinct().select("cell", leg(F.col("cell")).cast("double").alias("leg"))
+        return V.change_variant(encoders(v), domain, legs).withColumn("ensemble", F.round("ensemble", 6))
+
+    run.__name__ = f"f13_change_{domain}"
+    query(sql)(run)
+
+
+for _domain, (_, _, _leg) in VARIANTS.items():
+    _variant(_domain, _leg)
+
 NEW = "nw AS (SELECT cell, band, arg_max(vec,tslot) AS vec, max(tslot) AS tslot FROM enc GROUP BY ALL)"
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,10 +35,18 @@ def unpack_series(df: DataFrame, stored: str, scale: float, offset: float, fill:
     return df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")) & (F.round(v) != fill)).withColumn("value", v * scale + offset)
 
 
-def normal_name(c: str | object):
-    """Lower case, accents folded, outer spaces removed."""
-    accents = "áàâäãåéèêëíìîïóòôöõúùûüñç", "aaaaaaeeeeiiiiooooouuuunc"
-    return F.btrim(F.translate(F.lower(c), *accents))
+# Latin letters with accents and what they fold to.
+ACCENTS = (("àáâãäåÀÁÂÃÄÅ", "a"), ("çÇ", "c"), ("èéêëÈÉÊË", "e"), ("ìíîïÌÍÎÏ", "i"), ("ñÑ", "n"), ("òóôõöøÒÓÔÕÖØ", "o"), ("ùúûüÙÚÛÜ", "u"), ("ýÿÝŸ", "y"))
+LIGATURES = (("[æÆ]", "ae"), ("[œŒ]", "oe"), ("ß", "ss"))
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def normal_name(c: str | Column) -> Column:
+    """Letters a to z and digits of a name, accents folded; whatever stands between them is one space."""
+    folded = F.translate(c, CAPITALS + "".join(a for a, _ in ACCENTS), CAPITALS.lower() + "".join(b * len(a) for a, b in ACCENTS))
+    for pattern, plain in LIGATURES:
+        folded = F.regexp_replace(folded, pattern, plain)
+    return F.btrim(F.regexp_replace(folded, "[^a-z0-9]+", " "))
 
 
 def gazetteer_keys(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldmark.operators import aggregate, formula, grid, lookup, routing, spatial, vectors
+from fieldmark.sources import ingest
 from fieldmark.streaming import jobs
 
 
@@ -245,3 +246,37 @@ def test_ordinal_dates(spark):
     df = spark.createDataFrame([(2020366,), (2021366,), (2018001,), (2101001,), (2019000,), (None,)], "d long")
     got = [r["x"] and r["x"].isoformat() for r in df.select(lookup.ordinal_date(F.col("d"), (2019, 2100)).alias("x")).collect()]
     assert got == ["2020-12-31", None, None, None, None, None]
+
+
+def test_normal_names(spark):
+    names = {"São Paulo": "sao paulo", "München": "munchen", "New-York,  NY": "new york ny", "  ": "", "Straße Ægir ŒUVRE": "strasse aegir oeuvre", "東京 1": "1", None: None}
+    df = spark.createDataFrame(list(enumerate(names)), "i long, n string")
+    assert [r["k"] for r in df.select("i", ingest.normal_name("n").alias("k")).orderBy("i").collect()] == list(names.values())
+
+
+def test_vertex_centroid_takes_the_part_with_most_corners(spark):
+    square, other = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 0.0)], [(10.0, 10.0), (14.0, 10.0), (14.0, 14.0), (10.0, 10.0)]
+    line, hole = [(50.0, 50.0), (51.0, 51.0)], [(1.0, 1.0)] * 9
+    rows = [([[line], [square, hole], [other]],), ([],), ([[[]]],), (None,)]
+    df = spark.createDataFrame(rows, "parts array<array<array<struct<lng: double, lat: double>>>>")
+    lng, lat = spatial.vertex_centroid(F.col("parts"))
+    got = [tuple(r) for r in df.select(lng.alias("x"), lat.alias("y")).collect()]
+    assert got == [(2.0, 1.0), (None, None), (None, None), (None, None)]
+
+
+def test_purge_plan(spark):
+    here = grid.CELL_PREFIX + 5
+    index = spark.createDataFrame([("a", "f1", here), ("b", "f2", here), ("c", "f2", 7), ("d", None, here), ("e", "f1", 7)], "fact_cid string, fn_key string, cell long")
+    bodies = spark.createDataFrame([(c,) for c in "abcdex"], "fact_cid string")
+    kept, left, counts = lookup.purge_plan(index, bodies, ["f1"])
+    assert {r["fact_cid"] for r in kept.collect()} == {"b", "d"} == {r["fact_cid"] for r in left.collect()}
+    assert {r["reason"]: r["n"] for r in counts.collect()} == {"fn_key": 2, "stale_grid": 1, "orphan": 4}
+    kept, left, counts = lookup.purge_plan(index, bodies, [], grid=False, orphans=False)
+    assert kept.count() == 5 and left.count() == 6 and counts.count() == 0
+
+
+def test_protected_status_of_points(spark):
+    hits = [(1, "x", {"iucn_level": "II"}), (1, "y", {"protect_class": "1a"}), (2, "x", {}), (2, "w", {"iucn_level": "?"}), (3, "z", None)]
+    df = spark.createDataFrame(hits, "id long, area_id string, tags map<string, string>")
+    got = {r["id"]: (r["area_id"], r["category"], r["name"], r["designation"], r["marine"]) for r in spatial.protected_status(df).collect()}
+    assert got[1] == ("y", "Ia", "OSM area y", "", False) and got[2] == ("w", "Not Reported", "OSM area w", "", False) and got[3][1] == "Not Reported"
