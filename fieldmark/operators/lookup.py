@@ -317,11 +317,21 @@ def diff(requests: DataFrame, facts: DataFrame) -> DataFrame:
 
 def compare_bands(requests: DataFrame, facts: DataFrame) -> DataFrame:
     """Delta of two bands of a cell at their newest slots, and the predicate's verdict: true, false or
-    incomparable. ``requests``: (cell, band_a, band_b, predicate, threshold)."""
+    incomparable. ``requests``: (cell, band_a, band_b, predicate, threshold), and tslot where a request
+    names its slot; a null one takes the newest."""
     newest = pick_slot(facts)
-    a = newest.select("cell", F.col("band").alias("band_a"), F.col("tslot").alias("tslot_a"), F.col("num").alias("num_a"))
-    b = newest.select("cell", F.col("band").alias("band_b"), F.col("tslot").alias("tslot_b"), F.col("num").alias("num_b"))
-    j = requests.join(a, ["cell", "band_a"], "left").join(b, ["cell", "band_b"], "left")
+
+    def side(of: DataFrame, s: str) -> DataFrame:
+        last = newest.select("cell", F.col("band").alias(f"band_{s}"), F.col("tslot").alias(f"tslot_{s}"), F.col("num").alias(f"num_{s}"))
+        if "tslot" not in requests.columns:
+            return of.join(last, ["cell", f"band_{s}"], "left")
+        # a request without a slot never meets the slots, one with a slot never the newest
+        at = facts.where("kind = 'primary'").groupBy("cell", "band", "tslot").agg(F.max(F.struct("event_id", "num")).alias("r"))
+        at = at.select("cell", F.col("band").alias(f"band_{s}"), F.col("tslot"), F.col("tslot").alias(f"tslot_{s}"), F.col("r.num").alias(f"num_{s}"))
+        free = of.where("tslot is null").join(last, ["cell", f"band_{s}"], "left")
+        return free.unionByName(of.where("tslot is not null").join(at, ["cell", f"band_{s}", "tslot"], "left"))
+
+    j = side(side(requests, "a"), "b")
     delta = F.col("num_b") - F.col("num_a")
     ok = F.when(F.col("predicate") == "abs_diff_le", F.abs(delta) <= F.col("threshold")).when(F.col("predicate") == "abs_diff_lt", F.abs(delta) < F.col("threshold"))
     return j.select(

@@ -259,6 +259,21 @@ def d02_compare_bands(spark, d):
     return L.compare_bands(q, f).withColumn("delta", F.round("delta", 6))
 
 
+@query(
+    X.with_("facts", extra=NEWEST_SQL)
+    + """, q AS (SELECT DISTINCT cell, 'click' AS band_a, 'view' AS band_b, CASE WHEN cell%4<>0 THEN tslot END AS tslot FROM facts),
+    s AS (SELECT cell, band, tslot, arg_max(num, event_id) AS num FROM facts WHERE kind='primary' GROUP BY ALL),
+    v AS (SELECT cell, band, tslot AS asked, tslot, num FROM s UNION ALL SELECT cell, band, NULL, tslot, num FROM newest)
+    SELECT q.cell, q.band_a, q.band_b, a.tslot AS tslot_a, b.tslot AS tslot_b, round(b.num-a.num,6) AS delta, 'abs_diff_lt' AS predicate, coalesce(CAST(abs(b.num-a.num)<30.0 AS VARCHAR),'incomparable') AS verdict
+    FROM q LEFT JOIN v a ON a.cell=q.cell AND a.band=q.band_a AND a.asked IS NOT DISTINCT FROM q.tslot LEFT JOIN v b ON b.cell=q.cell AND b.band=q.band_b AND b.asked IS NOT DISTINCT FROM q.tslot"""
+)
+def d02_compare_bands_at_slot(spark, d):
+    f = X.facts(spark, d)
+    asked = f.select("cell", F.when(F.col("cell") % 4 != 0, F.col("tslot")).alias("tslot")).distinct()
+    q = asked.select("cell", "tslot", F.lit("click").alias("band_a"), F.lit("view").alias("band_b"), F.lit("abs_diff_lt").alias("predicate"), F.lit(30.0).alias("threshold"))
+    return L.compare_bands(q, f).withColumn("delta", F.round("delta", 6))
+
+
 @query(
     X.with_("facts", "latest")
     + """SELECT a.cell, a.band, a.tslot AS tslot_a, b.tslot AS tslot_b, 'delta' AS op, round(b.num-a.num,6) AS num, a.fact_cid || ',' || b.fact_cid AS parents, 1.0::DOUBLE AS confidence, 'nd.delta@1' AS fn_key
