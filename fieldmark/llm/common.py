@@ -58,6 +58,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df if wide else df.repartition(cores)
 
 
+def ids_as_text(df: DataFrame, *names: str) -> DataFrame:
+    """Ids as decimal text: a nullable long would reach pandas as a double and lose its low bits."""
+    return df.withColumns({c: F.col(c).cast("string") for c in names})
+
+
+def ids_as_long(df: DataFrame, *names: str) -> DataFrame:
+    """Back from ``ids_as_text``."""
+    return df.withColumns({c: F.col(c).cast("bigint") for c in names})
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and pass it to ``body`` (a lambda over a Column)."""
     return F.transform(F.array(value), body)[0]

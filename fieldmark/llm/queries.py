@@ -84,6 +84,26 @@ def op10_huffman_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman_round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import code_digest, compress
+
+    return code_digest(compress(table(spark, sf_dir, "embeddings")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import identifiers, pii_digest
+
+    return pii_digest(identifiers(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_license_scan": op2_license_scan,
@@ -95,6 +115,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_huffman_files": op10_huffman_files,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_pii": op13_pii,
 }
 
 
@@ -104,5 +127,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     from .quality_sql import quality_sql
+    from .vector_sql import codes_sql, negatives_sql
 
-    return {"op3_quality_rules": quality_sql()}
+    return {"op3_quality_rules": quality_sql(), "op11_vector_codes": codes_sql(), "op12_hard_negatives": negatives_sql()}
