@@ -17,9 +17,10 @@ cosines in double precision, and gives link counts and a spanning forest of its
 very full places and very full blocks are split, so that no task holds an unbounded group.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or differ in length
-from most of the sample link with nothing; every row is a vector of its own in the link counts, rows
-that share an id are one vertex of the components; an empty table gives an empty result; extra
-columns are not returned.
+from most of the sample link with nothing; every row is a vector and vertex of its own, also with a
+repeated id or none; a component is named by its smallest id, and has none if none of its rows has one;
+a row without an id is kept only then; an empty table gives an empty result; extra columns are not
+returned.
 """
 
 from __future__ import annotations
@@ -206,12 +207,14 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     some = every.select("id", usable(F.col("v")).alias("x")).where("x is not null").orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     sample = [np.array(r["x"]) for r in some.select("x").collect()]
     if not sample:
-        return every.select(F.col("id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+        alone = {"n_links": F.lit(0).cast("bigint"), "component_id": F.col("id"), "kept": F.lit(True)}
+        return every.select(F.col("id").alias(id_col), *[c.alias(k) for k, c in alone.items()])
     lengths, times = np.unique([len(x) for x in sample], return_counts=True)
     dim = int(lengths[times.argmax()])
     keyed = every.select("id", usable(F.col("v"), dim).alias("x")).select("id", "x", *vector_keys(F.col("x")))
     grouped = keyed.where("x is not null").groupBy("k1", "k2")
-    classes = stage(grouped.agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("x").alias("x")), "vectors")
+    found = grouped.agg(F.min("id").alias("least"), F.count("*").alias("weight"), F.first("x").alias("x"))
+    classes = stage(found.withColumn("id", F.monotonically_increasing_id()), "vectors")  # from here on the class's own number
     n = classes.count()
     model = fit_quantiser(np.stack([x for x in sample if len(x) == dim]), n, threshold)
 
@@ -222,7 +225,7 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
                 c = c.view(np.int64)
                 yield batch.assign(c0=c[:, 0], c1=c[:, 1], places=list(places))
 
-    indexed = classes.mapInPandas(coded, "k1 long, k2 long, id long, weight long, x array<double>, c0 long, c1 long, places array<long>")
+    indexed = classes.select("id", "weight", "x").mapInPandas(coded, "id long, weight long, x array<double>, c0 long, c1 long, places array<long>")
     indexed = stage(indexed, "codes")
     prefix = F.shiftrightunsigned("c0", 64 - max(1, min(20, int(np.log2(max(n / 256, 2))))))
     crowd = indexed.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("size"))
@@ -230,7 +233,7 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     blocks = indexed.withColumn("prefix", prefix).join(small_side(crowd, 1 << 20), "prefix")
     parts = F.ceil(F.col("size") / FULL_BLOCK)
     blocks = stage(
-        blocks.withColumn("block", F.col("prefix") * (1 << 32) + F.pmod(F.xxhash64("id"), parts)).select("k1", "k2", "id", "x", "weight", "c0", "c1", "places", "block"),
+        blocks.withColumn("block", F.col("prefix") * (1 << 32) + F.pmod(F.xxhash64("id"), parts)).select("id", "x", "weight", "c0", "c1", "places", "block"),
         "blocks",
     )
     places = blocks.select("id", "block", "c0", "c1", F.explode("places").alias("place"))
@@ -257,17 +260,19 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
         "scored",
     )
     links = scored.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
-    components = connected_components(scored.where("a <> b").select("a", "b"))
+    components = stage(connected_components(scored.where("a <> b").select("a", "b")), "components")
+    least = components.join(classes.select("id", "least"), "id").groupBy("component").agg(F.min("least").alias("lowest"))
     named = (
-        blocks.select("id", "weight", "k1", "k2")
+        classes.select("id", "weight", "k1", "k2", "least")
         .join(links, "id", "left")
-        .join(components, "id", "left")
-        .select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+        .join(components.join(least, "component").select("id", "lowest"), "id", "left")
+        .select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("lowest", "least").alias("lowest"), F.lit(True).alias("linked"))
     )
     result = keyed.select("id", "k1", "k2").join(named, ["k1", "k2"], "left")
+    component = F.when(F.col("linked"), F.col("lowest")).otherwise(F.col("id"))
     return result.select(
         F.col("id").alias(id_col),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-        F.coalesce("component_id", "id").alias("component_id"),
-        (F.col("id") == F.coalesce("component_id", "id")).alias("kept"),
+        component.alias("component_id"),
+        F.coalesce(F.col("id") == component, component.isNull()).alias("kept"),
     )

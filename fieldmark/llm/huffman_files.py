@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, spread, stage
+from .common import ids_as_long, ids_as_text, new_path, spread, stage
 from .token_cache import tokenizer
 
 MAX_BITS = 18
@@ -59,7 +59,8 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 2, text_col: str = "text"
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids, "counts": None})
         yield pd.DataFrame({"doc_id": [None], "ids": [None], "counts": [zlib.compress(total.tobytes(), 1)]})
 
-    return spread(docs.select("doc_id", F.col(text_col).alias("text"))).mapInPandas(run, "doc_id long, ids binary, counts binary")
+    rows = ids_as_text(spread(docs.select("doc_id", F.col(text_col).alias("text"))), "doc_id")
+    return ids_as_long(rows.mapInPandas(run, "doc_id string, ids binary, counts binary"), "doc_id")
 
 
 def _runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
@@ -208,8 +209,8 @@ def coded_blocks(tokens: DataFrame, lengths: np.ndarray, width: int) -> DataFram
             )
 
         for batch in batches:
-            for doc_id, ids in zip(batch["doc_id"].astype("Int64"), batch["ids"], strict=True):
-                docs.append(None if doc_id is pd.NA else int(doc_id))
+            for doc_id, ids in zip(batch["doc_id"], batch["ids"], strict=True):
+                docs.append(None if doc_id is None else int(doc_id))
                 held.append(np.frombuffer(ids, f"<u{width}"))
                 size += len(held[-1])
                 if size >= BLOCK_IDS:
@@ -222,7 +223,7 @@ def coded_blocks(tokens: DataFrame, lengths: np.ndarray, width: int) -> DataFram
 
     rows = tokens.where("ids is not null").select("doc_id", "ids")
     ordered = rows.repartitionByRange(F.col("doc_id"), F.xxhash64("ids")).sortWithinPartitions("doc_id", "ids")
-    return ordered.mapInPandas(run, BLOCK_SCHEMA)
+    return ids_as_text(ordered, "doc_id").mapInPandas(run, BLOCK_SCHEMA)
 
 
 def write_files(tokens: DataFrame, path: str, size: int, width: int, end_id: int) -> None:

@@ -6,10 +6,10 @@ expression make the raw text after them be parsed by a shunting-yard parser for
 parentheses, and evaluated for permissiveness.
 
 Defined cases: a null or empty text has no words and no labels, null first and last words and score
-0; an expression ends before the term that cannot continue it or is no known identifier, at the next
-tag or with the line; one
-that is not complete there is broken and yields the labels of all its identifiers but no normal form;
-repeated rows are scanned one by one; extra columns are not returned.
+0; an expression ends before the term that cannot continue it, at the next tag or with the line; an
+identifier outside the families is its own label, and not permissive unless it is listed; an expression
+that is not complete at its end is broken and yields the labels of all its identifiers but no normal
+form; repeated rows are scanned one by one; extra columns are not returned.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import ids_as_long, ids_as_text
+
 # Phrases and labels.
 BASE_PHRASES = {
     "gnu general public license": "gpl",
@@ -46,21 +48,42 @@ NOTICE_PHRASES = {
 TAG_PHRASES = ("spdx license identifier",)
 TAG = re.compile(r"(?<![0-9A-Za-z\x80-\U0010FFFF])SPDX-License-Identifier(?![0-9A-Za-z\x80-\U0010FFFF])\s*:?[ \t]*", re.IGNORECASE)
 LINE = re.compile(r"[^\r\n]*")
+BELOW = re.compile(r"(?:\r\n|\r|\n)[ \t#*;/!%-]*")
 #: Characters that may open an expression without being part of it.
 QUOTES = frozenset("\"'`[{<:=")
-TERM = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+:\-]*|[()]|\S")
-FAMILIES = {
-    "agpl": "agpl", "apache": "apache", "bsd": "bsd", "bsl": "bsl", "cc-by": "cc-by", "cc0": "cc0", "epl": "epl",
-    "gpl": "gpl", "isc": "isc", "lgpl": "lgpl", "mit": "mit", "mpl": "mpl", "unlicense": "unlicense",
-}
-# Short licence identifiers outside these families, in lower case.
-OTHER_IDENTIFIERS = frozenset(
-    "0bsd afl-3.0 artistic-1.0 artistic-2.0 blueoak-1.0.0 bsl-1.0 cddl-1.0 cddl-1.1 cecill-2.1 cpl-1.0 curl ecl-2.0 eupl-1.1 eupl-1.2 "
-    "fsfap ftl gfdl-1.3 hpnd icu ijg ipl-1.0 json libpng lppl-1.3c ms-pl ms-rl mulanpsl-2.0 naist-2003 ncsa nist-pd odbl-1.0 ofl-1.1 "
-    "openssl osl-3.0 php-3.01 postgresql psf-2.0 python-2.0 qpl-1.0 ruby sleepycat sspl-1.0 tcl unicode-3.0 upl-1.0 vim w3c wtfpl x11 "
-    "zlib zpl-2.1".split()
+TERM = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9.+:\-]*[A-Za-z0-9+])?|[()]|\S")
+# Families of identifiers, as patterns of the whole identifier in lower case, and labels.
+FAMILIES = (
+    (r"(agpl|lgpl|gpl)(-[0-9.]+)?(-only|-or-later)?\+?", None),
+    (r"(apache|mpl|epl|eupl|cddl|afl|osl|artistic)(-[0-9.]+[a-z]*)?\+?(-perl|-cl8)?", None),
+    (r"(bsd)(-[0-9]-clause(-[a-z0-9.-]+)?|-source-code)?", None),
+    (r"bsl(-1\.0)?", "bsl"),
+    (r"(cc-by(-nc)?(-sa|-nd)?)(-[0-9.]+(-[a-z]{2,3})?)?", None),
+    (r"cc0(-[0-9.]+)?", "cc0"),
+    (r"mit(-0|-advertising|-cmu|-enna|-feh|-festival|-modern-variant|-open-group|-testregex|-wu)?", "mit"),
+    (r"isc(-veillard)?", "isc"),
+    (r"unlicense", "unlicense"),
+)
+#: Families as they stand alone in an identifier without a version.
+_FAMILY = [(re.compile(pattern), label) for pattern, label in FAMILIES]
+# Identifiers of one word without a version.
+BARE_IDENTIFIERS = frozenset(
+    "0bsd beerware borceux caldera clartistic condor crossword cube curl diffmark doc dotseqn dsdp egenix entessa eudatagrid eurosym fair "
+    "fsfap fsful fsfulr ftl giftware gl2ps glide glulxe gnuplot hpnd icu ijg imagemagick imatix intel isc jam json jpnic latex2e leptonica "
+    "libpng libtiff linux-openib makeindex miros mit mitnfa motosoto mpich2 mtll multics mup naumen ncsa newsletr ngpl nlpl nokia noweb nrl "
+    "ntp openssl plexus postgresql psfrag psutils qhull rdisc rscpl ruby saxpath scea sendmail sgi-b-2.0 sissl sleepycat smlnj snia ssh-short "
+    "swl tcl tmate torque tosl unlicense vim vostrom w3c wsuipa wtfpl x11 xerox xinetd xnet xpp xskat zed zend-2.0 zlib".split()
+)
+# Identifiers, apart from those of the families below, that are permissive.
+PERMISSIVE = frozenset(
+    "0bsd afl-1.1 afl-1.2 afl-2.0 afl-2.1 afl-3.0 artistic-2.0 beerware blueoak-1.0.0 curl ecl-2.0 fsfap ftl hpnd icu ijg libpng libtiff "
+    "ms-pl mulanpsl-2.0 naist-2003 ncsa ntp openssl php-3.0 php-3.01 postgresql psf-2.0 python-2.0 ruby tcl unicode-3.0 unicode-dfs-2016 "
+    "unlicense upl-1.0 vim w3c wtfpl x11 zlib zpl-2.0 zpl-2.1".split()
+)
+_PERMISSIVE = re.compile(
+    r"apache-(1\.0|1\.1|2\.0)|bsd-[1234]-clause(-(clear|attribution|patent|views|modification|uc|lbnl|open-mpi|shortened))?|bsl-1\.0|"
+    r"cc-by-(1\.0|2\.0|2\.5|3\.0|4\.0)(-[a-z]{2,3})?|cc0-1\.0|isc|mit(-0|-advertising|-cmu|-enna|-feh|-festival|-modern-variant|-open-group|-testregex|-wu)?"
 )
-PERMISSIVE = {"apache", "bsd", "bsl", "cc-by", "cc0", "isc", "mit", "unlicense"}
 #: Probability that a match of this kind really states a licence.
 WEIGHTS = {"base": 0.9, "tag": 0.95, "notice": 0.7}
 
@@ -68,29 +91,33 @@ _WORDS = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
 )
 SCHEMA = (
-    "doc_id long, n_words long, matches array<struct<kind string, label string, word long>>, "
+    "doc_id string, n_words long, matches array<struct<kind string, label string, word long>>, "
     "expressions array<string>, permissive boolean"
 )
 
 
-def known_identifier(term: str) -> bool:
-    """Whether a term names a licence or an exception: a family with or without a version, a listed
-    identifier, or one of the forms that documents define themselves."""
+def well_formed(term: str) -> bool:
+    """Whether a term can name a licence by its form: a version or a part after a hyphen, or a known
+    word."""
     low = term.lower().rstrip("+")
-    if low in OTHER_IDENTIFIERS or low.startswith(("licenseref-", "documentref-")) or low.endswith("-exception") or "-exception-" in low:
-        return True
-    return any(low == key or low.startswith(key + "-") for key in FAMILIES)
+    return low in BARE_IDENTIFIERS or low.strip(".:-") == low and ("-" in low or any(c.isdigit() for c in low)) or any(p.fullmatch(low) for p, _ in _FAMILY)
 
 
 def family(identifier: str) -> str:
     """Label of a licence identifier: its family, else the identifier in lower case."""
     low = identifier.lower()
-    for key in sorted(FAMILIES, key=len, reverse=True):
-        if low == key or low.startswith(key + "-"):
-            return FAMILIES[key]
+    for pattern, label in _FAMILY:
+        if m := pattern.fullmatch(low):
+            return label or m[1]
     return low.rstrip("+")
 
 
+def permissive(identifier: str) -> bool:
+    """Whether exactly this identifier is a permissive licence."""
+    low = identifier.lower().rstrip("+")
+    return low in PERMISSIVE or bool(_PERMISSIVE.fullmatch(low))
+
+
 PRECEDENCE = {"OR": 1, "AND": 2, "WITH": 3}
 
 
@@ -137,12 +164,18 @@ def to_postfix(expression: str) -> list[str] | None:
 
 
 def expression(rest: str) -> tuple[list[str], bool]:
-    """(terms up to the first that cannot continue the expression, whether it opens well)."""
+    """(terms up to the first that cannot continue the expression, whether it opens well). A slash
+    between two identifiers without spaces stands for OR. A word that has no identifier's form is one
+    if nothing but an operator, a parenthesis or no word follows."""
     terms: list[str] = []
     opened, depth, operand_next = True, 0, True
-    for m in TERM.finditer(rest):
+    found = list(TERM.finditer(rest))
+    for k, m in enumerate(found):
         term = m[0]
-        if term.upper() in PRECEDENCE:
+        then = found[k + 1] if k + 1 < len(found) else None
+        if term == "/" and not operand_next and then and then[0][0].isalnum() and m.end() == then.start() and found[k - 1].end() == m.start():
+            term, operand_next = "OR", True
+        elif term.upper() in PRECEDENCE:
             if operand_next:
                 break
             operand_next = True
@@ -155,8 +188,9 @@ def expression(rest: str) -> tuple[list[str], bool]:
                 break
             depth -= 1
         elif term[0].isascii() and term[0].isalnum():
-            excepted = bool(terms) and terms[-1].upper() == "WITH" and "-" in term
-            if not operand_next or not (excepted or known_identifier(term)):
+            excepted = bool(terms) and terms[-1].upper() == "WITH"
+            alone = (not terms or terms[-1].isupper()) and (then is None or then[0].upper() in PRECEDENCE or not then[0][0].isalnum())
+            if not operand_next or not (excepted or well_formed(term) or alone):
                 break
             operand_next = False
         elif terms:
@@ -165,18 +199,24 @@ def expression(rest: str) -> tuple[list[str], bool]:
             opened &= term in QUOTES
             continue
         terms.append(term)
+    if terms and terms[-1] in ("and", "or", "with"):
+        terms.pop()  # prose goes on
     return terms, opened
 
 
 def tagged(text: str) -> Iterator[tuple[int, str]]:
-    """(word index of a tag, text after it up to the next tag or the end of the line)."""
+    """(word index of a tag, text after it up to the next tag or the end of the line; of the next line,
+    less its comment marks, where the tag ends its own)."""
     found = list(TAG.finditer(text))
     at = place = 0
     for k, m in enumerate(found):
         place += len(text[at : m.start()].encode("utf-8", "surrogatepass").translate(_WORDS).split())
         at = m.start()
         end = found[k + 1].start() if k + 1 < len(found) else len(text)
-        yield place, LINE.match(text, m.end(), end)[0]
+        line = LINE.match(text, m.end(), end)
+        if not line[0].strip() and (below := BELOW.match(text, line.end(), end)):
+            line = LINE.match(text, below.end(), end)
+        yield place, line[0]
 
 
 def evaluate(postfix: list[str]) -> tuple[str, bool, list[str]]:
@@ -187,7 +227,7 @@ def evaluate(postfix: list[str]) -> tuple[str, bool, list[str]]:
     for term in postfix:
         if term not in PRECEDENCE:
             names.append(term)
-            stack.append((term, family(term) in PERMISSIVE, 9))
+            stack.append((term, permissive(term), 9))
             continue
         right, left = stack.pop(), stack.pop()
         if term == "WITH":
@@ -263,7 +303,8 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def license_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row per document: words, all matches with kind, label and first word, normal forms of
     licence expressions, and whether they are permissive (null without one)."""
-    return docs.select("doc_id", F.col(text_col).alias("text")).mapInPandas(_scan, SCHEMA)
+    rows = ids_as_text(docs.select("doc_id", F.col(text_col).alias("text")), "doc_id")
+    return ids_as_long(rows.mapInPandas(_scan, SCHEMA), "doc_id")
 
 
 def license_digest(scanned: DataFrame) -> DataFrame:

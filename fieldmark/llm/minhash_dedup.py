@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, spread, stage
+from .common import ids_as_long, ids_as_text, small_side, spread, stage
 from .components import connected_components, forest
 from .words import mix, shingle_set, word_hashes
 
@@ -84,7 +84,8 @@ def sketched(docs: DataFrame, shingle: int, text_col: str = "text") -> DataFrame
             yield pd.DataFrame({"doc_id": batch["doc_id"], "th": batch["th"], "n_shingles": n, "set_key": keys, "id": ids, "bands": bands})
 
     rows = spread(docs.select("doc_id", F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")))
-    return rows.mapInPandas(run, "doc_id long, th long, n_shingles long, set_key binary, id long, bands array<long>")
+    schema = "doc_id string, th long, n_shingles long, set_key binary, id long, bands array<long>"
+    return ids_as_long(ids_as_text(rows, "doc_id").mapInPandas(run, schema), "doc_id")
 
 
 def _set_key(elements: np.ndarray) -> bytes:

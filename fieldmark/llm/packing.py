@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_side, spread, stage
+from .common import ids_as_long, ids_as_text, small_side, spread, stage
 from .token_cache import tokenizer
 
 #: Widths of length classes, the widest that divides the sequence length.
@@ -42,17 +42,17 @@ def tokenized_pieces(docs: DataFrame, path: str, seq_len: int = 2048, end_id: in
         enc = tokenizer(path, end_id)
         for batch in batches:
             out = []
-            for doc_id, narrow in zip(batch["doc_id"].astype("Int64"), enc.encode(t or "" for t in batch["text"]), strict=True):
+            for doc_id, narrow in zip(batch["doc_id"], enc.encode(t or "" for t in batch["text"]), strict=True):
                 ids = np.frombuffer(narrow, enc.dtype).astype("<u4").tobytes()
                 n = len(ids) // 4
                 for start in range(0, n, seq_len):
                     piece = ids[4 * start : 4 * (start + seq_len)]
                     out.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), n) + ((piece,) if keep_ids else ()))
-            pieces = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids)
-            yield pieces.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids)
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids
-    return spread(docs.select("doc_id", F.col(text_col).alias("text"))).mapInPandas(run, schema)
+    schema = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids
+    rows = ids_as_text(spread(docs.select("doc_id", F.col(text_col).alias("text"))), "doc_id")
+    return ids_as_long(rows.mapInPandas(run, schema), "doc_id")
 
 
 def best_pattern(sizes: np.ndarray, values: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -206,8 +206,9 @@ def pack_pieces(pieces: DataFrame, seq_len: int = 2048) -> DataFrame:
                 ids[own] = base[at] + (rank[own] - first[at]) // per[at]
             yield batch.drop(columns=["__class", "__rank"]).assign(sequence_id=ids)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    placed = ranked.mapInPandas(place, f"{fields}, sequence_id long")
+    ranked = ids_as_text(ranked, "doc_id")
+    fields = ", ".join(f"`{c}` {kind}" for c, kind in ranked.dtypes if c in pieces.columns)
+    placed = ids_as_long(ranked.mapInPandas(place, f"{fields}, sequence_id long"), "doc_id")
     order = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "ids_crc32", "doc_tokens")
     return placed.withColumn("offset", F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length"))
 

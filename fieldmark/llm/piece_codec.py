@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread
+from .common import ids_as_long, ids_as_text, spread
 
 SPACE = "▁"
 # Texts that show a model's normaliser, and their marked form: a space mark before the text, no folding
@@ -201,7 +201,8 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text") -> D
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [enc.encode(t or "") for t in batch["text"]]})
 
-    return docs.select("doc_id", F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, ids binary")
+    rows = ids_as_text(docs.select("doc_id", F.col(text_col).alias("text")), "doc_id")
+    return ids_as_long(rows.mapInPandas(run, "doc_id string, ids binary"), "doc_id")
 
 
 def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -221,7 +222,8 @@ def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
                 }
             )
 
-    return encoded.mapInPandas(run, "doc_id long, n_tokens long, ids_text string, decoded string")
+    rows = ids_as_text(encoded, "doc_id")
+    return ids_as_long(rows.mapInPandas(run, "doc_id string, n_tokens long, ids_text string, decoded string"), "doc_id")
 
 
 def piece_digest(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
@@ -241,6 +243,5 @@ def piece_digest(docs: DataFrame, model_path: str, text_col: str = "text") -> Da
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             ]
 
-    return spread(docs.select("doc_id", F.col(text_col).alias("text"))).mapInPandas(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+    rows = ids_as_text(spread(docs.select("doc_id", F.col(text_col).alias("text"))), "doc_id")
+    return ids_as_long(rows.mapInPandas(run, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"), "doc_id")

@@ -264,6 +264,32 @@ def test_license_expression_ends(text, labels, normal):
     assert (hits, expressions) == ([("tag", label, place) for label, place in labels], normal)
 
 
+def test_license_identifiers_of_any_form():
+    """Every well-formed identifier gives a label; only listed ones are permissive."""
+    from fieldmark.llm.license_scan import _automaton, scan_text
+
+    automaton = _automaton()
+    rng = random.Random(12)
+    known = {"MIT": "mit", "Apache-2.0": "apache", "BSD-3-Clause": "bsd", "GPL-2.0-or-later": "gpl", "LGPL-3.0+": "lgpl", "0BSD": "0bsd", "CC-BY-4.0": "cc-by", "CC0-1.0": "cc0"}
+    for _ in range(500):
+        own = "".join(rng.choice("ABCDEFGHxyz") for _ in range(rng.randint(1, 6)))
+        named = {f"Q{own}-{rng.randint(0, 9)}.{rng.randint(0, 9)}": None, f"W{own}-B": None, f"V{rng.randint(0, 9)}{own}": None, **known}
+        names = rng.sample(sorted(named), rng.randint(1, 4))
+        ops = [rng.choice([" OR ", " AND ", "/"]) for _ in names[1:]]
+        text = names[0] + "".join(o + n for o, n in zip(ops, names[1:], strict=True))
+        _, hits, normal, good = scan_text(f"# SPDX-License-Identifier: {text} */", automaton)
+        assert [x for kind, x, _ in hits if kind == "tag"] == [named[n] or n.lower() for n in names], text
+        assert len(normal) == 1
+        if all(o == " AND " for o in ops):
+            assert good == all(n in {"MIT", "Apache-2.0", "BSD-3-Clause", "0BSD", "CC-BY-4.0", "CC0-1.0"} for n in names)
+    for text, label in (("MIT-fabricated-word", "mit-fabricated-word"), ("CC-BY-NC-ND-4.0", "cc-by-nc-nd"), ("CECILL-B", "cecill-b"), ("foobar", "foobar")):
+        _, hits, _, good = scan_text(f"SPDX-License-Identifier:\n * {text}\n", automaton)
+        assert ("tag", label, 0) in hits and good is False
+    for text in ("see the file", "tags are great", "a", ""):
+        assert scan_text(f"SPDX-License-Identifier: {text} of ours", automaton)[2] == []
+
+
+
 def test_pieces(docs, texts):
     import sentencepiece
 
