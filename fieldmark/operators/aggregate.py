@@ -7,20 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .grid import neighbours3x3
-
-
-def nearest_rank(df: DataFrame, keys: list[str], value: str, p: float, name: str) -> DataFrame:
-    """Exact percentile by nearest rank round((n - 1) p), half away from zero, without collecting a
-    group: rows are ranked by a window that spills."""
-    clean = df.where(~F.isnan(value) & F.col(value).isNotNull())
-    n = clean.groupBy(*keys).agg(F.count("*").alias("__n"))
-    ranked = clean.select(*keys, value, (F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1).alias("__r"))
-    return ranked.join(n, keys).where(F.col("__r") == F.floor((F.col("__n") - 1) * p + 0.5)).select(*keys, F.col(value).alias(name))
+from .ranks import middle, order_statistics
+from .tables import top_k, written
 
 
 def counted_median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
-    """Exact median per group without holding a group in memory: equal values are counted on the map side,
-    and a window that spills finds the middle ones. Nulls and NaN are left out."""
+    """Exact median of many groups of moderate size (a cell's month): equal values are counted on the map
+    side, and a window that spills finds the middle ones. Nulls and NaN are left out. Groups of any size
+    are for ``order_statistics``."""
     n = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, value).agg(F.count("*").alias("__n"))
     group = Window.partitionBy(*keys)
     c = n.select(*keys, value, F.sum("__n").over(group.orderBy(value)).alias("__upto"), F.sum("__n").over(group).alias("__all"))
@@ -29,12 +23,17 @@ def counted_median(df: DataFrame, keys: list[str], value: str, name: str = "medi
     return c.groupBy(*keys).agg(((low + high) / 2).alias(name))
 
 
+def nearest_rank(df: DataFrame, keys: list[str], value: str, p: float, name: str) -> DataFrame:
+    """Exact percentile by nearest rank of every group that has values."""
+    return order_statistics(df, keys, value, {name: (p, "nearest")}).where(F.col(name).isNotNull())
+
+
 def query_region(cells: DataFrame, facts: DataFrame) -> DataFrame:
     """n, mean, median and p90 of primary values per (region, band); ``cells``: (region, cell)."""
-    rows = facts.where("kind = 'primary'").join(cells, "cell").select("region", "band", "num")
-    keys = ["region", "band"]
-    base = rows.groupBy(*keys).agg(F.count("num").alias("n"), F.avg("num").alias("mean"))
-    return base.join(counted_median(rows, keys, "num"), keys, "left").join(nearest_rank(rows, keys, "num", 0.9, "p90"), keys, "left")
+    rows = written(facts.where("kind = 'primary'").join(cells, "cell").select("region", "band", "num"))
+    stats = {"m0": (0.5, "low"), "m1": (0.5, "high"), "p90": (0.9, "nearest")}
+    g = order_statistics(rows, ["region", "band"], "num", stats, [F.count("num").alias("n"), F.avg("num").alias("mean")])
+    return g.select("region", "band", "n", "mean", middle("m0", "m1").alias("median"), "p90")
 
 
 def region_centroids(cells: DataFrame, vecs: DataFrame) -> DataFrame:
@@ -49,24 +48,25 @@ def region_centroids(cells: DataFrame, vecs: DataFrame) -> DataFrame:
 
 def zonal_stats(cells: DataFrame, facts: DataFrame) -> DataFrame:
     """Statistics of primary values per (region, band); NaN counts in none of them."""
-    rows = facts.where("kind = 'primary'").join(cells, "cell").withColumn("num", F.when(~F.isnan("num"), F.col("num")))
-    v, keys = F.col("num"), ["region", "band"]
-    base = rows.groupBy(*keys).agg(F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("std"))
-    return base.join(counted_median(rows, keys, "num"), keys, "left").select(*keys, "mean", "median", "min", "max", "std")
+    rows = facts.where("kind = 'primary'").join(cells, "cell").select("region", "band", F.when(~F.isnan("num"), F.col("num")).alias("num"))
+    v = F.col("num")
+    base = [F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("std")]
+    g = order_statistics(written(rows), ["region", "band"], "num", {"m0": (0.5, "low"), "m1": (0.5, "high")}, base)
+    return g.select("region", "band", "mean", middle("m0", "m1").alias("median"), "min", "max", "std")
 
 
 def zonal_cells(cells: DataFrame, facts: DataFrame, most: int = 1024) -> DataFrame:
     """The rows behind ``zonal_stats``: value of every cell of a region, of at most ``most`` cells in the
     order of a hash of the cell."""
-    w = Window.partitionBy("region").orderBy(F.xxhash64("cell"), "cell")
-    picked = cells.distinct().withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).drop("rn")
+    picked = top_k(cells.distinct(), ["region"], [F.xxhash64("cell"), F.col("cell")], most).drop("rank")
     return facts.where("kind = 'primary'").join(picked, "cell").select("region", "cell", "band", "tslot", "num")
 
 
 def place_profile(cells: DataFrame, facts: DataFrame, bands: list[str]) -> DataFrame:
     """One wide row per place: mean (``<band>``) and median (``<band>_median``) of every band of a bundle."""
     rows = facts.where("kind = 'primary'").join(cells, "cell").where(F.col("band").isin(bands)).select("region", "band", "num")
-    per = rows.groupBy("region", "band").agg(F.avg("num").alias("mean")).join(counted_median(rows, ["region", "band"], "num"), ["region", "band"], "left")
+    g = order_statistics(written(rows), ["region", "band"], "num", {"m0": (0.5, "low"), "m1": (0.5, "high")}, [F.avg("num").alias("mean")])
+    per = g.select("region", "band", "mean", middle("m0", "m1").alias("median"))
     wide = per.groupBy("region").pivot("band", bands).agg(F.first("mean").alias("mean"), F.first("median").alias("median"))
     return wide.select("region", *[F.col(f"{b}_mean").alias(b) for b in bands], *[f"{b}_median" for b in bands])
 
@@ -259,17 +259,28 @@ VOLUME_WEIGHT = {"very_high": 4, "high": 3, "medium": 2, "low": 1}
 def eval_report(results: DataFrame, by: str = "domain") -> DataFrame:
     """Accuracy, volume-weighted accuracy, severity-weighted misses, and mean, median and 95th percentile
     of time per domain (or volume, or region)."""
+    return order_statistics(results, [by], "elapsed", {"p50": (0.5, "nearest"), "p95": (0.95, "nearest")}, _report_columns())
+
+
+def _report_columns() -> list[Column]:
     w = F.lit(1)
     for k, v in VOLUME_WEIGHT.items():
         w = F.when(F.col("volume") == k, v).otherwise(w)
     hit = F.col("pass").cast("int")
-    base = results.withColumn("w", w).groupBy(by).agg(
-        F.count("*").alias("n"), F.avg(hit).alias("accuracy"), (F.sum(hit * F.col("w")) / F.sum("w")).alias("weighted_accuracy"),
+    return [
+        F.count("*").alias("n"), F.avg(hit).alias("accuracy"), (F.sum(hit * w) / F.sum(w)).alias("weighted_accuracy"),
         F.sum((1 - hit) * F.col("severity")).alias("miss_cost"), F.avg("elapsed").alias("mean_elapsed"),
-    )
-    for p, name in ((0.5, "p50"), (0.95, "p95")):
-        base = base.join(nearest_rank(results, [by], "elapsed", p, name), by, "left")
-    return base
+    ]
+
+
+def eval_report_cuts(results: DataFrame, cuts: tuple[str, ...] = ("domain", "volume", "region")) -> DataFrame:
+    """``eval_report`` by every cut and over all rows at once: (cut, part, ...). The row of the whole has cut
+    ``all`` and an empty part. Each row joins one part of every cut, as in grouping sets, so all cuts share
+    their passes over the table."""
+    whole = F.struct(F.lit("all").alias("cut"), F.lit("").alias("part"))
+    parts = [F.struct(F.lit(c).alias("cut"), F.col(c).cast("string").alias("part")) for c in cuts]
+    rows = results.select("volume", "pass", "severity", "elapsed", F.inline(F.array(whole, *parts)))
+    return order_statistics(rows, ["cut", "part"], "elapsed", {"p50": (0.5, "nearest"), "p95": (0.95, "nearest")}, _report_columns())
 
 
 def grade_lists(answers: DataFrame, truth: DataFrame) -> DataFrame:

@@ -109,5 +109,5 @@ RECIPES: dict[str, Expr] = {
     "vpd": ["mul", 0.6108, ["exp", ["div", ["mul", 17.27, _band("temp")], ["add", _band("temp"), 237.3]]], ["sub", 1, ["div", _band("rh"), 100]]],
     "water": ["sigmoid", ["div", ["sub", -15, _band("s1")], 2]],
     "vegetation": ["if", ["lt", _band("ndvi"), 0], 0, ["min", 4, ["add", 1, ["gt", _band("ndvi"), 0.1], ["gt", _band("ndvi"), 0.3], ["gt", _band("ndvi"), 0.5]]]],
-    "precipitation": steps(_band("swr"), [0.1, 1, 5, 10, 60]),
+    "precipitation": steps(_band("precip"), [0.1, 1, 5, 10, 60]),
 }

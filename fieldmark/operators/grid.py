@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import small_side
+
 # The grid packs 21 latitude bits and 22 longitude bits under a prefix.
 LAT_BITS, LNG_BITS = 21, 22
 CELL_PREFIX = (1 << 60) | (21 << 52) | (0xAB << 44)
@@ -18,14 +20,19 @@ TEMPO = {"static": 0, "slow": 365 * 86400, "d16": 16 * 86400, "d8": 8 * 86400, "
 OFFSETS = tuple((dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1))
 
 
+def unbounded(x: Column) -> Column:
+    """Null, NaN and infinite values."""
+    return x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+
+
 def lat_q(lat: Column) -> Column:
-    safe = F.when(F.isnan(lat) | lat.isNull(), 0.0).otherwise(F.greatest(F.least(lat, F.lit(90.0)), F.lit(-90.0)))
+    safe = F.when(unbounded(lat), 0.0).otherwise(F.greatest(F.least(lat, F.lit(90.0)), F.lit(-90.0)))
     return F.floor((safe + 90) / 180 * LAT_MAX + 0.5)
 
 
 def lng_q(lat: Column, lng: Column) -> Column:
     """Longitude bucket: wrapped, the last one joined to the first, 0 at the poles."""
-    safe = F.when(F.isnan(lng) | lng.isNull(), 0.0).otherwise(F.pmod(lng + 180, F.lit(360.0)) - 180)
+    safe = F.when(unbounded(lng), 0.0).otherwise(F.pmod(lng + 180, F.lit(360.0)) - 180)
     q = F.floor((safe + 180) / 360 * LNG_MAX + 0.5)
     row = lat_q(lat)
     return F.when((row == 0) | (row == LAT_MAX) | (q == LNG_MAX), F.lit(0).cast("bigint")).otherwise(q)
@@ -149,7 +156,7 @@ def to_tslot(df: DataFrame, unix: str, bands: DataFrame) -> DataFrame:
     step = F.lit(0)
     for name, seconds in TEMPO.items():
         step = F.when(F.col("tempo") == name, seconds).otherwise(step)
-    j = df.join(F.broadcast(bands), "band").withColumn("__step", step)
+    j = df.join(small_side(bands), "band").withColumn("__step", step)
     at = F.greatest(F.col(unix), F.lit(0))
     slot = F.when(F.col("__step") > 0, F.floor(at / F.col("__step"))).otherwise(0).cast("bigint")
     return j.withColumn("tslot", slot).withColumn("slot_start", F.col("tslot") * F.col("__step")).drop("__step")

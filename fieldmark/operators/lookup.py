@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .grid import CELL_PREFIX, LAT_BITS, LNG_BITS, parent_cell
+from .tables import small_side, top_k
 
 KEY = ("cell", "band", "tslot")
 #: Slots of a bucket in which claims on windows meet facts.
@@ -59,8 +60,7 @@ def missing_slots(cells: DataFrame, facts: DataFrame, lo: int, hi: int, most: in
     most = min(max(most, 1), 1024)
     grid = cells.select("cell", "band", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("tslot"))
     gaps = grid.join(facts.select(*KEY), list(KEY), "left_anti")
-    order = Window.partitionBy("cell", "band").orderBy("tslot")
-    return gaps.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most).drop("rn")
+    return top_k(gaps, ["cell", "band"], [F.col("tslot")], most).drop("rank")
 
 
 def purge(facts: DataFrame, fn_keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -193,27 +193,37 @@ def enforce_privacy(facts: DataFrame, bands: DataFrame, level: int, l2: bool = F
         .when((F.col("privacy") == "aggregate_only") & (F.lit(level) < F.col("min_level")), "snap")
         .otherwise("permit")
     )
-    j = facts.join(F.broadcast(bands), "band", "left").withColumn("action", action).where("action <> 'refuse'")
+    j = facts.join(small_side(bands), "band", "left").withColumn("action", action).where("action <> 'refuse'")
     snapped = F.col("action") == "snap"
     coarse = (parent or parent_cell)(F.col("cell"), F.col("min_level"))
     return j.withColumns({"cell": F.when(snapped, coarse).otherwise(F.col("cell")), "privacy_snapped": snapped}).drop("privacy", "min_level")
 
 
-# Band name prefixes and their sensor tier.
-TIERS = (("sentinel1", "S1"), ("s1", "S1"), ("sentinel2", "S2"), ("s2", "S2"), ("landsat", "Landsat"), ("iot", "IoT"), ("modis", "OtherSat"), ("viirs", "OtherSat"))
-
-
-def with_tier(facts: DataFrame, tiers: tuple[tuple[str, str], ...] = TIERS, default: str = "Static") -> DataFrame:
-    tier = F.lit(default)
-    for prefix, name in reversed(tiers):
-        tier = F.when(F.col("band").startswith(prefix), name).otherwise(tier)
+# Sensor tiers with the bands and the beginnings of bands that belong to them.
+TIERS: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = (
+    ("S1", ("sentinel1_raw",), ("s1.",)),
+    ("S2", ("prithvi_eo2", "galileo_base", "clay_v1"), ("s2.", "indices.", "geotessera", "prithvi_eo2.", "galileo_base.", "clay_v1.")),
+    ("Landsat", (), ("landsat.",)),
+    ("Iot", (), ("iot.",)),
+    ("OtherSat", (), ("modis.", "cams.", "marine.", "viirs.")),
+)
+
+
+def with_tier(facts: DataFrame, tiers=TIERS, default: str = "Static") -> DataFrame:
+    """Facts with the sensor tier of their band; ``default`` for all others, also without a band."""
+    band, tier = F.col("band"), F.lit(default)
+    for name, bands, prefixes in reversed(tiers):
+        own = band.isin(*bands) if bands else F.lit(False)
+        for prefix in prefixes:
+            own = own | band.startswith(prefix)
+        tier = F.when(own, name).otherwise(tier)
     return facts.withColumn("tier", tier)
 
 
 def mark_absence(df: DataFrame, rules: DataFrame) -> DataFrame:
     """Rows outside their band's area or slots become absences with a reason. ``rules``: (band,
     max_abs_lat, slot_lo, slot_hi)."""
-    j = df.join(F.broadcast(rules), "band", "left")
+    j = df.join(small_side(rules), "band", "left")
     reason = F.when(F.abs("lat") > F.col("max_abs_lat"), "outside_area").when(
         ~F.col("tslot").between(F.col("slot_lo"), F.col("slot_hi")), "outside_time"
     )
@@ -296,11 +306,12 @@ def trajectory(requests: DataFrame, facts: DataFrame, most: int = 64) -> DataFra
     return j.select("req_id", points.alias("points"), F.when(F.col("points").isNull(), F.coalesce("slots", empty)).alias("stored_slots"))
 
 
-def pick_slot(facts: DataFrame, how: str = "newest") -> DataFrame:
-    """Newest or oldest primary value of every (cell, band)."""
+def pick_slot(facts: DataFrame, how: str = "newest", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Newest or oldest primary value of every (cell, band), with the columns named in ``carry``."""
     f = facts.where("kind = 'primary'")
     pick = F.max if how == "newest" else F.min
-    return f.groupBy("cell", "band").agg(pick(F.struct("tslot", "event_id", "num")).alias("r")).select("cell", "band", "r.tslot", "r.num")
+    best = f.groupBy("cell", "band").agg(pick(F.struct("tslot", "event_id", "num", *carry)).alias("r"))
+    return best.select("cell", "band", "r.tslot", "r.num", *[f"r.{c}" for c in carry])
 
 
 def diff(requests: DataFrame, facts: DataFrame) -> DataFrame:

@@ -6,17 +6,17 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from .grid import with_center
+from .tables import small_side, top_k
 
 
 def route_keyword(questions: DataFrame, topics: DataFrame, most: int = 5) -> DataFrame:
     """(qid, topic, score): topics with an alias inside the lower-cased text; the score is the longest
     alias's share of the text's bytes. ``topics``: (topic, alias), a registry of a few hundred rows."""
     q = questions.select("qid", F.lower("text").alias("t"))
-    hit = q.join(F.broadcast(topics), F.contains("t", "alias"))
+    hit = q.join(small_side(topics), F.contains("t", "alias"))
     s = hit.groupBy("qid", "topic").agg(F.max(F.octet_length("alias") / F.octet_length("t")).alias("score"))
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "topic")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    return top_k(s, ["qid"], [F.desc("score"), F.col("topic")], most)
 
 
 def any_of(text: Column, phrases: tuple[str, ...]) -> Column:
@@ -53,8 +53,7 @@ def route_embedding(question_vecs: DataFrame, alias_vecs: DataFrame, keyword: Da
     s = question_vecs.join(F.broadcast(topic_centroids(alias_vecs)), how="cross").select("qid", "topic", F.round(cosine(F.col("vec"), F.col("centre")), 9).alias("score"))
     near = s.where(F.col("score") >= floor).join(keyword.select("qid", "topic"), ["qid", "topic"], "left_anti")
     u = keyword.select("qid", "topic", "score", F.lit(0).alias("src")).union(near.select("qid", "topic", "score", F.lit(1)))
-    w = Window.partitionBy("qid").orderBy("src", F.desc("score"), "topic")
-    return u.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    return top_k(u, ["qid"], [F.col("src"), F.desc("score"), F.col("topic")], most)
 
 
 # Cue phrases of question intents.
@@ -80,8 +79,9 @@ CORPUS_WORDS = (
 )
 CORPUS_PREPOSITIONS = (" over ", " in ", " across ", " for ", " inside ", " within ")
 GLOBAL_COVERAGE = (
-    "where do you have", "where you have", "what cells do you have", "all the cells", "every cell you have", "how much data do you have",
-    "how dense is the corpus", "how dense is data",
+    "where do you have", "where you have", "global coverage", "global coverage map", "world coverage", "world-wide coverage", "worldwide coverage",
+    "coverage map", "show me your coverage", "show me the coverage", "what cells do you have", "what cells are attested", "all the cells",
+    "every cell you have", "how much data do you have", "how dense is the corpus", "how dense is data",
 )
 # Verbs, prepositions and time phrases of event hunts, and the kinds of event with the
 # phrases that name them and those that rule them out.
@@ -158,7 +158,7 @@ def answer_plan(routed: DataFrame, topic_bands: DataFrame, facts: DataFrame, top
     """Observed and missing bands of every routed question; ``routed``: (qid, cell, topic),
     ``topic_bands``: (topic, band). With ``topic_algorithms``, (topic, algorithm), also the algorithms of
     its topics; both registries hold a few rows per topic."""
-    want = routed.join(F.broadcast(topic_bands), "topic").select("qid", "cell", "band").distinct()
+    want = routed.join(small_side(topic_bands), "topic").select("qid", "cell", "band").distinct()
     have = facts.where("kind = 'primary'").select("cell", "band", F.lit(True).alias("hit")).distinct()
     j = want.join(have, ["cell", "band"], "left")
     plan = j.groupBy("qid").agg(
@@ -167,7 +167,7 @@ def answer_plan(routed: DataFrame, topic_bands: DataFrame, facts: DataFrame, top
     )
     if topic_algorithms is None:
         return plan
-    ways = routed.join(F.broadcast(topic_algorithms), "topic").groupBy("qid").agg(F.array_join(F.array_sort(F.collect_set("algorithm")), ",").alias("algorithms"))
+    ways = routed.join(small_side(topic_algorithms), "topic").groupBy("qid").agg(F.array_join(F.array_sort(F.collect_set("algorithm")), ",").alias("algorithms"))
     return plan.join(ways, "qid", "full").select("qid", *[F.coalesce(c, F.lit("")).alias(c) for c in ("observed", "missing", "algorithms")])
 
 
@@ -179,28 +179,64 @@ def _gate(op: Column, value: Column, bound: Column) -> Column:
     return out
 
 
-def hunt(events: DataFrame, cells: DataFrame, facts: DataFrame, most: int = 8, sample: int = 32) -> DataFrame:
-    """Top cells of every (event, region): at most ``sample`` cells per region in hash order, the newest
-    primary value of the event's band, an optional gate band, ranked up or down. ``events``: (event,
-    band, gate, gate_min, descending), and gate_op where the gate is not ``>=``: ``>``, ``<=``, ``<`` or
-    ``=``; any other lets nothing through."""
+# Bands that an event is hunted with: the ranked band, a gate band with its test, whether
+# large values come first, and whether the band is slow to read. Directions and gates that are not
+# published are choices made here; an oil slick has no bands yet.
+EVENT_BANDS: tuple[tuple[str, str | None, str | None, str | None, float | None, bool | None, bool], ...] = (
+    ("algal_bloom", "indices.ndvi", "indices.ndwi", ">", 0.0, True, False),
+    ("deforestation", "indices.ndvi", "hansen.tree_cover_2000", ">=", 30.0, False, False),
+    ("flood", "sentinel1_raw", None, None, None, False, False),
+    ("wildfire", "indices.nbr", None, None, None, False, False),
+    ("urban_heat_island", "modis.lst_day_8day", None, None, None, True, True),
+    ("methane_plume", "s2.B11", None, None, None, True, False),
+    ("landslide", "sentinel1_raw", None, None, None, False, False),
+    ("drought", "chirps.precip_monthly", None, None, None, False, False),
+    ("soil_salinity", "s2.B04", None, None, None, True, False),
+    ("crop_stress", "indices.ndvi", None, None, None, False, False),
+    ("water_turbidity", "s2.B04", "indices.ndwi", ">", 0.0, True, False),
+    ("oil_slick", None, None, None, None, None, False),
+)
+EVENT_SCHEMA = "event string, band string, gate string, gate_op string, gate_min double, descending boolean, slow boolean"
+
+
+def event_bands(asked: DataFrame, registry: DataFrame | None = None) -> DataFrame:
+    """Bands of every event in ``asked`` (event), by a registry of EVENT_SCHEMA; null bands for an event
+    that it lacks."""
+    known = asked.sparkSession.createDataFrame(list(EVENT_BANDS), EVENT_SCHEMA) if registry is None else registry
+    return asked.select("event").distinct().join(small_side(known), "event", "left")
+
+
+def hunt(events: DataFrame, cells: DataFrame, facts: DataFrame, most: int = 8, sample: int = 32, slow_sample: int = 8) -> DataFrame:
+    """Top cells of every (event, region) with their centre, value, gate value and fact id: at most
+    ``sample`` cells per region in hash order (``slow_sample`` for slow bands), the newest primary value of
+    the event's band, an optional gate band, ranked up or down. ``events`` has EVENT_SCHEMA, of which
+    gate_op (default ``>=``) and slow (default false) may be missing; a gate operator other than ``>=``,
+    ``>``, ``<=``, ``<`` and ``=`` lets nothing through. An event without a band gives one row of status
+    ``not_yet_implemented``."""
     from .lookup import pick_slot
 
-    chosen = sample_cells(cells, sample)
-    newest = pick_slot(facts)
-    e = F.broadcast(events if "gate_op" in events.columns else events.withColumn("gate_op", F.lit(">=")))
-    v = chosen.join(newest, "cell").join(e, "band").select("event", "region", "cell", F.col("num").alias("value"), "gate", "gate_op", "gate_min", "descending")
+    chosen = sample_cells(cells, max(sample, slow_sample))
+    newest = pick_slot(facts, carry=("fact_cid",))
+    for name, value in (("gate_op", ">="), ("slow", False)):
+        events = events if name in events.columns else events.withColumn(name, F.lit(value))
+    e = small_side(events.where("band is not null"))
+    values = newest.select("cell", "band", F.col("num").alias("value"), "fact_cid")
+    v = chosen.join(values, "cell").join(e, "band").where(F.col("sampled") <= F.when(F.coalesce("slow", F.lit(False)), slow_sample).otherwise(sample))
     g = newest.select("cell", F.col("band").alias("gate"), F.col("num").alias("gate_value"))
     j = v.join(g, ["cell", "gate"], "left").where(F.col("gate").isNull() | _gate(F.col("gate_op"), F.col("gate_value"), F.col("gate_min")))
     order = F.when(F.col("descending"), -F.col("value")).otherwise(F.col("value"))
-    w = Window.partitionBy("event", "region").orderBy(order, "cell")
-    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("event", "region", "rank", "cell", "value", "gate_value")
+    ranked = with_center(top_k(j, ["event", "region"], [order.asc_nulls_last(), F.col("cell")], most))
+    columns = ["event", "region", "rank", "cell", "lat", "lng", "value", "gate_value", "fact_cid"]
+    told = ranked.select(*columns, F.lit("ranked").alias("status"))
+    kind = dict(told.dtypes)
+    unknown = events.where("band is null").select("event", *[F.lit(None).cast(kind[c]).alias(c) for c in columns[1:]], F.lit("not_yet_implemented").alias("status"))
+    return told.unionByName(unknown.distinct())
 
 
 def sample_cells(cells: DataFrame, n: int) -> DataFrame:
-    """At most n cells per region in a fixed pseudo-random order."""
-    w = Window.partitionBy("region").orderBy((F.col("cell") * 7919) % 10007, "cell")
-    return cells.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).drop("rn")
+    """At most n cells per region in the fixed pseudo-random order of a hash of the cell's number, with
+    their place in it (``sampled``)."""
+    return top_k(cells, ["region"], [F.md5(F.col("cell").cast("string").cast("binary")), F.col("cell")], n, "sampled")
 
 
 def hotspot_overlap(hunts: DataFrame, least: int = 2) -> DataFrame:

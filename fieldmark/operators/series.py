@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .aggregate import counted_median
+from .tables import small_side
 
 
 def trend(series: DataFrame) -> DataFrame:
@@ -67,11 +68,22 @@ def persistence_score(vintages: DataFrame) -> DataFrame:
 
 
 def temporal_recipe(facts: DataFrame, recipe: DataFrame, now: int) -> DataFrame:
-    """One value per (cell, recipe step). ``recipe``: (band, lookback, aggregator, purpose, trigger); a
-    value below its trigger is skipped."""
-    f = facts.where("kind = 'primary'").join(F.broadcast(recipe), "band")
-    inside = f.where((F.col("tslot") <= now) & (F.col("tslot") > now - F.col("lookback")))
-    g = inside.groupBy("cell", "band", "aggregator", "purpose", "trigger").agg(
+    """One value per (cell, recipe step). ``recipe``: (band, lookback, aggregator, purpose, trigger), one
+    row per step; a lookback of 0 is a static step, which takes slot 0. A step with a trigger is run for
+    cells whose newest value of the band, up to ``now``, reaches it."""
+    recipe = small_side(recipe, 100_000)
+    primary = facts.where(F.col("kind") == "primary")
+    if "event_id" not in facts.columns:
+        primary = primary.withColumn("event_id", F.lit(0).cast("bigint"))
+    guarded = recipe.where("trigger is not null").select("band").distinct()
+    snapshot = (
+        primary.where(F.col("tslot") <= now).join(guarded, "band", "left_semi").groupBy("cell", "band")
+        .agg(F.max_by("num", F.struct("tslot", "event_id")).alias("snapshot"))
+    )
+    f = primary.join(recipe, "band").join(snapshot, ["cell", "band"], "left")
+    window = F.when(F.col("lookback") == 0, F.col("tslot") == 0).otherwise((F.col("tslot") <= now) & (F.col("tslot") > now - F.col("lookback")))
+    inside = f.where(window & (F.col("trigger").isNull() | (F.col("snapshot") >= F.col("trigger"))))
+    g = inside.groupBy("cell", "band", "aggregator", "purpose").agg(
         F.sum("num").alias("sum"), F.avg("num").alias("mean"), F.max("num").alias("max"), F.min("num").alias("min"),
         F.max(F.struct("tslot", "event_id", "num")).alias("latest"), F.min(F.struct("tslot", "event_id", "num")).alias("first"),
     )
@@ -81,8 +93,7 @@ def temporal_recipe(facts: DataFrame, recipe: DataFrame, now: int) -> DataFrame:
     for name in ("mean", "max", "min", "median"):
         value = F.when(F.col("aggregator") == name, F.col(name)).otherwise(value)
     value = F.when(F.col("aggregator") == "latest", F.col("latest.num")).when(F.col("aggregator") == "first", F.col("first.num")).otherwise(value)
-    out = g.select("cell", "band", "purpose", "trigger", value.alias("value"))
-    return out.where(F.col("trigger").isNull() | (F.col("value") >= F.col("trigger"))).drop("trigger")
+    return g.select("cell", "band", "purpose", value.alias("value"))
 
 
 def rolling_zscore(facts: DataFrame, n: int) -> DataFrame:

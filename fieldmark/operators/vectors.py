@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldmark.functions.ship import ship
-
-#: Queries held by every task, rows that meet a block of queries in one task beyond that number, and
-#: queries scored together.
-MAX_QUERIES, ROW_BLOCK, QUERY_STEP = 4096, 65_536, 128
-
+from .nearest import COSINE, HAMMING, nearest, ranked
+from .tables import small_side, written
 
 def dot(a: Column, b: Column) -> Column:
     """Over the shorter length."""
@@ -44,72 +38,6 @@ def state_diff(vecs: DataFrame, t0: int, t1: int) -> DataFrame:
     return a.join(b, "cell").select("cell", F.zip_with("a", "b", lambda x, y: y - x).alias("residual"), l2(F.col("a"), F.col("b")).alias("l2"), cosine(F.col("a"), F.col("b")).alias("cosine"))
 
 
-def _unit_rows(vectors, dim: int) -> np.ndarray:
-    """Vectors of any lengths as unit rows, padded with zeros; zero stays zero, null and NaN components
-    make the row NaN."""
-    out = np.zeros((len(vectors), dim))
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = np.asarray(v, dtype=float)
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(norm > 0, norm, 1)
-
-
-def _best_cells(asked: pd.DataFrame, known: pd.DataFrame, k: int, score) -> pd.DataFrame:
-    """(q, cell, score) of the k best cells of every query among ``known``: best row per cell, the query
-    itself left out, ties by cell; scores that are not a number are dropped. ``score(keys, rows)`` is
-    a matrix of queries by rows."""
-    cell, at = np.unique(known["cell"].to_numpy(), return_inverse=True)
-    order = np.argsort(at, kind="stable")
-    first = np.searchsorted(at[order], np.arange(len(cell)))
-    ids, rows, out = asked["q"].to_numpy(), known["key"].to_numpy()[order], []
-    for lo in range(0, len(ids), QUERY_STEP):
-        s = score(asked["key"].to_numpy()[lo : lo + QUERY_STEP], rows)
-        best = np.maximum.reduceat(np.where(np.isnan(s), -np.inf, s), first, axis=1)
-        own = ids[lo : lo + QUERY_STEP]
-        best[own[:, None] == cell[None, :]] = -np.inf
-        # a cell of the overall top k is among the k best of the rows that hold its best one
-        top = np.argsort(-np.round(best, 9), axis=1, kind="stable")[:, :k]
-        value = np.take_along_axis(best, top, axis=1).ravel()
-        found = pd.DataFrame({"q": np.repeat(own, top.shape[1]), "cell": cell[top.ravel()], "score": value})
-        out.append(found[np.isfinite(value)])
-    return pd.concat(out, ignore_index=True)
-
-
-def _searched(queries: DataFrame, rows: DataFrame, k: int, score) -> DataFrame:
-    """(q, cell, score) that holds the k best cells of every query. ``queries``: (q, key), ``rows``:
-    (cell, key), keys not null. Up to MAX_QUERIES queries go to every task; more meet the rows in
-    pairs of blocks. Either way each block is cut to k per query before anything is shuffled."""
-    ship(rows.sparkSession)
-    schema = "q long, cell long, score double"
-    n = queries.count()
-    if n <= MAX_QUERIES:
-        asked = queries.toPandas()
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch) and len(asked):
-                    yield _best_cells(asked, batch, k, score)
-
-        found = rows.mapInPandas(run, schema)
-    else:
-        nq, nv = -(-n // MAX_QUERIES), max(1, -(-rows.count() // ROW_BLOCK))
-        left = queries.select("*", F.pmod(F.xxhash64("q"), F.lit(nq)).cast("long").alias("qb"), F.explode(F.expr(f"sequence(0L, {nv - 1}L)")).alias("vb"))
-        right = rows.select("*", F.explode(F.expr(f"sequence(0L, {nq - 1}L)")).alias("qb"), F.pmod(F.xxhash64("cell", F.monotonically_increasing_id()), F.lit(nv)).cast("long").alias("vb"))
-
-        def pair(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-            if not len(asked) or not len(known):
-                return pd.DataFrame({"q": [], "cell": [], "score": []})
-            return _best_cells(asked, known, k, score)
-
-        found = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(pair, schema)
-    return found.groupBy("q", "cell").agg(F.max("score").alias("score"))
-
-
-def _cosines(x, y) -> np.ndarray:
-    dim = max(1, max(map(len, x)), max(map(len, y)))
-    return _unit_rows(x, dim) @ _unit_rows(y, dim).T
-
-
 def _newest(vecs: DataFrame, name: str) -> DataFrame:
     return vecs.where("vec is not null").groupBy("cell", "band").agg(F.max_by("vec", "tslot").alias(f"v_{name}"), F.max("tslot").alias(f"t_{name}"))
 
@@ -177,12 +105,7 @@ def find_similar(queries: DataFrame, vecs: DataFrame, k: int = 10) -> DataFrame:
     vectors of unequal length the longer one's rest counts in its norm only."""
     q = queries.where("vec is not null").select(F.col("cell").alias("q"), F.col("vec").alias("key"))
     v = vecs.where("vec is not null").select("cell", F.col("vec").alias("key"))
-    return _top(_searched(q, v, k, _cosines), k)
-
-
-def _top(scored: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "cell")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked(nearest(q, v, k, COSINE), k)
 
 
 def pack_bits(vecs: DataFrame) -> DataFrame:
@@ -210,27 +133,13 @@ def rotate(vecs: DataFrame, r: np.ndarray) -> DataFrame:
     return vecs.withColumn("vec", F.transform(rows, lambda row: dot(F.col("vec"), row)))
 
 
-def _likeness(x, y) -> np.ndarray:
-    """1 - 2 d / dims for Hamming distance d; keys are the number of dimensions and the words."""
-    dims_x, dims_y = np.array([len(v) and v[0] for v in x]), np.array([len(v) and v[0] for v in y])
-    wide = max(max(map(len, x)), max(map(len, y)), 2)
-    a, b = np.zeros((len(x), wide - 1), np.int64), np.zeros((len(y), wide - 1), np.int64)
-    for out, rows in ((a, x), (b, y)):
-        for i, v in enumerate(rows):
-            out[i, : len(v) - 1] = v[1:]
-    d = np.zeros((len(x), len(y)))
-    for w in range(wide - 1):
-        d += np.bitwise_count((a[:, w, None] ^ b[None, :, w]).view(np.uint64))
-    return np.where((dims_x[:, None] == dims_y[None, :]) & (dims_x[:, None] > 0), 1 - 2 * d / np.maximum(dims_x, 1)[:, None], np.nan)
-
-
 def find_similar_hamming(queries: DataFrame, bits: DataFrame, k: int) -> DataFrame:
     """Nearest sketches of the same number of dimensions: distance, score 1 - 2 d / dims, one row per
     cell. ``queries``: (q, dims, bits), ``bits``: (cell, dims, bits)."""
     key = F.concat(F.array(F.col("dims").cast("long")), "bits").alias("key")
     asked = queries.where("bits is not null")
-    near = _searched(asked.select("q", key), bits.where("bits is not null").select("cell", key), k, _likeness)
-    return _top(near.join(asked.select("q", "dims"), "q").withColumn("d", F.round((1 - F.col("score")) * F.col("dims") / 2).cast("int")).drop("dims"), k)
+    near = nearest(asked.select("q", key), bits.where("bits is not null").select("cell", key), k, HAMMING)
+    return ranked(near.join(asked.select("q", "dims"), "q").withColumn("d", F.round((1 - F.col("score")) * F.col("dims") / 2).cast("int")).drop("dims"), k)
 
 
 def triage_size(k: int, recall: float | None) -> int:
@@ -241,7 +150,7 @@ def rerank(triage: DataFrame, queries: DataFrame, vecs: DataFrame, k: int) -> Da
     """Hamming candidates ordered by cosine of the candidates' vectors."""
     best = triage.join(vecs.select("cell", "vec"), "cell", "left").join(queries.select(F.col("cell").alias("q"), F.col("vec").alias("qv")), "q")
     s = best.groupBy("q", "cell").agg(F.max(F.coalesce(cosine(F.col("qv"), F.col("vec")), F.col("score"))).alias("score"))
-    return _top(s, k)
+    return ranked(s, k)
 
 
 def triage_recall(triage: DataFrame, exact: DataFrame, k: int) -> DataFrame:
@@ -250,13 +159,42 @@ def triage_recall(triage: DataFrame, exact: DataFrame, k: int) -> DataFrame:
     return hit.groupBy("q").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count("*")).alias("recall"))
 
 
-def recall_ewma(recalls: DataFrame, alpha: float = 0.05, warm: int = 50, most: int = 1000) -> DataFrame:
-    """(q, ewma, warm): the running average of recalls in the order of queries, and whether enough of them
-    were seen. Only the last ``most`` weigh in: older ones weigh less than a double's last bit."""
-    order = Window.orderBy("q")
-    last = F.collect_list("recall").over(order.rowsBetween(-most + 1, 0))
-    mean = F.aggregate(last, F.lit(None).cast("double"), lambda a, x: F.coalesce((1 - alpha) * a + alpha * x, x))
-    return recalls.select("q", mean.alias("ewma"), (F.row_number().over(order) >= warm).alias("warm"))
+def recall_ewma(recalls: DataFrame, alpha: float = 0.05, warm: int = 50) -> DataFrame:
+    """(q, ewma, warm): the running average of recalls in the order of queries, begun by the first one,
+    and whether enough of them were seen. Null recalls are left out.
+
+    Rows are cut into ranges of q, one per task. Over a range the average is a linear function of the
+    average before it, so one pass gives each range's sum, factor and count, the driver chains these (one
+    row a range), and a second pass runs every range from its own start."""
+    cut = recalls.where("recall is not null").select("q", F.col("recall").cast("double").alias("recall"))
+    rows = written(cut.repartitionByRange("q").withColumn("range", F.spark_partition_id()))
+
+    def steps(x: np.ndarray, start: float | None) -> np.ndarray:
+        out = np.empty(len(x))
+        for i, v in enumerate(x):
+            start = v if start is None else (1 - alpha) * start + alpha * v
+            out[i] = start
+        return out
+
+    def sums(rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows.sort_values(["q", "recall"])["recall"].to_numpy()
+        told = (rows["range"].iloc[0], rows["q"].min(), len(x), steps(x, None)[-1], steps(x, 0.0)[-1], (1 - alpha) ** len(x))
+        return pd.DataFrame([told], columns=["range", "from", "n", "begun", "sum", "factor"])
+
+    ends = rows.groupBy("range").applyInPandas(sums, "range int, from long, n long, begun double, sum double, factor double").orderBy("from").collect()
+    starts: dict[int, float | None] = {}
+    before: dict[int, int] = {}
+    at, seen = None, 0
+    for r in ends:
+        starts[r["range"]], before[r["range"]] = at, seen
+        at, seen = (r["begun"] if at is None else r["sum"] + r["factor"] * at), seen + r["n"]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, own = rows.sort_values(["q", "recall"]), rows["range"].iloc[0]
+        place = before[own] + np.arange(1, len(rows) + 1)
+        return pd.DataFrame({"q": rows["q"], "ewma": steps(rows["recall"].to_numpy(), starts[own]), "warm": place >= warm})
+
+    return rows.groupBy("range").applyInPandas(run, "q long, ewma double, warm boolean")
 
 
 def consensus(lists: list[DataFrame]) -> DataFrame:
@@ -271,7 +209,7 @@ def consensus(lists: list[DataFrame]) -> DataFrame:
 
 def classify_archetype(vecs: DataFrame, centroids: DataFrame) -> DataFrame:
     """Nearest labelled centroid by cosine and its margin. ``centroids``: (label, centre), a few."""
-    j = vecs.select("vec_id", "vec").join(F.broadcast(centroids), how="cross").select("vec_id", "label", cosine(F.col("vec"), F.col("centre")).alias("s"))
+    j = vecs.select("vec_id", "vec").join(small_side(centroids), how="cross").select("vec_id", "label", cosine(F.col("vec"), F.col("centre")).alias("s"))
     g = j.groupBy("vec_id").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.round("s", 9).alias("s"), (-F.col("label")).alias("l"))), False), 1, 2).alias("t"))
     return g.select("vec_id", (-F.get("t", F.lit(0))["l"]).alias("archetype"), (F.get("t", F.lit(0))["s"] - F.get("t", F.lit(1))["s"]).alias("margin"))
 

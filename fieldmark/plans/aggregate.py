@@ -9,21 +9,11 @@ from fieldmark.operators import formula as M
 from fieldmark.operators import series as S
 from fieldmark.sources import fixtures as X
 
+from .base import catalog
 from .grid import DENSE, dense
 from .lookup import latest
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = catalog()
 
 
 REGION_SQL = "regions AS (SELECT DISTINCT user_id AS cell, user_id % 12 AS region FROM events)"
@@ -104,7 +94,7 @@ def f01_evaluate(spark, d):
 @query(
     X.with_("samples")
     + """SELECT l_partkey%50 AS g, round(avg(0.6108*exp(17.27*temp/(temp+237.3))*(1-rh/100)),5) AS vpd, sum(CASE WHEN ndvi<0 THEN 0 ELSE least(4, 1+(ndvi>0.1)::INT+(ndvi>0.3)::INT+(ndvi>0.5)::INT) END)::DOUBLE AS vegetation,
-    sum((swr>=0.1)::INT+(swr>=1)::INT+(swr>=5)::INT+(swr>=10)::INT+(swr>=60)::INT)::DOUBLE AS precipitation FROM samples GROUP BY 1"""
+    sum(CASE WHEN precip<0.1 THEN 0 WHEN precip<1 THEN 1 WHEN precip<5 THEN 2 WHEN precip<10 THEN 3 WHEN precip<60 THEN 4 ELSE 5 END)::DOUBLE AS precipitation FROM samples GROUP BY 1"""
 )
 def f10_recipe_pack(spark, d):
     s = X.samples(spark, d).withColumn("g", F.col("l_partkey") % 50)
@@ -279,6 +269,19 @@ def f23_eval_by_region(spark, d):
     return report(spark, d, "region")
 
 
+@query(
+    X.with_("results")
+    + """, w AS (SELECT *, user_id%12 AS region, CASE volume WHEN 'very_high' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS w FROM results),
+    g AS (SELECT CASE WHEN grouping(domain)=0 THEN 'domain' WHEN grouping(volume)=0 THEN 'volume' WHEN grouping(region)=0 THEN 'region' ELSE 'all' END AS cut, coalesce(domain, volume, CAST(region AS VARCHAR), '') AS part,
+      count(*) AS n, round(avg(pass::INT),6) AS accuracy, round(sum(pass::INT*w)/sum(w),6) AS weighted_accuracy, sum((1-pass::INT)*severity)::BIGINT AS miss_cost, round(avg(elapsed),6) AS mean_elapsed, list(elapsed ORDER BY elapsed) AS v
+      FROM w GROUP BY GROUPING SETS ((domain), (volume), (region), ()))
+    SELECT * EXCLUDE (v), v[CAST(floor((n-1)*0.5+0.5) AS BIGINT)+1] AS p50, v[CAST(floor((n-1)*0.95+0.5) AS BIGINT)+1] AS p95 FROM g"""
+)
+def f23_eval_cuts(spark, d):
+    r = A.eval_report_cuts(X.results(spark, d).withColumn("region", F.col("user_id") % 12))
+    return r.withColumns({c: F.round(c, 6) for c in ("accuracy", "weighted_accuracy", "mean_elapsed")})
+
+
 @query(
     """WITH e AS (SELECT event_id AS id, list_sort(list_distinct([event_id%7, user_id%5, 3])) AS a, list_sort(list_distinct([event_id%5, user_id%7, 3])) AS t FROM events)
     SELECT id, a=t AS exact, round(len(list_intersect(a,t))/len(t),6) AS overlap FROM e"""
@@ -365,12 +368,18 @@ def g06_persistence_score(spark, d):
 
 @query(
     X.with_("facts")
-    + """, i AS (SELECT * FROM facts WHERE kind='primary' AND tslot<=19745 AND ((band='click' AND tslot>19735) OR (band='purchase' AND tslot>19725)))
-    SELECT cell, band, CASE band WHEN 'click' THEN 'short' ELSE 'long' END AS purpose, round(CASE band WHEN 'click' THEN sum(num) ELSE arg_max(num, tslot*1000000000+event_id) END,6) AS value FROM i GROUP BY cell, band HAVING band='purchase' OR sum(num)>=50"""
+    + """, f AS (SELECT * REPLACE (CASE WHEN band='view' AND event_id%4=0 THEN 0 ELSE tslot END AS tslot) FROM facts), p AS (SELECT * FROM f WHERE kind='primary'),
+    snap AS (SELECT cell, arg_max(num, tslot*1000000000+event_id) AS v FROM p WHERE band='click' AND tslot<=19745 GROUP BY cell)
+    SELECT cell, 'click' AS band, 'short' AS purpose, round(sum(num),6) AS value FROM p JOIN snap USING (cell) WHERE band='click' AND tslot BETWEEN 19736 AND 19745 AND v>=50 GROUP BY cell
+    UNION ALL SELECT cell, 'purchase', 'long', round(arg_max(num, tslot*1000000000+event_id),6) FROM p WHERE band='purchase' AND tslot BETWEEN 19726 AND 19745 GROUP BY cell
+    UNION ALL SELECT cell, 'view', 'base', round(avg(num),6) FROM p WHERE band='view' AND tslot=0 GROUP BY cell"""
 )
 def g07_temporal_recipe(spark, d):
-    recipe = spark.createDataFrame([("click", 10, "sum", "short", 50.0), ("purchase", 20, "latest", "long", None)], "band string, lookback long, aggregator string, purpose string, trigger double")
-    return S.temporal_recipe(X.facts(spark, d), recipe, 19745).withColumn("value", F.round("value", 6))
+    steps = [("click", 10, "sum", "short", 50.0), ("purchase", 20, "latest", "long", None), ("view", 0, "mean", "base", None)]
+    recipe = spark.createDataFrame(steps, "band string, lookback long, aggregator string, purpose string, trigger double")
+    static = (F.col("band") == "view") & (F.col("event_id") % 4 == 0)  # some facts of a static band
+    facts = X.facts(spark, d).withColumn("tslot", F.when(static, F.lit(0).cast("bigint")).otherwise(F.col("tslot")))
+    return S.temporal_recipe(facts, recipe, 19745).withColumn("value", F.round("value", 6))
 
 
 @query(

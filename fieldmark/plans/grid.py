@@ -8,18 +8,9 @@ from fieldmark.operators import aggregate as A
 from fieldmark.operators import grid as G
 from fieldmark.sources import fixtures as X
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from .base import catalog
 
-
-def query(sql):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = catalog()
 
 
 POINTS = f"pts AS (SELECT c_custkey AS id, c_acctbal AS num, {X.point_sql('c_custkey')} FROM customer)"

@@ -10,18 +10,9 @@ from fieldmark.operators import lookup as L
 from fieldmark.sources import fixtures as X
 from fieldmark.sources.fixtures import scratch
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from .base import catalog
 
-
-def query(sql: str | None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = catalog()
 
 
 def latest(spark: SparkSession, d: str) -> DataFrame:
@@ -180,9 +171,24 @@ def c04_enforce_privacy(spark, d):
     return out.select("cell", "band", "fact_cid", "num", "action", "privacy_snapped")
 
 
-@query(X.with_("facts") + "SELECT tier, count(*) AS n FROM (SELECT CASE WHEN starts_with(band,'cl') THEN 'S1' WHEN starts_with(band,'pur') THEN 'S2' ELSE 'Static' END AS tier FROM facts) GROUP BY tier")
+TIERED = {
+    "S1": ("sentinel1_raw", "s1.vv"), "S2": ("s2.B04", "indices.ndvi", "geotessera", "geotessera.2024", "prithvi_eo2", "prithvi_eo2.mean", "galileo_base", "galileo_base.a", "clay_v1", "clay_v1.5"),
+    "Landsat": ("landsat.b4",), "Iot": ("iot.pm25",), "OtherSat": ("modis.ndvi_mean", "cams.no2", "marine.sst", "viirs.dnb"),
+    "Static": ("sentinel1_raw2", "s1", "s2", "indices", "prithvi_eo2x", "clay_v12", "landsat", "era5.t2m", "power.ghi", "soilgrids.ph", "hansen.loss", "modisx"),
+}
+TIER_BANDS = [b for names in TIERED.values() for b in names]
+TIER_SQL = "tiers (band, tier) AS (VALUES " + ", ".join(f"('{b}', '{t}')" for t, names in TIERED.items() for b in names) + ")"
+
+
+@query(
+    f"WITH {TIER_SQL}, e AS (SELECT ["
+    + ", ".join(f"'{b}'" for b in TIER_BANDS)
+    + f"][event_id%{len(TIER_BANDS)}+1] AS band FROM events) SELECT band, tier, count(*) AS n FROM e JOIN tiers USING (band) GROUP BY ALL"
+)
 def c05_with_tier(spark, d):
-    return L.with_tier(X.facts(spark, d), (("cl", "S1"), ("pur", "S2"))).groupBy("tier").agg(F.count("*").alias("n"))
+    names = F.array(*map(F.lit, TIER_BANDS))
+    e = X.read(spark, d, "events").select(F.element_at(names, (F.col("event_id") % len(TIER_BANDS) + 1).cast("int")).alias("band"))
+    return L.with_tier(e).groupBy("band", "tier").agg(F.count("*").alias("n"))
 
 
 @query(

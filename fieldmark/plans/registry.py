@@ -16,7 +16,12 @@ def _modules():
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for m in _modules() for k, f in m.QUERIES.items()}
+    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    for m in _modules():
+        if both := out.keys() & m.QUERIES.keys():
+            raise ValueError(f"registered twice: {sorted(both)}")
+        out |= m.QUERIES
+    return out
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,18 +7,9 @@ from pyspark.sql import functions as F
 from fieldmark.operators import spatial as E
 from fieldmark.sources import fixtures as X
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from .base import catalog
 
-
-def query(sql):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = catalog()
 
 
 # A square, an L-shape, a square with a hole, and a shape of two parts, as rings of (lng, lat).
@@ -99,7 +90,7 @@ FIELD = f"fo AS (SELECT o_orderkey, o_totalprice/1e7 AS size, {X.point_sql('o_or
     f"""WITH {FIELD}, {BOX}, m AS (SELECT poly_id, avg(x) AS lng, avg(y) AS lat FROM fv GROUP BY 1)
     SELECT box_id, count(poly_id) AS n FROM boxes LEFT JOIN m ON lng BETWEEN lng_min AND lng_max AND lat BETWEEN lat_min AND lat_max GROUP BY box_id"""
 )
-def e05_count_centroids(spark, d):
+def e05_count_mean_centres(spark, d):
     # a small triangle beside each field is its second part
     near = lambda x, y: F.struct((F.col("rings")[0][0]["lng"] + x).alias("lng"), (F.col("rings")[0][0]["lat"] + y).alias("lat"))
     triangle = F.array(F.array(near(20.0, 0.0), near(20.1, 0.0), near(20.0, 0.1), near(20.0, 0.0)))

@@ -7,26 +7,17 @@ from pyspark.sql import functions as F
 from fieldmark.operators import integrity as K
 from fieldmark.operators import lookup as L
 from fieldmark.operators import routing as R
+from fieldmark.operators.grid import LAT_MAX, LNG_MAX, to_cell
 from fieldmark.sources import fixtures as X
 from fieldmark.sources import ingest as G
 from fieldmark.sources.fixtures import scratch
 from fieldmark.streaming import jobs as J
 
+from .base import catalog
 from .aggregate import REGION_SQL, regions
-from .lookup import NEWEST_SQL
+from .grid import CELLS
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = catalog()
 
 
 # Topics and their aliases, topics and their bands.
@@ -100,7 +91,12 @@ def has_sql(phrases) -> str:
 
 
 INTENT_SQL = "CASE " + " ".join(f"WHEN {has_sql(cues)} THEN '{name}'" for name, cues in R.INTENTS) + " ELSE 'recall' END"
-AUDIT_SQL = f"CASE WHEN {has_sql(R.FRESHNESS)} THEN 'freshness' WHEN {has_sql(R.CORPUS_WORDS)} THEN CASE WHEN {has_sql(R.CORPUS_PREPOSITIONS)} THEN 'regional_density' ELSE 'global_coverage' END WHEN {has_sql(R.GLOBAL_COVERAGE)} THEN 'global_coverage' END"
+EVERYWHERE = (
+    "where do you have", "where you have", "global coverage", "global coverage map", "world coverage", "world-wide coverage", "worldwide coverage", "coverage map",
+    "show me your coverage", "show me the coverage", "what cells do you have", "what cells are attested", "all the cells", "every cell you have",
+    "how much data do you have", "how dense is the corpus", "how dense is data",
+)
+AUDIT_SQL = f"CASE WHEN {has_sql(R.FRESHNESS)} THEN 'freshness' WHEN {has_sql(R.CORPUS_WORDS)} THEN CASE WHEN {has_sql(R.CORPUS_PREPOSITIONS)} THEN 'regional_density' ELSE 'global_coverage' END WHEN {has_sql(EVERYWHERE)} THEN 'global_coverage' END"
 EVENT_SQL = (
     f"CASE WHEN {has_sql(R.HUNT_VERBS)} OR ({has_sql(R.HUNT_PREPOSITIONS)} AND NOT {has_sql(R.PAST)}) THEN CASE "
     + " ".join(f"WHEN {has_sql(cues)}" + (f" AND NOT {has_sql(unless)}" if unless else "") + f" THEN '{name}'" for name, cues, unless in R.EVENTS)
@@ -115,7 +111,7 @@ def i04_classify_questions(spark, d):
 
 # question templates: every phrase of the rules meets every opening and ending
 OPENINGS = ("find ", "", "tell me about ", "where has ")
-PHRASES = (*(p for _, cues, unless in R.EVENTS for p in (*cues, *unless)), *R.FRESHNESS, *R.CORPUS_WORDS, *R.GLOBAL_COVERAGE, *(p for _, cues in R.INTENTS for p in cues))
+PHRASES = (*(p for _, cues, unless in R.EVENTS for p in (*cues, *unless)), *R.FRESHNESS, *R.CORPUS_WORDS, *EVERYWHERE, *(p for _, cues in R.INTENTS for p in cues))
 ENDINGS = ("", " in ", " since 2020 near ", " for ")
 
 
@@ -167,46 +163,89 @@ def i06_plan_algorithms(spark, d):
     return R.answer_plan(routed, bands, X.facts(spark, d), spark.createDataFrame(TOPIC_ALGORITHMS, "topic string, algorithm string"))
 
 
-SAMPLE = "smp AS (SELECT cell, region FROM regions QUALIFY row_number() OVER (PARTITION BY region ORDER BY (cell*7919)%10007, cell)<=8)"
+#: Real grid cells: every user's point, its cell and its region.
+GRID_SQL = f"""pts AS (SELECT DISTINCT user_id AS id, {X.point_sql("user_id")} FROM events), {CELLS}, regions AS (SELECT DISTINCT cell, id % 12 AS region FROM cells),
+  gnewest AS (SELECT c.cell, f.band, f.num, f.fact_cid, f.tslot FROM facts f JOIN cells c ON c.id=f.cell WHERE kind='primary' QUALIFY row_number() OVER (PARTITION BY c.cell, f.band ORDER BY f.tslot DESC, f.event_id DESC)=1),
+  smp AS (SELECT cell, region, ((cell >> 22) & {LAT_MAX})/{LAT_MAX}.0*180-90 AS lat, (cell & {LNG_MAX})/{LNG_MAX}.0*360-180 AS lng, row_number() OVER (PARTITION BY region ORDER BY md5(CAST(cell AS VARCHAR)), cell) AS sampled FROM regions)"""
+
+
+def grid_facts(spark, d):
+    """Facts whose cells are those of their user's point."""
+    return to_cell(X.with_point(X.facts(spark, d), "cell")).drop("lat", "lng")
+
+
+def grid_regions(spark, d):
+    users = X.with_point(X.read(spark, d, "events").select("user_id").distinct(), "user_id")
+    return to_cell(users).select("cell", (F.col("user_id") % 12).alias("region")).distinct()
+
+
+def rounded_centre(df):
+    return df.withColumns({"lat": F.round("lat", 9), "lng": F.round("lng", 9)})
 
 
 @query(
-    X.with_("facts", extra=f"{REGION_SQL}, {NEWEST_SQL}, {SAMPLE}")
-    + """, v AS (SELECT 'surge' AS event, s.region, s.cell, n.num AS value, g.num AS gate_value, true AS dn FROM smp s JOIN newest n ON n.cell=s.cell AND n.band='purchase' JOIN newest g ON g.cell=s.cell AND g.band='click' AND g.num>=20
-    UNION ALL SELECT 'calm', s.region, s.cell, n.num, NULL, false FROM smp s JOIN newest n ON n.cell=s.cell AND n.band='view')
-    SELECT event, region, cell, value, gate_value, row_number() OVER (PARTITION BY event, region ORDER BY CASE WHEN dn THEN -value ELSE value END, cell) AS rank FROM v QUALIFY rank<=3"""
+    X.with_("facts", extra=GRID_SQL)
+    + """, v AS (SELECT 'surge' AS event, s.region, s.cell, lat, lng, n.num AS value, g.num AS gate_value, n.fact_cid, true AS dn FROM smp s JOIN gnewest n ON n.cell=s.cell AND n.band='purchase' JOIN gnewest g ON g.cell=s.cell AND g.band='click' AND g.num>=20 WHERE sampled<=8
+    UNION ALL SELECT 'calm', s.region, s.cell, lat, lng, n.num, NULL, n.fact_cid, false FROM smp s JOIN gnewest n ON n.cell=s.cell AND n.band='view' WHERE sampled<=3),
+    r AS (SELECT event, region, cell, round(lat,9) AS lat, round(lng,9) AS lng, value, gate_value, fact_cid, row_number() OVER (PARTITION BY event, region ORDER BY CASE WHEN dn THEN -value ELSE value END, cell) AS rank FROM v QUALIFY rank<=3)
+    SELECT *, 'ranked' AS status FROM r UNION ALL SELECT e, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'not_yet_implemented' FROM (VALUES ('oil_slick'), ('tremor')) t(e)"""
 )
 def h01_hunt(spark, d):
-    events = spark.createDataFrame([("surge", "purchase", "click", 20.0, True), ("calm", "view", None, None, False)], "event string, band string, gate string, gate_min double, descending boolean")
-    return R.hunt(events, regions(spark, d), X.facts(spark, d), most=3, sample=8)
+    registry = spark.createDataFrame([("surge", "purchase", "click", ">=", 20.0, True, False), ("calm", "view", None, None, None, False, True), ("oil_slick", None, None, None, None, None, False)], R.EVENT_SCHEMA)
+    asked = spark.createDataFrame([("surge",), ("calm",), ("oil_slick",), ("tremor",)], "event string")
+    return rounded_centre(R.hunt(R.event_bands(asked, registry), grid_regions(spark, d), grid_facts(spark, d), most=3, sample=8, slow_sample=3))
 
 
 @query(
-    X.with_("facts", extra=f"{REGION_SQL}, {NEWEST_SQL}, {SAMPLE}")
-    + """, e(event, op, bound) AS (VALUES ('lt','<',40.0), ('le','<=',40.0), ('gt','>',40.0), ('other','~',40.0)), v AS (SELECT event, s.region, s.cell, n.num AS value, g.num AS gate_value FROM e CROSS JOIN smp s JOIN newest n ON n.cell=s.cell AND n.band='purchase' JOIN newest g ON g.cell=s.cell AND g.band='click'
-      WHERE CASE op WHEN '<' THEN g.num<bound WHEN '<=' THEN g.num<=bound WHEN '>' THEN g.num>bound ELSE false END)
-    SELECT event, region, cell, value, gate_value, row_number() OVER (PARTITION BY event, region ORDER BY value DESC, cell) AS rank FROM v QUALIFY rank<=3"""
+    X.with_("facts", extra=GRID_SQL)
+    + """, e(event, op, bound) AS (VALUES ('lt','<',40.0), ('le','<=',40.0), ('gt','>',40.0), ('other','~',40.0)), v AS (SELECT event, s.region, s.cell, lat, lng, n.num AS value, g.num AS gate_value, n.fact_cid FROM e CROSS JOIN smp s JOIN gnewest n ON n.cell=s.cell AND n.band='purchase' JOIN gnewest g ON g.cell=s.cell AND g.band='click'
+      WHERE sampled<=8 AND CASE op WHEN '<' THEN g.num<bound WHEN '<=' THEN g.num<=bound WHEN '>' THEN g.num>bound ELSE false END)
+    SELECT event, region, cell, round(lat,9) AS lat, round(lng,9) AS lng, value, gate_value, fact_cid, 'ranked' AS status, row_number() OVER (PARTITION BY event, region ORDER BY value DESC, cell) AS rank FROM v QUALIFY rank<=3"""
 )
 def h01_hunt_gates(spark, d):
     rows = [("lt", "purchase", "click", "<", 40.0, True), ("le", "purchase", "click", "<=", 40.0, True), ("gt", "purchase", "click", ">", 40.0, True), ("other", "purchase", "click", "~", 40.0, True)]
     events = spark.createDataFrame(rows, "event string, band string, gate string, gate_op string, gate_min double, descending boolean")
-    return R.hunt(events, regions(spark, d), X.facts(spark, d), most=3, sample=8)
+    return rounded_centre(R.hunt(events, grid_regions(spark, d), grid_facts(spark, d), most=3, sample=8))
+
+
+# the published bands of the named events stand for bands of the test table here
+STAND_INS = {"indices.ndvi": "click", "indices.ndwi": "view", "hansen.tree_cover_2000": "purchase", "sentinel1_raw": "signup", "modis.lst_day_8day": "purchase"}
+BY_EVENT = [("algal_bloom", "click", "view", ">", 0.0, True), ("deforestation", "click", "purchase", ">=", 30.0, False), ("crop_stress", "click", None, None, None, False), ("urban_heat_island", "purchase", None, None, None, True)]
+
+
+@query(
+    X.with_("facts", extra=GRID_SQL)
+    + ", v AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{event}' AS event, s.region, s.cell, n.num AS value, {'g.num' if gate else 'NULL'} AS gate_value, n.fact_cid, {'-' if down else ''}n.num AS o FROM smp s JOIN gnewest n ON n.cell=s.cell AND n.band='{band}'"
+        + (f" JOIN gnewest g ON g.cell=s.cell AND g.band='{gate}' AND g.num{op}{least}" if gate else "")
+        + f" WHERE sampled<={8 if event == 'urban_heat_island' else 32}"
+        for event, band, gate, op, least, down in BY_EVENT
+    )
+    + """) SELECT event, region, cell, value, gate_value, fact_cid, row_number() OVER (PARTITION BY event, region ORDER BY o, cell) AS rank, 'ranked' AS status FROM v QUALIFY rank<=8
+    UNION ALL SELECT 'oil_slick', NULL, NULL, NULL, NULL, NULL, NULL, 'not_yet_implemented'"""
+)
+def h01_named_events(spark, d):
+    asked = spark.createDataFrame([(e[0],) for e in BY_EVENT] + [("oil_slick",)], "event string")
+    names = F.create_map(*[F.lit(x) for kv in STAND_INS.items() for x in kv])
+    bands = R.event_bands(asked).withColumns({c: F.when(F.col(c).isNotNull(), names[F.col(c)]) for c in ("band", "gate")})
+    return R.hunt(bands, grid_regions(spark, d), grid_facts(spark, d)).drop("lat", "lng")
 
 
-@query(X.with_(extra=f"{REGION_SQL}, {SAMPLE}") + "SELECT region, cell FROM smp")
+@query(X.with_("facts", extra=GRID_SQL) + "SELECT region, cell FROM smp WHERE sampled<=8")
 def h02_sample_cells(spark, d):
-    return R.sample_cells(regions(spark, d), 8).select("region", "cell")
+    return R.sample_cells(grid_regions(spark, d), 8).select("region", "cell")
 
 
 @query(
-    X.with_("facts", extra=f"{REGION_SQL}, {NEWEST_SQL}, {SAMPLE}")
-    + """, v AS (SELECT s.region, s.cell, n.band, row_number() OVER (PARTITION BY s.region, n.band ORDER BY n.num DESC, s.cell) AS rank FROM smp s JOIN newest n ON n.cell=s.cell AND n.band IN ('view','click','purchase'))
+    X.with_("facts", extra=GRID_SQL)
+    + """, v AS (SELECT s.region, s.cell, n.band, row_number() OVER (PARTITION BY s.region, n.band ORDER BY n.num DESC, s.cell) AS rank FROM smp s JOIN gnewest n ON n.cell=s.cell AND n.band IN ('view','click','purchase') WHERE sampled<=8)
     SELECT region, cell, count(*) AS hunts, string_agg(band, ',' ORDER BY band) AS events, min(rank) AS best_rank FROM v WHERE rank<=4 GROUP BY ALL HAVING count(*)>1"""
 )
 def h03_hotspot_overlap(spark, d):
     rows = [(b, b, None, None, True) for b in ("view", "click", "purchase")]
     events = spark.createDataFrame(rows, "event string, band string, gate string, gate_min double, descending boolean")
-    return R.hotspot_overlap(R.hunt(events, regions(spark, d), X.facts(spark, d), most=4, sample=8))
+    return R.hotspot_overlap(R.hunt(events, grid_regions(spark, d), grid_facts(spark, d), most=4, sample=8))
 
 
 @query(X.with_("facts", extra=REGION_SQL) + "SELECT region, count(*) AS uncovered FROM regions r WHERE NOT EXISTS (SELECT 1 FROM facts f WHERE f.cell=r.cell AND f.band='error' AND f.tslot>=19740) GROUP BY region")

@@ -7,18 +7,9 @@ from pyspark.sql import functions as F
 from fieldmark.operators import vectors as V
 from fieldmark.sources import fixtures as X
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from .base import catalog
 
-
-def query(sql):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = catalog()
 
 
 COS = "list_dot_product({a},{b})/(sqrt(list_dot_product({a},{a}))*sqrt(list_dot_product({b},{b})))"

@@ -85,6 +85,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         "s1": F.col("l_linenumber") - 20.0,
         "temp": F.col("l_quantity") - 10,
         "rh": F.col("l_tax") * 1000,
+        "precip": F.col("l_linenumber") * F.col("l_quantity") / 5 - 1,
     }
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[v.alias(k) for k, v in c.items()])
 
@@ -111,7 +112,7 @@ SQL = {
     "pixels": """pixels AS (SELECT o_orderkey // 100 AS "row", o_orderkey % 100 AS col, o_totalprice/1000 AS value FROM orders)""",
     "monthly": """monthly AS (SELECT l_suppkey AS key, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, sum(l_quantity) AS num FROM lineitem GROUP BY ALL)""",
     "samples": """samples AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount*10-0.3 AS ndvi, l_quantity*2 AS swr, l_extendedprice/1000 AS cop,
-      l_extendedprice/1000 + l_tax*100 - 4 AS gmrt, l_linenumber-20.0 AS s1, l_quantity-10 AS temp, l_tax*1000 AS rh FROM lineitem)""",
+      l_extendedprice/1000 + l_tax*100 - 4 AS gmrt, l_linenumber-20.0 AS s1, l_quantity-10 AS temp, l_tax*1000 AS rh, l_linenumber*l_quantity/5 - 1 AS precip FROM lineitem)""",
     "results": """results AS (SELECT event_type AS domain, value AS elapsed, event_id % 10 <> 0 AS pass,
       ['low','medium','high','very_high'][user_id % 4 + 1] AS volume, 1 + event_id % 5 AS severity, user_id FROM events)""",
 }

@@ -28,7 +28,7 @@ def test_missing_and_undefined_inputs_are_null(spark):
 
 
 def test_precipitation_classes(spark):
-    df = spark.createDataFrame([(v,) for v in (0.0, 0.1, 1.0, 5.0, 10.0, 60.0)], "swr double")
+    df = spark.createDataFrame([(v,) for v in (0.0, 0.1, 1.0, 5.0, 10.0, 60.0)], "precip double")
     assert [r["p"] for r in formula.evaluate(df, {"p": formula.RECIPES["precipitation"]}, []).collect()] == [0, 1, 2, 3, 4, 5]
 
 
@@ -99,8 +99,12 @@ def test_many_queries_give_what_few_do(spark, monkeypatch):
         return sorted((r["q"], r["cell"], round(r["score"], 9), r["rank"]) for r in near)
 
     few = found()
-    monkeypatch.setattr(vectors, "MAX_QUERIES", 7)
-    monkeypatch.setattr(vectors, "ROW_BLOCK", 20)
+    from fieldmark.operators import nearest
+
+    monkeypatch.setattr(nearest.nearest, "__defaults__", (0,))
+    monkeypatch.setattr(nearest, "BLOCK_QUERIES", 7)
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(nearest, "ROWS_OF_PIVOT", 9)
     assert found() == few
     y = {i: np.array(v, dtype=float) for i, t, v in rows if v is not None and t == 0}
     cos = {}
