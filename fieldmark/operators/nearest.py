@@ -106,6 +106,7 @@ def spread_pivots(keys: list, metric: Metric, most: int) -> list:
     if not len(placed):
         return keys[:1]
     away = away[np.ix_(placed, placed)]
+    np.fill_diagonal(away, 0)
     chosen = [0]
     near = away[:, 0].copy()
     while len(chosen) < min(most, len(placed)) and near.max() > 0:
