@@ -6,22 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .tables import written
+
 METRES_PER_DEGREE = 111_320.0
 EARTH_KM = 6371.0088
 #: A ring is an array of (lng, lat) structs, the first point repeated at the end.
 
 
+def edge_crosses(e: Column, lng: Column, lat: Column) -> Column:
+    """Whether a ray to the east crosses the edge from ``a`` to ``b``."""
+    a, b = e["a"], e["b"]
+    spans = (a["lat"] > lat) != (b["lat"] > lat)
+    at = a["lng"] + (lat - a["lat"]) / F.when(b["lat"] != a["lat"], b["lat"] - a["lat"]) * (b["lng"] - a["lng"])
+    return spans & (lng < at)
+
+
 def ring_crossings(ring: Column, lng: Column, lat: Column) -> Column:
     """Edges of a ring that a ray to the east crosses."""
     edge = F.arrays_zip(F.slice(ring, 1, F.size(ring) - 1).alias("a"), F.slice(ring, 2, F.size(ring) - 1).alias("b"))
-
-    def crosses(e: Column) -> Column:
-        a, b = e["a"], e["b"]
-        spans = (a["lat"] > lat) != (b["lat"] > lat)
-        at = a["lng"] + (lat - a["lat"]) / (b["lat"] - a["lat"]) * (b["lng"] - a["lng"])
-        return spans & (lng < at)
-
-    return F.size(F.filter(edge, crosses))
+    return F.size(F.filter(edge, lambda e: edge_crosses(e, lng, lat)))
 
 
 def in_polygon(rings: Column, lng: Column, lat: Column) -> Column:
@@ -44,13 +47,58 @@ def tiles_of(df: DataFrame, size: float) -> DataFrame:
     return df.withColumn("tx", span("lng_min", "lng_max")).withColumn("ty", span("lat_min", "lat_max"))
 
 
-def points_in_polygons(points: DataFrame, polys: DataFrame, size: float = 1.0) -> DataFrame:
-    """(points..., poly_id) of every containment; ``polys``: (poly_id, rings)."""
-    boxed = tiles_of(with_bbox(polys), size)
-    p = points.withColumns({"tx": F.floor(F.col("lng") / size), "ty": F.floor(F.col("lat") / size)})
-    inside = F.col("lng").between(F.col("lng_min"), F.col("lng_max")) & F.col("lat").between(F.col("lat_min"), F.col("lat_max"))
-    j = p.join(boxed, ["tx", "ty"]).where(inside & in_polygon(F.col("rings"), F.col("lng"), F.col("lat")))
-    return j.select(*points.columns, "poly_id")
+#: Levels of tile sizes (2 ** level degrees), tiles across a polygon and edges of a strip that are aimed at,
+#: and copies of an edge that strips may make on average.
+LEVELS, ACROSS, STRIP_EDGES, COPIES = (-12, 9), 4, 8, 3
+
+
+def _level(size: Column) -> Column:
+    """The least level whose tiles are as large as ``size`` degrees, within LEVELS."""
+    exact = F.ceil(F.log2(F.greatest(size, F.lit(1e-9)))).cast("int")
+    return F.greatest(F.least(exact, F.lit(LEVELS[1])), F.lit(LEVELS[0]))
+
+
+def _tile(x: Column, level: Column) -> Column:
+    return F.floor(x / F.pow(F.lit(2.0), level)).cast("bigint")
+
+
+def polygon_strips(polys: DataFrame) -> DataFrame:
+    """Edge index of (poly_id, rings): the edges of every polygon cut to strips of latitude, each strip in
+    the tiles that it crosses: (poly_id, lx, ly, tx, ty, edges), tile sizes 2 ** lx by 2 ** ly degrees.
+
+    The sizes follow the polygon: about STRIP_EDGES edges a strip, as long as an edge is not copied into
+    more than COPIES strips on average, and about ACROSS tiles across. A ray to the east from a point
+    crosses only edges of the point's own strip, so the index answers as all rings would."""
+    numbered = written(polys.select(F.monotonically_increasing_id().alias("poly"), "poly_id", "rings"))
+    ring = numbered.select("poly", F.explode("rings").alias("ring"))
+    ends = F.arrays_zip(F.slice("ring", 1, F.size("ring") - 1).alias("a"), F.slice("ring", 2, F.size("ring") - 1).alias("b"))
+    e = ring.where(F.size("ring") > 1).select("poly", F.inline(ends)).select("poly", F.struct("a", "b").alias("e"), F.least("a.lat", "b.lat").alias("y0"), F.greatest("a.lat", "b.lat").alias("y1"))
+    e = e.where("y0 < y1 and e.a.lng is not null and e.b.lng is not null")  # no ray crosses a level edge
+    x0, x1 = F.least("e.a.lng", "e.b.lng"), F.greatest("e.a.lng", "e.b.lng")
+    size = e.groupBy("poly").agg(F.count("*").alias("n"), F.min("y0").alias("lo"), F.max("y1").alias("hi"), F.sum(F.col("y1") - F.col("y0")).alias("tall"), (F.max(x1) - F.min(x0)).alias("wide"))
+    height = F.col("hi") - F.col("lo")
+    rows = F.greatest(F.lit(1.0), F.least(F.col("n") / STRIP_EDGES, COPIES * F.col("n") * height / F.col("tall")))
+    size = size.select("poly", _level(height / rows).alias("ly"), _level(F.col("wide") / ACROSS).alias("lx"))
+    cut = e.join(size, "poly").withColumn("ty", F.explode(F.sequence(_tile(F.col("y0"), F.col("ly")), _tile(F.col("y1"), F.col("ly")))))
+    strips = cut.groupBy("poly", "lx", "ly", "ty").agg(F.collect_list("e").alias("edges"), F.min(x0).alias("x0"), F.max(x1).alias("x1"))
+    tiled = strips.withColumn("tx", F.explode(F.sequence(_tile(F.col("x0"), F.col("lx")), _tile(F.col("x1"), F.col("lx")))))
+    return tiled.join(numbered.select("poly", "poly_id"), "poly").select("poly_id", "lx", "ly", "tx", "ty", "edges")
+
+
+def points_in_polygons(points: DataFrame, polys: DataFrame) -> DataFrame:
+    """(points..., poly_id) of every containment by the even-odd rule; ``polys``: (poly_id, rings). A point
+    meets the strips of its own tiles, at each pair of tile sizes in use (a few dozen at most)."""
+    strips = written(polygon_strips(polys))
+    levels = [F.struct(F.lit(r["lx"]).alias("lx"), F.lit(r["ly"]).alias("ly")) for r in strips.select("lx", "ly").distinct().collect()]
+    if not levels:
+        return points.join(strips.select("poly_id"), F.lit(False))
+    p = points.withColumn("__l", F.explode(F.array(*levels)))
+    p = p.withColumns({"__tx": _tile(F.col("lng"), F.col("__l.lx")), "__ty": _tile(F.col("lat"), F.col("__l.ly"))})
+    same = (F.col("__l.lx") == F.col("s.lx")) & (F.col("__l.ly") == F.col("s.ly")) & (F.col("__tx") == F.col("s.tx")) & (F.col("__ty") == F.col("s.ty"))
+    j = p.alias("p").join(strips.alias("s"), same)
+    lng, lat = F.col("p.lng"), F.col("p.lat")
+    inside = F.size(F.filter("s.edges", lambda e: edge_crosses(e, lng, lat))) % 2 == 1
+    return j.where(inside).select(*[F.col(f"p.`{c}`") for c in points.columns], F.col("s.poly_id").alias("poly_id"))
 
 
 def count_in_boxes(points: DataFrame, boxes: DataFrame, size: float = 5.0) -> DataFrame:
@@ -227,6 +275,36 @@ def resolve_division(hits: DataFrame) -> DataFrame:
     return hits.withColumn("tier", tier).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("id", "division", "name", "tier")
 
 
+# Kinds of divisions, the widest first, and letters that names are compared without accents.
+DIVISION_KINDS = ("country", "region", "county", "localadmin", "locality", "borough", "dependency", "macrohood", "neighborhood", "microhood")
+ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝŸ"
+UNACCENTED = "aaaaaaceeeeiiiinoooooouuuuyyAAAAAACEEEEIIIINOOOOOOUUUUYY"
+
+
+def division_name(name: Column) -> Column:
+    """A name without accents, case and punctuation: words of letters and digits, one space apart."""
+    plain = F.lower(F.translate(name, ACCENTED, UNACCENTED))
+    return F.btrim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
+
+
+def division_near(anchors: DataFrame, divisions: DataFrame) -> DataFrame:
+    """The division that holds each anchor (id, query, lng, lat) and fits its query best: of those of that
+    very name the widest kind, then the largest box; else the smallest box of those whose name holds the
+    query or lies in it; else the smallest box. ``divisions``: (division, name, subtype, rings). Anchors in
+    no division are left out; an empty or null query fits no name; ties go to the least division."""
+    held = points_in_polygons(anchors.select("id", "query", "lng", "lat"), divisions.select(F.col("division").alias("poly_id"), "rings"))
+    box = with_bbox(divisions.select("division", "name", "subtype", "rings"))
+    known = box.select(F.col("division").alias("poly_id"), "name", "subtype", ((F.col("lng_max") - F.col("lng_min")) * (F.col("lat_max") - F.col("lat_min"))).alias("area"))
+    j = held.join(known, "poly_id").withColumns({"n": F.coalesce(division_name(F.col("name")), F.lit("")), "q": F.coalesce(division_name(F.col("query")), F.lit(""))})
+    partial = F.contains("n", "q") | F.contains("q", "n") & (F.col("n") != "")
+    tier = F.when(F.col("q") == "", 2).when(F.col("n") == F.col("q"), 0).when(partial, 1).otherwise(2)
+    kind = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, DIVISION_KINDS)), F.col("subtype")), F.lit(0)), F.lit(len(DIVISION_KINDS) + 1))
+    ranked = j.withColumns({"tier": tier, "kind": kind})
+    exact = F.col("tier") == 0
+    best = F.struct("tier", F.when(exact, F.col("kind")).otherwise(0).alias("kind"), F.when(exact, -F.col("area")).otherwise(F.col("area")).alias("area"), F.col("poly_id").alias("division"), "name", "subtype")
+    return ranked.groupBy("id").agg(F.min(best).alias("r")).select("id", "r.division", "r.name", "r.subtype", "r.tier")
+
+
 def window_density(points: DataFrame, pixels: DataFrame, half: float, size: float) -> DataFrame:
     """Sum of pixel values in a window around each point whose width scales with 1 / cos(lat), per km2."""
     wide = F.lit(half) / F.greatest(F.cos(F.radians("lat")), F.lit(0.05))

@@ -42,7 +42,7 @@ INSIDE = "ins AS (SELECT id, value, lat, lng, poly_id FROM pts CROSS JOIN edges
 
 @query(f"WITH {PTS}, {EDGES}, {INSIDE} SELECT id, poly_id FROM ins")
 def e01_points_in_polygons(spark, d):
-    return E.points_in_polygons(points(spark, d), polys(spark), 10.0).select("id", "poly_id")
+    return E.points_in_polygons(points(spark, d), polys(spark)).select("id", "poly_id")
 
 
 BOX = f"boxes AS (SELECT s_suppkey AS box_id, lng AS lng_min, lat AS lat_min, lng+10 AS lng_max, lat+8 AS lat_max FROM (SELECT s_suppkey, {X.point_sql('s_suppkey')} FROM supplier))"
@@ -157,7 +157,7 @@ AREAS_SQL = "areas (area_id, poly_id, rank, category, name, designation, country
 )
 def e08_protected_status(spark, d):
     areas = spark.createDataFrame(AREAS, "area_id string, poly_id string, tags map<string, string>")
-    hits = E.points_in_polygons(points(spark, d), polys(spark), 10.0).join(F.broadcast(areas), "poly_id")
+    hits = E.points_in_polygons(points(spark, d), polys(spark)).join(F.broadcast(areas), "poly_id")
     return E.protected_status(hits.select("id", "area_id", "tags"))
 
 
@@ -220,6 +220,25 @@ def e02_resolve_division(spark, d):
     return E.resolve_division(hits).select("id", "division", "tier")
 
 
+# what is asked for, and how the names are compared
+ASKED = (("a", "a"), ("Ásia!", "asia"), ("CHINA", "china"), ("zz", "zz"), ("the United-States  of", "the united states of"), ("Perú", "peru"), ("", ""))
+
+
+@query(
+    f"""WITH {PTS}, {DIV}, k AS (SELECT *, CASE admin_rank WHEN 2 THEN 'locality' ELSE 'region' END AS subtype, replace(name, '-', ' ') AS n FROM divs),
+    h AS (SELECT id, [{", ".join(f"'{n}'" for _, n in ASKED)}][id%{len(ASKED)}+1] AS q, k.* FROM pts JOIN k ON lng>=x AND lng<x+w AND lat>=y AND lat<y+h),
+    t AS (SELECT *, w*h AS box, CASE WHEN q='' THEN 2 WHEN n=q THEN 0 WHEN contains(n,q) OR contains(q,n) THEN 1 ELSE 2 END AS tier FROM h)
+    SELECT id, division, name, subtype, tier FROM t QUALIFY row_number() OVER (PARTITION BY id ORDER BY tier, CASE WHEN tier=0 THEN admin_rank ELSE 0 END, CASE WHEN tier=0 THEN -box ELSE box END, division)=1"""
+)
+def e02_division_near(spark, d):
+    u = divisions(spark, d)
+    corner = lambda x, y: F.struct(F.col(x).cast("double").alias("lng"), F.col(y).cast("double").alias("lat"))
+    ring = F.array(corner("lng_min", "lat_min"), corner("lng_max", "lat_min"), corner("lng_max", "lat_max"), corner("lng_min", "lat_max"), corner("lng_min", "lat_min"))
+    areas = u.select("division", "name", F.when(F.col("admin_rank") == 2, "locality").otherwise("region").alias("subtype"), F.array(ring).alias("rings"))
+    query = F.element_at(F.array(*[F.lit(q) for q, _ in ASKED]), (F.col("id") % len(ASKED) + 1).cast("int"))
+    return E.division_near(points(spark, d).withColumn("query", query), areas)
+
+
 @query(
     f"""WITH {PTS}, px AS (SELECT o_orderkey%360-180.0 AS lng, (o_orderkey//360)%160-80.0 AS lat, o_totalprice/1000 AS value FROM orders),
     j AS (SELECT id, px.value FROM pts JOIN px ON px.lat BETWEEN pts.lat-2 AND pts.lat+2 AND px.lng BETWEEN pts.lng-2/greatest(cos(radians(pts.lat)),0.05) AND pts.lng+2/greatest(cos(radians(pts.lat)),0.05))

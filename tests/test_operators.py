@@ -1,6 +1,7 @@
 """Fixed numbers and invariants of single operators."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -284,3 +285,45 @@ def test_protected_status_of_points(spark):
     df = spark.createDataFrame(hits, "id long, area_id string, tags map<string, string>")
     got = {r["id"]: (r["area_id"], r["category"], r["name"], r["designation"], r["marine"]) for r in spatial.protected_status(df).collect()}
     assert got[1] == ("y", "Ia", "OSM area y", "", False) and got[2] == ("w", "Not Reported", "OSM area w", "", False) and got[3][1] == "Not Reported"
+
+
+def test_edge_index_equals_all_rings(spark):
+    """A ring of 100,000 edges, a world-wide box, a comb, rings with holes and tiny ones; points on corners."""
+    import math
+
+    n = 100_000
+    big = [(30 * math.cos(2 * math.pi * k / n), 20 * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    comb = [(k / 10, 40.0 if k % 2 else -40.0) for k in range(300)] + [(29.9, -50.0), (0.0, -50.0)]
+    rings = {
+        "big": [big], "world": [[(-180.0, -90.0), (180.0, -90.0), (180.0, 90.0), (-180.0, 90.0)]], "comb": [comb],
+        "hole": [[(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)], [(4.0, 4.0), (6.0, 4.0), (6.0, 6.0), (4.0, 6.0)]], "tiny": [[(1.0, 1.0), (1.001, 1.0), (1.0, 1.001)]],
+        "line": [[(0.0, 0.0), (1.0, 1.0)]], "empty": [], "none": [[]],
+    }
+    closed = {k: [r + r[:1] for r in v] for k, v in rings.items()}
+    polys = spark.createDataFrame(list(closed.items()), "poly_id string, rings array<array<struct<lng:double,lat:double>>>")
+    rng = random.Random(1)
+    pts = [(i, rng.uniform(-40, 40), rng.uniform(-60, 60)) for i in range(150)] + [(200 + i, float(x), float(y)) for i, (x, y) in enumerate([(0, 0), (10, 10), (4, 4), (5, 5), (1, 1), (1.0002, 1.0002), (-180, -90), (179.9, 89.9), (6, 5), (0.05, 39.0)])]
+    pts += [(300, None, 1.0), (301, float("nan"), 2.0)]
+    df = spark.createDataFrame(pts, "id long, lng double, lat double").withColumns({"poly": F.lit(1), "edges": F.lit("x")})
+    got = spatial.points_in_polygons(df, polys)
+    assert got.columns == [*df.columns, "poly_id"]
+
+    def inside(x, y, v):
+        if x is None or x != x:
+            return False
+        return sum((a[1] > y) != (b[1] > y) and x < a[0] + (y - a[1]) / (b[1] - a[1]) * (b[0] - a[0]) for r in v for a, b in zip(r, r[1:], strict=False)) % 2 == 1
+
+    want = sorted((i, k) for k, v in closed.items() for i, x, y in pts if inside(x, y, v))
+    assert sorted((r["id"], r["poly_id"]) for r in got.collect()) == want
+    strips = spatial.polygon_strips(polys)
+    most = {r["poly_id"]: r["m"] for r in strips.groupBy("poly_id").agg(F.max(F.size("edges")).alias("m")).collect()}
+    assert most["big"] < 2000 and strips.where("poly_id = 'world'").count() <= 16
+    assert spatial.points_in_polygons(df, polys.limit(0)).count() == 0
+
+
+def test_division_names():
+    from pyspark.sql import SparkSession
+
+    s = SparkSession.getActiveSession()
+    df = s.createDataFrame([("São Paulo",), ("New-York,  NY",), ("",), (None,), ("ÎLE d'Oléron",)], "n string")
+    assert [r["x"] for r in df.select(spatial.division_name(F.col("n")).alias("x")).collect()] == ["sao paulo", "new york ny", "", None, "ile d oleron"]
