@@ -28,6 +28,27 @@ def a01_read_facts(spark, d):
     return f.select("cell", "band", "tslot", "num", "fact_cid")
 
 
+def store(spark, d):
+    """Half of the facts, then the other half appended."""
+    from fieldmark.sources.fact_store import FactStore
+
+    f = X.facts(spark, d)
+    s = FactStore.create(f.where("event_id % 2 = 0"), scratch(spark), 8)
+    s.append(f.where("event_id % 2 = 1"))
+    return s
+
+
+@query(X.with_("facts", "latest") + "SELECT cell, band, tslot, num, fact_cid FROM latest WHERE band IN ('click','purchase') AND tslot BETWEEN 19728 AND 19740 AND cell IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12)")
+def a01_store_lookup(spark, d):
+    cells = X.read(spark, d, "customer").where("c_nationkey < 12").select(F.col("c_custkey").alias("cell"))
+    return store(spark, d).compacted().lookup(cells, ["click", "purchase"], (19728, 19740)).select("cell", "band", "tslot", "num", "fact_cid")
+
+
+@query(X.with_("facts", "latest") + "SELECT cell, band, tslot, num, fact_cid, kind FROM latest")
+def a02_store_latest(spark, d):
+    return store(spark, d).latest().select("cell", "band", "tslot", "num", "fact_cid", "kind")
+
+
 @query(X.with_("facts", "latest") + "SELECT cell, band, tslot, num, fact_cid, kind FROM latest")
 def a02_latest_facts(spark, d):
     return latest(spark, d).select("cell", "band", "tslot", "num", "fact_cid", "kind")
