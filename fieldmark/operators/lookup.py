@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .grid import CELL_PREFIX, LAT_BITS, LNG_BITS, parent_cell
-from .tables import small_side, top_k
+from .tables import small_side, top_k, written
 
 KEY = ("cell", "band", "tslot")
-#: Slots of a bucket in which claims on windows meet facts.
-WINDOW_SLOTS = 64
+#: A window is cut into pieces of RADIX ** level slots, of PIECE_LEVELS levels.
+RADIX, PIECE_LEVELS = 16, 15
 
 
 def read_facts(spark: SparkSession, path: str, bands: list[str] | None = None, cells: DataFrame | None = None, tslots: tuple[int, int] | None = None) -> DataFrame:
@@ -131,18 +131,60 @@ def _claim_test(op: Column, num: Column, value: Column, values: Column) -> Colum
     )
 
 
+def _multiple(x: Column, unit: int) -> Column:
+    """The largest multiple of ``unit`` up to x."""
+    return x - F.pmod(x, F.lit(unit).cast("bigint"))
+
+
+def window_pieces(windows: DataFrame, lo: str, hi: str) -> DataFrame:
+    """One row per piece (piece_level, piece) of each window [lo, hi]: whole runs of RADIX ** level slots,
+    the widest that fit, at most 2 * RADIX a level; so the pieces grow with the logarithm of the window. An
+    empty window has none, nor has one without both ends."""
+    a, b = F.col("__a"), F.col("__b")
+    w = windows.where(F.col(lo).isNotNull() & F.col(hi).isNotNull()).withColumns({"__a": F.col(lo).cast("bigint"), "__b": F.greatest(F.least(F.col(hi).cast("bigint"), F.lit((1 << 62) - 1)) + 1, F.col(lo).cast("bigint"))})
+
+    def run(first: Column, end: Column, level: int) -> Column:
+        unit = F.lit(RADIX**level).cast("bigint")
+        numbers = F.sequence(F.call_function("div", first, unit), F.call_function("div", end, unit) - 1)
+        found = F.transform(numbers, lambda i: F.struct(F.lit(level).alias("piece_level"), i.alias("piece")))
+        return F.when(first < end, found).otherwise(F.array().cast("array<struct<piece_level:int,piece:bigint>>"))
+
+    parts = []
+    for level in range(PIECE_LEVELS - 1):
+        wider = RADIX ** (level + 1)
+        up = F.least(b, a + F.pmod(-a, F.lit(wider).cast("bigint")))
+        down = F.greatest(up, _multiple(b, wider))
+        parts += [f"__l{level}", f"__r{level}"]
+        w = w.withColumns({f"__l{level}": run(a, up, level), f"__r{level}": run(down, b, level), "__a": up, "__b": down})
+    w = w.withColumn("__top", run(a, b, PIECE_LEVELS - 1))
+    pieces = F.inline(F.concat(*parts, "__top"))
+    return w.select(*[F.col(f"`{c}`") for c in windows.columns], pieces)
+
+
+def in_windows(windows: DataFrame, facts: DataFrame, lo: str, hi: str, slot: str = "tslot") -> DataFrame:
+    """Each window (cell, band, lo, hi, ...) with the facts of its cell and band in [lo, hi]. Facts of the
+    cells and bands asked for carry their piece at every level in use and meet the windows by equality: no
+    window is spread over its slots, and none meets the facts of its (cell, band) that lie outside."""
+    keys = ["cell", "band"]
+    cut = written(window_pieces(windows, lo, hi))
+    used = sorted(r["piece_level"] for r in cut.select("piece_level").distinct().collect())
+    if not used:
+        return cut.drop("piece_level", "piece").join(facts, keys)
+    wanted = facts.join(windows.select(*keys).distinct(), keys, "left_semi")
+    levels = F.array(*[F.struct(F.lit(k).alias("piece_level"), F.call_function("div", _multiple(F.col(slot), RADIX**k), F.lit(RADIX**k).cast("bigint")).alias("piece")) for k in used])
+    pieces = wanted.where(F.col(slot).isNotNull()).select("*", F.inline(levels))
+    return cut.join(pieces, [*keys, "piece_level", "piece"]).drop("piece_level", "piece")
+
+
 def verify(claims: DataFrame, facts: DataFrame) -> DataFrame:
     """(claim_id, verdict, n_values, evidence) of claims (claim_id, cell, band, op, value, vals,
     tslot, win_lo, win_hi, agg). A slot beats a window; neither means all slots; an unknown agg means
     any; min and max skip NaN; derivatives count for nothing."""
     f = facts.where("kind in ('primary', 'absence')").select("cell", "band", F.col("tslot").alias("f_tslot"), "num", "kind", "fact_cid")
     window = claims.where("tslot is null and win_lo is not null")
-    first, last = F.floor(F.col("win_lo") / WINDOW_SLOTS), F.floor(F.col("win_hi") / WINDOW_SLOTS)
-    wide = window.where("win_lo <= win_hi").withColumn("bucket", F.explode(F.sequence(first, last)))
-    bucketed = f.withColumn("bucket", F.floor(F.col("f_tslot") / WINDOW_SLOTS))
     parts = (
         claims.where("tslot is not null").withColumn("f_tslot", F.col("tslot")).join(f, ["cell", "band", "f_tslot"]),
-        wide.join(bucketed, ["cell", "band", "bucket"]).where("f_tslot between win_lo and win_hi"),
+        in_windows(window, f, "win_lo", "win_hi", "f_tslot"),
         claims.where("tslot is null and win_lo is null").join(f, ["cell", "band"]),
     )
     columns = ["claim_id", "op", "value", "vals", "num", "kind", "fact_cid"]
@@ -293,7 +335,7 @@ def trajectory(requests: DataFrame, facts: DataFrame, most: int = 64) -> DataFra
     none, the first ``most`` slots that hold something. Only points inside a window, and the slots of
     requests without one, are gathered."""
     f = facts.where("kind = 'primary'").select("cell", "band", "tslot", "num")
-    inside = requests.join(f, ["cell", "band"]).where("tslot between lo and hi").groupBy("req_id").agg(
+    inside = in_windows(requests, f, "lo", "hi").groupBy("req_id").agg(
         F.array_sort(F.collect_list(F.struct("tslot", "num"))).alias("points")
     )
     rest = requests.join(inside.select("req_id"), "req_id", "left_anti")

@@ -327,3 +327,20 @@ def test_division_names():
     s = SparkSession.getActiveSession()
     df = s.createDataFrame([("São Paulo",), ("New-York,  NY",), ("",), (None,), ("ÎLE d'Oléron",)], "n string")
     assert [r["x"] for r in df.select(spatial.division_name(F.col("n")).alias("x")).collect()] == ["sao paulo", "new york ny", "", None, "ile d oleron"]
+
+
+def test_windows_are_cut_into_few_pieces(spark):
+    rng = random.Random(4)
+    windows = [(i, *sorted((rng.randint(-5000, 5000), rng.randint(-5000, 5000)))) for i in range(60)]
+    windows += [(100, 5, 5), (101, 5, 4), (102, 0, 15), (103, -16, -1), (104, None, 3), (105, 3, None), (106, -(2**50), 2**50 + 3), (107, 1, 1_000_001)]
+    df = spark.createDataFrame(windows, "id long, lo long, hi long").withColumns({"cell": F.col("id") % 2, "band": F.lit("b")})
+    pieces = lookup.window_pieces(df.where("id < 104 or id = 107"), "lo", "hi").collect()
+    for i, lo, hi in windows:
+        if i < 104:
+            covered = sorted(s for r in pieces if r["id"] == i for s in range(r["piece"] * 16 ** r["piece_level"], (r["piece"] + 1) * 16 ** r["piece_level"]))
+            assert covered == list(range(lo, hi + 1))
+    assert sum(r["id"] == 107 for r in pieces) < 120
+    facts = spark.range(900).select((F.col("id") % 3).alias("cell"), F.lit("b").alias("band"), (F.col("id") * 37 % 9000 - 4500).alias("tslot"), F.col("id").alias("n"))
+    got = sorted((r["id"], r["n"]) for r in lookup.in_windows(df, facts, "lo", "hi").collect())
+    known = facts.collect()
+    assert got == sorted((i, f["n"]) for i, lo, hi in windows if lo is not None and hi is not None for f in known if f["cell"] == i % 2 and lo <= f["tslot"] <= hi)
