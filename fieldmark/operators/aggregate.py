@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .grid import neighbours3x3
+from .grid import TEMPO, neighbours3x3
 from .ranks import middle, order_statistics
 from .tables import top_k, written
 
@@ -116,6 +118,32 @@ def relax_stencil(pixels: DataFrame, alpha: float, steps: int) -> DataFrame:
     return n9.select("row", "col", (s / 4 + F.pow(F.lit(1 - 4 * alpha), F.lit(steps)) * (u - s / 4)).alias("value"), (spread < 0.01).alias("uniform"))
 
 
+# Metres of a cell, share of the stability bound that a step uses, most steps.
+CELL_METRES, STEP_SHARE, MOST_STEPS = 10.0, 0.20, 2_000_000
+
+
+def relaxation_steps(diffusivity: float, hours: float) -> tuple[int, float]:
+    """(steps, diffusion number of a step) for a horizon in hours at a diffusivity in square metres a
+    second: the fewest steps that stay within STEP_SHARE of a cell's area."""
+    for name, x in (("diffusivity", diffusivity), ("hours", hours)):
+        if not 0 < x < float("inf"):
+            raise ValueError(f"{name} must be positive and finite")
+    seconds, area = hours * 3600.0, CELL_METRES * CELL_METRES
+    steps = max(1, math.ceil(seconds / (STEP_SHARE * area / diffusivity)))
+    if steps > MOST_STEPS:
+        raise ValueError(f"{hours} hours take {steps} steps, more than {MOST_STEPS}")
+    return steps, diffusivity * seconds / steps / area
+
+
+def relax_hours(pixels: DataFrame, diffusivity: float, hours: float) -> DataFrame:
+    """``relax_stencil`` for a horizon in hours, with the steps taken and the positions of the 3 x 3
+    neighbourhood (0 to 8, row by row) that had no value and took the centre's."""
+    steps, number = relaxation_steps(diffusivity, hours)
+    missing = F.filter(F.sequence(F.lit(0), F.lit(8)), lambda i: F.get("n9", i).isNull())
+    gaps = neighbours3x3(pixels).select("row", "col", missing.alias("imputed"))
+    return relax_stencil(pixels, number, steps).join(gaps, ["row", "col"]).withColumn("steps", F.lit(steps))
+
+
 def downsample(pixels: DataFrame, k: int) -> DataFrame:
     return pixels.groupBy(F.floor(F.col("row") / k).alias("row"), F.floor(F.col("col") / k).alias("col")).agg(F.avg("value").alias("value"), F.count("*").alias("n"))
 
@@ -224,6 +252,18 @@ def coverage_matrix(facts: DataFrame) -> DataFrame:
     )
 
 
+def coverage_registry(facts: DataFrame, registry: DataFrame) -> DataFrame:
+    """``coverage_matrix`` beside a registry (band, tempo, has_source): bands of either side, those without
+    facts with 0; seconds of a slot by tempo; whether the band answers (it has facts or a source)."""
+    seconds = F.create_map(*[F.lit(x) for kv in TEMPO.items() for x in kv])
+    j = registry.select("band", "tempo", "has_source").join(coverage_matrix(facts), "band", "full")
+    n = F.coalesce("n_facts", F.lit(0))
+    return j.select(
+        "band", "tempo", F.try_element_at(seconds, F.col("tempo")).cast("bigint").alias("tempo_seconds"), F.coalesce("has_source", F.lit(False)).alias("has_source"), n.alias("n_facts"),
+        F.coalesce("n_cells", F.lit(0)).alias("n_cells"), "from_slot", "to_slot", "newest", (F.coalesce("has_source", F.lit(False)) | (n > 0)).alias("answers"),
+    )
+
+
 def corpus_stats(facts: DataFrame) -> DataFrame:
     return facts.agg(F.countDistinct("cell").alias("cells"), F.countDistinct("band").alias("bands"), F.count("*").alias("facts"))
 

@@ -175,6 +175,30 @@ def neighbours3x3(pixels: DataFrame, value: str = "value", row: str = "row", col
     return sent.groupBy(row, col).agg(F.array(*names).alias("n9")).where(F.get("n9", F.lit(4)).isNotNull())
 
 
+def cover_cells(boxes: DataFrame, max_cells: int = 409_600) -> tuple[DataFrame, DataFrame]:
+    """(cells of every box, boxes in error): the cells met in steps of half a grid pitch and less from the
+    lower left corner, and those of all four corners. ``boxes``: (box_id, lon_min, lat_min, lon_max,
+    lat_max); a box is in error if out of range, inverted or over ``max_cells`` cells."""
+    dy, dx = 180.0 / (1 << LAT_BITS), 360.0 / (1 << LNG_BITS)
+
+    def steps(lo: str, hi: str, d: float) -> Column:
+        return F.floor((F.col(hi) - F.col(lo)) / d)
+
+    bad = (
+        F.when((F.abs("lat_min") > 90) | (F.abs("lat_max") > 90) | (F.abs("lon_min") > 180) | (F.abs("lon_max") > 180), "out_of_range")
+        .when((F.col("lat_min") > F.col("lat_max")) | (F.col("lon_min") > F.col("lon_max")), "inverted")
+        .when((steps("lat_min", "lat_max", dy) + 2) * (steps("lon_min", "lon_max", dx) + 2) > max_cells, "too_many_cells")
+    )
+    judged = boxes.withColumn("error", bad)
+    good = judged.where("error is null")
+    lats = good.select("box_id", "lon_min", "lon_max", F.explode(F.sequence(F.lit(0).cast("bigint"), steps("lat_min", "lat_max", dy))).alias("i"), F.col("lat_min").alias("y"))
+    met = lats.select("box_id", (F.col("y") + F.col("i") * dy).alias("lat"), "lon_min", F.explode(F.sequence(F.lit(0).cast("bigint"), steps("lon_min", "lon_max", dx))).alias("j"))
+    inner = met.select("box_id", "lat", (F.col("lon_min") + F.col("j") * dx).alias("lng"))
+    corner = F.array(*[F.struct(F.col(y).alias("lat"), F.col(x).alias("lng")) for y in ("lat_min", "lat_max") for x in ("lon_min", "lon_max")])
+    every = inner.unionByName(good.select("box_id", F.inline(corner)))
+    return to_cell(every).select("box_id", "cell").distinct(), judged.where("error is not null").select("box_id", "error")
+
+
 def cover_bbox(boxes: DataFrame, step: float, max_cells: int) -> tuple[DataFrame, DataFrame]:
     """(covering grid rows and columns, boxes in error) for (box_id, lon_min, lat_min, lon_max,
     lat_max); a box is in error if out of range, inverted or over ``max_cells``."""

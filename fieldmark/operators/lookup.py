@@ -15,7 +15,7 @@ from .tables import small_side, top_k, written
 
 KEY = ("cell", "band", "tslot")
 #: A window is cut into pieces of RADIX ** level slots, of PIECE_LEVELS levels.
-RADIX, PIECE_LEVELS = 16, 15
+RADIX, PIECE_LEVELS = 16, 9
 
 
 def read_facts(spark: SparkSession, path: str, bands: list[str] | None = None, cells: DataFrame | None = None, tslots: tuple[int, int] | None = None) -> DataFrame:
@@ -63,6 +63,17 @@ def missing_slots(cells: DataFrame, facts: DataFrame, lo: int, hi: int, most: in
     return top_k(gaps, ["cell", "band"], [F.col("tslot")], most).drop("rank")
 
 
+def missing_slots_between(cells: DataFrame, facts: DataFrame, tempos: DataFrame, start: int, end: int, most: int = 64) -> DataFrame:
+    """``missing_slots`` of a window in Unix seconds: every band has slots of its own length. ``tempos``:
+    (band, seconds), 0 for a static band, whose only slot is 0; bands without a tempo are left out."""
+    most = min(max(most, 1), 1024)
+    step = F.greatest("seconds", F.lit(1))
+    first, last = (F.when(F.col("seconds") == 0, 0).otherwise(F.floor(F.lit(t) / step)).cast("bigint") for t in (start, end))
+    ranged = cells.select("cell", "band").join(small_side(tempos), "band").where(F.lit(start <= end)).select("cell", "band", F.explode(F.sequence(first, last)).alias("tslot"))
+    gaps = ranged.join(facts.select(*KEY), list(KEY), "left_anti")
+    return top_k(gaps, ["cell", "band"], [F.col("tslot")], most).drop("rank")
+
+
 def purge(facts: DataFrame, fn_keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows kept, dry-run counts per purged recipe key)."""
     stale = F.col("fn_key").isin(fn_keys)
@@ -140,25 +151,32 @@ def window_pieces(windows: DataFrame, lo: str, hi: str) -> DataFrame:
     """One row per piece (piece_level, piece) of each window [lo, hi]: whole runs of RADIX ** level slots,
     the widest that fit, at most 2 * RADIX a level; so the pieces grow with the logarithm of the window. An
     empty window has none, nor has one without both ends."""
-    a, b = F.col("__a"), F.col("__b")
-    w = windows.where(F.col(lo).isNotNull() & F.col(hi).isNotNull()).withColumns({"__a": F.col(lo).cast("bigint"), "__b": F.greatest(F.least(F.col(hi).cast("bigint"), F.lit((1 << 62) - 1)) + 1, F.col(lo).cast("bigint"))})
+    first, end = F.col("__first"), F.col("__end")
+    last = F.least(F.col(hi).cast("bigint"), F.lit((1 << 62) - 1))
+    w = windows.where(F.col(lo) <= F.col(hi)).withColumns({"__first": F.col(lo).cast("bigint"), "__end": last + 1})
+
+    def whole(level: int) -> tuple[Column, Column]:
+        """Ends of the whole runs of a level inside the window."""
+        unit = RADIX**level
+        return first + F.pmod(-first, F.lit(unit).cast("bigint")), _multiple(end, unit)
 
-    def run(first: Column, end: Column, level: int) -> Column:
+    def run(a: Column, b: Column, level: int) -> Column:
         unit = F.lit(RADIX**level).cast("bigint")
-        numbers = F.sequence(F.call_function("div", first, unit), F.call_function("div", end, unit) - 1)
+        numbers = F.sequence(F.call_function("div", a, unit), F.call_function("div", b, unit) - 1)
         found = F.transform(numbers, lambda i: F.struct(F.lit(level).alias("piece_level"), i.alias("piece")))
-        return F.when(first < end, found).otherwise(F.array().cast("array<struct<piece_level:int,piece:bigint>>"))
+        return F.when(a < b, found).otherwise(F.array().cast("array<struct<piece_level:int,piece:bigint>>"))
 
     parts = []
-    for level in range(PIECE_LEVELS - 1):
-        wider = RADIX ** (level + 1)
-        up = F.least(b, a + F.pmod(-a, F.lit(wider).cast("bigint")))
-        down = F.greatest(up, _multiple(b, wider))
-        parts += [f"__l{level}", f"__r{level}"]
-        w = w.withColumns({f"__l{level}": run(a, up, level), f"__r{level}": run(down, b, level), "__a": up, "__b": down})
-    w = w.withColumn("__top", run(a, b, PIECE_LEVELS - 1))
-    pieces = F.inline(F.concat(*parts, "__top"))
-    return w.select(*[F.col(f"`{c}`") for c in windows.columns], pieces)
+    for level in range(PIECE_LEVELS):
+        a, b = whole(level)
+        if level == PIECE_LEVELS - 1:
+            parts.append(run(a, b, level))
+            break
+        # what the next level's runs leave over to the left and to the right, or all where it has none
+        wide_a, wide_b = whole(level + 1)
+        some = wide_a <= wide_b
+        parts += [run(a, F.when(some, wide_a).otherwise(b), level), run(F.when(some, wide_b).otherwise(b), b, level)]
+    return w.select(*[F.col(f"`{c}`") for c in windows.columns], F.inline(F.concat(*parts)))
 
 
 def in_windows(windows: DataFrame, facts: DataFrame, lo: str, hi: str, slot: str = "tslot") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .grid import with_center
 from .nearest import COSINE, HAMMING, nearest, ranked
 from .tables import small_side, written
 
@@ -108,6 +109,36 @@ def find_similar(queries: DataFrame, vecs: DataFrame, k: int = 10) -> DataFrame:
     return ranked(nearest(q, v, k, COSINE), k)
 
 
+def similar_places(found: DataFrame, k: int, places: DataFrame | None = None, max_km: float = 300.0) -> DataFrame:
+    """Neighbours (q, cell, score, rank) of grid cells with each one's centre, how many were asked for and
+    found, and the nearest of ``places`` (id, lat, lng) within ``max_km``."""
+    from .spatial import nearest_place
+
+    told = with_center(found).join(found.groupBy("q").agg(F.count("*").alias("returned_k")), "q").withColumn("requested_k", F.lit(k))
+    if places is None:
+        return told
+    centres = with_center(found.select("cell").distinct()).withColumnRenamed("cell", "id")
+    near = nearest_place(centres, places, max_km, 5.0).select(F.col("id").alias("cell"), "place", "km")
+    return told.join(near, "cell", "left")
+
+
+def find_similar_where(queries: DataFrame, vecs: DataFrame, claim: dict, facts: DataFrame, k: int = 10) -> DataFrame:
+    """``find_similar`` among the cells that satisfy a claim (band, op, value, and vals, tslot, win_lo, win_hi or
+    agg as ``verify`` takes them); each cell is judged once, by its facts."""
+    from .lookup import verify
+
+    kinds = {"band": "string", "op": "string", "value": "double", "vals": "array<double>", "tslot": "bigint", "win_lo": "bigint", "win_hi": "bigint", "agg": "string"}
+    cells = vecs.select("cell").distinct()
+
+    def term(name: str) -> Column:
+        v = claim.get(name)
+        return (F.array(*map(F.lit, v)) if isinstance(v, list | tuple) else F.lit(v)).cast(kinds[name]).alias(name)
+
+    claims = cells.select(F.col("cell").alias("claim_id"), "cell", *map(term, kinds))
+    admitted = verify(claims, facts).where("verdict").select(F.col("claim_id").alias("cell"))
+    return find_similar(queries, vecs.join(written(admitted), "cell", "left_semi"), k)
+
+
 def pack_bits(vecs: DataFrame) -> DataFrame:
     """(cell, tslot, dims, bits): sign bits (>= 0 is 1) of all components, the first one highest, in words
     of 64 bits, the last padded with zeros; a null vector has null bits."""

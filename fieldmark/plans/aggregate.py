@@ -211,6 +211,17 @@ def f19_coverage_matrix(spark, d):
     return A.coverage_matrix(X.facts(spark, d))
 
 
+@query(
+    X.with_("facts")
+    + """, r(band, tempo, has_source) AS (VALUES ('click','fast',true), ('purchase','slow',false), ('radar','d8',true), ('relief','static',false)), s(tempo, tempo_seconds) AS (VALUES ('fast',86400), ('slow',31536000), ('d8',691200), ('static',0)),
+    c AS (SELECT band, count(*) AS n_facts, count(DISTINCT cell) AS n_cells, min(tslot) AS from_slot, max(tslot) AS to_slot, max(signed_at) AS newest FROM facts GROUP BY band)
+    SELECT coalesce(c.band, r.band) AS band, tempo, CAST(tempo_seconds AS BIGINT) AS tempo_seconds, coalesce(has_source,false) AS has_source, coalesce(n_facts,0) AS n_facts, coalesce(n_cells,0) AS n_cells, from_slot, to_slot, newest, coalesce(has_source,false) OR coalesce(n_facts,0)>0 AS answers FROM c FULL JOIN r ON r.band=c.band LEFT JOIN s USING (tempo)"""
+)
+def f19_coverage_registry(spark, d):
+    rows = [("click", "fast", True), ("purchase", "slow", False), ("radar", "d8", True), ("relief", "static", False)]
+    return A.coverage_registry(X.facts(spark, d), spark.createDataFrame(rows, "band string, tempo string, has_source boolean"))
+
+
 @query(X.with_("facts") + "SELECT count(DISTINCT cell) AS cells, count(DISTINCT band) AS bands, count(*) AS facts FROM facts")
 def f20_corpus_stats(spark, d):
     return A.corpus_stats(X.facts(spark, d))

@@ -97,6 +97,23 @@ def b06_cover_bbox(spark, d):
     return G.cover_bbox(boxes(spark, d), 0.5, 100)[0]
 
 
+SMALL_BOXES = f"""sb AS (SELECT s_suppkey AS box_id, lng AS lon_min, lat AS lat_min, lng + (s_suppkey%9)*0.0001 - CASE WHEN s_suppkey%10=3 THEN 1 ELSE 0 END AS lon_max, lat + (s_suppkey%7)*0.00013 AS lat_max FROM (SELECT s_suppkey, {X.point_sql("s_suppkey")} FROM supplier)),
+  i AS (SELECT *, unnest(range(0, CAST(floor((lat_max-lat_min)/(180.0/2097152)) AS BIGINT)+1)) AS i FROM sb WHERE lon_min<=lon_max AND abs(lon_min)<=180 AND abs(lon_max)<=180), j AS (SELECT *, unnest(range(0, CAST(floor((lon_max-lon_min)/(360.0/4194304)) AS BIGINT)+1)) AS j FROM i),
+  pts AS (SELECT box_id AS id, lat_min+i*(180.0/2097152) AS lat, lon_min+j*(360.0/4194304) AS lng FROM j UNION ALL SELECT box_id, y, x FROM (SELECT box_id, unnest([lat_min,lat_min,lat_max,lat_max]) AS y, unnest([lon_min,lon_max,lon_min,lon_max]) AS x FROM sb WHERE lon_min<=lon_max AND abs(lon_min)<=180 AND abs(lon_max)<=180))"""
+
+
+def small_boxes(spark, d):
+    p = X.with_point(X.read(spark, d, "supplier").select(F.col("s_suppkey").alias("box_id")), "box_id")
+    k = F.col("box_id")
+    lon = F.col("lng") + (k % 9) * 0.0001 - F.when(k % 10 == 3, 1).otherwise(0)
+    return p.select("box_id", F.col("lng").alias("lon_min"), F.col("lat").alias("lat_min"), lon.alias("lon_max"), (F.col("lat") + (k % 7) * 0.00013).alias("lat_max"))
+
+
+@query(f"WITH {SMALL_BOXES}, {CELLS} SELECT DISTINCT id AS box_id, cell FROM cells")
+def b06_cover_cells(spark, d):
+    return G.cover_cells(small_boxes(spark, d))[0]
+
+
 @query(
     f"""WITH {POINTS}, t AS (SELECT *, CAST(floor(lat/10)*10 AS INTEGER) s, CAST(floor(lng/10)*10 AS INTEGER) w FROM pts)
     SELECT CASE WHEN s>=0 THEN 'N' ELSE 'S' END || lpad(CAST(abs(s) AS VARCHAR),2,'0') || CASE WHEN w>=0 THEN 'E' ELSE 'W' END || lpad(CAST(abs(w) AS VARCHAR),3,'0') AS tile, count(*) AS n FROM t GROUP BY 1"""
@@ -162,6 +179,16 @@ def f15_relax_stencil(spark, d):
     return A.relax_stencil(X.pixels(spark, d), 0.2, 3).withColumn("value", F.round("value", 6))
 
 
+@query(
+    X.with_("pixels", extra=N9)
+    + """SELECT "row", col, round(s/4 + pow(1-4*(0.04*216000/432/100), 432)*(v4-s/4)+1e-7,5) AS value, greatest(v0,v1,v2,v3,v4,v5,v6,v7,v8)-least(v0,v1,v2,v3,v4,v5,v6,v7,v8)<0.01 AS uniform, 432 AS steps,
+    list_filter([CASE WHEN v0 IS NULL THEN 0 END, CASE WHEN v1 IS NULL THEN 1 END, CASE WHEN v2 IS NULL THEN 2 END, CASE WHEN v3 IS NULL THEN 3 END, CASE WHEN v4 IS NULL THEN 4 END, CASE WHEN v5 IS NULL THEN 5 END, CASE WHEN v6 IS NULL THEN 6 END, CASE WHEN v7 IS NULL THEN 7 END, CASE WHEN v8 IS NULL THEN 8 END], lambda x: x IS NOT NULL) AS imputed
+    FROM (SELECT *, coalesce(v1,v4)+coalesce(v3,v4)+coalesce(v5,v4)+coalesce(v7,v4) AS s FROM n9)"""
+)
+def f15_relax_hours(spark, d):
+    return A.relax_hours(X.pixels(spark, d), 0.04, 60.0).withColumn("value", F.round(F.col("value") + 1e-7, 5))
+
+
 @query(X.with_("pixels") + 'SELECT "row"//4 AS "row", col//4 AS col, round(avg(value)+1e-9,5) AS value, count(*) AS n FROM pixels GROUP BY 1,2')
 def f16_downsample(spark, d):
     return A.downsample(X.pixels(spark, d), 4).withColumn("value", F.round(F.col("value") + 1e-9, 5))

@@ -77,6 +77,20 @@ def a09_missing_slots(spark, d):
     return L.missing_slots(f.select("cell", "band").distinct(), f, 19723, 19753, 16).withColumn("tslot", F.col("tslot").cast("bigint"))
 
 
+@query(
+    X.with_("facts")
+    + """, t(band, seconds) AS (VALUES ('click', 86400), ('purchase', 691200), ('view', 0), ('error', 2592000)), f AS (SELECT cell, band, CASE WHEN seconds=0 THEN 0 ELSE (tslot*86400)//seconds END AS tslot, seconds FROM facts JOIN t USING (band)),
+    g AS (SELECT cell, band, unnest(CASE WHEN seconds=0 THEN [0] ELSE range(CAST(1704000000//seconds AS BIGINT), CAST(1706600000//seconds AS BIGINT)+1) END) AS tslot FROM (SELECT DISTINCT cell, band, seconds FROM f))
+    SELECT cell, band, CAST(tslot AS BIGINT) AS tslot FROM g WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.cell=g.cell AND f.band=g.band AND f.tslot=g.tslot) QUALIFY row_number() OVER (PARTITION BY cell, band ORDER BY tslot) <= 5"""
+)
+def a09_missing_slots_by_tempo(spark, d):
+    rows = [("click", 86400), ("purchase", 691200), ("view", 0), ("error", 2592000)]
+    tempos = spark.createDataFrame(rows, "band string, seconds long")
+    slot = F.when(F.col("seconds") == 0, 0).otherwise(F.floor(F.col("tslot") * 86400 / F.greatest("seconds", F.lit(1))))
+    f = X.facts(spark, d).join(tempos, "band").withColumn("tslot", slot.cast("bigint"))
+    return L.missing_slots_between(f.select("cell", "band").distinct(), f, tempos, 1704000000, 1706600000, 5)
+
+
 @query(X.with_("facts") + "SELECT fn_key, count(*) AS n FROM facts WHERE fn_key IN ('f1','f3') GROUP BY fn_key")
 def a10_purge_dry_run(spark, d):
     return L.purge(X.facts(spark, d), ["f1", "f3"])[1]

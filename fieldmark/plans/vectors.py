@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldmark.operators import vectors as V
+from fieldmark.operators.grid import LAT_MAX, LNG_MAX, to_cell
+from fieldmark.operators.lookup import latest_facts
 from fieldmark.sources import fixtures as X
 
 from .base import catalog
+from .grid import CELLS
 
 QUERIES, SQL, query = catalog()
 
@@ -64,6 +67,37 @@ def d06_find_similar_claim(spark, d):
     return V.find_similar(queries(v), v.join(admitted, "cell", "left_semi"), 5).select("q", "cell", "rank", F.round("score", 6).alias("score"))
 
 
+@query(
+    X.with_("vecs", "facts", "latest", extra=Q)
+    + f""", ok AS (SELECT DISTINCT cell FROM latest WHERE band='click' AND kind='primary' AND num>=40), s AS (SELECT q, cell, max({cos("qv", "vec")}) AS score FROM q JOIN vecs ON q<>cell WHERE cell IN (SELECT cell FROM ok) GROUP BY ALL)
+    SELECT q, cell, row_number() OVER (PARTITION BY q ORDER BY round(score,9) DESC, cell) AS rank, round(score,6) AS score FROM s QUALIFY rank<=5"""
+)
+def d06_find_similar_where(spark, d):
+    v = X.vecs(spark, d)
+    found = V.find_similar_where(queries(v), v, {"band": "click", "op": "ge", "value": 40.0}, latest_facts(X.facts(spark, d)), 5)
+    return found.select("q", "cell", "rank", F.round("score", 6).alias("score"))
+
+
+#: The vectors' cells on the grid, and the places of the suppliers.
+ON_GRID = f"""pts AS (SELECT DISTINCT cell AS id, {X.point_sql("cell")} FROM vecs), {CELLS}, m AS (SELECT id, cell AS grid, ((cell >> 22) & {LAT_MAX})/{LAT_MAX}.0*180-90 AS lat, (cell & {LNG_MAX})/{LNG_MAX}.0*360-180 AS lng FROM cells),
+  place AS (SELECT s_suppkey AS place, {X.point_sql("s_suppkey").replace(" AS lat", " AS plat").replace(" AS lng", " AS plng")} FROM supplier),
+  near AS (SELECT id, place, round(2*6371.0088*asin(sqrt(least(1.0, pow(sin(radians(plat-lat)/2),2)+cos(radians(lat))*cos(radians(plat))*pow(sin(radians(plng-lng)/2),2)))),5) AS km FROM m JOIN place ON abs(plat-lat)<10 QUALIFY km<=300 AND row_number() OVER (PARTITION BY id ORDER BY km, place)=1)"""
+
+
+@query(
+    X.with_("vecs", extra=f"{ON_GRID}, {Q}")
+    + f""", s AS (SELECT q, cell, max({cos("qv", "vec")}) AS score FROM q JOIN vecs ON q<>cell GROUP BY ALL), g AS (SELECT a.grid AS q, b.grid AS cell, b.id, b.lat, b.lng, score FROM s JOIN m a ON a.id=s.q JOIN m b ON b.id=s.cell),
+    k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score,9) DESC, cell) AS rank FROM g QUALIFY rank<=5)
+    SELECT q, cell, rank, round(score,6) AS score, round(lat,9) AS lat, round(lng,9) AS lng, count(*) OVER (PARTITION BY q) AS returned_k, 5 AS requested_k, place, km FROM k LEFT JOIN near USING (id)"""
+)
+def d05_similar_places(spark, d):
+    v = to_cell(X.with_point(X.vecs(spark, d).withColumn("id", F.col("cell")), "cell"))
+    places = X.with_point(X.read(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), "id")
+    asked = V.pick_vector(v.where("id % 10 = 0"), "oldest")
+    found = V.similar_places(V.find_similar(asked, v.select("cell", "tslot", "vec"), 5), 5, places)
+    return found.select("q", "cell", "rank", F.round("score", 6).alias("score"), F.round("lat", 9).alias("lat"), F.round("lng", 9).alias("lng"), "returned_k", "requested_k", "place", F.round("km", 5).alias("km"))
+
+
 @query(X.with_("vecs", extra=BITS) + "SELECT cell, tslot, bits FROM bits")
 def d07_pack_bits(spark, d):
     words = F.array_join(F.transform("bits", lambda b: F.lpad(F.bin(b), 64, "0")), "")
