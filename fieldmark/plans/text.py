@@ -365,8 +365,8 @@ def j04_citation_counts(spark, d):
 
 @query("SELECT event_id, old, value AS new, round(value-old,6) AS delta FROM (SELECT *, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS old FROM events) WHERE old IS NOT NULL")
 def j05_change_feed(spark, d):
-    c = J.change_feed(J.fact_stream(spark, d, "events.parquet"))
-    return J.finish(c, scratch(spark), scratch(spark)).withColumn("delta", F.round("delta", 6))
+    c = J.run_change_feed(J.fact_stream(spark, d, "events.parquet"), scratch(spark), scratch(spark))
+    return c.withColumn("delta", F.round("delta", 6))
 
 
 @query(

@@ -112,18 +112,45 @@ def citation_counts(stream: DataFrame) -> DataFrame:
     return stream.groupBy("signer").agg(F.count("*").alias("citations"), F.max("signed_at").alias("last_cited"))
 
 
-def change_feed(stream: DataFrame) -> DataFrame:
-    """A change row for every write of a key after its first; the state is the key's last value."""
+CHANGES = "event_id long, old double, new double, delta double"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def change_feed(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """A change row for every write of a key after its first. The state is the key's last value. With
+    ``ttl_ms`` it is forgotten once the newest write of all is twice that later than the key's own, and
+    writes that come more than ``ttl_ms`` behind the newest are left out; else neither. ``run_change_feed``
+    keeps the state in RocksDB: keys beyond an executor's memory stay on its disk, and checkpoints move
+    what changed."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["signed_at", "event_id"])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat([b[["signed_at", "event_id", "num"]] for b in batches]).sort_values(["signed_at", "event_id"])
         old = rows["num"].shift(1)
         if state.exists:
             old.iloc[0] = state.get[0]
-        state.update((float(rows["num"].iloc[-1]),))
-        out = pd.DataFrame({"event_id": rows["event_id"], "old": old, "new": rows["num"]}).dropna(subset=["old"])
+        value = rows["num"].iloc[-1]
+        state.update((None if pd.isna(value) else float(value),))
+        if ttl_ms is not None:
+            state.setTimeoutTimestamp(int(rows["signed_at"].iloc[-1].timestamp() * 1000) + ttl_ms)
+        out = pd.DataFrame({"event_id": rows["event_id"], "old": old.astype(float), "new": rows["num"]}).dropna(subset=["old"])
         yield out.assign(delta=out["new"] - out["old"])
 
-    return stream.groupBy("cell", "band").applyInPandasWithState(
-        update, "event_id long, old double, new double, delta double", "last double", "append", GroupStateTimeout.NoTimeout
-    )
+    rows = stream.select("cell", "band", "signed_at", "event_id", "num")
+    if ttl_ms is not None:
+        rows = rows.withWatermark("signed_at", f"{ttl_ms} milliseconds")
+    timeout = GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy("cell", "band").applyInPandasWithState(update, CHANGES, "last double", "append", timeout)
+
+
+def run_change_feed(stream: DataFrame, target: str, checkpoint: str, ttl_ms: int | None = None) -> DataFrame:
+    """The changes of all that is there; the next run with the same checkpoint goes on from its state."""
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name, None)
+    conf.set(name, ROCKS)
+    try:
+        return finish(change_feed(stream, ttl_ms), target, checkpoint)
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)

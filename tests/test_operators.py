@@ -344,3 +344,23 @@ def test_windows_are_cut_into_few_pieces(spark):
     got = sorted((r["id"], r["n"]) for r in lookup.in_windows(df, facts, "lo", "hi").collect())
     known = facts.collect()
     assert got == sorted((i, f["n"]) for i, lo, hi in windows if lo is not None and hi is not None for f in known if f["cell"] == i % 2 and lo <= f["tslot"] <= hi)
+
+
+def test_change_feed_keeps_its_state_over_restarts(spark, tmp_path):
+    days = [[(1, "a", 1.0), (2, "a", 5.0), (1, "a", 2.5)], [(1, "a", 4.0), (3, "b", 1.0)], [(2, "a", 6.0), (1, "a", None), (3, "b", 0.5)]]
+    n = 0
+    (tmp_path / "in").mkdir()
+    for day in days:  # every run is a new query on the same checkpoint
+        rows = []
+        for user, kind, value in day:
+            rows.append((n, user, kind, value, 1_700_000_000 + n))
+            n += 1
+        df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, at long").withColumn("ts", F.timestamp_seconds("at").cast("timestamp_ntz")).drop("at")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        got = jobs.run_change_feed(jobs.fact_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
+        found = sorted((r["event_id"], r["old"], r["new"]) for r in got.collect())
+    assert [(e, o) for e, o, _ in found] == [(2, 1.0), (3, 2.5), (5, 5.0), (6, 4.0), (7, 1.0)]
+    assert "providerClass" not in str(spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""))
+    # every key's writes lie 2 to 4 seconds apart: a short life forgets between two files, a long one does not
+    long = jobs.run_change_feed(jobs.fact_stream(spark, str(tmp_path / "in")), str(tmp_path / "out2"), str(tmp_path / "cp2"), ttl_ms=3_600_000)
+    assert sorted(r["event_id"] for r in long.collect()) == [2, 3, 5, 6, 7]
