@@ -151,32 +151,27 @@ def window_pieces(windows: DataFrame, lo: str, hi: str) -> DataFrame:
     """One row per piece (piece_level, piece) of each window [lo, hi]: whole runs of RADIX ** level slots,
     the widest that fit, at most 2 * RADIX a level; so the pieces grow with the logarithm of the window. An
     empty window has none, nor has one without both ends."""
-    first, end = F.col("__first"), F.col("__end")
-    last = F.least(F.col(hi).cast("bigint"), F.lit((1 << 62) - 1))
-    w = windows.where(F.col(lo) <= F.col(hi)).withColumns({"__first": F.col(lo).cast("bigint"), "__end": last + 1})
-
-    def whole(level: int) -> tuple[Column, Column]:
-        """Ends of the whole runs of a level inside the window."""
-        unit = RADIX**level
-        return first + F.pmod(-first, F.lit(unit).cast("bigint")), _multiple(end, unit)
-
-    def run(a: Column, b: Column, level: int) -> Column:
-        unit = F.lit(RADIX**level).cast("bigint")
-        numbers = F.sequence(F.call_function("div", a, unit), F.call_function("div", b, unit) - 1)
-        found = F.transform(numbers, lambda i: F.struct(F.lit(level).alias("piece_level"), i.alias("piece")))
-        return F.when(a < b, found).otherwise(F.array().cast("array<struct<piece_level:int,piece:bigint>>"))
-
-    parts = []
-    for level in range(PIECE_LEVELS):
-        a, b = whole(level)
-        if level == PIECE_LEVELS - 1:
-            parts.append(run(a, b, level))
-            break
-        # what the next level's runs leave over to the left and to the right, or all where it has none
-        wide_a, wide_b = whole(level + 1)
-        some = wide_a <= wide_b
-        parts += [run(a, F.when(some, wide_a).otherwise(b), level), run(F.when(some, wide_b).otherwise(b), b, level)]
-    return w.select(*[F.col(f"`{c}`") for c in windows.columns], F.inline(F.concat(*parts)))
+    first, last = F.col(lo).cast("bigint"), F.least(F.col(hi).cast("bigint"), F.lit((1 << 62) - 1))
+    levels = F.array(*[F.struct(F.lit(k).alias("__level"), F.lit(RADIX**k).cast("bigint").alias("__unit"), F.lit(RADIX ** (k + 1)).cast("bigint").alias("__wide")) for k in range(PIECE_LEVELS)])
+    w = windows.where(F.col(lo) <= F.col(hi)).select("*", first.alias("__first"), (last + 1).alias("__end"), F.inline(levels))
+    level, unit, wide = F.col("__level"), F.col("__unit"), F.col("__wide")
+
+    def whole(size: Column) -> tuple[Column, Column]:
+        """Ends of the whole runs of a size inside the window."""
+        return F.col("__first") + F.pmod(-F.col("__first"), size), F.col("__end") - F.pmod(F.col("__end"), size)
+
+    (a, b), (wide_a, wide_b) = whole(unit), whole(wide)
+    w = w.withColumns({"__a": a, "__b": b, "__wa": wide_a, "__wb": wide_b})
+    # what the next level's runs leave over to the left and to the right, or all where it has none
+    some = (level < PIECE_LEVELS - 1) & (F.col("__wa") <= F.col("__wb"))
+    w = w.where("__a < __b").withColumns({"__left": F.when(some, F.col("__wa")).otherwise(F.col("__b")), "__right": F.when(some, F.col("__wb")).otherwise(F.col("__b"))})
+
+    def run(x: str, y: str) -> Column:
+        numbers = F.sequence(F.call_function("div", F.col(x), unit), F.call_function("div", F.col(y), unit) - 1)
+        return F.when(F.col(x) < F.col(y), numbers).otherwise(F.array().cast("array<bigint>"))
+
+    pieces = F.explode(F.concat(run("__a", "__left"), run("__right", "__b")))
+    return w.select(*[F.col(f"`{c}`") for c in windows.columns], level.alias("piece_level"), pieces.alias("piece"))
 
 
 def in_windows(windows: DataFrame, facts: DataFrame, lo: str, hi: str, slot: str = "tslot") -> DataFrame:

@@ -27,17 +27,23 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, stats: dict[str
     the aggregates ``more``. Nulls and NaN of ``value`` have no rank, but count in ``more``; a group without
     values has null statistics.
 
-    A sketch proposes a range of values around each rank. One pass counts exactly what lies below and
-    within every range, which tells the range that holds the rank, whatever the sketch said; another
-    counts equal values inside that range only, and a running sum over these few finds the value. All
-    three passes combine on the map side. ``df`` is read three times: pass a table."""
+    Groups of up to SMALL_GROUP values count equal values and run a sum over them. If there is a larger one,
+    a sketch proposes a range of values around each rank; one pass counts exactly what lies below and within
+    every range, which tells the range that holds the rank, whatever the sketch said; another counts equal
+    values inside that range only. All passes combine on the map side. ``df`` is read two to four times:
+    pass a table."""
     v = F.when(~F.isnan(value), F.col(value).cast("double"))
+    base = written(df.groupBy(*keys).agg(F.count(v).alias("__n"), *(more or [])))
+    rows = df.select(*keys, v.alias("__v")).where("__v is not null")
+    every = range(len(stats))
+    if (base.agg(F.max("__n")).first()[0] or 0) <= SMALL_GROUP:
+        equal = rows.groupBy(*keys, "__v").agg(F.count("*").alias("__c"))
+        group = Window.partitionBy(*keys)
+        summed = equal.select(*keys, "__v", F.sum("__c").over(group.orderBy("__v")).alias("__upto"), F.sum("__c").over(group).alias("__all"))
+        at = [F.min(F.when(F.col("__upto") > rank_of(p, how, F.col("__all")), F.col("__v"))).alias(name) for name, (p, how) in stats.items()]
+        return base.drop("__n").join(summed.groupBy(*keys).agg(*at), keys, "left")
     points = sorted({x for p, _ in stats.values() for x in (max(p - MARGIN, 0.0), min(p + MARGIN, 1.0))})
-    sketch = written(
-        df.groupBy(*keys).agg(
-            F.count(v).alias("__n"), F.min(v).alias("__min"), F.max(v).alias("__max"), F.percentile_approx(v, points, ACCURACY).alias("__q"), *(more or [])
-        )
-    )
+    sketch = written(df.groupBy(*keys).agg(F.count(v).alias("__n"), F.min(v).alias("__min"), F.max(v).alias("__max"), F.percentile_approx(v, points, ACCURACY).alias("__q")))
     small = F.col("__n") <= SMALL_GROUP
 
     def bound(name: str, x: float, end: str) -> Column:
@@ -50,8 +56,6 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, stats: dict[str
         *[bound(f"__hi{j}", min(p + MARGIN, 1.0), "__max") for j, (p, _) in enumerate(stats.values())],
     )
     side = small_side(ranges, BROADCAST_GROUPS)
-    rows = df.select(*keys, v.alias("__v")).where("__v is not null")
-    every = range(len(stats))
     counts = rows.join(side, keys).groupBy(*keys).agg(
         *[F.count_if(F.col("__v") < F.col(f"__lo{j}")).alias(f"__below{j}") for j in every],
         *[F.count_if(F.col("__v") <= F.col(f"__hi{j}")).alias(f"__upto{j}") for j in every],
@@ -74,7 +78,7 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, stats: dict[str
     upto = F.sum("__c").over(Window.partitionBy(*keys, "j").orderBy("__v"))
     found = equal.withColumn("__upto", upto).where(F.col("__upto") > F.col("left")).groupBy(*keys, "j").agg(F.min("__v").alias("__v"))
     wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("j") == j, F.col("__v"))).alias(name) for j, name in enumerate(stats)])
-    return sketch.drop("__n", "__min", "__max", "__q").join(wide, keys, "left")
+    return base.drop("__n").join(wide, keys, "left")
 
 
 def middle(low: str, high: str) -> Column:

@@ -27,28 +27,28 @@ def regions(spark, d):
 @query(
     X.with_("facts", "latest", extra=REGION_SQL)
     + """, r AS (SELECT region, band, num FROM latest JOIN regions USING (cell) WHERE kind='primary'), k AS (SELECT *, row_number() OVER (PARTITION BY region, band ORDER BY num)-1 AS rn, count(*) OVER (PARTITION BY region, band) AS c FROM r)
-    SELECT region, band, count(*) AS n, round(avg(num),6) AS mean, round(median(num),6) AS median, max(num) FILTER (rn = CAST(floor((c-1)*0.9+0.5) AS BIGINT)) AS p90 FROM k GROUP BY region, band"""
+    SELECT region, band, count(*) AS n, round(avg(num)+1e-9,6) AS mean, round(median(num),6) AS median, max(num) FILTER (rn = CAST(floor((c-1)*0.9+0.5) AS BIGINT)) AS p90 FROM k GROUP BY region, band"""
 )
 def f02_query_region(spark, d):
     r = A.query_region(regions(spark, d), latest(spark, d))
-    return r.select("region", "band", "n", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), "p90")
+    return r.select("region", "band", "n", F.round(F.col("mean") + 1e-9, 6).alias("mean"), F.round("median", 6).alias("median"), "p90")
 
 
 @query(
     X.with_("facts", "latest", extra=REGION_SQL)
-    + "SELECT region, band, round(avg(num),6) AS mean, round(median(num),6) AS median, min(num) AS min, max(num) AS max, round(stddev_pop(num),5) AS std FROM latest JOIN regions USING (cell) WHERE kind='primary' GROUP BY ALL"
+    + "SELECT region, band, round(avg(num)+1e-9,6) AS mean, round(median(num),6) AS median, min(num) AS min, max(num) AS max, round(stddev_pop(num),5) AS std FROM latest JOIN regions USING (cell) WHERE kind='primary' GROUP BY ALL"
 )
 def f03_zonal_stats(spark, d):
-    return A.zonal_stats(regions(spark, d), latest(spark, d)).withColumns({"mean": F.round("mean", 6), "median": F.round("median", 6), "std": F.round("std", 5)})
+    return A.zonal_stats(regions(spark, d), latest(spark, d)).withColumns({"mean": F.round(F.col("mean") + 1e-9, 6), "median": F.round("median", 6), "std": F.round("std", 5)})
 
 
 @query(
     X.with_("facts", "latest", extra=REGION_SQL)
-    + "SELECT region, round(avg(num) FILTER (band='click'),6) AS click, round(avg(num) FILTER (band='purchase'),6) AS purchase, round(median(num) FILTER (band='click')+1e-9,6) AS click_median, round(median(num) FILTER (band='purchase')+1e-9,6) AS purchase_median FROM latest JOIN regions USING (cell) WHERE kind='primary' GROUP BY region"
+    + "SELECT region, round(avg(num) FILTER (band='click')+1e-9,6) AS click, round(avg(num) FILTER (band='purchase')+1e-9,6) AS purchase, round(median(num) FILTER (band='click')+1e-9,6) AS click_median, round(median(num) FILTER (band='purchase')+1e-9,6) AS purchase_median FROM latest JOIN regions USING (cell) WHERE kind='primary' GROUP BY region"
 )
 def f04_place_profile(spark, d):
     p = A.place_profile(regions(spark, d), latest(spark, d), ["click", "purchase"])
-    return p.select("region", *[F.round(F.col(c) + (1e-9 if c.endswith("_median") else 0), 6).alias(c) for c in p.columns[1:]])
+    return p.select("region", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in p.columns[1:]])
 
 
 @query(
