@@ -21,7 +21,7 @@ from fieldmark.functions.ship import ship
 from .tables import top_k, written
 
 #: Queries and rows of one task, and queries scored together.
-BLOCK_QUERIES, BLOCK_ROWS, QUERY_STEP = 4096, 65_536, 128
+BLOCK_QUERIES, BLOCK_ROWS, QUERY_STEP = 1024, 16_384, 128
 #: Pairs up to which the queries go to every task and all pairs are scored.
 FEW_PAIRS = 4_000_000
 #: Rows that the pivots are drawn from, rows of a block aimed at, and most pivots.
@@ -173,17 +173,21 @@ def in_blocks(queries: DataFrame, rows: DataFrame, k: int, metric: Metric, m: in
         for batch in batches:
             if not len(batch):
                 continue
-            keys = batch["key"].to_numpy()
-            least = batch["least"].fillna(-np.inf).to_numpy()
-            most = metric.bound(metric.place(keys, [centres[b] for b in numbers]), radius, keys) if len(numbers) else np.zeros((len(batch), 0))
-            most, names = np.column_stack([most, metric.apart(keys)]), np.append(numbers, APART)
-            want = (most + SLACK >= least[:, None]) & (names[None, :] != batch["block"].to_numpy()[:, None]) & np.isin(names, list(blocks))[None, :]
-            i, j = np.nonzero(want)
-            yield pd.DataFrame({"q": batch["q"].to_numpy()[i], "key": batch["key"].to_numpy()[i], "block": names[j]})
-
-    others = written(asked.join(worst, "q", "left").mapInPandas(admit, f"q long, key {kind}, block long"))
-    met = asked.select("q", "block").union(others.select("q", "block"))
-    return _per_cell(home.union(meet(others))), met
+            for lo in range(0, len(batch), QUERY_STEP):
+                part = batch.iloc[lo : lo + QUERY_STEP]
+                keys = part["key"].to_numpy()
+                least = part["least"].fillna(-np.inf).to_numpy()
+                most = metric.bound(metric.place(keys, [centres[b] for b in numbers]), radius, keys) if len(numbers) else np.zeros((len(part), 0))
+                most, names = np.column_stack([most, metric.apart(keys)]), np.append(numbers, APART)
+                want = (most + SLACK >= least[:, None]) & (names[None, :] != part["block"].to_numpy()[:, None]) & np.isin(names, list(blocks))[None, :]
+                i, j = np.nonzero(want)
+                # numbers only: a query's key is joined to its blocks again outside Python
+                yield pd.DataFrame({"q": part["q"].to_numpy()[i], "block": names[j]})
+
+    others = written(asked.join(worst, "q", "left").mapInPandas(admit, "q long, block long"))
+    met = asked.select("q", "block").union(others)
+    again = others.join(asked.select("q", "key"), "q")
+    return _per_cell(home.union(meet(again))), met
 
 
 def unit_rows(vectors, dim: int) -> np.ndarray:

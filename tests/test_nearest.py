@@ -1,5 +1,7 @@
 """Nearest neighbours by metric blocks against scoring all pairs."""
 
+import dataclasses
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +55,20 @@ def test_hamming_blocks_equal_all_pairs_and_meet_few(spark, tmp_path):
     assert blocks >= 10 and met.where("q < 2000").count() / (queries.where("q < 2000").count() * blocks) < 0.35
 
 
+def test_blocks_are_admitted_for_few_queries_at_a_time(spark):
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, rng.standard_normal(8).tolist()) for i in range(600)], "cell long, key array<double>").coalesce(1)
+    queries = rows.select(F.col("cell").alias("q"), "key")
+    step = N.QUERY_STEP
+
+    def bound(distance, radius, keys):
+        assert len(keys) <= step
+        return N.COSINE.bound(distance, radius, keys)
+
+    found, _ = N.in_blocks(queries, rows, 3, dataclasses.replace(N.COSINE, bound=bound), 600, pivots=20)
+    assert answer(N.ranked(found, 3)) == answer(N.ranked(N.nearest(queries, rows, 3, N.COSINE), 3))
+
+
 def test_blocks_of_awkward_tables(spark):
     empty = spark.createDataFrame([], "cell long, key array<double>")
     one = spark.createDataFrame([(1, [1.0, 0.0])], "cell long, key array<double>")
