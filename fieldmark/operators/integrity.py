@@ -65,9 +65,31 @@ def _above(runs: DataFrame) -> DataFrame:
     return runs.select("batch", F.col("run").alias("i"), F.ceil(F.col("m") / RUN).alias("m"), root.alias("h"))
 
 
+def _whole(leaves: DataFrame) -> DataFrame | None:
+    """(batch, leaves, levels): every batch's leaf hashes in order and all levels of its tree, by one grouping;
+    none where a batch holds more than a run."""
+    largest = leaves.groupBy("batch").agg(F.count("*").alias("m")).agg(F.max("m")).first()[0] or 0
+    if largest > RUN:
+        return None
+    g = leaves.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("leaf"))).alias("leaves"))
+    depth = F.ceil(F.log2(F.size("leaves").cast("double"))).cast("int")
+    steps = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
+    first = F.transform("leaves", lambda x: F.sha2(x["leaf"], 256))
+    return g.select("batch", "leaves", F.aggregate(steps, F.array(first), lambda all_, _: F.concat(all_, F.array(_fold(F.element_at(all_, -1))))).alias("levels"))
+
+
+def _beside(levels: Column, p: Column, k: Column) -> Column:
+    """The hash beside node ``p >> k`` of a level, and whether it stands to the right."""
+    here = F.call_function("shiftright", p, k)
+    row = F.get(levels, k)
+    return F.struct(F.coalesce(F.get(row, here.bitwiseXOR(F.lit(1))), F.get(row, here)).alias("hash"), (here.bitwiseAND(F.lit(1)) == 0).alias("right"))
+
+
 def merkle_roots(leaves: DataFrame) -> DataFrame:
     """(batch, root, n): leaf hashes sorted, each hashed once more, neighbours hashed together level by
     level, an odd last one with itself."""
+    if (whole := _whole(leaves)) is not None:
+        return whole.select("batch", F.get(F.element_at("levels", -1), F.lit(0)).alias("root"), F.size("leaves").cast("long").alias("n"))
     nodes, rounds = _rounds(leaves)
     level = nodes.select("batch", "i", "m", "h")
     for _ in range(rounds):
@@ -78,24 +100,20 @@ def merkle_roots(leaves: DataFrame) -> DataFrame:
 def merkle_paths(leaves: DataFrame) -> DataFrame:
     """(batch, leaf, i, path): the hashes beside the way from a leaf to the root, the leaf's own first,
     with ``right`` where the hash stands to the right."""
+    if (whole := _whole(leaves)) is not None:
+        steps = F.when(F.size("levels") > 1, F.sequence(F.lit(0), F.size("levels") - 2)).otherwise(F.array().cast("array<int>"))
+        each = whole.select("batch", "levels", steps.alias("steps"), F.posexplode("leaves").alias("p", "l"))
+        return each.select("batch", "l.leaf", F.col("p").cast("long").alias("i"), F.transform("steps", lambda k: _beside(F.col("levels"), F.col("p"), k)).alias("path"))
     nodes, rounds = _rounds(leaves)
     out = nodes.select("batch", "leaf", "i", F.col("i").alias("at"), F.array().cast("array<struct<hash:string,right:boolean>>").alias("path"))
     level = nodes.select("batch", "i", "m", "h")
     for _ in range(rounds):
         runs = _runs(level)
-
-        def beside(levels: Column, p: Column, k: Column) -> Column:
-            here = F.call_function("shiftright", p, k)
-            row = F.get(levels, k)
-            return F.struct(
-                F.coalesce(F.get(row, here.bitwiseXOR(F.lit(1))), F.get(row, here)).alias("hash"), (here.bitwiseAND(F.lit(1)) == 0).alias("right")
-            )
-
         depth = F.size("levels") - 1
         steps = F.when(depth > 0, F.sequence(F.lit(0), depth - 1)).otherwise(F.array().cast("array<int>"))
         ways = F.transform(
             F.get("levels", F.lit(0)),
-            lambda _, p: F.struct(p.alias("p"), F.transform(steps, lambda k: beside(F.col("levels"), p, k)).alias("way")),
+            lambda _, p: F.struct(p.alias("p"), F.transform(steps, lambda k: _beside(F.col("levels"), p, k)).alias("way")),
         )
         ways = runs.select("batch", "run", F.explode(ways).alias("w")).select("batch", (F.col("run") * RUN + F.col("w.p")).alias("at"), "w.way")
         out = out.join(ways, ["batch", "at"]).select("batch", "leaf", "i", F.floor(F.col("at") / RUN).alias("at"), F.concat("path", "way").alias("path"))
