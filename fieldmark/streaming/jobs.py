@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from fieldmark.operators.lookup import latest_facts
@@ -113,44 +110,69 @@ def citation_counts(stream: DataFrame) -> DataFrame:
 
 
 CHANGES = "event_id long, old double, new double, delta double"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def change_feed(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """A change row for every write of a key after its first. The state is the key's last value. With
-    ``ttl_ms`` it is forgotten once the newest write of all is twice that later than the key's own, and
-    writes that come more than ``ttl_ms`` behind the newest are left out; else neither. ``run_change_feed``
-    keeps the state in RocksDB: keys beyond an executor's memory stay on its disk, and checkpoints move
-    what changed."""
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat([b[["signed_at", "event_id", "num"]] for b in batches]).sort_values(["signed_at", "event_id"])
-        old = rows["num"].shift(1)
-        if state.exists:
-            old.iloc[0] = state.get[0]
-        value = rows["num"].iloc[-1]
-        state.update((None if pd.isna(value) else float(value),))
-        if ttl_ms is not None:
-            state.setTimeoutTimestamp(int(rows["signed_at"].iloc[-1].timestamp() * 1000) + ttl_ms)
-        out = pd.DataFrame({"event_id": rows["event_id"], "old": old.astype(float), "new": rows["num"]}).dropna(subset=["old"])
-        yield out.assign(delta=out["new"] - out["old"])
 
-    rows = stream.select("cell", "band", "signed_at", "event_id", "num")
-    if ttl_ms is not None:
-        rows = rows.withWatermark("signed_at", f"{ttl_ms} milliseconds")
-    timeout = GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.EventTimeTimeout
-    return rows.groupBy("cell", "band").applyInPandasWithState(update, CHANGES, "last double", "append", timeout)
+
+def change_feed(rows: DataFrame, last: DataFrame) -> DataFrame:
+    """A change row for every write of a key that had a value before: in ``rows`` (cell, band, num,
+    signed_at, event_id, trigger) or, before all of them, in ``last`` (the same without event_id, at most
+    one row per key). One grouping by key; a key of any size is sorted on disk."""
+    order = [F.col("trigger"), *[F.asc_nulls_last(c) for c in ("signed_at", "event_id", "num")]]
+    both = last.withColumn("event_id", F.lit(None).cast("bigint")).unionByName(rows.withColumn("own", F.lit(True)), allowMissingColumns=True)
+    told = both.withColumn("old", F.lag("num").over(Window.partitionBy("cell", "band").orderBy(*order))).where(F.col("own") & F.col("old").isNotNull())
+    return told.select("event_id", "old", F.col("num").alias("new"), (F.col("num") - F.col("old")).alias("delta"))
+
+
+def last_values(rows: DataFrame) -> DataFrame:
+    """The last value of every key, in the order of ``change_feed``."""
+    order = F.struct("trigger", *[x for c in ("signed_at", "event_id", "num") for x in (F.col(c).isNull(), F.col(c))])
+    r = rows.groupBy("cell", "band").agg(F.max_by(F.struct("num", "signed_at", "trigger"), order).alias("r"))
+    return r.select("cell", "band", "r.*")
+
+
+def runs_of_triggers(n: int) -> list[int]:
+    """Ends of the runs that make up the triggers 1 to ``n``, newest first: a run that ends at trigger k is
+    as long as k's lowest bit, so there are log2 n at most and a key's value is written again as often."""
+    out = []
+    while n:
+        out.append(n)
+        n -= n & -n
+    return out
 
 
 def run_change_feed(stream: DataFrame, target: str, checkpoint: str, ttl_ms: int | None = None) -> DataFrame:
-    """The changes of all that is there; the next run with the same checkpoint goes on from its state."""
-    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
-    before = conf.get(name, None)
-    conf.set(name, ROCKS)
-    try:
-        return finish(change_feed(stream, ttl_ms), target, checkpoint)
-    finally:
-        conf.unset(name) if before is None else conf.set(name, before)
+    """The changes of all that is there; the next run with the same checkpoint and target goes on from
+    their state. The state is each key's last value. With ``ttl_ms`` it is forgotten once the newest write
+    of earlier triggers is more than twice that later than the key's own, and writes that come more than
+    ``ttl_ms`` behind that newest one are left out; else neither. Every trigger writes its changes, the
+    last values of the run of triggers that it ends and the newest time under its own number, so that a
+    repeated trigger gives the same rows."""
+    spark = stream.sparkSession
+    rows = stream.select("cell", "band", "num", "signed_at", "event_id")
+    state = StructType([*[f for f in rows.schema if f.name != "event_id"], StructField("trigger", LongType())])
+
+    def known(ends: list[int]) -> DataFrame:
+        return spark.read.schema(state).parquet(*[f"{target}/last/{k}" for k in ends]) if ends else spark.createDataFrame([], state)
+
+    def add(df: DataFrame, number: int) -> None:
+        n = number + 1
+        ends, first = runs_of_triggers(n - 1), n - (n & -n)
+        df, last = df.withColumn("trigger", F.lit(n).cast("bigint")), known(ends)
+        here, alive = known([k for k in ends if k > first]), F.lit(True)
+        last = last_values(last.withColumn("event_id", F.lit(None).cast("bigint"))) if len(ends) > 1 else last
+        if ttl_ms is not None:
+            newest = spark.read.schema("newest long").parquet(f"{target}/newest/{number}").first()["newest"] if number else None
+            own = df.agg(F.max(F.unix_micros("signed_at")).alias("newest")).first()["newest"]
+            most = max((x for x in (newest, own) if x is not None), default=None)
+            spark.createDataFrame([(most,)], "newest long").coalesce(1).write.mode("overwrite").parquet(f"{target}/newest/{n}")
+            if newest is not None:
+                at = F.unix_micros("signed_at")
+                df = df.where(F.coalesce(at >= newest - ttl_ms * 1000, F.lit(True)))
+                alive = F.coalesce(at >= newest - 2 * ttl_ms * 1000, F.lit(True))
+        change_feed(df, last.where(alive)).write.mode("overwrite").parquet(f"{target}/changes/trigger={n}")
+        # a run from the first trigger on has nothing before it that a forgotten value could uncover
+        merged = last_values(here.withColumn("event_id", F.lit(None).cast("bigint")).unionByName(df))
+        (merged.where(alive) if first == 0 else merged).write.mode("overwrite").parquet(f"{target}/last/{n}")
+
+    spark.createDataFrame([], CHANGES).write.mode("overwrite").parquet(f"{target}/changes/trigger=0")
+    rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(CHANGES).parquet(f"{target}/changes").drop("trigger")

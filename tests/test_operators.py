@@ -364,3 +364,26 @@ def test_change_feed_keeps_its_state_over_restarts(spark, tmp_path):
     # every key's writes lie 2 to 4 seconds apart: a short life forgets between two files, a long one does not
     long = jobs.run_change_feed(jobs.fact_stream(spark, str(tmp_path / "in")), str(tmp_path / "out2"), str(tmp_path / "cp2"), ttl_ms=3_600_000)
     assert sorted(r["event_id"] for r in long.collect()) == [2, 3, 5, 6, 7]
+    short = jobs.run_change_feed(jobs.fact_stream(spark, str(tmp_path / "in")), str(tmp_path / "out3"), str(tmp_path / "cp3"), ttl_ms=500)
+    assert sorted(r["event_id"] for r in short.collect()) == [2, 3, 6, 7]  # only the last write but one of (2, a) is over two lives old
+
+
+def test_change_feed_of_many_triggers_starts_no_python_and_keeps_few_states(spark, tmp_path):
+    rng = random.Random(5)
+    seen, want = {}, []
+    (tmp_path / "in").mkdir()
+    for day in range(11):
+        rows = [(100 * day + k, rng.randrange(6) or None, rng.choice("ab"), rng.choice([None, 1.0, 2.0, 4.0]), rng.randrange(50)) for k in range(12)]
+        for e, user, kind, value, _ in sorted(rows, key=lambda r: (r[4], r[0])):
+            if seen.get((user, kind)) is not None:
+                want.append((e, seen[user, kind], value))
+            seen[user, kind] = value
+        df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, at long").withColumn("ts", F.timestamp_seconds("at").cast("timestamp_ntz")).drop("at")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if day % 3 == 1 or day == 10:
+            got = jobs.run_change_feed(jobs.fact_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert sorted((r["event_id"], r["old"], r["new"]) for r in got.collect()) == sorted(want)
+    assert jobs.runs_of_triggers(11) == [11, 10, 8] and max(len(jobs.runs_of_triggers(n)) for n in range(1024)) == 10
+    r = spark.read.parquet(str(tmp_path / "in")).select(F.col("user_id").alias("cell"), F.col("event_type").alias("band"), F.col("value").alias("num"), F.col("ts").alias("signed_at"), "event_id", F.lit(1).alias("trigger"))
+    plan = jobs.change_feed(r, r.drop("event_id").limit(0))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
