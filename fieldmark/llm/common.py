@@ -44,6 +44,19 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_by(df: DataFrame, tag: str, key: str) -> DataFrame:
+    """``stage`` with files dealt by ``key``, so that groupings by it do not move these rows. The table's
+    name is given back at once; its files stay."""
+    spark = df.sparkSession
+    name = f"{tag}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, key).option("path", new_path(spark, tag)).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # found before the name goes
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -49,7 +49,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .katz_lm import katz_scores
 
-    return katz_scores(table(spark, sf_dir, "documents"))
+    return katz_scores(table(spark, sf_dir, "documents"), order=3)
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

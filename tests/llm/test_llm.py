@@ -393,6 +393,64 @@ def test_katz_keeps_every_word_apart(spark, tmp_path, hot_tokens):
         assert sum(10 ** log_p(h, w) for w in [*uni, "never seen"]) == pytest.approx(1, abs=1e-9)
 
 
+@pytest.mark.parametrize("hot_tokens", [20, 500_000])
+def test_katz_backs_off_from_triples_to_pairs_to_words(spark, tmp_path, hot_tokens, monkeypatch):
+    from fieldmark.llm import katz_lm as K
+
+    monkeypatch.setattr(K, "BUCKET_PAIRS", 700)
+    rng = random.Random(12)
+    rows = [(0, "ax by cz", True), (1, "by cz dz new by cz", True), (2, "new", True), (3, None, True), (4, "", False), (5, " ", False), (None, "ax by cz dz", True)]
+    rows += [(10 + i, "Ax by cz", False) for i in range(3)] + [(15, "by cz dz", False), (16, "ax", False), (17, "ax by ax by ax by", False)]
+    rows += [(20 + i, " ".join(f"v{int(rng.paretovariate(0.9)) % 30}" for _ in range(200)), i % 4 == 0) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(3).write.parquet(str(tmp_path / "k"))
+    got = by_id(K.katz_scores(spark.read.parquet(str(tmp_path / "k")), F.col("held"), hot_tokens=hot_tokens, order=3))
+    assert len(got) == len(rows)
+    uni, grams, after = collections.Counter(), {2: collections.Counter(), 3: collections.Counter()}, collections.defaultdict(set)
+    for _, t, held in rows:
+        ws = [None, *words(t), None]
+        if not held:
+            uni.update(ws[1:])
+            for k in grams:
+                grams[k].update(zip(*[ws[i:] for i in range(k)], strict=False))
+    for k in grams:
+        for g in grams[k]:
+            after[g[:-1]].add(g[-1])
+    d = {k: [0.0, *K.discounts(np.array([sum(n == r for n in grams[k].values()) for r in range(1, 7)], dtype=float))] for k in grams}
+    base = sum(uni.values()) + 0.5 * (len(uni) + 1)
+    assert hot_tokens > 20 or sum(sum(grams[3][*h, w] for w in after[h]) > 20 for h in after if len(h) == 2) > 5
+
+    @functools.cache
+    def history(h):
+        c = [grams[len(h) + 1][*h, w] for w in after[h]]
+        left = 1 - sum(n * (d[len(h) + 1][n] if n <= 5 else 1) for n in c) / sum(c)
+        low = 1 / (sum(c) + 1)
+        return sum(c), (1 - low) / (1 - left) if left < low else 1, max(left, low) / (1 - sum(p(h[1:], w) for w in after[h]))
+
+    def p(h, w):
+        if not h:
+            return (uni[w] + 0.5) / base
+        n = grams[len(h) + 1][*h, w]
+        if n:
+            return n * (d[len(h) + 1][n] if n <= 5 else 1) * history(h)[1] / history(h)[0]
+        return (history(h)[2] if after[h] else 1) * p(h[1:], w)
+
+    for i, t, _ in rows:
+        ws = [None, *words(t), None]
+        want = sum(math.log10(p(tuple(ws[max(0, k - 2) : k]), ws[k])) for k in range(1, len(ws)))
+        assert got[i].score == pytest.approx(want, rel=1e-9), i
+    for h in (("v1", "v1"), (None, "ax"), ("by", "cz"), ("v2", "v3"), ("ax", "never seen")):
+        assert sum(p(h, w) for w in [*uni, "never seen"]) == pytest.approx(1, abs=1e-9)
+
+
+def test_op5_scores_by_triples(spark, tmp_path):
+    from fieldmark.llm.queries import QUERIES
+
+    rows = [(2 * i + k, t) for k, t in enumerate(("a b c", "d b e")) for i in range(40)]
+    spark.createDataFrame([*rows, (1000, "a b c"), (1001, "a b e")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = by_id(QUERIES["op5_katz_lm"](spark, str(tmp_path)))
+    assert got[1000].score > got[1001].score + 1  # "b" is followed by "c" and "e" alike; only "a b" tells
+
+
 def test_embeddings(spark):
     from fieldmark.llm.embedding_dedup import similar_vectors
 
