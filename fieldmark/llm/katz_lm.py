@@ -202,6 +202,32 @@ def _history(count: np.ndarray, kept: np.ndarray, seen: np.ndarray) -> tuple[np.
 SUMS = 3 + 2 * GOOD_TURING
 
 
+BELOW = GOOD_TURING + 2
+_REST = [k for k in range(SUMS) if k not in (0, BELOW)]
+
+
+def _pack_sums(s: np.ndarray) -> bytes:
+    """Sums of histories; of those with one token, two rows tell the others."""
+    return _pack_planes(np.concatenate((np.array([s.shape[1]], "<u8"), s[0], s[BELOW], s[_REST][:, s[0] > 1].ravel())))
+
+
+def _unpack_sums(x: bytes, pairs: bool) -> np.ndarray:
+    a = _unpack_planes(x, "<u8")
+    k = int(a[0])
+    s = np.zeros((SUMS, k))
+    s[0], s[BELOW] = a[1 : k + 1], a[k + 1 : 2 * k + 1]
+    s[np.ix_(_REST, s[0] > 1)] = a[2 * k + 1 :].reshape(len(_REST), -1)
+    one = np.flatnonzero(s[0] == 1)
+    s[1, one] = 1
+    if pairs:
+        s[GOOD_TURING + 1, one] = 1
+    else:
+        below = s[BELOW, one].astype(np.int64)
+        few = below <= GOOD_TURING
+        s[BELOW + below[few], one[few]] = 1
+    return s
+
+
 def _kept(total: np.ndarray, few: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Tokens that discounts ``d`` leave of ``total``, of which ``few`` n-grams were seen 1, 2 .. times."""
     return total - (np.arange(1, GOOD_TURING + 1) * (1 - d)) @ few
@@ -308,7 +334,7 @@ class Part:
         scale, alpha, at = np.empty(len(start)), np.empty(len(start)), 0
         known = self.levels[level - 2]
         for x in self.told["b"][self.told["level"] == level]:
-            sums = _unpack_planes(x, "<u8").reshape(SUMS, -1).astype(float)
+            sums = _unpack_sums(x, level == 2)
             runs = slice(at, at + sums.shape[1])
             h = g.h[start[runs]]
             hot = np.isin(h, known.hot)
@@ -321,7 +347,7 @@ class Part:
     def scores(self) -> np.ndarray:
         """log10 P of every token."""
         g, d = self.pairs, self.levels[0].d
-        scale, alpha, start = self.histories(2, g, lambda s, _: (s[GOOD_TURING + 2] + 0.5 * s[GOOD_TURING + 1]) / self.corpus.base)
+        scale, alpha, start = self.histories(2, g, lambda s, _: (s[BELOW] + 0.5 * s[GOOD_TURING + 1]) / self.corpus.base)
         scale, alpha = _spread(scale, start, g), _spread(alpha, start, g)
         pair = _log_p(self.seen(2), d, scale, alpha + np.log10((self.counts[self.codes[g.token]] + 0.5) / self.corpus.base))
         out = pair[g.of]
@@ -329,7 +355,7 @@ class Part:
             g, at = self.triples()
             last = self.pairs.of[at[g.token]]  # the pair that ends the triple
             shorter = 10 ** scale[last]
-            scale, alpha, start = self.histories(3, g, lambda s, k: _kept(s[GOOD_TURING + 2], s[GOOD_TURING + 3 :], d) * shorter[k])
+            scale, alpha, start = self.histories(3, g, lambda s, k: _kept(s[BELOW], s[BELOW + 1 :], d) * shorter[k])
             out[at] = _log_p(self.seen(3), self.levels[1].d, _spread(scale, start, g), _spread(alpha, start, g) + pair[last])[g.of]
         return out
 
@@ -411,7 +437,7 @@ def counted_grams(blocks: DataFrame, told: DataFrame, corpus: Corpus, levels: li
         one |= {f"n{r}": int(np.count_nonzero(n == r)) for r in ranks}
         n = n.astype("<u8")
         out = [
-            (b, p, _pack_planes(n[o]), _pack_planes(sums[:, a[s]].ravel()))
+            (b, p, _pack_planes(n[o]), _pack_sums(sums[:, a[s]]))
             for b, p, o, a, s in zip(rows["bucket"], rows["part"], np.split(of, cut), np.split(at, cut), starts, strict=True)
         ]
         none = {c: [] if isinstance(x, list) else 0 for c, x in one.items()}
